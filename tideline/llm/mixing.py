@@ -88,7 +88,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 
 def mixed_words(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE) -> DataFrame:
     """Per document: doc_id, size, source_size, target and ``taken``, the words that the mix takes of it, repeats counted."""
-    sizes = sized(docs.select("doc_id", "source", "text").withColumn("text", F.col("text").cast("string"))).select("mix_row", "doc_id", "source", F.col("mix_size").alias("size"))
+    size = count_words(F.col("text").cast("string")).alias("size")
+    sizes = materialize(docs.select(F.monotonically_increasing_id().alias("mix_row"), "doc_id", "source", size), "sizes")
     targets, budget = source_targets(sizes, weights, share)
     taken = fair_queue(sizes, targets, budget).groupBy("mix_row").agg(F.sum("size").alias("taken"))
     sources = targets.select(F.col("source").alias("of_source"), "source_size", "target")
