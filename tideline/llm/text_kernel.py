@@ -103,10 +103,15 @@ def words(data: np.ndarray, offsets: np.ndarray, of: Alphabet) -> Words:
     before[offsets[:-1][offsets[:-1] < n]] = False
     after[offsets[1:][offsets[1:] > 0] - 1] = False
     start, end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+    return Words(start, end, span_hashes(data, start, end, of), np.searchsorted(start, offsets))
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, of: Alphabet) -> np.ndarray:
+    """A hash of the bytes ``start`` to ``end`` of each span, equal wherever the span stands."""
+    n = len(data)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(of.value[data] * _power("up", _BASE, n), out=sums[1:])
-    h = (sums[end] - sums[start]) * _power("down", _BASE_INVERSE, n)[start]
-    return Words(start, end, mix(h, 1), np.searchsorted(start, offsets))
+    return mix((sums[end] - sums[start]) * _power("down", _BASE_INVERSE, n + 1)[start], 1)
 
 
 def windows(hashes: np.ndarray, offsets_in_window: list[int]) -> np.ndarray:

@@ -22,6 +22,10 @@ from tideline.llm.scratch import materialize
 BUCKETS = 1 << 20
 TERMS = 2048
 FACTORS = 8
+#: Terms are words and, of longer ones, the first so many bytes, which inflected forms have in common.
+PREFIXES = (4, 5)
+#: What a toxic row weighs in the loss; toxic rows are few, and a miss costs more than a false alarm.
+TOXIC_WEIGHT = 3.0
 _TERMS = kernel.alphabet(kernel.ASCII_PUNCTUATION, fold_case=True)
 
 
@@ -43,7 +47,13 @@ class Machine:
 def _terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(document, place) of the distinct terms of a chunk, by document and place."""
     w = kernel.words(data, offsets, _TERMS)
-    key = np.unique(w.documents().astype(np.uint64) * np.uint64(BUCKETS) + kernel.mix(w.hash, 9) % np.uint64(BUCKETS))
+    of = w.documents().astype(np.uint64) * np.uint64(BUCKETS)
+    keys = [of + kernel.mix(w.hash, 9) % np.uint64(BUCKETS)]
+    for k in PREFIXES:
+        long = w.end - w.start > k
+        h = kernel.span_hashes(data, w.start[long], w.start[long] + k, _TERMS)
+        keys.append(of[long] + kernel.mix(h, 9 + k) % np.uint64(BUCKETS))
+    key = np.unique(np.concatenate(keys))
     return (key // np.uint64(BUCKETS)).astype(np.int64), (key % np.uint64(BUCKETS)).astype(np.int32)
 
 
@@ -110,7 +120,8 @@ def fit_machine(x: list[np.ndarray], y: np.ndarray, places: np.ndarray, epochs:
                 m[i, x[r]] = 1
             s = m @ v
             z = bias + m @ w + 0.5 * (s * s - m @ (v * v)).sum(1)
-            e = ((1 / (1 + np.exp(-np.clip(z, -30, 30)))) - y[rows]).astype(np.float32) / len(rows)
+            e = ((1 / (1 + np.exp(-np.clip(z, -30, 30)))) - y[rows]) * np.where(y[rows] > 0, TOXIC_WEIGHT, 1)
+            e = e.astype(np.float32) / len(rows)
             db, dw = float(e.sum()), m.T @ e + decay * w
             dv = m.T @ (e[:, None] * s) - (m.T @ e)[:, None] * v + decay * v
             gb, gw, gv = gb + db * db, gw + dw * dw, gv + dv * dv
