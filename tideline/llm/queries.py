@@ -6,13 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideline.llm import contamination, minhash, mixing, quality, sharding, toxicity, urls
+from tideline.llm import chat, contamination, minhash, mixing, quality, sharding, tokens, toxicity, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -21,6 +27,20 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_words(_table(spark, sf_dir, "documents"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = tokens.prefix_token_counts(_table(spark, sf_dir, "documents"), tokenizer(), keep_prefixes=False)
+    return counts.withColumn("over_limit", counts["n_tokens"] > 1024)
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chat.with_control_conversation(_table(spark, sf_dir, "conversations"))
+    return chat.read_digests(chat.format_windows(turns, tokenizer()))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded_rows(_table(spark, sf_dir, "documents"))
 
@@ -42,7 +62,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_mixing, op6_sharding, op7_url_filter, op8_quality_rules, op9_toxicity, op10_near_duplicates)
+    f.__name__: f for f in (op1_decontamination, op2_mixing, op3_token_counts, op4_chat_format, op5_warc, op6_sharding, op7_url_filter, op8_quality_rules, op9_toxicity, op10_near_duplicates)
 }
 
 _MIXING = r"""
@@ -88,4 +108,15 @@ WITH h AS (
 SELECT page_id, h.host, h.path, b.rule, coalesce(b.action, 'allow') AS verdict FROM h LEFT JOIN b USING (host, path)
 """
 
-ORACLES: dict[str, str] = {"op2_mixing": _MIXING, "op7_url_filter": _URLS}
+_WARC = r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
+), d AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS hex FROM p
+), o AS (SELECT *, max(page_id) OVER (PARTITION BY hex) AS owner FROM d
+), b AS (
+  SELECT *, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + (
+    (CAST('0x' || substr(hex, 5 * i // 4 + 1, 2) AS INT) >> CAST(3 - i % 4 AS INT)) & 31) AS INT), 1)), '') AS payload_digest FROM o
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN page_id = owner THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> owner THEN owner END AS refers_to FROM b
+"""
+
+ORACLES: dict[str, str] = {"op2_mixing": _MIXING, "op5_warc": _WARC, "op7_url_filter": _URLS}
