@@ -1,7 +1,7 @@
 """Toxicity scores by a factorization machine over hashed terms.
 
-A document is the set of its terms, hashed into ``BUCKETS`` places.  Over all labelled training rows, each place's share in
-toxic and other documents is counted; the ``TERMS`` places that tell most apart become the model's features.  The
+A document is the set of its terms, hashed into ``BUCKETS`` places.  Over the labelled rows of the training sample, each
+place's share in toxic and other documents is counted; the ``TERMS`` places that tell most apart become the model's features.  The
 machine learns a weight for each and, by ``FACTORS`` latent factors, one for every pair, so that a term may
 count only beside another.  Scoring reads each whole text once.
 """
@@ -26,6 +26,8 @@ FACTORS = 8
 PREFIXES = (4, 5)
 #: What a toxic row weighs in the loss; toxic rows are few, and a miss costs more than a false alarm.
 TOXIC_WEIGHT = 3.0
+#: Labelled rows that the machine is fitted on.
+SAMPLE = 40_000
 _TERMS = kernel.alphabet(kernel.ASCII_PUNCTUATION, fold_case=True)
 
 
@@ -136,36 +138,36 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 30_000) -> Machine:
-    """A machine from the labelled rows that are not held out.
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
+    """A machine from about ``sample`` of the labelled rows that are not held out, drawn by a hash of doc_id.
 
-    Term counts cover all such rows; the weights are fitted on about ``sample`` of them, drawn by a hash of
-    doc_id.  Rows without a label of 0 or 1 are left out; without labels every score is the prior.
+    The bound lets the labels be broadcast, so no text is shuffled.  Rows without a label of 0 or 1 are left out;
+    without labels every score is the prior.
     """
-    known = labels.where("toxic in (0, 1)").where(~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+    known = labels.where("toxic in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+    part = min(1.0, sample / max(1, known.count()))
+    drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000_000)) < int(part * 1_000_000_000))
     texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    lists = materialize(texts.join(known, "doc_id").select("doc_id", "toxic", "text").mapInArrow(_term_lists, "doc_id long, toxic int, terms array<int>"), "terms")
+    lists = materialize(texts.join(F.broadcast(drawn), "doc_id").select("doc_id", "toxic", "text").mapInArrow(_term_lists, "doc_id long, toxic int, terms array<int>"), "terms")
     rows, toxic = lists.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     counts = lists.select("toxic", F.explode("terms").alias("place")).groupBy("place").agg(F.count("*").alias("n"), F.sum("toxic").alias("n1")).where("n >= 4")
     p1, p0 = (F.col("n1") + 0.5) / (toxic + 1.0), (F.col("n") - F.col("n1") + 0.5) / (rows - toxic + 1.0)
     spread = F.sqrt(1 / (F.col("n1") + 0.5) + 1 / (F.col("n") - F.col("n1") + 0.5))
     chosen = counts.withColumn("z", F.abs(F.log(p1 / p0) / spread)).orderBy(F.desc("z"), "place").limit(TERMS).select("place")
     places = np.sort(np.array([r[0] for r in chosen.collect()], np.int64))  # TERMS numbers at most
-    part = min(1.0, sample / max(1, rows))
-    drawn = lists.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(part * 1_000_000))
     wanted = F.array(*[F.lit(int(p)) for p in places]).cast("array<int>")
-    got = drawn.select("doc_id", "toxic", F.array_intersect("terms", wanted).alias("terms")).toPandas().sort_values("doc_id", kind="stable")
+    got = lists.select("doc_id", "toxic", F.array_intersect("terms", wanted).alias("terms")).toPandas().sort_values("doc_id", kind="stable")
     return fit_machine([np.searchsorted(places, np.asarray(t, np.int64)) for t in got["terms"]], got["toxic"].to_numpy(np.float32), places)
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = 30_000) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """``docs`` without the rows whose text scores 0.5 or more; rows with a null doc_id or text are scored like all others."""
     machine = train(docs, labels, sample)
     rows = docs.withColumn("text", F.col("text").cast("string"))
     return rows.mapInArrow(_keeper(machine), rows.schema)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 30_000) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score (0 to 1) and predicted of every row of ``docs(doc_id, text)``.
 
     An empty, wordless or null text gets the model's bias.  Repeated rows are scored one by one, a null doc_id
