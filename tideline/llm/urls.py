@@ -15,6 +15,8 @@ from tideline.llm.scratch import materialize
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 #: The verdict where no rule fits.
 DEFAULT = "allow"
+#: Up to so many rules go to every task (some 20 MB); more are joined by shuffles, where Spark splits frequent tokens.
+BROADCAST_RULES = 50_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -48,10 +50,13 @@ def rule_table(spark: SparkSession, rules=RULES) -> DataFrame:
     return given.select("rule", "action", pattern.alias("pattern"), _tokens(host, path).alias("tokens"))
 
 
-def rule_index(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """(token, rule, action, pattern): each rule under its rarest token among ``urls(tokens)``, ties to the longer token."""
+def rule_index(urls: DataFrame, rules: DataFrame, near=F.broadcast) -> DataFrame:
+    """(token, rule, action, pattern): each rule under its rarest token among ``urls(tokens)``, ties to the longer token.
+
+    ``near`` is ``F.broadcast`` where the number of rules is known to be small.
+    """
     wanted = rules.select("rule", "action", "pattern", F.explode("tokens").alias("token"))
-    held = urls.select(F.explode("tokens").alias("token")).join(wanted.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("urls"))
+    held = urls.select(F.explode("tokens").alias("token")).join(near(wanted.select("token").distinct()), "token", "left_semi").groupBy("token").agg(F.count("*").alias("urls"))
     rarest = F.min_by("token", F.struct(F.coalesce("urls", F.lit(0)), -F.length("token"), "token"))
     return wanted.join(held, "token", "left").groupBy("rule", "action", "pattern").agg(rarest.alias("token"))
 
@@ -66,7 +71,8 @@ def filter_urls(pages: DataFrame, rules=RULES, default: str = DEFAULT) -> DataFr
     url = F.col("url").cast("string")
     own = materialize(pages.select(F.monotonically_increasing_id().alias("row"), "page_id", host_of(url).alias("host"), path_of(url).alias("path")), "urls")
     tokens = own.select("row", "host", "path", _tokens(F.col("host"), F.col("path")).alias("tokens"))
-    index = rule_index(tokens, rule_table(pages.sparkSession, rules))
+    near = F.broadcast if len(rules) <= BROADCAST_RULES else lambda df: df
+    index = near(rule_index(tokens, rule_table(pages.sparkSession, rules), near))
     candidates = tokens.select("row", "host", "path", F.explode("tokens").alias("token")).join(index, "token")
     fits = candidates.where(F.expr("concat(host, path) rlike pattern"))
     rank = F.struct(F.length("rule"), F.when(F.col("action") == "block", 1).otherwise(0), F.col("rule"))
