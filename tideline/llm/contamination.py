@@ -153,4 +153,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold a passage of the benchmark; rows with a null doc_id stay."""
     held = contaminated(docs, benchmark).select(F.col("doc_id").alias("_held")).distinct()
-    return docs.join(held, F.col("doc_id").cast("long") == F.col("_held"), "left_anti")
+    return docs.join(held, docs["doc_id"].cast("long") == held["_held"], "left_anti")

@@ -226,4 +226,4 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
 def drop_near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with the rows of one doc_id, the least, of each group; of repeated rows of a doc_id all stay, as do rows with a null doc_id."""
     gone = near_duplicates(docs, shingle_words, percent).where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")

@@ -25,8 +25,9 @@ def count_words(text: Column) -> Column:
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """``docs`` with a row number ``mix_row`` and ``mix_size``, its words; written, so that both stay what they are."""
-    return materialize(docs.withColumn("mix_row", F.monotonically_increasing_id()).withColumn("mix_size", count_words(F.col("text").cast("string"))), "sized")
+    """The rows of ``docs`` as ``row``, numbered and with their words; written, so that both stay what they are."""
+    size = count_words(F.col("text").cast("string")).alias("size")
+    return materialize(docs.select(F.monotonically_increasing_id().alias("mix_row"), "doc_id", "source", size, F.struct("*").alias("row")), "sized")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE) -> tuple[DataFrame, float]:
@@ -81,9 +82,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     shuffles as an empty one.  An empty table gives an empty mix.
     """
     own = sized(docs)
-    sizes = own.select("mix_row", "doc_id", "source", F.col("mix_size").alias("size"))
+    sizes = own.select("mix_row", "doc_id", "source", "size")
     taken = fair_queue(sizes, *source_targets(sizes, weights, share)).drop("size")
-    return own.join(taken, "mix_row").drop("mix_row", "mix_size")
+    added = ("mix_pass", "mix_finish", "mix_total")
+    return own.select("mix_row", "row").join(taken, "mix_row").select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in added], *added)
 
 
 def mixed_words(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE) -> DataFrame:

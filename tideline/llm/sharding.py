@@ -67,25 +67,27 @@ def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
 
     The key is doc_id as text (null: empty); rows with equal keys count one by one, so even a key that holds most rows is
     shared out once its shard is full.  Only doc_id and text are read, other columns are carried along (those
-    named rank, shard or slot are replaced).  An empty table gives no rows.
+    named shard or slot are replaced).  An empty table gives no rows.
     """
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    keyed = docs.drop("rank", "shard", "slot").withColumn("_digest", digest).withColumn("_crc", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    ranked = global_rank(keyed, ["_digest", "_crc"], "ring").withColumn("_cell", _cell(F.col("_digest")))
+    crc = F.crc32(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
+    keyed = docs.select(F.struct("*").alias("row"), digest.alias("digest"), crc.alias("crc"))
+    ranked = global_rank(keyed, ["digest", "crc"], "ring").withColumn("cell", _cell(F.col("digest")))
     points = _points(docs, shards)
     last = points.agg(F.max("to_cell").alias("last"))
-    inside = points.select("arc", F.explode(F.expr("if(from_cell <= to_cell, sequence(from_cell, to_cell), cast(array() as array<int>))")).alias("_cell"))
+    inside = points.select("arc", F.explode(F.expr("if(from_cell <= to_cell, sequence(from_cell, to_cell), cast(array() as array<int>))")).alias("cell"))
     # rows after the last point belong to arc 0 but rank last; they are its second stretch, counted as an arc of their own
-    beyond = last.select(F.lit(shards * VIRTUAL).alias("arc"), F.explode(F.expr(f"if(last < {CELLS - 1}, sequence(last + 1, {CELLS - 1}), cast(array() as array<int>))")).alias("_cell"))
+    beyond = last.select(F.lit(shards * VIRTUAL).alias("arc"), F.explode(F.expr(f"if(last < {CELLS - 1}, sequence(last + 1, {CELLS - 1}), cast(array() as array<int>))")).alias("cell"))
     cells = inside.unionByName(beyond)
-    counts = ranked.groupBy("_cell").agg(F.count("*").alias("rows"))
-    filled = cells.join(counts, "_cell").groupBy("arc").agg(F.sum("rows").alias("rows"))
+    counts = ranked.groupBy("cell").agg(F.count("*").alias("rows"))
+    filled = cells.join(counts, "cell").groupBy("arc").agg(F.sum("rows").alias("rows"))
     arcs = points.select("arc", "shard").unionByName(points.where("arc = 0").select(F.lit(shards * VIRTUAL).alias("arc"), "shard"))
     counted = arcs.join(filled, "arc", "left").select("arc", "shard", F.coalesce("rows", F.lit(0)).cast("long").alias("n"))
-    lookup = cells.join(_pieces(counted, shards), "arc").select("_cell", "pieces")
+    lookup = cells.join(_pieces(counted, shards), "arc").select("cell", "pieces")
     piece = F.filter("pieces", lambda p: p["upto"] > F.col("rank"))[0]
-    placed = ranked.join(F.broadcast(lookup), "_cell").withColumn("_piece", piece)  # at most CELLS rows
-    return placed.withColumn("shard", F.col("_piece.shard")).withColumn("slot", F.col("rank") + F.col("_piece.shift")).drop("_digest", "_crc", "_cell", "rank", "pieces", "_piece")
+    placed = ranked.join(F.broadcast(lookup), "cell").withColumn("piece", piece)  # at most CELLS rows
+    slot = (F.col("rank") + F.col("piece.shift")).alias("slot")
+    return placed.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in ("shard", "slot")], F.col("piece.shard").alias("shard"), slot)
 
 
 def sharded_rows(docs: DataFrame, shards: int = 24) -> DataFrame:

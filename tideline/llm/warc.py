@@ -116,7 +116,7 @@ def _writer(folder: str, roll: int):
                     continue
                 if key != (r["page_id"], r["digest"]):
                     raise ValueError(f"no decision for page {r['page_id']}")
-                revisit = r["repeats"] and (n > 0 or r["page_id"] != owner) if owner is not None or n else r["repeats"] and n > 0
+                revisit = r["repeats"] and (n > 0 or r["page_id"] != owner)
                 done += files.write(_page_record(r["page_id"], n, r["url"], r["payload"], owner, revisit))
                 n += 1
             yield pa.RecordBatch.from_pylist(done, schema)
