@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from tideline.llm import tokens
 from tideline.llm.ordered import global_rank
+from tideline.llm.scratch import texts_in_batches
 
 START, END = "<|im_start|>", "<|im_end|>"
 SYSTEM, TARGET = "system", "assistant"
@@ -165,7 +166,7 @@ def format_windows(turns: DataFrame, path: str, budget: int = BUDGET, history_tu
     its own.  The first turn is the system turn if its role is system.  Empty tables give no rows; other columns are not read.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), text.alias("text"))
+    rows = texts_in_batches(turns).select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), text.alias("text"))
     counted = rows.mapInArrow(_count(path), T.StructType([*rows.schema.fields, T.StructField("tokens", T.LongType())]))
     order = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), "role", "text"]
     ranked = global_rank(counted, order, "turns")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm import text_kernel as kernel
-from tideline.llm.scratch import materialize
+from tideline.llm.scratch import materialize, texts_in_batches
 
 #: 1 reads a word, 0 ignores it.  Replacing every third, fourth or fifth word leaves a window of some mask whole.
 MASKS = ("111111", "1111011", "1110111", "11011011")
@@ -138,7 +138,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Null and empty texts hold nothing; passages under SHORTEST words are left out; rows with a null doc_id or item_id are not
     looked at.  Repeated rows of a doc_id or item_id are looked at together.  Empty tables give no rows; other columns are not read.
     """
-    texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = texts_in_batches(docs).where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     seeds = materialize(items.mapInArrow(_passages, "item_id long, item_at long, seed long"), "seeds")
     table = docs.sparkSession.sparkContext.broadcast(_bits(seeds))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tideline.llm import text_kernel as kernel
 from tideline.llm.components import connected_components
-from tideline.llm.scratch import drop, materialize
+from tideline.llm.scratch import drop, materialize, texts_in_batches
 
 #: A pair at similarity 0.8 shares no band with a chance of (1 - 0.8^5)^30 = 7e-6.
 BANDS, ROWS = 30, 5
@@ -120,7 +120,7 @@ def _shingle_rows(shingle_words: int):
 
 def scan_documents(docs: DataFrame, shingle_words: int) -> DataFrame:
     """(doc_id, n_shingles, k1, k2, bands): a document's set size, set digest and band keys."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
+    return texts_in_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
         _scan(shingle_words), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"
     )
 

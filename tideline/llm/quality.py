@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm import text_kernel as kernel
-from tideline.llm.scratch import materialize
+from tideline.llm.scratch import materialize, texts_in_batches
 
 _WORDS = kernel.alphabet(kernel.ASCII_SPACE, fold_case=False)
 _LINES = kernel.alphabet(b"\n", fold_case=False)
@@ -76,7 +76,7 @@ def _scan(repeat_words: int):
 
 def text_statistics(docs: DataFrame, repeat_words: int = 5) -> DataFrame:
     """``STATS`` of every row of ``docs(doc_id, text)``, over the whole text; a null text has zeros."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_scan(repeat_words), SCHEMA)
+    return texts_in_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_scan(repeat_words), SCHEMA)
 
 
 def base_failed() -> Column:

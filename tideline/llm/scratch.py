@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -27,6 +28,19 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Bytes of an Arrow batch.  Whole texts differ by orders of magnitude in size, so batches go by bytes rather than rows.
+BATCH_BYTES = 8 << 20
+
+
+def texts_in_batches(df: DataFrame) -> DataFrame:
+    """``df``, about to go to Arrow functions: its session's batches are bounded by bytes, unless a lower bound is set."""
+    key, spark = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession
+    given = re.fullmatch(r"(\d+)b?", spark.conf.get(key))
+    if given and int(given[1]) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: a cut in the lineage."""
     path = new_folder(df.sparkSession, name)

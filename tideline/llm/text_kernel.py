@@ -15,6 +15,9 @@ import pyarrow as pa
 
 CHUNK_BYTES = 1 << 19
 
+# Workers live on between tasks: what a batch took goes back to the system, not into a pool of the worker's own.
+pa.set_memory_pool(pa.system_memory_pool())
+
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm import text_kernel as kernel
+from tideline.llm.scratch import texts_in_batches
 
 #: Distinct pieces that a worker keeps; beyond, it starts anew.
 KEEP = 1_000_000
@@ -266,7 +267,7 @@ def prefix_token_counts(docs: DataFrame, path: str, keep_prefixes: bool = True)
     n_tokens is the last of them, 0 for an empty or null text.  Special strings count as the one token that they are.  Without
     ``keep_prefixes`` the array stays in the worker.  Repeated rows are counted one by one; other columns are not read.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = texts_in_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(_count(path, keep_prefixes), "doc_id long, n_bytes long, n_tokens long" + ", prefix_tokens array<int>" * keep_prefixes)
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm import text_kernel as kernel
-from tideline.llm.scratch import materialize
+from tideline.llm.scratch import materialize, texts_in_batches
 
 BUCKETS = 1 << 20
 TERMS = 2048
@@ -147,7 +147,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     known = labels.where("toxic in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     part = min(1.0, sample / max(1, known.count()))
     drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000_000)) < int(part * 1_000_000_000))
-    texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = texts_in_batches(docs).where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     lists = materialize(texts.join(F.broadcast(drawn), "doc_id").select("doc_id", "toxic", "text").mapInArrow(_term_lists, "doc_id long, toxic int, terms array<int>"), "terms")
     rows, toxic = lists.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     counts = lists.select("toxic", F.explode("terms").alias("place")).groupBy("place").agg(F.count("*").alias("n"), F.sum("toxic").alias("n1")).where("n >= 4")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.ordered import running_totals
-from tideline.llm.scratch import materialize, new_folder
+from tideline.llm.scratch import materialize, new_folder, texts_in_batches
 
 DATE = "2026-01-01T00:00:00Z"
 SHARD_BYTES, MOST_SHARDS = 16 << 20, 4096
@@ -135,7 +135,7 @@ def write_warc(pages: DataFrame, folder: str, least_bytes: int = 0, shard_bytes:
     empty table gives an empty manifest.
     """
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
+    rows = texts_in_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     slim = materialize(rows.select("page_id", F.sha1("payload").alias("digest"), F.octet_length("payload").cast("long").alias("bytes")), "payloads")
     size = (slim.agg(F.sum(F.col("bytes") + 512)).first()[0]) or 0
     per_shard = max(shard_bytes, -(-size // MOST_SHARDS))
