@@ -57,6 +57,15 @@ def test_contaminated_finds_whole_and_substituted_passages(spark):
         assert sum(a in item for a in text[r.doc_id][r.doc_word : r.doc_word + r.n_words]) >= r.n_same
 
 
+def test_contaminated_is_the_same_however_places_are_split(spark, monkeypatch):
+    rng = random.Random(3)
+    items = spark.createDataFrame([(i, rand_text(rng, 20, 40)) for i in range(8)], "item_id long, text string")
+    docs = spark.createDataFrame([(d, rand_text(rng, 300, 40)) for d in range(6)] + [(9, " ".join(r.text for r in items.collect()) + " end")], "doc_id long, text string")
+    whole = sorted(contamination.contaminated(docs, items).collect())
+    monkeypatch.setattr(contamination, "LAID", 1)
+    assert whole and sorted(contamination.contaminated(docs, items).collect()) == whole
+
+
 def test_best_stretch_is_the_best_of_all():
     rng = random.Random(2)
     for _ in range(300):

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.llm import text_kernel as kernel
@@ -27,6 +27,8 @@ LEAST_WORDS, LEAST_SHARE = 12, 0.8
 SHORTEST = 5
 #: A filter of 2^26 bits (8 MB), two places a hash, whatever the size of the benchmark.
 FILTER_BITS = 26
+#: Places of passages that one row holds for verification; a document with more has several rows.
+LAID = 512
 _WORDS = kernel.alphabet(kernel.ASCII_PUNCTUATION, fold_case=True)
 _SPAN = max(map(len, MASKS))
 _OFFSETS = [[i for i, c in enumerate(m) if c == "1"] for m in MASKS]
@@ -112,7 +114,7 @@ def _lay(texts: pa.Array) -> list[np.ndarray]:
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each row is a document with the passages to lay on it: (item_id, shift, text)."""
+    """Each row is a document with LAID passages at most to lay on it: (item_id, shift, text)."""
     for batch in batches:
         for row in range(batch.num_rows):
             doc = _lay(batch.column("text").slice(row, 1))[0]
@@ -144,7 +146,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     table = docs.sparkSession.sparkContext.broadcast(_bits(seeds))
     hits = texts.mapInArrow(_hits(table), "doc_id long, doc_at long, seed long")
     laid = materialize(hits.join(seeds, "seed").select("doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("shift")).distinct(), "hits")
-    of_doc = laid.join(items.withColumnRenamed("text", "item"), "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "shift", "item")).alias("laid"))
+    piece = F.floor((F.row_number().over(Window.partitionBy("doc_id").orderBy("item_id", "shift")) - 1) / LAID).alias("piece")
+    places = laid.select("doc_id", "item_id", "shift", piece).join(items.withColumnRenamed("text", "item"), "item_id")
+    of_doc = places.groupBy("doc_id", "piece").agg(F.collect_list(F.struct("item_id", "shift", "item")).alias("laid"))
     checked = texts.join(of_doc, "doc_id").select("doc_id", "text", "laid").mapInArrow(_verify, "doc_id long, item_id long, doc_word long, n_words long, n_same long, item_words long")
     best = F.max_by(F.struct("doc_word", "n_words", "n_same", "item_words"), F.struct("n_same", -F.col("n_words"), -F.col("doc_word"))).alias("best")
     return checked.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
