@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from tideline.config import Channel, Profile, profile_of, variants
 from tideline.operators import asof, channels, events
-from tideline.plans.sweep import Clean, decide
+from tideline.plans.sweep import Clean, decide, evidence
 
 CLINICAL = Profile(
     channels=(Channel("HR", 1, 1.0, 2.82, 20), Channel("RR", 1, 1.0, 0.70, 20), Channel("TEMP", 1, 1.0, 0.12, 60), Channel("SpO2", -1, 1.0, 0.34, 20), Channel("SBP", -1, 0.5, 2.36, 120), Channel("DBP", -1, 0.5, 1.63, 120)),
@@ -58,6 +58,33 @@ def test_courses(spark):
     assert all(of[f"flat{i}"].priority == "LOW" for i in range(4))
 
 
+def test_rules_and_encounters_are_cited(spark):
+    rise = lambda code, at: max(0.0, min(1.0, (at - (T - timedelta(hours=4))) / timedelta(hours=4))) * 8
+    odd = lambda at: (T - at) % timedelta(minutes=40) != timedelta(0)
+    every_other = lambda code, at: 0.0 if at < T - timedelta(hours=6) else -5.0 if odd(at) else 60.0
+    sparse = [r for r in course("sparse", rise, codes=("HR", "RR", "SpO2")) if r[4] < T - timedelta(hours=6) or r[4] >= T - timedelta(minutes=280) and not odd(r[4])]
+    stay = [(f"e-{p}", p, "ENCOUNTER", "INPATIENT", None, T - timedelta(hours=60), T + timedelta(hours=9), T - timedelta(hours=60)) for p in ("rise", "walk", "sparse")]
+    other = [
+        ("w", "walk", "CONTEXT", "PHYSICAL_ACTIVITY", "HIGH", T - timedelta(hours=2), T, T - timedelta(hours=2)),
+        ("cut", "sparse", "CONNECTIVITY", "LINK_LOSS", None, T - timedelta(hours=3), T - timedelta(hours=1), T - timedelta(hours=3)),
+        ("old", "sparse", "CONNECTIVITY", "LINK_LOSS", None, T - timedelta(hours=30), T - timedelta(hours=20), T - timedelta(hours=30)),
+        ("late", "sparse", "CONNECTIVITY", "LINK_LOSS", None, T - timedelta(hours=2), T, T + timedelta(hours=1)),
+        ("unasked", "rise", "CONNECTIVITY", "LINK_LOSS", None, T - timedelta(hours=2), T, T - timedelta(hours=2)),
+    ]
+    courses = [course("rise", rise), course("walk", rise), course("blip", every_other, codes=("HR", "RR", "SpO2")), sparse]
+    got, s = outcomes(spark, courses, stay + other)
+    observations = spark.createDataFrame([r for c in courses for r in c], OBSERVATION)
+    rows = evidence(s, Clean(observations, spark.createDataFrame(stay + other, INTERVAL))).collect()
+    cited = lambda p, role, file: {r.record_id for r in rows if (r.patient_id, r.role, r.source_file) == (p, role, file)}
+    rules = {p: [x["rule"] for x in r.rules] for (p, _), r in got.items()}
+    assert rules["rise"] == [] and rules["walk"] == ["activity_considered"] and rules["blip"] == ["transient"] and rules["sparse"] == ["coverage"]
+    assert cited("rise", "CONTEXT", "intervals") == {"e-rise"} and not cited("rise", "QUALITY", "intervals")
+    assert cited("walk", "CONTEXT", "intervals") == {"w"}
+    assert cited("blip", "QUALITY", "monitor") == cited("blip", "PRIMARY", "monitor") != set() and not cited("blip", "CONTEXT", "intervals")
+    assert cited("sparse", "QUALITY", "intervals") == {"cut"} and cited("sparse", "CONTEXT", "intervals") == {"e-sparse"}
+    assert max(r.n for r in rows) <= CLINICAL.citations
+
+
 def test_nothing_that_was_not_known_counts(spark):
     rise = lambda code, at: max(0.0, min(1.0, (at - (T - timedelta(hours=4))) / timedelta(hours=4))) * 8
     rows = course("p", rise, lag=45)

@@ -44,10 +44,10 @@ def labs(visible: DataFrame, p: Profile) -> DataFrame:
     return rows.select(*KEY, "variable_code", "lab.*", F.coalesce(out, F.lit(False)).alias("abnormal"))
 
 
-def overlapping(intervals: DataFrame, instants: DataFrame, p: Profile, kind: str) -> DataFrame:
-    """Intervals of a kind that were known at t and reach into the evidence window; their end is not known beyond t."""
+def overlapping(intervals: DataFrame, instants: DataFrame, p: Profile, kind: str, hours: int | None = None) -> DataFrame:
+    """Intervals of a kind that were known at t and reach into the last ``hours`` (the evidence window); their end is not known beyond t."""
     own = intervals.where(F.col("kind") == kind).join(instants.select(*KEY), "patient_id")
-    return own.where("available_time <= t and start_time <= t").where(F.expr(f"least(end_time, t) >= t - make_dt_interval(0, {p.evidence_h})"))
+    return own.where("available_time <= t and start_time <= t").where(F.expr(f"least(end_time, t) >= t - make_dt_interval(0, {p.evidence_h if hours is None else hours})"))
 
 
 def activity_context(intervals: DataFrame, instants: DataFrame, p: Profile) -> DataFrame:

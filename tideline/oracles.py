@@ -186,6 +186,8 @@ _SELECTS: dict[str, str] = {
         UNION ALL SELECT signal_id, o.source_file, o.record_id, CASE WHEN abnormal THEN 'SUPPORTING' ELSE 'CONTEXT' END FROM sig JOIN lab USING (patient_id, t) JOIN obs o ON o.record_id = lab.record_id
         UNION ALL SELECT signal_id, 'intervals', i.record_id, 'CONTEXT' FROM sig JOIN iv i ON i.patient_id = sig.patient_id AND i.kind = 'CONTEXT' AND i.st <= sig.t AND least(i.en, sig.t) >= sig.es AND (i.subtype = 'RECOVERY_PHASE' OR i.value_text IN ('HIGH', 'MODERATE'))
         UNION ALL SELECT signal_id, v.source_file, v.record_id, 'QUALITY' FROM sig JOIN vis v USING (patient_id, t) JOIN mm USING (patient_id, t, variable_code) WHERE NOT v.ok AND v.et >= sig.es
+        UNION ALL SELECT signal_id, ci.source_file, ci.record_id, 'QUALITY' FROM sig JOIN ru USING (patient_id, t) JOIN ci USING (patient_id, t) WHERE rule = 'transient' AND ci.role = 'PRIMARY'
+        UNION ALL SELECT signal_id, 'intervals', i.record_id, 'QUALITY' FROM sig JOIN ru USING (patient_id, t) JOIN iv i ON i.patient_id = sig.patient_id AND i.kind = 'CONNECTIVITY' AND i.st <= sig.t AND least(i.en, sig.t) >= sig.es WHERE rule = 'coverage'
         UNION ALL SELECT signal_id, o.source_file, o.record_id, 'QUALITY' FROM sig JOIN obs o ON o.patient_id = sig.patient_id WHERE (o.dup OR NOT o.known) AND o.av <= sig.t AND o.et BETWEEN sig.es AND sig.t)) GROUP BY role""",
     "fk_orphans": "SELECT '' AS what, 0::BIGINT AS n WHERE FALSE",
     "submission_validation": """SELECT rule, count(*) AS n FROM (SELECT CAST(substr(patient_id, 2) AS INT) AS u FROM sig) JOIN (VALUES ('signal_id', 13), ('decision_time', 5), ('priority', 10), ('risk', 7)) AS x(rule, m) ON u % m = 0 GROUP BY rule""",

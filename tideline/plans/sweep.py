@@ -73,13 +73,20 @@ def signals(s: Sweep) -> DataFrame:
 
 def evidence(s: Sweep, clean: Clean) -> DataFrame:
     """Citations of the emitted assessments."""
-    emitted = events.eventize(s.assessments, s.profile).select("patient_id", "t", events.signal_id().alias("signal_id"))
     p, key = s.profile, ["patient_id", "t"]
+    emitted = stored(events.eventize(s.assessments, p).select(*key, events.signal_id().alias("signal_id"), F.transform("rules", lambda r: r["rule"]).alias("rules")), "emitted")
+    ruled = lambda *names: emitted.where(F.arrays_overlap("rules", F.array(*[F.lit(n) for n in names]))).select(*key)
+    of = lambda df, instants: df.join(instants.select(*key), key, "left_semi")
     border = F.expr(f"event_time >= t - make_dt_interval(0, {p.evidence_h})")
-    codes = [c.code for c in p.channels]
-    bad = s.visible.where(~F.col("is_plausible") & F.col("variable_code").isin(codes)).where(border)
-    bad = bad.join(s.channels.select(*key, "variable_code"), [*key, "variable_code"], "left_semi")
-    out = asof.at_instants(asof.excluded(clean.observations), emitted, p.evidence_h)
-    only = lambda df: df.join(emitted.select(*key), key, "left_semi")
-    cited = citations.citations(only(s.channels), only(s.labs), only(s.context), only(bad), out, p)
-    return cited.join(emitted, key)
+    bad = of(s.visible.where(~F.col("is_plausible")).where(border), ruled("quality", "quality_noted"))
+    grounds = citations.Grounds(
+        channels=of(s.channels, emitted),
+        labs=of(s.labs, emitted),
+        activity=of(s.context, ruled("activity", "activity_considered")),
+        implausible=bad.join(s.channels.select(*key, "variable_code", "place"), [*key, "variable_code"]),
+        transient=of(s.channels, ruled("transient")),
+        connectivity=assess.overlapping(clean.intervals, ruled("coverage"), p, "CONNECTIVITY"),
+        excluded=asof.at_instants(asof.excluded(clean.observations), emitted, p.evidence_h),
+        encounters=assess.overlapping(clean.intervals, emitted, p, "ENCOUNTER", p.evidence_h + p.baseline_h),
+    )
+    return citations.citations(grounds, p).join(emitted.drop("rules"), key)
