@@ -159,6 +159,9 @@ def test_index_percentile(spark):
     df = spark.createDataFrame([(v,) for v in values], "v double")
     for share in (0.0, 0.5, 0.9, 0.999):
         assert events.percentile_by_index(df, "v", share).first().v == sorted(values)[min(100, int(101 * share))]
+    tied = spark.createDataFrame([(v,) for v in [1.0] * 60 + [2.0] * 30 + [3.0] * 10 + [None]], "v double")
+    assert [events.percentile_by_index(tied, "v", share).first().v for share in (0.0, 0.59, 0.6, 0.89, 0.9, 1.0)] == [1.0, 1.0, 2.0, 2.0, 3.0, 3.0]
+    assert events.percentile_by_index(df.limit(0), "v", 0.5).first().v is None
 
 
 def test_profiles_from_settings():

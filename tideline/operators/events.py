@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tideline.config import Profile
 from tideline.operators.assess import band_by_risk
+from tideline.sources.stored import stored
 
 #: One step of the fold.  It never looks at more than the state and one assessment, so it needs no Python.
 _STEP = """(s, a) -> case
@@ -61,8 +62,16 @@ def history(assessments: DataFrame, grid: DataFrame) -> DataFrame:
 
 
 def percentile_by_index(df: DataFrame, column: str, share: float) -> DataFrame:
-    """The value at index int(n * share) of the sorted column: nearest rank, no interpolation."""
+    """The value at index int(n * share) of the sorted column: nearest rank, no interpolation; null of no values.
+
+    Distinct values are dealt out by range; the sizes of the ranges (a row a task) tell which one holds the index, and only that one is sorted.
+    """
     counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
-    w = Window.orderBy(column).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = counts.withColumn("upto", F.sum("n").over(w)).withColumn("all", F.sum("n").over(Window.partitionBy(F.lit(1))))
-    return placed.where(F.col("upto") > F.least(F.floor(F.col("all") * share), F.col("all") - 1)).agg(F.min(column).alias(column))
+    dealt = stored(counts.repartitionByRange(column).withColumn("part", F.spark_partition_id()), "values")
+    along = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sizes = dealt.groupBy("part").agg(F.sum("n").alias("size")).withColumn("upto", F.sum("size").over(along)).withColumn("all", F.sum("size").over(Window.partitionBy(F.lit(1))))
+    at = F.least(F.floor(F.col("all") * share), F.col("all") - 1)
+    held = sizes.where((F.col("upto") - F.col("size") <= at) & (at < F.col("upto"))).select("part", (at - F.col("upto") + F.col("size")).alias("skip"))
+    within = Window.partitionBy("part").orderBy(column).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = dealt.join(F.broadcast(held), "part").withColumn("seen", F.sum("n").over(within))  # one row is broadcast
+    return seen.where("seen > skip").agg(F.min(column).alias(column))
