@@ -76,6 +76,44 @@ def test_best_stretch_is_the_best_of_all():
         assert agree == same[first:end].sum()
 
 
+def brute_enough(same):
+    """Whether some stretch has enough words that agree and at least two of three that do."""
+    ends = range(len(same) + 1)
+    return any(sum(same[a:b]) >= min(12, 0.8 * len(same)) and 3 * sum(same[a:b]) >= 2 * (b - a) for a in ends for b in ends[a + 1 :])
+
+
+def test_contaminated_finds_every_substitution_that_leaves_enough(spark):
+    rng = random.Random(8)
+    items, docs, sure, never = [], [], set(), set()
+    for n in range(8, 61):
+        passage = [f"p{n}x{i}" for i in range(n)]
+        items.append((n, " ".join(passage)))
+        bad = [set(rng.sample(range(n), k)) for k in range(n // 5 + 1) for _ in range(6)] + [set(range(at, n, 3)) for at in range(3)] + [set(rng.sample(range(n), n // 4))]
+        for at in bad:
+            d, same = len(docs), [i not in at for i in range(n)]
+            docs.append((d, " ".join(["before"] * rng.randrange(9) + [w if ok else "changed" for w, ok in zip(passage, same)] + ["after"] * rng.randrange(9))))
+            if not brute_enough(same):
+                never.add((d, n))
+            elif sum(same) >= 0.8 * n or at in bad[-4:-1]:
+                sure.add((d, n))
+    docs.append((len(docs), " ".join("changed" if i % 3 == 2 else f"long{i}" for i in range(200))))
+    items.append((200, " ".join(f"long{i}" for i in range(200))))
+    sure.add((len(docs) - 1, 200))
+    got = contamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    found = {(r.doc_id, r.item_id) for r in got}
+    assert not sure - found and not never & found
+    assert {r.n_same for r in got if r.item_id == 200} == {134}
+
+
+def test_widest_stretch_is_the_widest_of_all():
+    rng = random.Random(9)
+    for _ in range(300):
+        same = np.array([rng.random() < 0.6 for _ in range(rng.randrange(0, 25))], bool)
+        first, end, agree = contamination.widest_stretch(same)
+        assert agree == max((int(same[a:b].sum()) for a in range(len(same)) for b in range(a, len(same) + 1) if 3 * same[a:b].sum() >= 2 * (b - a)), default=0)
+        assert agree == same[first:end].sum() and 3 * agree >= 2 * (end - first)
+
+
 def test_contaminated_on_odd_inputs(spark):
     items = spark.createDataFrame([(1, "a b c d e f g h"), (None, "one two three four five six seven"), (2, None), (3, ""), (4, "one two three four five six seven"), (4, "one two three four five six seven")], "item_id long, text string")
     docs = odd_docs(spark)

@@ -2,8 +2,9 @@
 
 A seed is a mask over consecutive words that ignores some places, so a window still meets its source when a word there
 was replaced.  Hashes of all windows of the benchmark are joined with those of all windows of the documents; around
-each hit the passage is laid on the document word by word, and the best stretch (a word that agrees counts 1, one
-that does not costs ``MISMATCH``) is what they share.
+each hit the passage is laid on the document word by word (a word that agrees counts 1, one that does not costs
+``MISMATCH``).  The passage is held if the widest stretch that does not count below zero has enough words that agree;
+what they share is the best stretch where that alone has enough, else the widest.
 """
 
 from __future__ import annotations
@@ -18,22 +19,21 @@ from pyspark.sql import functions as F
 from tideline.llm import text_kernel as kernel
 from tideline.llm.scratch import materialize, texts_in_batches
 
-#: 1 reads a word, 0 ignores it.  Replacing every third, fourth or fifth word leaves a window of some mask whole.
-MASKS = ("111111", "1111011", "1110111", "11011011")
+#: 1 reads a word, 0 ignores it.  Replacing every third, fourth or fifth word leaves a window of some mask whole, and so
+#: does any choice of a fifth of the words of a passage of eight or more; the last two masks are for those.
+MASKS = ("111111", "1111011", "1110111", "11011011", "110101011", "11100111")
 MISMATCH = 2
 #: Words that a shared stretch must hold, and the share of the passage that does in its stead for shorter ones.
 LEAST_WORDS, LEAST_SHARE = 12, 0.8
-#: Passages of fewer words say nothing of their own and are left out.
-SHORTEST = 5
+#: Passages of fewer words say nothing of their own and are left out; those of fewer than MASKED are sought whole.
+SHORTEST, MASKED = 5, 8
 #: A filter of 2^26 bits (8 MB), two places a hash, whatever the size of the benchmark.
 FILTER_BITS = 26
 #: Places of passages that one row holds for verification; a document with more has several rows.
 LAID = 512
 _WORDS = kernel.alphabet(kernel.ASCII_PUNCTUATION, fold_case=True)
-_SPAN = max(map(len, MASKS))
 _OFFSETS = [[i for i, c in enumerate(m) if c == "1"] for m in MASKS]
-#: Passages shorter than the longest mask are sought whole.
-_WHOLE = list(range(SHORTEST, _SPAN))
+_WHOLE = list(range(SHORTEST, MASKED))
 
 
 def _seeds(w: kernel.Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -53,7 +53,7 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids = np.asarray(batch.column("item_id"))
             for k, (at, h) in enumerate(_seeds(w)):
                 n = size[of[at]]
-                own = (n == _WHOLE[k - len(MASKS)]) if k >= len(MASKS) else (n >= _SPAN)
+                own = (n == _WHOLE[k - len(MASKS)]) if k >= len(MASKS) else (n >= MASKED)
                 at, h = at[own], h[own]
                 yield pa.record_batch({"item_id": pa.array(ids[lo + of[at]], pa.int64()), "item_at": pa.array(at - w.bounds[of[at]], pa.int64()), "seed": h.view(np.int64)})
 
@@ -105,6 +105,22 @@ def best_stretch(same: np.ndarray) -> tuple[int, int, int]:
     return first, end, int(same[first:end].sum())
 
 
+def widest_stretch(same: np.ndarray) -> tuple[int, int, int]:
+    """(first, end, words that agree) of the stretch with most words that agree of those that do not count below zero, its ends agreeing."""
+    agree = np.concatenate([[0], np.cumsum(same)])
+    total = (1 + MISMATCH) * agree - MISMATCH * np.arange(len(agree))
+    first = np.searchsorted(-np.minimum.accumulate(total), -total)
+    end = int(np.argmax(agree - agree[first]))
+    inside = first[end] + np.flatnonzero(same[first[end] : end])
+    return (int(inside[0]), int(inside[-1]) + 1, len(inside)) if len(inside) else (0, 0, 0)
+
+
+def shared(same: np.ndarray, item_words: int) -> tuple[int, int, int] | None:
+    """(first, end, words that agree) of what a document shares with a passage laid on it; None where that is not enough."""
+    enough = lambda found: found[2] and found[2] >= min(LEAST_WORDS, LEAST_SHARE * item_words)
+    return next(filter(enough, (f(same) for f in (best_stretch, widest_stretch))), None)
+
+
 def _lay(texts: pa.Array) -> list[np.ndarray]:
     out = []
     for lo, hi, data, offsets in kernel.chunks(texts):
@@ -123,8 +139,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = []
             for item_id, shift, item in zip(ids, shifts, _lay(laid.field("item")), strict=True):
                 lo, hi = max(0, -shift), min(len(item), len(doc) - shift)
-                first, end, agree = best_stretch(item[lo:hi] == doc[lo + shift : hi + shift])
-                if agree and agree >= min(LEAST_WORDS, LEAST_SHARE * len(item)):
+                if hit := shared(item[lo:hi] == doc[lo + shift : hi + shift], len(item)):
+                    first, end, agree = hit
                     found.append((item_id, lo + first + shift, end - first, agree, len(item)))
             cols = np.array(found, np.int64).reshape(-1, 5)
             doc_id = pa.array(np.full(len(found), batch.column("doc_id")[row].as_py(), np.int64))
@@ -135,7 +151,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, doc_word, n_words, n_same, item_words): passages of ``benchmark(item_id, text)`` in ``docs(doc_id, text)``.
 
     A row a document and passage, its longest shared stretch: from word ``doc_word`` over ``n_words`` words, of which ``n_same``
-    agree.  Words are runs of letters and digits (and all beyond ASCII), A-Z lower-cased.
+    agree: LEAST_WORDS, or LEAST_SHARE of a shorter passage, and at least MISMATCH of MISMATCH + 1 words there.  A passage of MASKED or
+    more words with LEAST_SHARE of them in place is always found; with fewer in place, where a window of some mask is whole.  Words are runs of letters and digits (and all beyond ASCII), A-Z lower-cased.
 
     Null and empty texts hold nothing; passages under SHORTEST words are left out; rows with a null doc_id or item_id are not
     looked at.  Repeated rows of a doc_id or item_id are looked at together.  Empty tables give no rows; other columns are not read.
