@@ -25,8 +25,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least doc_id of each group of near duplicates (shingles of five words, similarity 0.8)."""
-    return minhash.drop_near_duplicates(docs).select(COLUMNS)
+    """The row of least doc_id of each group of near duplicates (shingles of five words, similarity 0.8)."""
+    return minhash.drop_near_duplicates(docs, one_row=True).select(COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

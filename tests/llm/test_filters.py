@@ -172,6 +172,16 @@ def test_near_duplicates_on_odd_inputs(spark):
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_go_by_row(spark):
+    rng = random.Random(10)
+    a, b, c, d = (rand_text(rng, 40, 5000) for _ in range(4))
+    rows = [(3, b), (7, a), (7, b), (8, c), (8, c), (None, d), (None, d), (None, a), (9, None), (9, None), (None, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = lambda **how: sorted(minhash.drop_near_duplicates(docs, **how).collect(), key=repr)
+    assert [tuple(r) for r in left(one_row=True)] == sorted([(3, b), (7, a), (8, c), (None, d), (9, None), (9, None), (None, " ")], key=lambda r: f"Row(doc_id={r[0]!r}, text={r[1]!r})")
+    assert [tuple(r) for r in left()] == sorted([r for r in rows if r != (7, b)], key=lambda r: f"Row(doc_id={r[0]!r}, text={r[1]!r})")
+
+
 def test_second_permutation_is_shifted_in_a_circle():
     table = minhash._second_permutation(7)
     assert sorted(table[:, 0].tolist()) == list(range(minhash.UNIVERSE))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tideline.llm import text_kernel as kernel
 from tideline.llm.components import connected_components
-from tideline.llm.scratch import drop, materialize, texts_in_batches
+from tideline.llm.scratch import drop, materialize, numbered, texts_in_batches
 
 #: A pair at similarity 0.8 shares no band with a chance of (1 - 0.8^5)^30 = 7e-6.
 BANDS, ROWS = 30, 5
@@ -223,7 +223,18 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     return found.select("doc_id", "n_shingles", component_id.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def drop_near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with the rows of one doc_id, the least, of each group; of repeated rows of a doc_id all stay, as do rows with a null doc_id."""
-    gone = near_duplicates(docs, shingle_words, percent).where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+def drop_near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, one_row: bool = False) -> DataFrame:
+    """``docs`` with the rows of one doc_id, the least, of each group; of repeated rows of a doc_id all stay, as do rows with a null doc_id.
+
+    Groups are of rows, so a row of a doc_id can go while another with a text of its own stays.  With ``one_row`` exactly
+    one row of each group stays: that of the least doc_id, null last, and among its rows the first.
+    """
+    own = numbered(docs)
+    ids = own.select("row_id", F.col("row.doc_id").cast("long").alias("doc_id"))
+    found = near_duplicates(own.select(F.col("row_id").alias("doc_id"), F.col("row.text").alias("text")), shingle_words, percent)
+    placed = materialize(found.select(F.col("doc_id").alias("row_id"), "component_id").join(ids, "row_id"), "placed")
+    least = placed.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_id")).alias("least"))
+    gone = placed.join(least.select("least.row_id"), "row_id", "left_anti")
+    if not one_row:
+        gone = gone.join(least, "component_id").where(F.col("doc_id") != F.col("least.doc_id"))
+    return own.join(gone.select("row_id"), "row_id", "left_anti").select("row.*")

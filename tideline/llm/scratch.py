@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _made: list[str] = []
 _own: list[str] = []
@@ -50,6 +51,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """(row_id, row): the rows of ``docs``, each with a number of its own; written, so that both stay what they are."""
+    return materialize(docs.select(F.monotonically_increasing_id().alias("row_id"), F.struct("*").alias("row")), "rows")
+
+
 def delete(spark: SparkSession, path: str) -> None:
     there = spark._jvm.org.apache.hadoop.fs.Path(path)
     there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
