@@ -30,8 +30,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of ``benchmark``."""
-    return contamination.decontaminate(docs, _table(spark, sf_dir, "benchmark")).select(COLUMNS)
+    """Rows that hold no passage of ``benchmark``, those with a null doc_id too."""
+    return contamination.decontaminate(docs, _table(spark, sf_dir, "benchmark"), null_ids=True).select(COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

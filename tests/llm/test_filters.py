@@ -124,6 +124,17 @@ def test_contaminated_on_odd_inputs(spark):
     assert contamination.contaminated(docs, items.limit(0)).count() == 0
 
 
+def test_decontaminate_goes_by_row(spark):
+    rng = random.Random(11)
+    item, clean = rand_text(rng, 20, 5000), [rand_text(rng, 60, 5000) for _ in range(3)]
+    docs = spark.createDataFrame([(1, f"{clean[0]} {item}"), (1, clean[1]), (None, item), (None, clean[2]), (None, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    texts = lambda **how: {(r.doc_id, r.text) for r in contamination.decontaminate(docs, items, **how).collect()}
+    assert texts(null_ids=True) == {(1, clean[1]), (None, clean[2]), (None, None)}
+    assert texts() == {(1, clean[1]), (None, item), (None, clean[2]), (None, None)}
+    assert [(r.doc_id, r.doc_word, r.n_same) for r in contamination.contaminated(docs, items).collect()] == [(1, 60, 20)]
+
+
 # ------------------------------------------------------------------ near duplicates
 
 

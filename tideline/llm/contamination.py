@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.llm import text_kernel as kernel
-from tideline.llm.scratch import materialize, texts_in_batches
+from tideline.llm.scratch import materialize, numbered, texts_in_batches
 
 #: 1 reads a word, 0 ignores it.  Replacing every third, fourth or fifth word leaves a window of some mask whole, and so
 #: does any choice of a fifth of the words of a passage of eight or more; the last two masks are for those.
@@ -81,7 +81,7 @@ def _hits(table):
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = table.value
         for batch in batches:
-            ids = batch.column("doc_id")
+            ids = batch.column("row_id")
             for lo, _, data, offsets in kernel.chunks(batch.column("text")):
                 w = kernel.words(data, offsets, _WORDS)
                 of = w.documents()
@@ -91,7 +91,7 @@ def _hits(table):
                     some = some[_has(bits, second[some])]
                     if len(some):
                         doc = of[at[some]]
-                        yield pa.record_batch({"doc_id": ids.take(pa.array(lo + doc)), "doc_at": pa.array(at[some] - w.bounds[doc], pa.int64()), "seed": h[some].view(np.int64)})
+                        yield pa.record_batch({"row_id": ids.take(pa.array(lo + doc)), "doc_at": pa.array(at[some] - w.bounds[doc], pa.int64()), "seed": h[some].view(np.int64)})
 
     return hits
 
@@ -143,8 +143,22 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     first, end, agree = hit
                     found.append((item_id, lo + first + shift, end - first, agree, len(item)))
             cols = np.array(found, np.int64).reshape(-1, 5)
-            doc_id = pa.array(np.full(len(found), batch.column("doc_id")[row].as_py(), np.int64))
-            yield pa.record_batch({"doc_id": doc_id, **{k: pa.array(cols[:, j]) for j, k in enumerate(("item_id", "doc_word", "n_words", "n_same", "item_words"))}})
+            own = {k: batch.column(k).take(pa.array(np.full(len(found), row))) for k in ("row_id", "doc_id")}
+            yield pa.record_batch({**own, **{k: pa.array(cols[:, j]) for j, k in enumerate(("item_id", "doc_word", "n_words", "n_same", "item_words"))}})
+
+
+def _search(texts: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(row_id, doc_id, item_id, ...) of all passages held by ``texts(row_id, doc_id, text)``, a row a shift."""
+    texts = texts_in_batches(texts)
+    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    seeds = materialize(items.mapInArrow(_passages, "item_id long, item_at long, seed long"), "seeds")
+    table = texts.sparkSession.sparkContext.broadcast(_bits(seeds))
+    hits = texts.select("row_id", "text").mapInArrow(_hits(table), "row_id long, doc_at long, seed long")
+    laid = materialize(hits.join(seeds, "seed").select("row_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("shift")).distinct(), "hits")
+    piece = F.floor((F.row_number().over(Window.partitionBy("row_id").orderBy("item_id", "shift")) - 1) / LAID).alias("piece")
+    places = laid.select("row_id", "item_id", "shift", piece).join(items.withColumnRenamed("text", "item"), "item_id")
+    of_row = places.groupBy("row_id", "piece").agg(F.collect_list(F.struct("item_id", "shift", "item")).alias("laid"))
+    return texts.join(of_row, "row_id").select("row_id", "doc_id", "text", "laid").mapInArrow(_verify, "row_id long, doc_id long, item_id long, doc_word long, n_words long, n_same long, item_words long")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -152,26 +166,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     A row a document and passage, its longest shared stretch: from word ``doc_word`` over ``n_words`` words, of which ``n_same``
     agree: LEAST_WORDS, or LEAST_SHARE of a shorter passage, and at least MISMATCH of MISMATCH + 1 words there.  A passage of MASKED or
-    more words with LEAST_SHARE of them in place is always found; with fewer in place, where a window of some mask is whole.  Words are runs of letters and digits (and all beyond ASCII), A-Z lower-cased.
+    more words with LEAST_SHARE of them in place is always found; with fewer in place, where a window of some mask is whole.
+    Words are runs of letters and digits (and all beyond ASCII), A-Z lower-cased.
 
     Null and empty texts hold nothing; passages under SHORTEST words are left out; rows with a null doc_id or item_id are not
-    looked at.  Repeated rows of a doc_id or item_id are looked at together.  Empty tables give no rows; other columns are not read.
+    looked at.  Repeated rows of a doc_id are searched one by one and their best is given; those of an item_id are looked at
+    together.  Empty tables give no rows; other columns are not read.
     """
-    texts = texts_in_batches(docs).where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    seeds = materialize(items.mapInArrow(_passages, "item_id long, item_at long, seed long"), "seeds")
-    table = docs.sparkSession.sparkContext.broadcast(_bits(seeds))
-    hits = texts.mapInArrow(_hits(table), "doc_id long, doc_at long, seed long")
-    laid = materialize(hits.join(seeds, "seed").select("doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("shift")).distinct(), "hits")
-    piece = F.floor((F.row_number().over(Window.partitionBy("doc_id").orderBy("item_id", "shift")) - 1) / LAID).alias("piece")
-    places = laid.select("doc_id", "item_id", "shift", piece).join(items.withColumnRenamed("text", "item"), "item_id")
-    of_doc = places.groupBy("doc_id", "piece").agg(F.collect_list(F.struct("item_id", "shift", "item")).alias("laid"))
-    checked = texts.join(of_doc, "doc_id").select("doc_id", "text", "laid").mapInArrow(_verify, "doc_id long, item_id long, doc_word long, n_words long, n_same long, item_words long")
+    texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    checked = _search(materialize(texts.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text"), "texts"), benchmark)
     best = F.max_by(F.struct("doc_word", "n_words", "n_same", "item_words"), F.struct("n_same", -F.col("n_words"), -F.col("doc_word"))).alias("best")
     return checked.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold a passage of the benchmark; rows with a null doc_id stay."""
-    held = contaminated(docs, benchmark).select(F.col("doc_id").alias("_held")).distinct()
-    return docs.join(held, docs["doc_id"].cast("long") == held["_held"], "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, null_ids: bool = False) -> DataFrame:
+    """``docs`` without the rows that hold a passage of the benchmark; rows with a null doc_id are looked at with ``null_ids``, else they stay."""
+    rows = numbered(docs)
+    texts = rows.select("row_id", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").cast("string").alias("text")).where("text is not null")
+    held = _search(texts if null_ids else texts.where("doc_id is not null"), benchmark).select("row_id").distinct()
+    return rows.join(held, "row_id", "left_anti").select("row.*")
