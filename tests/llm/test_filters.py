@@ -105,6 +105,18 @@ def test_contaminated_finds_every_substitution_that_leaves_enough(spark):
     assert {r.n_same for r in got if r.item_id == 200} == {134}
 
 
+def test_contaminated_finds_short_passages_with_one_word_replaced(spark):
+    items = [(n, " ".join(f"p{n}x{i}" for i in range(n))) for n in (4, 5, 6, 7)]
+    docs, want = [], set()
+    for n, text in items:
+        for bad in [(), *combinations(range(n), 1), *combinations(range(n), 2)]:
+            if n > 4 and len(bad) < 2:
+                want.add((len(docs), n))
+            docs.append((len(docs), "before " + " ".join("changed" if i in bad else w for i, w in enumerate(text.split())) + " after"))
+    got = contamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want
+
+
 def test_widest_stretch_is_the_widest_of_all():
     rng = random.Random(9)
     for _ in range(300):

@@ -25,21 +25,22 @@ MASKS = ("111111", "1111011", "1110111", "11011011", "110101011", "11100111")
 MISMATCH = 2
 #: Words that a shared stretch must hold, and the share of the passage that does in its stead for shorter ones.
 LEAST_WORDS, LEAST_SHARE = 12, 0.8
-#: Passages of fewer words say nothing of their own and are left out; those of fewer than MASKED are sought whole.
+#: Passages of fewer words say nothing of their own and are left out; those of fewer than MASKED have masks of their own.
 SHORTEST, MASKED = 5, 8
+#: Replacing any one word of a passage of five to seven leaves a window of one of these whole.
+SHORT_MASKS = ("1111", "10111", "11011", "11101")
 #: A filter of 2^26 bits (8 MB), two places a hash, whatever the size of the benchmark.
 FILTER_BITS = 26
 #: Places of passages that one row holds for verification; a document with more has several rows.
 LAID = 512
 _WORDS = kernel.alphabet(kernel.ASCII_PUNCTUATION, fold_case=True)
-_OFFSETS = [[i for i, c in enumerate(m) if c == "1"] for m in MASKS]
-_WHOLE = list(range(SHORTEST, MASKED))
+_OFFSETS = [[i for i, c in enumerate(m) if c == "1"] for m in MASKS + SHORT_MASKS]
 
 
 def _seeds(w: kernel.Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(word number, hash) of the windows of a chunk, mask by mask."""
     of = w.documents()
-    for k, at in enumerate(_OFFSETS + [list(range(n)) for n in _WHOLE]):
+    for k, at in enumerate(_OFFSETS):
         h = kernel.mix(kernel.windows(w.hash, at), 20 + k)
         inside = of[: len(h)] == of[at[-1] : at[-1] + len(h)]
         yield np.flatnonzero(inside), h[inside]
@@ -53,7 +54,7 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids = np.asarray(batch.column("item_id"))
             for k, (at, h) in enumerate(_seeds(w)):
                 n = size[of[at]]
-                own = (n == _WHOLE[k - len(MASKS)]) if k >= len(MASKS) else (n >= MASKED)
+                own = (n >= SHORTEST) & (n < MASKED) if k >= len(MASKS) else n >= MASKED
                 at, h = at[own], h[own]
                 yield pa.record_batch({"item_id": pa.array(ids[lo + of[at]], pa.int64()), "item_at": pa.array(at - w.bounds[of[at]], pa.int64()), "seed": h.view(np.int64)})
 
