@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.llm import text_kernel as kernel
-from tideline.llm.scratch import materialize, numbered, texts_in_batches
+from tideline.llm.scratch import drop_others, materialize, numbered, texts_in_batches
 
 #: 1 reads a word, 0 ignores it.  Replacing every third, fourth or fifth word leaves a window of some mask whole, and so
 #: does any choice of a fifth of the words of a passage of eight or more; the last two masks are for those.
@@ -184,5 +184,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, null_ids: bool = False)
     """``docs`` without the rows that hold a passage of the benchmark; rows with a null doc_id are looked at with ``null_ids``, else they stay."""
     rows = numbered(docs)
     texts = rows.select("row_id", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").cast("string").alias("text")).where("text is not null")
-    held = _search(texts if null_ids else texts.where("doc_id is not null"), benchmark).select("row_id").distinct()
+    held = materialize(_search(texts if null_ids else texts.where("doc_id is not null"), benchmark).select("row_id").distinct(), "held")
+    drop_others(rows, held)
     return rows.join(held, "row_id", "left_anti").select("row.*")

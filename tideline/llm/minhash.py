@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tideline.llm import text_kernel as kernel
 from tideline.llm.components import connected_components
-from tideline.llm.scratch import drop, materialize, numbered, texts_in_batches
+from tideline.llm.scratch import drop, drop_others, materialize, numbered, texts_in_batches
 
 #: A pair at similarity 0.8 shares no band with a chance of (1 - 0.8^5)^30 = 7e-6.
 BANDS, ROWS = 30, 5
@@ -237,4 +237,6 @@ def drop_near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int =
     gone = placed.join(least.select("least.row_id"), "row_id", "left_anti")
     if not one_row:
         gone = gone.join(least, "component_id").where(F.col("doc_id") != F.col("least.doc_id"))
-    return own.join(gone.select("row_id"), "row_id", "left_anti").select("row.*")
+    gone = materialize(gone.select("row_id"), "gone")
+    drop_others(own, gone)
+    return own.join(gone, "row_id", "left_anti").select("row.*")

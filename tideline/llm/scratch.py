@@ -67,6 +67,14 @@ def drop(df: DataFrame) -> None:
     _made.remove(df.written_to)
 
 
+def drop_others(*kept: DataFrame) -> None:
+    """Delete what was made since the first of the ``kept`` tables, which stay."""
+    stay = [df.written_to for df in kept]
+    for path in [p for p in _made[_made.index(stay[0]) :] if p not in stay]:
+        delete(kept[0].sparkSession, path)
+        _made.remove(path)
+
+
 def clean(spark: SparkSession) -> None:
     """Delete every scratch table of this session; results that still read them become unusable."""
     while _made:
