@@ -19,8 +19,8 @@ CHUNK_BYTES = 1 << 19
 pa.set_memory_pool(pa.system_memory_pool())
 
 _BASE = 0x9E3779B97F4A7C15
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+#: Bytes of spans that are hashed at a time, which bounds memory even for one very long span.
+_BLOCK = 1 << 18
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -68,13 +68,6 @@ class Words:
         return np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
 
 
-def _power(which: str, base: int, n: int) -> np.ndarray:
-    if len(_powers[which]) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        _powers[which] = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size, base, np.uint64))])
-    return _powers[which][:n]
-
-
 def chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of whole texts; a null is an empty text."""
     if isinstance(texts, pa.ChunkedArray):
@@ -109,12 +102,27 @@ def words(data: np.ndarray, offsets: np.ndarray, of: Alphabet) -> Words:
     return Words(start, end, span_hashes(data, start, end, of), np.searchsorted(start, offsets))
 
 
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, of: Alphabet) -> np.ndarray:
-    """A hash of the bytes ``start`` to ``end`` of each span, equal wherever the span stands."""
-    n = len(data)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(of.value[data] * _power("up", _BASE, n), out=sums[1:])
-    return mix((sums[end] - sums[start]) * _power("down", _BASE_INVERSE, n + 1)[start], 1)
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, of: Alphabet, seed: int = 0) -> np.ndarray:
+    """A hash of the bytes ``start`` to ``end`` of each span, equal wherever the span stands; each ``seed`` gives another.
+
+    It adds up a mix of every byte with its place in the span, so that no arithmetic of sequences (as of Thue-Morse
+    words in polynomials modulo 2^64) makes two spans alike; the length goes in too.
+    """
+    length = end - start
+    upto = np.cumsum(length)
+    before = upto - length
+    sums = np.zeros(len(start), np.uint64)
+    step, salt = np.uint64(_BASE), np.uint64((seed * 0xD6E8FEB86659FD93) & (2**64 - 1))
+    for lo in range(0, int(upto[-1]) if len(upto) else 0, _BLOCK):
+        hi = min(lo + _BLOCK, int(upto[-1]))
+        first, last = int(np.searchsorted(upto, lo, "right")), int(np.searchsorted(before, hi, "left"))
+        spans = first + np.flatnonzero(length[first:last])
+        from_, to = np.maximum(before[spans], lo), np.minimum(upto[spans], hi)
+        place = np.arange(lo, hi) - np.repeat(before[spans], to - from_)
+        values = of.value[data[place + np.repeat(start[spans], to - from_)]]
+        values += place.view(np.uint64) * step + salt
+        sums[spans] += np.add.reduceat(mix(values), from_ - lo)
+    return mix(sums + length.astype(np.uint64) * step, 1 + seed)
 
 
 def windows(hashes: np.ndarray, offsets_in_window: list[int]) -> np.ndarray:
