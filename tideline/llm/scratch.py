@@ -2,21 +2,30 @@
 
 from __future__ import annotations
 
-import re
+import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_made: list[str] = []
+_made: list[tuple[SparkSession, str]] = []
 _own: list[str] = []
 
+#: Bytes of an Arrow batch.  Whole texts differ by orders of magnitude in size, so batches go by bytes rather than rows.
+BATCH_BYTES = 8 << 20
+#: Row numbers that may be broadcast (some 64 MB); more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary folder only where that is unset (tests)."""
+    """The folder of spark.checkpoint.dir; where that is unset, a temporary folder for a local session (tests) and an error on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="tideline-"))
         root = _own[0]
@@ -24,28 +33,35 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own for a scratch table, deleted by ``drop``, ``clean`` or when the driver ends."""
+    if not _made:
+        atexit.unregister(_at_exit)
+        atexit.register(_at_exit)
     path = f"{shared_folder(spark)}/tideline/{name}-{uuid.uuid4().hex}"
-    _made.append(path)
+    _made.append((spark, path))
     return path
 
 
-#: Bytes of an Arrow batch.  Whole texts differ by orders of magnitude in size, so batches go by bytes rather than rows.
-BATCH_BYTES = 8 << 20
-
-
-def texts_in_batches(df: DataFrame) -> DataFrame:
-    """``df``, about to go to Arrow functions: its session's batches are bounded by bytes, unless a lower bound is set."""
-    key, spark = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession
-    given = re.fullmatch(r"(\d+)b?", spark.conf.get(key))
-    if given and int(given[1]) > BATCH_BYTES:
-        spark.conf.set(key, str(BATCH_BYTES))
-    return df
+@contextmanager
+def batches_by_bytes(spark: SparkSession) -> Iterator[None]:
+    """Within, Arrow batches are bounded by BATCH_BYTES, unless a lower bound is set; the session is left as it was."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    given = spark.conf.get(key)
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(given) <= BATCH_BYTES:
+        yield
+        return
+    spark.conf.set(key, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, given)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: a cut in the lineage."""
     path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    with batches_by_bytes(df.sparkSession):
+        df.write.parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table.written_to = path
     return table
@@ -56,26 +72,50 @@ def numbered(docs: DataFrame) -> DataFrame:
     return materialize(docs.select(F.monotonically_increasing_id().alias("row_id"), F.struct("*").alias("row")), "rows")
 
 
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """``rows(row_id, ...)`` but those whose number is in the written table ``gone(row_id)``.
+
+    Up to BROADCAST_ROWS numbers are broadcast, so that no row moves; more are joined by a shuffle.
+    """
+    few = gone.count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(gone) if few else gone, "row_id", "left_anti")
+
+
 def delete(spark: SparkSession, path: str) -> None:
     there = spark._jvm.org.apache.hadoop.fs.Path(path)
     there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
 
 
-def drop(df: DataFrame) -> None:
-    """Delete the files of a table that ``materialize`` returned and nothing needs any more."""
-    delete(df.sparkSession, df.written_to)
-    _made.remove(df.written_to)
+def drop(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``materialize`` returned and nothing needs any more."""
+    for df in tables:
+        delete(df.sparkSession, df.written_to)
+        _made[:] = [m for m in _made if m[1] != df.written_to]
 
 
 def drop_others(*kept: DataFrame) -> None:
     """Delete what was made since the first of the ``kept`` tables, which stay."""
-    stay = [df.written_to for df in kept]
-    for path in [p for p in _made[_made.index(stay[0]) :] if p not in stay]:
+    stay, paths = [df.written_to for df in kept], [p for _, p in _made]
+    gone = [p for p in paths[paths.index(stay[0]) :] if p not in stay]
+    for path in gone:
         delete(kept[0].sparkSession, path)
-        _made.remove(path)
+    _made[:] = [m for m in _made if m[1] not in gone]
+
+
+def clean(spark: SparkSession | None = None) -> None:
+    """Delete every scratch table of this driver (of ``spark`` alone, if given); results that still read them become unusable."""
+    for of, path in [m for m in _made if spark is None or m[0] is spark]:
+        delete(of, path)
+        _made.remove((of, path))
 
 
-def clean(spark: SparkSession) -> None:
-    """Delete every scratch table of this session; results that still read them become unusable."""
-    while _made:
-        delete(spark, _made.pop())
+def _at_exit() -> None:
+    """What is left when the driver ends; a session whose JVM is gone already leaves its files to the folder's owner."""
+    try:
+        clean()
+    except Exception:  # noqa: BLE001  nobody can be told any more
+        pass
+
+
+def texts_in_batches(df: DataFrame) -> DataFrame:
+    return df
