@@ -18,10 +18,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm import text_kernel as kernel
-from tideline.llm.scratch import texts_in_batches
+from tideline.llm.scratch import materialize
 
-#: Distinct pieces that a worker keeps; beyond, it starts anew.
-KEEP = 1_000_000
+#: Distinct pieces that a worker keeps, and their code points together; beyond, it starts anew.
+KEEP, KEEP_POINTS = 1_000_000, 1 << 23
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 #: What the pre-tokenizer splits off after an apostrophe.
 _ONE, _TWO = "stmd", ("re", "ve", "ll")
@@ -67,7 +67,7 @@ class PrefixCounter:
         self._forget()
 
     def _forget(self) -> None:
-        self.at: dict[int, int] = {}
+        self.at: dict[bytes, int] = {}
         self.table, self.used = np.zeros(1 << 16, np.int32), 0
 
     def _merge(self, text: bytes) -> list[bytes]:
@@ -116,16 +116,17 @@ class PrefixCounter:
         return count
 
     def _rows(self, points: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Where the prefix counts of each piece (by code points) stand in ``table``."""
-        h = kernel.span_hashes(points, start, end, self.alphabet)
-        distinct, first, back = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.at) > KEEP:
+        """Where the prefix counts of each piece (by code points) stand in ``table``; pieces are told apart by what they are, not by a hash."""
+        raw = points.astype("<u4").tobytes()
+        first, back = _alike(points, start, end, kernel.span_hashes(points, start, end, self.alphabet))
+        if len(self.at) > KEEP or self.used > KEEP_POINTS:
             self._forget()
-        rows = np.empty(len(distinct), np.int64)
-        for k, key in enumerate(distinct.tolist()):
+        rows = np.empty(len(first), np.int64)
+        for k, (a, b) in enumerate(zip((4 * start[first]).tolist(), (4 * end[first]).tolist(), strict=True)):
+            key = raw[a:b]
             row = self.at.get(key)
             if row is None:
-                text = points[start[first[k]] : end[first[k]]].astype("<u4").tobytes().decode("utf-32-le").encode()
+                text = key.decode("utf-32-le").encode()
                 counts = self.piece(text)
                 ends = range(1, len(counts)) if text.isascii() else [i for i in range(1, len(text) + 1) if i == len(text) or text[i] & 0xC0 != 0x80]
                 if self.used + len(ends) > len(self.table):
@@ -218,6 +219,20 @@ class PrefixCounter:
         return np.concatenate(out)
 
 
+def _alike(points: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(one span of each kind, the kind of each span).  Spans of equal hashes are compared; where two differ, all are told apart by themselves."""
+    _, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+    of, length = first[back], end - start
+    if (length == length[of]).all():
+        upto = np.cumsum(length)
+        place = np.arange(upto[-1]) - np.repeat(upto - length, length)
+        if (points[place + np.repeat(start, length)] == points[place + np.repeat(start[of], length)]).all():
+            return first, back
+    kinds: dict[bytes, int] = {}
+    back = np.array([kinds.setdefault(points[a:b].tobytes(), len(kinds)) for a, b in zip(start, end, strict=True)])
+    return np.unique(back, return_index=True)[1], back
+
+
 def _split(text: str, special: str) -> list[str]:
     """``text`` cut at each special string, which stays, short of its last character, with what comes before it."""
     parts = text.split(special)
@@ -241,7 +256,9 @@ def _strings(texts: pa.Array) -> Iterator[list[str]]:
         yield [raw[a:b].decode("utf-8", "replace") for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
 
 
-def _count(path: str, keep_prefixes: bool):
+def _counted(path: str, column: str, of_prefixes):
+    """Batches with doc_id, n_bytes, n_tokens and ``of_prefixes`` (each text's counts laid end to end, where each begins) as ``column``, if any."""
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = counter(path)
         for batch in batches:
@@ -252,23 +269,82 @@ def _count(path: str, keep_prefixes: bool):
                 done += len(texts)
                 totals = pa.array([int(p[-1]) if len(p) else 0 for p in prefixes], pa.int64())
                 columns = {"doc_id": part.column("doc_id"), "n_bytes": pc.fill_null(pc.cast(pc.binary_length(part.column("text")), pa.int64()), 0), "n_tokens": totals}
-                if keep_prefixes:
+                if column:
                     ends = np.cumsum([0, *map(len, prefixes)], dtype=np.int32)
-                    columns["prefix_tokens"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes).astype(np.int32)))
+                    columns[column] = pa.ListArray.from_arrays(pa.array(ends), pa.array(of_prefixes(np.concatenate(prefixes), ends)))
                 yield pa.record_batch(columns)
 
     return count
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
 def prefix_token_counts(docs: DataFrame, path: str, keep_prefixes: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_tokens and ``prefix_tokens`` of every row of ``docs(doc_id, text)``.
 
     prefix_tokens[i] is the number of tokens of the text's first i + 1 code points, each taken as a text of its own;
     n_tokens is the last of them, 0 for an empty or null text.  Special strings count as the one token that they are.  Without
-    ``keep_prefixes`` the array stays in the worker.  Repeated rows are counted one by one; other columns are not read.
+    ``keep_prefixes`` the array stays in the worker.  Repeated rows are counted one by one; other columns are not read; no rows give no rows.
+    """
+    count = _counted(path, "prefix_tokens" * keep_prefixes, lambda counts, _: counts.astype(np.int32))
+    return _texts(docs).mapInArrow(count, "doc_id long, n_bytes long, n_tokens long" + ", prefix_tokens array<int>" * keep_prefixes)
+
+
+def _steps(counts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    begins = ends[:-1][ends[:-1] < ends[1:]]
+    before = np.concatenate([[0], counts[:-1]])
+    before[begins] = 0
+    steps = counts - before
+    if len(steps) and max(-steps.min(), steps.max()) >= 1 << 15:
+        raise ValueError("a step of prefix counts is out of range")
+    return steps.astype(np.int16)
+
+
+def store_prefix_counts(docs: DataFrame, path: str) -> DataFrame:
+    """The prefix counts of every row of ``docs(doc_id, text)``, written to the shared folder once: doc_id, n_bytes and ``steps``.
+
+    steps[i] is what the code point i adds to the count of its prefix (less than nothing where it completes a longer token), some
+    two bits in the file.  An empty or null text has no steps.  ``prefix_answers`` reads them; texts are not encoded again.
+    """
+    counted = _texts(docs).mapInArrow(_counted(path, "steps", _steps), "doc_id long, n_bytes long, n_tokens long, steps array<smallint>")
+    return materialize(counted.drop("n_tokens"), "prefixes")
+
+
+def _answers(budget: int):
+    def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("steps")
+            ends = np.asarray(lists.offsets).astype(np.int64)
+            steps = np.asarray(lists.values)
+            n, total, fits = len(lists), np.zeros(len(lists), np.int64), np.zeros(len(lists), np.int64)
+            lo = 0
+            while lo < n:  # whole rows of about a chunk together
+                hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + kernel.CHUNK_BYTES, "right")) - 1)
+                counts = np.concatenate([[0], np.cumsum(steps[ends[lo] : ends[hi]], dtype=np.int64)])
+                at, until = ends[lo:hi] - ends[lo], ends[lo + 1 : hi + 1] - ends[lo]
+                total[lo:hi] = counts[until] - counts[at]
+                own = counts[1:] - np.repeat(counts[at], until - at)
+                fit = np.where(own <= budget, np.arange(1, len(own) + 1), 0)
+                some = until > at
+                if some.any():
+                    last = np.maximum.reduceat(fit, at[some])
+                    fits[lo:hi][some] = np.maximum(0, last - at[some])
+                lo = hi
+            yield pa.record_batch({"doc_id": batch.column("doc_id"), "n_bytes": batch.column("n_bytes"), "n_tokens": total, "fitting_chars": fits, "n_chars": np.diff(ends)})
+
+    return answers
+
+
+def prefix_answers(stored: DataFrame, budget: int) -> DataFrame:
+    """What stored prefix counts tell of a budget, without encoding: doc_id, n_bytes, n_chars, n_tokens, fitting_chars and over_limit.
+
+    fitting_chars is the length of the longest prefix of at most ``budget`` tokens (0 if there is none), over_limit whether the
+    whole text has more.
     """
-    texts = texts_in_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(_count(path, keep_prefixes), "doc_id long, n_bytes long, n_tokens long" + ", prefix_tokens array<int>" * keep_prefixes)
+    found = stored.mapInArrow(_answers(budget), "doc_id long, n_bytes long, n_tokens long, fitting_chars long, n_chars long")
+    return found.withColumn("over_limit", F.col("n_tokens") > budget)
 
 
 def fitting_chars(prefix_tokens: Column, budget: int) -> Column:
