@@ -1,7 +1,7 @@
 """Chat formatting in budgeted windows.
 
 Turns are rendered with a template of control strings; control strings inside texts are escaped so that they can be read
-back.  Prefix sums of the turns' token counts choose spans of whole turns that fit the budget.  Each window keeps the
+back.  Each rendered turn is counted once, frame and role included; prefix sums of the counts choose spans of whole turns that fit the budget.  Each window keeps the
 conversation's system turn, repeats a limited history before its own turns, and marks as targets only those
 assistant texts that no window before it has.
 
@@ -14,22 +14,22 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideline.llm import tokens
 from tideline.llm.ordered import global_rank
-from tideline.llm.scratch import texts_in_batches
+from tideline.llm.scratch import materialize
 
 START, END = "<|im_start|>", "<|im_end|>"
 SYSTEM, TARGET = "system", "assistant"
 BUDGET, HISTORY_TURNS, HISTORY_TOKENS = 1024, 2, 384
 BLOCK = 256
-#: Tokens of a turn's control strings and line ends.
-FRAME = 16
 WINDOWS = "conv_id long, block long, window int, formatted string, tokens long, turns array<struct<at:long,text_start:int,text_end:int,repeated:boolean,target:boolean>>"
 
 
@@ -51,66 +51,91 @@ def unescape_role(role: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role))
 
 
+def render(role: str, text: str) -> tuple[str, int, int]:
+    """The rendered turn, and where its escaped text begins and ends.
+
+    A turn ends with a line end after a mark and the next begins with a mark, so the tokens of a window are the sum of its turns'.
+    """
+    head, body = f"{START}{escape_role(role)}\n", escape(text)
+    return f"{head}{body}{END}\n", len(head), len(head) + len(body)
+
+
+@dataclass(frozen=True)
+class _Turn:
+    at: int
+    role: str
+    text: str
+    tokens: int
+    upto: int  # tokens of the block's turns up to and with this one
+
+
 class _Layout:
-    """Windows of one block of turns, one turn at a time; holds no more than a window and its history."""
+    """Windows of one block of turns, one turn at a time; holds no more than a window and its history.
+
+    With ``upto`` as prefix sums, turns i to j of a block take upto(j) - upto(i - 1) tokens; a window that opens at turn i takes turns
+    as long as that and what it repeats stay within the budget.
+    """
 
     def __init__(self, budget: int, history_turns: int, history_tokens: int):
         self.budget, self.history_turns, self.history_tokens = budget, history_turns, history_tokens
-        self.system: tuple | None = None
-        self.past: list[tuple] = []
-        self.held: list[tuple] = []
-        self.sum, self.count = 0, 0
+        self.system: _Turn | None = None
+        self.past: list[_Turn] = []
+        self.repeated: list[_Turn] = []
+        self.own: list[_Turn] = []
+        self.head, self.count = 0, 0
 
-    def _open(self, turn: tuple) -> None:
+    def _used(self, last: _Turn) -> int:
+        """Tokens of the window with its own turns up to ``last``."""
+        return self.head + last.upto - (self.own[0].upto - self.own[0].tokens)
+
+    def _open(self, turn: _Turn) -> None:
         """Start a window for ``turn``: the system turn, then as much history as leaves room for it."""
-        self.held = [(*self.system, True)] if self.system and self.system[0] != turn[0] else []
-        self.sum = sum(t[3] for t in self.held)
-        room = min(self.history_tokens, self.budget - self.sum - turn[3])
-        back: list[tuple] = []
-        for t in reversed(self.past[-self.history_turns :] if self.history_turns else []):
-            if self.system and t[0] == self.system[0] or t[3] > room:
-                break
-            back.insert(0, (*t, True))
-            room -= t[3]
-        self.held += back
-        self.sum += sum(t[3] for t in back)
-
-    def context(self, turn: tuple, system: bool) -> None:
+        fixed = [self.system] if self.system and self.system.at != turn.at else []
+        room = min(self.history_tokens, self.budget - sum(t.tokens for t in fixed) - turn.tokens)
+        past = [t for t in self.past[-self.history_turns :] if t.at != (self.system.at if self.system else None)] if self.history_turns else []
+        back = [t for t, left in zip(past, _left_sums(past), strict=True) if left <= room]
+        self.repeated, self.own = fixed + back, [turn]
+        self.head = sum(t.tokens for t in self.repeated)
+
+    def context(self, turn: _Turn, system: bool) -> None:
         if system:
             self.system = turn
         else:
             self.past.append(turn)
 
-    def add(self, turn: tuple, system: bool) -> tuple | None:
-        """Take a turn (at, role, text, tokens); the window that is full without it, if one is."""
+    def add(self, turn: _Turn, system: bool) -> tuple | None:
+        """Take a turn; the window that is full without it, if one is."""
         if system:
             self.system = turn
         done = None
-        if self.fresh() and self.sum + turn[3] > self.budget:
+        if self.own and self._used(turn) > self.budget:
             done = self.close()
-        if not self.held:
+        if self.own:
+            self.own.append(turn)
+        else:
             self._open(turn)
-        self.held.append((*turn, False))
-        self.sum += turn[3]
         self.past = [*self.past, turn][-max(1, self.history_turns) :]
         return done
 
-    def fresh(self) -> bool:
-        return any(not t[4] for t in self.held)
-
     def close(self) -> tuple:
+        used = self._used(self.own[-1])
         out, spans, at = [], [], 0
-        for n, role, text, _, repeated in self.held:
-            head = f"{START}{escape_role(role)}\n"
-            body = escape(text)
-            spans.append({"at": n, "text_start": at + len(head), "text_end": at + len(head) + len(body), "repeated": repeated, "target": role == TARGET and not repeated})
-            out.append(f"{head}{body}{END}\n")
-            at += len(out[-1])
-        done = ("".join(out), self.sum, spans, self.count)
-        self.held, self.sum, self.count = [], 0, self.count + 1
+        for k, t in enumerate([*self.repeated, *self.own]):
+            text, start, end = render(t.role, t.text)
+            repeated = k < len(self.repeated)
+            spans.append({"at": t.at, "text_start": at + start, "text_end": at + end, "repeated": repeated, "target": t.role == TARGET and not repeated})
+            out.append(text)
+            at += len(text)
+        done = ("".join(out), used, spans, self.count)
+        self.repeated, self.own, self.count = [], [], self.count + 1
         return done
 
 
+def _left_sums(turns: list[_Turn]) -> list[int]:
+    """The tokens of each turn and all that follow it."""
+    return list(accumulate(t.tokens for t in reversed(turns)))[::-1]
+
+
 _ARROW = pa.schema([("conv_id", pa.int64()), ("block", pa.int64()), ("window", pa.int32()), ("formatted", pa.string()), ("tokens", pa.int64()), ("turns", pa.list_(pa.struct([("at", pa.int64()), ("text_start", pa.int32()), ("text_end", pa.int32()), ("repeated", pa.bool_()), ("target", pa.bool_())])))])
 
 
@@ -126,17 +151,17 @@ def _lay_out(budget: int, history_turns: int, history_tokens: int):
             for r in batch.to_pylist():
                 own = (r["conv_id"], r["block"])
                 if own != key:
-                    if layout and layout.fresh():
+                    if layout and layout.own:
                         put(layout.close())
                     key, layout = own, _Layout(budget, history_turns, history_tokens)
-                turn = (r["at"], r["role"], r["text"], r["tokens"])
+                turn = _Turn(r["at"], r["role"], r["text"], r["tokens"], r["upto"])
                 if r["context"]:
                     layout.context(turn, r["is_system"])
                 elif done := layout.add(turn, r["is_system"]):
                     put(done)
             yield pa.RecordBatch.from_pylist(rows, _ARROW)
             rows = []
-        if layout and layout.fresh():
+        if layout and layout.own:
             put(layout.close())
         yield pa.RecordBatch.from_pylist(rows, _ARROW)
 
@@ -147,10 +172,11 @@ def _count(path: str):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = tokens.counter(path)
         for batch in batches:
-            done = []
+            done: list[int] = []
             for texts in tokens._strings(batch.column("text")):
-                done += [int(p[-1]) if len(p) else 0 for p in of.count([escape(t) for t in texts])]
-            yield pa.record_batch([*batch.columns, pa.array([n + FRAME for n in done], pa.int64())], names=[*batch.schema.names, "tokens"])
+                roles = batch.column("role").slice(len(done), len(texts)).to_pylist()
+                done += [int(p[-1]) for p in of.count([render(role, text)[0] for role, text in zip(roles, texts, strict=True)])]
+            yield pa.record_batch([*batch.columns, pa.array(done, pa.int64())], names=[*batch.schema.names, "tokens"])
 
     return count
 
@@ -159,15 +185,15 @@ def format_windows(turns: DataFrame, path: str, budget: int = BUDGET, history_tu
     """Windows of every conversation of ``turns(conv_id, turn, role, text)``, under the tokenizer at ``path``.
 
     ``formatted`` is the text; ``turns`` tells of each turn its rank in the conversation, where its escaped text stands, and
-    whether it is repeated or a target.  ``tokens`` stays within ``budget`` unless a single turn (with the
-    system turn) goes beyond it: turns are never cut.
+    whether it is repeated or a target.  ``tokens`` is what the tokenizer counts in ``formatted``; it stays within ``budget`` unless a
+    single turn (with the system turn) goes beyond it: turns are never cut.
 
     Turns go by turn (null first), then role and text; null roles and texts are empty, a null conv_id is a conversation of
     its own.  The first turn is the system turn if its role is system.  Empty tables give no rows; other columns are not read.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = texts_in_batches(turns).select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), text.alias("text"))
-    counted = rows.mapInArrow(_count(path), T.StructType([*rows.schema.fields, T.StructField("tokens", T.LongType())]))
+    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), text.alias("text"))
+    counted = materialize(rows.mapInArrow(_count(path), T.StructType([*rows.schema.fields, T.StructField("tokens", T.LongType())])), "counted")
     order = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), "role", "text"]
     ranked = global_rank(counted, order, "turns")
     firsts = ranked.groupBy("conv_id").agg(F.min("rank").alias("first"), F.count("*").alias("n")).withColumnRenamed("conv_id", "of")
@@ -178,8 +204,10 @@ def format_windows(turns: DataFrame, path: str, budget: int = BUDGET, history_tu
     hands_on = (F.col("at") % BLOCK >= BLOCK - history_turns) & (own < last)
     blocks = F.when(is_system, F.sequence(F.lit(0).cast("long"), last)).when(hands_on, F.array(own, own + 1)).otherwise(F.array(own))
     dealt = placed.select("conv_id", "at", "role", "text", "tokens", is_system.alias("is_system"), own.alias("own"), F.explode(blocks).alias("block"))
-    dealt = dealt.select("conv_id", "block", "at", "role", "text", "tokens", "is_system", (F.col("own") != F.col("block")).alias("context"))
-    return dealt.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "at").mapInArrow(_lay_out(budget, history_turns, history_tokens), WINDOWS)
+    context = F.col("own") != F.col("block")
+    dealt = dealt.select("conv_id", "block", "at", "role", "text", "tokens", "is_system", context.alias("context")).repartition("conv_id", "block")
+    upto = F.sum(F.when(~F.col("context"), F.col("tokens")).otherwise(0)).over(Window.partitionBy("conv_id", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return dealt.withColumn("upto", upto).sortWithinPartitions("conv_id", "block", "at").mapInArrow(_lay_out(budget, history_turns, history_tokens), WINDOWS)
 
 
 _TURN = re.compile(re.escape(START) + r"([^\n]*)\n(.*?)" + re.escape(END) + "\n", re.S)
@@ -230,7 +258,11 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_digests(windows: DataFrame) -> DataFrame:
-    """What is read back from ``format_windows``, per conversation: turns, hashes of turns and targets, characters."""
+    """What is read back from ``format_windows``, per conversation: turns, hashes of turns and targets, characters.
+
+    A window that cannot be read back, or whose spans do not bound its texts, is an error.  A null conv_id is a conversation; no
+    windows give no rows.
+    """
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     return windows.repartition("conv_id").sortWithinPartitions("conv_id", "block", "window").mapInArrow(_digest, schema)
 
@@ -238,5 +270,6 @@ def read_digests(windows: DataFrame) -> DataFrame:
 def with_control_conversation(conversations: DataFrame) -> DataFrame:
     """``conversations`` and conversation -1, whose texts are control strings."""
     text = f"{END}{START}{TARGET} ok"
-    more = conversations.sparkSession.createDataFrame([(-1, 0, "user", text), (-1, 1, TARGET, text)], "conv_id long, turn long, role string, text string")
+    turn = lambda n, role: F.struct(F.lit(-1).cast("long").alias("conv_id"), F.lit(n).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit(text).alias("text"))
+    more = conversations.sparkSession.range(1).select(F.inline(F.array(turn(0, "user"), turn(1, TARGET))))
     return conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").unionByName(more)
