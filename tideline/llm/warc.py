@@ -1,9 +1,10 @@
 """A deterministic sharded WARC writer and its reader.
 
-Records go by page_id.  Ranges of page_id with about equal bytes form shards, a function of the data alone; a task streams
+Records go by page_id and payload digest.  Ranges of about equal bytes form shards, a function of the data alone; a task streams
 its shards in order, one gzip member a record, and starts a new file where the compressed size reaches the roll size.
-Headers and digests are made anew from the payload.  A file is written under a temporary name, moved to its final one
-when whole, and counts only once the manifest lists it, so a task that is run again leaves the same archive.
+Headers and digests are made anew from the payload.  Every attempt of a task writes under temporary names of its own and lists them;
+only the lists of the attempts that Spark commits are kept, and a second step gives exactly those files their final names, a step
+that can be run again at any point.  The manifest is written last, and the reader holds each file against it.
 """
 
 from __future__ import annotations
@@ -25,11 +26,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.ordered import running_totals
-from tideline.llm.scratch import materialize, new_folder, texts_in_batches
+from tideline.llm.scratch import drop, materialize, new_folder
 
 DATE = "2026-01-01T00:00:00Z"
-SHARD_BYTES, MOST_SHARDS = 16 << 20, 4096
+SHARD_BYTES = 32 << 20
+#: Tasks of the writer at most; with more shards each task streams several, one after the other.
+MOST_TASKS = 16_384
+#: Bytes of archives that a reading task takes, about.
+READ_BYTES = 8 << 20
 ROLL_BYTES = 8 << 20
+ATTEMPTS = "_attempts"
 MANIFEST = "file string, shard int, part int, records long, bytes long, sha256 string"
 RECORDS = "file string, record_id string, record_type string, page_id long, payload_bytes long, payload_digest string, refers_to_id string, refers_to long"
 
@@ -57,9 +63,9 @@ class _Files:
 
     def write(self, member: bytes) -> Iterator[dict]:
         if self.out is None:
-            self.name = f"part-{self.shard:05d}-{self.part:05d}.warc.gz"
-            self.temporary = f"{self.root}/.{self.name}.{uuid.uuid4().hex}.tmp"
-            self.out, self.size, self.records, self.sha = self.fs.open_output_stream(self.temporary, compression=None), 0, 0, hashlib.sha256()
+            self.name = f"part-{self.shard:07d}-{self.part:05d}.warc.gz"
+            self.temporary = f"{ATTEMPTS}/{self.name}.{uuid.uuid4().hex}.tmp"
+            self.out, self.size, self.records, self.sha = self.fs.open_output_stream(f"{self.root}/{self.temporary}", compression=None), 0, 0, hashlib.sha256()
             info = b"software: tideline\r\nformat: WARC File Format 1.1\r\n"
             self._put(_record([("WARC-Type", "warcinfo"), ("WARC-Date", DATE), ("WARC-Record-ID", f"<urn:x-file:{self.name}>"), ("WARC-Filename", self.name), ("Content-Type", "application/warc-fields")], info))
         self._put(member)
@@ -74,11 +80,7 @@ class _Files:
 
     def close(self) -> dict:
         self.out.close()
-        final = f"{self.root}/{self.name}"
-        if self.fs.get_file_info(final).type == fs.FileType.File:
-            self.fs.delete_file(final)
-        self.fs.move(self.temporary, final)
-        done = {"file": self.name, "shard": self.shard, "part": self.part, "records": self.records, "bytes": self.size, "sha256": self.sha.hexdigest()}
+        done = {"temporary": self.temporary, "file": self.name, "shard": self.shard, "part": self.part, "records": self.records, "bytes": self.size, "sha256": self.sha.hexdigest()}
         self.out, self.part = None, self.part + 1
         return done
 
@@ -99,8 +101,11 @@ def _page_record(page_id: int | None, n: int, url: str | None, payload: bytes, o
     return _record(headers, block)
 
 
+_LISTED = [("file", pa.string()), ("shard", pa.int32()), ("part", pa.int32()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())]
+
+
 def _writer(folder: str, roll: int):
-    schema = pa.schema([("file", pa.string()), ("shard", pa.int32()), ("part", pa.int32()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())])
+    schema = pa.schema([("temporary", pa.string()), *_LISTED])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, key, owner, n = None, None, None, 0
@@ -126,6 +131,42 @@ def _writer(folder: str, roll: int):
     return write
 
 
+def _publisher(folder: str):
+    """Give the listed files their final names.  A file that has its final name already was published by an attempt before this one."""
+
+    def publish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = _open_fs(folder)
+        for batch in batches:
+            for name, temporary, size in zip(*(batch.column(c).to_pylist() for c in ("file", "temporary", "bytes")), strict=True):
+                if files.get_file_info(f"{root}/{temporary}").type == fs.FileType.File:
+                    if files.get_file_info(f"{root}/{name}").type == fs.FileType.File:
+                        files.delete_file(f"{root}/{name}")
+                    files.move(f"{root}/{temporary}", f"{root}/{name}")
+                elif files.get_file_info(f"{root}/{name}").size != size:
+                    raise ValueError(f"{name} was lost between writing and publishing")
+            yield batch.select([n for n, _ in _LISTED])
+
+    return publish
+
+
+def _shard_of(nulls: int, ids: np.ndarray, places: np.ndarray):
+    """The shard of (page_id, place): how many shards end before it.  ``ids`` and ``places`` are the last keys of the shards, those
+    of the ``nulls`` first without a page_id."""
+
+    @F.pandas_udf("int")
+    def shard_of(page_id: pd.Series, place: pd.Series) -> pd.Series:
+        has = page_id.notna().to_numpy()
+        page = page_id.fillna(0).to_numpy(np.int64)
+        lo = np.where(has, nulls + np.searchsorted(ids[nulls:], page, "left"), 0)
+        hi = np.where(has, nulls + np.searchsorted(ids[nulls:], page, "right"), nulls)
+        for at in np.unique(lo[hi > lo]):  # a page_id that several shards hold goes on by the place of its payload
+            own = np.flatnonzero((lo == at) & (hi > lo))
+            lo[own] = at + np.searchsorted(places[at : hi[own[0]]], place.to_numpy(np.int64)[own], "left")
+        return pd.Series(lo.astype(np.int32))
+
+    return shard_of
+
+
 def write_warc(pages: DataFrame, folder: str, least_bytes: int = 0, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> DataFrame:
     """Write a record per row of ``pages(page_id, url, html)`` into ``folder``; returns the manifest, which it writes there too.
 
@@ -133,31 +174,38 @@ def write_warc(pages: DataFrame, folder: str, least_bytes: int = 0, shard_bytes:
     largest page_id is a response and the others are revisits of it; of repeated rows of that page_id, one.  Null
     page_ids count as least.  Null URLs are about:blank; characters that no URI holds are percent-encoded.  An
     empty table gives an empty manifest.
+
+    Shards end between two keys of page_id and the first 32 bits of the payload's digest, so pages under one page_id, or under none, are
+    shared out by their payloads.  The driver holds two numbers for each ``shard_bytes``.
     """
+    spark = pages.sparkSession
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
-    rows = texts_in_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
+    place = F.conv(F.substring("digest", 1, 8), 16, 10).cast("long").alias("place")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     slim = materialize(rows.select("page_id", F.sha1("payload").alias("digest"), F.octet_length("payload").cast("long").alias("bytes")), "payloads")
-    size = (slim.agg(F.sum(F.col("bytes") + 512)).first()[0]) or 0
-    per_shard = max(shard_bytes, -(-size // MOST_SHARDS))
-    of_page = running_totals(slim.groupBy("page_id").agg(F.sum(F.col("bytes") + 512).alias("size")), [F.col("page_id").asc_nulls_first()], ["size"], "pages")
-    number = F.floor((F.col("total_size") - F.col("size")) / per_shard)
-    ends = sorted(r[0] for r in of_page.groupBy(number.alias("shard")).agg(F.max("page_id").alias("last")).where("last is not null").select("last").collect())  # MOST_SHARDS at most
-    bounds = np.array(ends[:-1], np.int64)
-
-    @F.pandas_udf("int")
-    def shard_of(page_id: pd.Series) -> pd.Series:
-        known = page_id.notna()
-        return pd.Series(np.where(known, np.searchsorted(bounds, page_id.fillna(0).astype("int64")), 0).astype("int32"))
+    keys = slim.groupBy("page_id", place).agg(F.sum(F.col("bytes") + 512).alias("size"))
+    placed = running_totals(keys, [F.col("page_id").asc_nulls_first(), "place"], ["size"], "pages")
+    number = F.floor((F.col("total_size") - F.col("size")) / shard_bytes)
+    last = F.max(F.struct(F.col("page_id").isNotNull().alias("known"), F.col("page_id").alias("id"), F.col("place").alias("place"))).alias("last")
+    ends = placed.groupBy(number.alias("shard")).agg(last).orderBy("shard").select("last.known", F.coalesce("last.id", F.lit(0)).alias("id"), "last.place").toPandas()[:-1]
+    shard_of = _shard_of(int((~ends["known"].to_numpy(bool)).sum()), ends["id"].to_numpy(np.int64), ends["place"].to_numpy(np.int64))
+    shards = len(ends) + 1
+    tasks = min(shards, MOST_TASKS)
 
     owners = slim.groupBy("digest").agg(F.max("page_id").alias("owner"))
     decided = slim.select("page_id", "digest").distinct().join(owners, "digest").select("page_id", "digest", F.lit(0).alias("kind"), "owner", F.lit(False).alias("repeats"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"))
     records = rows.select("page_id", F.sha1("payload").alias("digest"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("owner"), (F.octet_length("payload") >= least_bytes).alias("repeats"), "url", "payload")
-    dealt = decided.unionByName(records).withColumn("shard", shard_of("page_id")).repartition(len(bounds) + 1, "shard")
-    written = dealt.sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "digest", "kind", "url").mapInArrow(_writer(folder, roll_bytes), MANIFEST)
+    dealt = decided.unionByName(records).withColumn("shard", shard_of("page_id", place))
+    dealt = dealt.repartitionById(tasks, F.floor(F.col("shard").cast("long") * tasks / shards).cast("int"))
+    written = dealt.sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "digest", "kind", "url").mapInArrow(_writer(folder, roll_bytes), f"temporary string, {MANIFEST}")
     files, root = _open_fs(folder)
-    files.create_dir(root, recursive=True)
-    written.write.mode("overwrite").parquet(f"{folder}/manifest")
-    return pages.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/manifest")
+    files.create_dir(f"{root}/{ATTEMPTS}", recursive=True)
+    listed = materialize(written, "attempts")
+    published = listed.repartition(min(MOST_TASKS, 1 + listed.count() // 64), "file").mapInArrow(_publisher(folder), MANIFEST)
+    published.write.mode("overwrite").parquet(f"{folder}/manifest")
+    files.delete_dir(f"{root}/{ATTEMPTS}")
+    drop(listed)
+    return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
 def _members(stream) -> Iterator[bytes]:
@@ -199,13 +247,15 @@ def _reader(folder: str):
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = _open_fs(folder)
-        for name in (n for b in batches for n in b.column("file").to_pylist()):
-            rows = []
+        for name, *listed in (row for b in batches for row in zip(*(b.column(c).to_pylist() for c in ("file", "records", "bytes", "sha256")), strict=True)):
+            rows, n = [], 0
             with files.open_input_stream(f"{root}/{name}", compression=None) as stream:
-                for record in _members(stream):
+                counted = _Counted(stream)
+                for record in _members(counted):
                     h, block = _parse(record)
                     if h["WARC-Type"] == "warcinfo":
                         continue
+                    n += 1
                     if h["WARC-Block-Digest"] != f"sha1:{_base32(hashlib.sha1(block).digest())}":
                         raise ValueError(f"{name}: block digest of {h['WARC-Record-ID']}")
                     digest, size = h["WARC-Payload-Digest"].removeprefix("sha1:"), None
@@ -219,19 +269,43 @@ def _reader(folder: str):
                     if len(rows) == 4096:
                         yield pa.RecordBatch.from_pylist(rows, schema)
                         rows = []
+            if [n, counted.bytes, counted.sha.hexdigest()] != listed:
+                raise ValueError(f"{name} is not the file that the manifest lists")
             yield pa.RecordBatch.from_pylist(rows, schema)
 
     return read
 
 
+class _Counted:
+    """A stream that counts and hashes what is read of it."""
+
+    def __init__(self, stream):
+        self.stream, self.bytes, self.sha = stream, 0, hashlib.sha256()
+
+    def read(self, n: int) -> bytes:
+        data = self.stream.read(n)
+        self.bytes += len(data)
+        self.sha.update(data)
+        return data
+
+
 def read_warc(manifest: DataFrame, folder: str) -> DataFrame:
-    """``RECORDS`` of the archives that ``manifest`` lists, digests checked; payload_bytes is null for revisits."""
-    names = manifest.select("file")
-    return names.repartition("file").mapInArrow(_reader(folder), RECORDS)
+    """``RECORDS`` of the archives that ``manifest`` lists; payload_bytes is null for revisits.
+
+    Digests of blocks and payloads are checked, and each file's records, bytes and hash against the manifest.  Files are dealt to
+    tasks of about READ_BYTES; an empty manifest gives no rows.
+    """
+    placed = running_totals(manifest.select("file", "records", "bytes", "sha256"), ["file"], ["bytes"], "files")
+    task = F.floor((F.col("total_bytes") - F.col("bytes")) / READ_BYTES).cast("int")
+    tasks = 1 + (placed.agg(F.max(task)).first()[0] or 0)
+    return placed.repartitionById(min(tasks, MOST_TASKS), task).mapInArrow(_reader(folder), RECORDS)
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Write ``pages`` to archives in the shared folder and read them back: a row a record, revisits with the size of what they refer to."""
+    """Write ``pages`` to archives in the shared folder and read them back: a row a record, revisits with the size of what they refer to.
+
+    Nulls, repeated rows and ties are as in ``write_warc``; no pages give no rows.
+    """
     folder = new_folder(pages.sparkSession, "warc")
     records = materialize(read_warc(write_warc(pages, folder, least_bytes), folder), "records")
     full = records.where("record_type = 'response'").select(F.col("record_id").alias("of"), F.col("payload_bytes").alias("full_bytes"), F.col("payload_digest").alias("full_digest"))
