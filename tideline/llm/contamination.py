@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.llm import text_kernel as kernel
-from tideline.llm.scratch import drop_others, materialize, numbered, texts_in_batches
+from tideline.llm.scratch import drop_others, materialize, numbered, without
 
 #: 1 reads a word, 0 ignores it.  Replacing every third, fourth or fifth word leaves a window of some mask whole, and so
 #: does any choice of a fifth of the words of a passage of eight or more; the last two masks are for those.
@@ -29,8 +29,10 @@ LEAST_WORDS, LEAST_SHARE = 12, 0.8
 SHORTEST, MASKED = 5, 8
 #: Replacing any one word of a passage of five to seven leaves a window of one of these whole.
 SHORT_MASKS = ("1111", "10111", "11011", "11101")
-#: A filter of 2^26 bits (8 MB), two places a hash, whatever the size of the benchmark.
-FILTER_BITS = 26
+#: Places of a seed in the filter, and bits that the filter has for each seed: one false hit in some 140,000 windows.
+PLACES, BITS_A_SEED = 6, 40
+#: Bits of a filter, as powers of two (the greatest takes 32 MB); a benchmark with more seeds is searched in parts, each with a filter of its own.
+LEAST_BITS, MOST_BITS = 20, 28
 #: Places of passages that one row holds for verification; a document with more has several rows.
 LAID = 512
 _WORDS = kernel.alphabet(kernel.ASCII_PUNCTUATION, fold_case=True)
@@ -59,42 +61,51 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.record_batch({"item_id": pa.array(ids[lo + of[at]], pa.int64()), "item_at": pa.array(at - w.bounds[of[at]], pa.int64()), "seed": h.view(np.int64)})
 
 
-def _places(seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    u = seed.view(np.uint64)
-    return u >> np.uint64(64 - FILTER_BITS), (u >> np.uint64(8)) & np.uint64((1 << FILTER_BITS) - 1)
-
-
-def _bits(seeds: DataFrame) -> np.ndarray:
-    """The filter as 2^FILTER_BITS bits, put together on the cluster; at most 2^FILTER_BITS / 64 rows come back."""
-    first, second = F.shiftrightunsigned("seed", 64 - FILTER_BITS), F.shiftright("seed", 8).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    places = seeds.select(F.explode(F.array(first, second)).alias("place"))
+def _bits(seeds: DataFrame, power: int) -> np.ndarray:
+    """The filter as 2^power bits, put together on the cluster; at most 2^power / 64 rows come back."""
+    first, step = F.shiftrightunsigned("seed", 32), F.col("seed").bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseOR(F.lit(1))
+    places = seeds.select(F.explode(F.array(*[(first + i * step).bitwiseAND(F.lit((1 << power) - 1)) for i in range(PLACES)])).alias("place"))
     rows = places.groupBy(F.shiftright("place", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("bits")).toPandas()
-    table = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    table = np.zeros(1 << (power - 6), np.uint64)
     table[rows["at"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
     return table
 
 
-def _has(table: np.ndarray, place: np.ndarray) -> np.ndarray:
-    return (table[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+def _passing(table: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """Which of the seeds pass the filter."""
+    mask = np.uint64(64 * len(table) - 1)
+    first, step = seed >> np.uint64(32), (seed & np.uint64(0xFFFFFFFF)) | np.uint64(1)
+    some = np.arange(len(seed))
+    for i in range(PLACES):
+        place = (first[some] + np.uint64(i) * step[some]) & mask
+        some = some[(table[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1]
+    return some
+
+
+_SUSPECTS = "row_id long, doc_id long, text string, hits array<struct<doc_at:long,seed:long>>"
 
 
-def _hits(table):
-    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _suspects(table):
+    """The rows with a window that passes the filter, with those windows; all others end here, and their texts never move."""
+
+    def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = table.value
         for batch in batches:
-            ids = batch.column("row_id")
-            for lo, _, data, offsets in kernel.chunks(batch.column("text")):
+            for lo, hi, data, offsets in kernel.chunks(batch.column("text")):
                 w = kernel.words(data, offsets, _WORDS)
                 of = w.documents()
-                for at, h in _seeds(w):
-                    first, second = _places(h)
-                    some = np.flatnonzero(_has(bits, first))
-                    some = some[_has(bits, second[some])]
-                    if len(some):
-                        doc = of[at[some]]
-                        yield pa.record_batch({"row_id": ids.take(pa.array(lo + doc)), "doc_at": pa.array(at[some] - w.bounds[doc], pa.int64()), "seed": h[some].view(np.int64)})
+                found = [(of[at[some]], at[some], h[some]) for at, h in _seeds(w) for some in [_passing(bits, h)] if len(some)]
+                if not found:
+                    continue
+                doc, at, seed = (np.concatenate(c) for c in zip(*found, strict=True))
+                order = np.argsort(doc, kind="stable")
+                docs, first = np.unique(doc[order], return_index=True)
+                hits = pa.StructArray.from_arrays([pa.array((at - w.bounds[doc])[order], pa.int64()), pa.array(seed[order].view(np.int64))], ["doc_at", "seed"])
+                rows = batch.slice(lo, hi - lo).take(pa.array(docs))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)).astype(np.int32)), hits)
+                yield pa.record_batch([*(rows.column(c) for c in ("row_id", "doc_id", "text")), lists], names=["row_id", "doc_id", "text", "hits"])
 
-    return hits
+    return suspects
 
 
 def best_stretch(same: np.ndarray) -> tuple[int, int, int]:
@@ -149,17 +160,34 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _search(texts: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(row_id, doc_id, item_id, ...) of all passages held by ``texts(row_id, doc_id, text)``, a row a shift."""
-    texts = texts_in_batches(texts)
+    """(row_id, doc_id, item_id, ...) of all passages held by ``texts(row_id, doc_id, text)``, a row a shift; written.
+
+    Only rows with a window that passes the filter are written and shuffled.  Where the benchmark needs more than one filter,
+    ``texts`` is written first, so that its row numbers hold from one part to the next.
+    """
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     seeds = materialize(items.mapInArrow(_passages, "item_id long, item_at long, seed long"), "seeds")
-    table = texts.sparkSession.sparkContext.broadcast(_bits(seeds))
-    hits = texts.select("row_id", "text").mapInArrow(_hits(table), "row_id long, doc_at long, seed long")
+    bits = seeds.count() * BITS_A_SEED
+    parts = max(1, -(-bits >> MOST_BITS))
+    power = max(LEAST_BITS, min(MOST_BITS, max(1, bits // parts).bit_length()))
+    own = texts if parts == 1 else materialize(texts, "texts")
+    checked = None
+    for part in range(parts):
+        some = seeds.where(F.pmod(F.xxhash64("seed"), F.lit(parts)) == part) if parts > 1 else seeds
+        table = texts.sparkSession.sparkContext.broadcast(_bits(some, power))
+        suspects = materialize(own.mapInArrow(_suspects(table), _SUSPECTS), "suspects")
+        found = _checked(suspects, some, items)
+        checked = found if checked is None else checked.unionByName(found)
+    return materialize(checked, "checked")
+
+
+def _checked(suspects: DataFrame, seeds: DataFrame, items: DataFrame) -> DataFrame:
+    hits = suspects.select("row_id", F.inline("hits"))
     laid = materialize(hits.join(seeds, "seed").select("row_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("shift")).distinct(), "hits")
     piece = F.floor((F.row_number().over(Window.partitionBy("row_id").orderBy("item_id", "shift")) - 1) / LAID).alias("piece")
     places = laid.select("row_id", "item_id", "shift", piece).join(items.withColumnRenamed("text", "item"), "item_id")
     of_row = places.groupBy("row_id", "piece").agg(F.collect_list(F.struct("item_id", "shift", "item")).alias("laid"))
-    return texts.join(of_row, "row_id").select("row_id", "doc_id", "text", "laid").mapInArrow(_verify, "row_id long, doc_id long, item_id long, doc_word long, n_words long, n_same long, item_words long")
+    return suspects.select("row_id", "doc_id", "text").join(of_row, "row_id").select("row_id", "doc_id", "text", "laid").mapInArrow(_verify, "row_id long, doc_id long, item_id long, doc_word long, n_words long, n_same long, item_words long")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -175,7 +203,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     together.  Empty tables give no rows; other columns are not read.
     """
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    checked = _search(materialize(texts.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text"), "texts"), benchmark)
+    checked = _search(texts.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text"), benchmark)
     best = F.max_by(F.struct("doc_word", "n_words", "n_same", "item_words"), F.struct("n_same", -F.col("n_words"), -F.col("doc_word"))).alias("best")
     return checked.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
 
@@ -186,4 +214,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, null_ids: bool = False)
     texts = rows.select("row_id", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").cast("string").alias("text")).where("text is not null")
     held = materialize(_search(texts if null_ids else texts.where("doc_id is not null"), benchmark).select("row_id").distinct(), "held")
     drop_others(rows, held)
-    return rows.join(held, "row_id", "left_anti").select("row.*")
+    return without(rows, held).select("row.*")
