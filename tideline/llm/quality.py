@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm import text_kernel as kernel
-from tideline.llm.scratch import materialize, texts_in_batches
+from tideline.llm.scratch import drop, materialize
 
 _WORDS = kernel.alphabet(kernel.ASCII_SPACE, fold_case=False)
 _LINES = kernel.alphabet(b"\n", fold_case=False)
@@ -30,11 +30,15 @@ STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 SCHEMA = "doc_id long, " + ", ".join(f"{s} long" for s in STATS)
 
 
-def _repeated(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which items equal another of their document, and which equal an earlier one."""
+def _repeated(keys: np.ndarray, others: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which items equal another of their document, and which equal an earlier one; items are equal if both their hashes are."""
     own = kernel.mix(keys ^ kernel.mix(docs.astype(np.uint64), 3), 4)
     order = np.argsort(own, kind="stable")
     same = own[order][1:] == own[order][:-1]
+    alike = (others[order][1:] == others[order][:-1]) & (docs[order][1:] == docs[order][:-1])
+    if (same & ~alike).any():  # a collision: both hashes and the document order them
+        order = np.lexsort((np.arange(len(keys)), others, keys, docs))
+        same = (keys[order][1:] == keys[order][:-1]) & (others[order][1:] == others[order][:-1]) & (docs[order][1:] == docs[order][:-1])
     any_, later = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
     later[order[1:]] = same
     any_[order[1:]] = same
@@ -47,16 +51,17 @@ def _chunk(data: np.ndarray, offsets: np.ndarray, repeat_words: int) -> dict[str
     per = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask, dtype=np.int64)])[offsets])
     w, lines = kernel.words(data, offsets, _WORDS), kernel.words(data, offsets, _LINES)
     of_word, of_line = w.documents(), lines.documents()
+    word2, line2 = (kernel.span_hashes(data, x.start, x.end, a, seed=1) for x, a in ((w, _WORDS), (lines, _LINES)))
     out = {"n_words": np.diff(w.bounds), "word_chars": per(_WORDS.inside[data] & ((data & 0xC0) != 0x80))}
     out |= {k: per(np.isin(np.arange(256), list(b))[data]) for k, b in _MASKS.items()}
     has_word = np.searchsorted(w.start, lines.end) > np.searchsorted(w.start, lines.start)
     line_docs = of_line[has_word]
     out["n_lines"] = np.bincount(line_docs, minlength=n)
-    out["n_dup_lines"] = np.bincount(line_docs[_repeated(lines.hash[has_word], line_docs)[1]], minlength=n)
-    out["n_distinct"] = out["n_words"] - np.bincount(of_word[_repeated(w.hash, of_word)[1]], minlength=n)
-    h = kernel.windows(w.hash, list(range(repeat_words)))
+    out["n_dup_lines"] = np.bincount(line_docs[_repeated(lines.hash[has_word], line2[has_word], line_docs)[1]], minlength=n)
+    out["n_distinct"] = out["n_words"] - np.bincount(of_word[_repeated(w.hash, word2, of_word)[1]], minlength=n)
+    h, h2 = (kernel.windows(x, list(range(repeat_words))) for x in (w.hash, word2))
     inside = np.flatnonzero(of_word[: len(h)] == of_word[repeat_words - 1 : repeat_words - 1 + len(h)])
-    found = inside[_repeated(h[inside], of_word[inside])[0]]
+    found = inside[_repeated(h[inside], h2[inside], of_word[inside])[0]]
     edge = np.zeros(len(w.hash) + 1, np.int64)
     np.add.at(edge, found, 1)
     np.add.at(edge, found + repeat_words, -1)
@@ -76,7 +81,7 @@ def _scan(repeat_words: int):
 
 def text_statistics(docs: DataFrame, repeat_words: int = 5) -> DataFrame:
     """``STATS`` of every row of ``docs(doc_id, text)``, over the whole text; a null text has zeros."""
-    return texts_in_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_scan(repeat_words), SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_scan(repeat_words), SCHEMA)
 
 
 def base_failed() -> Column:
@@ -194,16 +199,18 @@ def verdict(rules: list[Rule]) -> Column:
 
 
 def fit_rules(stats: DataFrame, labels: DataFrame, sample: int = 40_000) -> list[Rule]:
-    """Rules from about ``sample`` of the labelled rows that pass the base filter, drawn by a hash of doc_id.
+    """Rules from about ``sample`` of the labelled rows that pass the base filter, drawn by a hash of their doc_id and statistics.
 
-    Rows without a label of 0 or 1 are left out; a document labelled several times counts each time.
+    Rows without a label of 0 or 1 are left out; a document labelled both ways counts as junk.  Rows of a doc_id with equal
+    statistics count once, so that the sample is bounded however often a doc_id repeats.
     """
-    labelled = labels.where("quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
-    rows = materialize(stats.where(~base_failed()).join(labelled, "doc_id"), "labelled")
+    labelled = labels.where("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
+    rows = materialize(stats.where(~base_failed()).join(labelled, "doc_id").distinct(), "labelled")
     part = min(1.0, sample / max(1, rows.count()))
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    drawn = rows.where(place < int(part * 1_000_000)).select("quality", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)).alias("fold"), *[F.expr(sql).alias(f) for f, sql in FEATURES.items()], "doc_id")
-    got = drawn.toPandas().sort_values("doc_id", kind="stable")
+    place = F.pmod(F.xxhash64("doc_id", *STATS), F.lit(1_000_000_000))
+    drawn = rows.where(place < int(part * 1_000_000_000)).select("quality", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)).alias("fold"), *[F.expr(sql).alias(f) for f, sql in FEATURES.items()], "doc_id")
+    got = drawn.toPandas().sort_values(["doc_id", *FEATURES], kind="stable")
+    drop(rows)
     if not len(got):
         return []
     return learn_rules({f: got[f].to_numpy(float) for f in FEATURES}, (got["quality"] == 0).to_numpy(), got["fold"].to_numpy())
