@@ -17,12 +17,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm import text_kernel as kernel
-from tideline.llm.scratch import materialize, texts_in_batches
+from tideline.llm.scratch import drop, materialize
 
 BUCKETS = 1 << 20
 TERMS = 2048
 FACTORS = 8
-#: Terms are words and, of longer ones, the first so many bytes, which inflected forms have in common.
+#: Of them, so many are chosen for what they tell beside one of the ``ANCHORS`` that stand best on their own.
+BESIDE, ANCHORS = 256, 32
+#: Terms are words and, of longer ones, the first so many letters, which inflected forms have in common.
 PREFIXES = (4, 5)
 #: What a toxic row weighs in the loss; toxic rows are few, and a miss costs more than a false alarm.
 TOXIC_WEIGHT = 3.0
@@ -51,9 +53,12 @@ def _terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     w = kernel.words(data, offsets, _TERMS)
     of = w.documents().astype(np.uint64) * np.uint64(BUCKETS)
     keys = [of + kernel.mix(w.hash, 9) % np.uint64(BUCKETS)]
+    letters = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))  # where each begins
+    first = np.searchsorted(letters, w.start)
     for k in PREFIXES:
-        long = w.end - w.start > k
-        h = kernel.span_hashes(data, w.start[long], w.start[long] + k, _TERMS)
+        end = letters[np.minimum(first + k, len(letters) - 1)]
+        long = end < w.end
+        h = kernel.span_hashes(data, w.start[long], end[long], _TERMS)
         keys.append(of[long] + kernel.mix(h, 9 + k) % np.uint64(BUCKETS))
     key = np.unique(np.concatenate(keys))
     return (key // np.uint64(BUCKETS)).astype(np.int64), (key % np.uint64(BUCKETS)).astype(np.int32)
@@ -138,33 +143,66 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def _tells(n: Column, n1: Column, rows: Column, toxic: Column) -> Column:
+    """How far apart a term's shares in toxic and other rows are, in standard errors."""
+    p1, p0 = (n1 + 0.5) / (toxic + 1.0), (n - n1 + 0.5) / (rows - toxic + 1.0)
+    return F.abs(F.log(p1 / p0) / F.sqrt(1 / (n1 + 0.5) + 1 / (n - n1 + 0.5)))
+
+
+def choose_terms(lists: DataFrame, terms: int = TERMS, beside: int = BESIDE, anchors: int = ANCHORS) -> np.ndarray:
+    """The places of ``lists(toxic, terms)`` that the machine is fitted on, ascending.
+
+    Most stand out on their own.  The rest tell toxic from other rows among those that hold a common term or one of the best: a term
+    that means nothing alone and something beside another is found so, and the machine learns the pair.
+    """
+    rows, toxic = lists.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    counts = lists.select("toxic", F.explode("terms").alias("place")).groupBy("place").agg(F.count("*").alias("n"), F.sum("toxic").alias("n1")).where("n >= 4")
+    counts = materialize(counts.withColumn("z", _tells(F.col("n"), F.col("n1"), F.lit(rows), F.lit(toxic))), "counts")
+    alone = [r[0] for r in counts.orderBy(F.desc("z"), "place").limit(terms).select("place").collect()]
+    # half of the anchors stand best on their own, half are the most frequent in toxic rows
+    often = [r[0] for r in counts.orderBy(F.desc("n1"), "place").limit(anchors).select("place").collect()]
+    wanted = list(dict.fromkeys([*alone[: anchors // 2], *often]))[:anchors]
+    held = lists.select("toxic", "terms", F.explode(F.array_intersect("terms", F.array(*[F.lit(int(a)) for a in wanted]).cast("array<int>"))).alias("anchor")) if wanted else None
+    if held is None:
+        return np.zeros(0, np.int64)
+    of_anchor = held.groupBy("anchor").agg(F.count("*").alias("rows"), F.sum("toxic").alias("of_toxic"))
+    pairs = held.select("anchor", "toxic", F.explode("terms").alias("place")).where("place <> anchor").groupBy("anchor", "place").agg(F.count("*").alias("n"), F.sum("toxic").alias("n1")).where("n >= 4")
+    told = pairs.join(F.broadcast(of_anchor), "anchor").withColumn("z", _tells(F.col("n"), F.col("n1"), F.col("rows"), F.col("of_toxic")))
+    best = told.groupBy("place").agg(F.max("z").alias("z")).orderBy(F.desc("z"), "place").limit(terms).select("place").collect()
+    own = list(dict.fromkeys([*alone[: terms - beside], *wanted, *(r[0] for r in best), *alone]))[:terms]
+    drop(counts)
+    return np.sort(np.array(own, np.int64))
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
-    """A machine from about ``sample`` of the labelled rows that are not held out, drawn by a hash of doc_id.
+    """A machine from about ``sample`` of the labelled texts that are not held out, drawn by a hash of doc_id, then of the text's terms.
 
-    The bound lets the labels be broadcast, so no text is shuffled.  Rows without a label of 0 or 1 are left out;
-    without labels every score is the prior.
+    The bound lets the labels be broadcast, so no text is shuffled.  Rows without a label of 0 or 1 are left out; a document labelled
+    both ways is toxic; rows of a doc_id with the same terms count once, so that the sample is bounded however often a doc_id
+    repeats.  Without labels every score is the prior.
     """
-    known = labels.where("toxic in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+    known = labels.where("toxic in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     part = min(1.0, sample / max(1, known.count()))
     drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000_000)) < int(part * 1_000_000_000))
-    texts = texts_in_batches(docs).where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    lists = materialize(texts.join(F.broadcast(drawn), "doc_id").select("doc_id", "toxic", "text").mapInArrow(_term_lists, "doc_id long, toxic int, terms array<int>"), "terms")
-    rows, toxic = lists.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    counts = lists.select("toxic", F.explode("terms").alias("place")).groupBy("place").agg(F.count("*").alias("n"), F.sum("toxic").alias("n1")).where("n >= 4")
-    p1, p0 = (F.col("n1") + 0.5) / (toxic + 1.0), (F.col("n") - F.col("n1") + 0.5) / (rows - toxic + 1.0)
-    spread = F.sqrt(1 / (F.col("n1") + 0.5) + 1 / (F.col("n") - F.col("n1") + 0.5))
-    chosen = counts.withColumn("z", F.abs(F.log(p1 / p0) / spread)).orderBy(F.desc("z"), "place").limit(TERMS).select("place")
-    places = np.sort(np.array([r[0] for r in chosen.collect()], np.int64))  # TERMS numbers at most
+    texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    lists = materialize(texts.join(F.broadcast(drawn), "doc_id").select("doc_id", "toxic", "text").mapInArrow(_term_lists, "doc_id long, toxic int, terms array<int>").distinct(), "terms")
+    if (rows := lists.count()) > sample:
+        lists = lists.where(F.pmod(F.xxhash64("doc_id", "terms"), F.lit(1_000_000_000)) < int(sample / rows * 1_000_000_000))
+    places = choose_terms(lists)
     wanted = F.array(*[F.lit(int(p)) for p in places]).cast("array<int>")
-    got = lists.select("doc_id", "toxic", F.array_intersect("terms", wanted).alias("terms")).toPandas().sort_values("doc_id", kind="stable")
+    got = lists.select("doc_id", "toxic", F.array_sort(F.array_intersect("terms", wanted)).alias("terms")).toPandas()
+    got = got.assign(key=[tuple(t) for t in got["terms"]]).sort_values(["doc_id", "toxic", "key"], kind="stable")
     return fit_machine([np.searchsorted(places, np.asarray(t, np.int64)) for t in got["terms"]], got["toxic"].to_numpy(np.float32), places)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """``docs`` without the rows whose text scores 0.5 or more; rows with a null doc_id or text are scored like all others."""
+    """``docs`` without the rows whose text scores 0.5 or more; rows with a null doc_id or text are scored like all others.
+
+    What stays is written to the shared folder.  Repeated rows go or stay alike; no rows give no rows; all columns are carried along.
+    """
     machine = train(docs, labels, sample)
     rows = docs.withColumn("text", F.col("text").cast("string"))
-    return rows.mapInArrow(_keeper(machine), rows.schema)
+    return materialize(rows.mapInArrow(_keeper(machine), rows.schema), "clean")
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -175,5 +213,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     """
     machine = train(docs, labels, sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = texts.mapInArrow(_scorer(machine), "doc_id long, score double")
+    scored = materialize(texts.mapInArrow(_scorer(machine), "doc_id long, score double"), "scores")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
