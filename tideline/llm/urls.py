@@ -7,6 +7,8 @@ candidate rules, and only those run their regular expression.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,7 +42,8 @@ def _tokens(host: Column, path: Column) -> Column:
 
 def rule_table(spark: SparkSession, rules=RULES) -> DataFrame:
     """(rule, action, pattern, tokens) of (action, host/path) pairs; a rule without a slash holds for all paths."""
-    given = spark.createDataFrame(list(rules), "action string, rule string")
+    listed = json.dumps([{"action": action, "rule": rule} for action, rule in rules])  # one literal, however many there are
+    given = spark.range(1).select(F.inline(F.from_json(F.lit(listed), "array<struct<action:string,rule:string>>")))
     host, path = F.substring_index("rule", "/", 1), F.regexp_replace("rule", "(?s)^[^/]*", "")
     host = F.translate(host, _UPPER, _LOWER)
     quote = lambda c: F.regexp_replace(c, r"([\\\.\[\]\{\}\(\)\*\+\-\?\^\$\|/])", r"\\$1")
