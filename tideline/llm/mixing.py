@@ -89,7 +89,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 
 
 def mixed_words(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE) -> DataFrame:
-    """Per document: doc_id, size, source_size, target and ``taken``, the words that the mix takes of it, repeats counted."""
+    """Per document: doc_id, size, source_size, target and ``taken``, the words that the mix takes of it, repeats counted.
+
+    A row for every row of ``docs``; nulls, ties, repeated and no rows are as in ``mix``; texts without words have size and taken 0.
+    """
     size = count_words(F.col("text").cast("string")).alias("size")
     sizes = materialize(docs.select(F.monotonically_increasing_id().alias("mix_row"), "doc_id", "source", size), "sizes")
     targets, budget = source_targets(sizes, weights, share)

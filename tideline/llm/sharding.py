@@ -16,6 +16,8 @@ from tideline.llm.ordered import global_rank
 
 CELLS = 1 << 16
 VIRTUAL = 64
+#: The walk takes (shards * VIRTUAL)^2 steps at most, all in one row, some ten million for these; for more, deal into groups of shards first.
+MOST_SHARDS = 50
 
 
 def _cell(digest: Column) -> Column:
@@ -67,8 +69,10 @@ def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
 
     The key is doc_id as text (null: empty); rows with equal keys count one by one, so even a key that holds most rows is
     shared out once its shard is full.  Only doc_id and text are read, other columns are carried along (those
-    named shard or slot are replaced).  An empty table gives no rows.
+    named shard or slot are replaced).  An empty table gives no rows.  ``shards`` is 1 to MOST_SHARDS.
     """
+    if not 1 <= shards <= MOST_SHARDS:
+        raise ValueError(f"shards must be 1 to {MOST_SHARDS}")
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     crc = F.crc32(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
     keyed = docs.select(F.struct("*").alias("row"), digest.alias("digest"), crc.alias("crc"))
@@ -91,7 +95,10 @@ def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
 
 
 def sharded_rows(docs: DataFrame, shards: int = 24) -> DataFrame:
-    """Per document: doc_id, size (UTF-8 bytes of the text plus 8), text_crc32, the law kept, shard and slot."""
+    """Per document: doc_id, size (UTF-8 bytes of the text plus 8), text_crc32, the law kept, shard and slot.
+
+    A null text has no bytes; nulls, ties, repeated and no rows are as in ``shard``; of equal doc_ids the text's crc32 tells the order.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     slim = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     keyed = slim.withColumn("text", F.col("text_crc32").cast("string"))  # orders equal keys; the texts themselves need not move
