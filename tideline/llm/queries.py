@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tideline.llm import chat, contamination, minhash, mixing, quality, sharding, tokens, toxicity, urls, warc
+from tideline.llm.scratch import materialize
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,13 +29,12 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = tokens.prefix_token_counts(_table(spark, sf_dir, "documents"), tokenizer(), keep_prefixes=False)
-    return counts.withColumn("over_limit", counts["n_tokens"] > 1024)
+    return tokens.prefix_answers(tokens.store_prefix_counts(_table(spark, sf_dir, "documents"), tokenizer()), 1024)
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = chat.with_control_conversation(_table(spark, sf_dir, "conversations"))
-    return chat.read_digests(chat.format_windows(turns, tokenizer()))
+    return chat.read_digests(materialize(chat.format_windows(turns, tokenizer()), "windows"))
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -115,7 +115,3 @@ def _at_exit() -> None:
         clean()
     except Exception:  # noqa: BLE001  nobody can be told any more
         pass
-
-
-def texts_in_batches(df: DataFrame) -> DataFrame:
-    return df
