@@ -173,11 +173,11 @@ def test_narrative():
 
 def test_stream_emits_what_the_batch_emits(spark, tmp_path):
     t = datetime(2026, 1, 1)
-    steps = [("p", t, 1, 0.5, 9.0, 1, False), ("p", t + timedelta(hours=24), 1, 0.55, 9.0, 1, False), ("p", t + timedelta(hours=96), 1, 0.7, 9.0, 1, False), ("p", t + timedelta(hours=97), 2, 0.7, 9.0, 2, False), ("q", t, 0, 0.1, 20.0, 2, True)]
+    steps = [("p", t, 1, 0.5, 9.0, 1, False), ("p", t + timedelta(hours=24), 1, 0.55, 9.0, 1, False), ("p", t + timedelta(hours=96), 1, 0.7, 9.0, 1, False), ("p", t + timedelta(hours=97), 2, 0.7, 9.0, 2, False), ("q", t, 0, 0.1, 20.0, 2, True), ("r", t, 2, 0.7, 14.5, 2, False), ("r", t + timedelta(hours=73), 0, 0.1, 14.5, 2, True)]
     schema = "patient_id string, t timestamp, band int, risk double, raw double, raw_band int, noted boolean"
     spark.createDataFrame(steps, schema).coalesce(1).write.parquet(f"{tmp_path}/in")
     stream = emit_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), EVENTS)
     q = stream.writeStream.format("memory").queryName("emitted").outputMode("append").start()
     q.processAllAvailable()
     q.stop()
-    assert sorted((r.patient_id, r.t, r.demoted) for r in spark.table("emitted").collect()) == [("p", t, False), ("p", t + timedelta(hours=96), False), ("p", t + timedelta(hours=97), False), ("q", t, True)]
+    assert sorted((r.patient_id, r.t, r.demoted) for r in spark.table("emitted").collect()) == [("p", t, False), ("p", t + timedelta(hours=96), False), ("p", t + timedelta(hours=97), False), ("q", t, True), ("r", t, False), ("r", t + timedelta(hours=73), True)]

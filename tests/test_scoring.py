@@ -124,7 +124,7 @@ def brute_fold(steps, p):
             emit = b > band or (b == band and rested and r - risk >= p.re_emit)
             nxt = max(band, b)
         else:
-            emit = noted and raw > 0 and raw_band > band and raw_band >= p.floor_band and (last is None or rested)
+            emit = noted and raw > 0 and raw_band > b and raw_band >= p.floor_band and (last is None or rested)
             nxt = b
         if emit:
             out.append((t, b < p.floor_band))
@@ -154,6 +154,13 @@ def test_the_fold_matches_a_plain_loop(spark):
     assert got == {p: e for p, e in want.items() if e}
 
 
+def test_a_suppressed_low_is_emitted_though_the_state_is_high(spark):
+    raw = 14.5  # alone it would be HIGH
+    rows = [("p", T, 2, 0.7, raw, []), ("p", T + timedelta(hours=13), 0, 0.1, raw, [("activity", 0.7)]), ("p", T + timedelta(hours=14), 0, 0.1, raw, [("activity", 0.7)])]
+    df = spark.createDataFrame(rows, "patient_id string, t timestamp_ntz, band int, risk double, raw double, rules array<struct<rule:string,strength:double>>")
+    assert [(r.t, r.demoted) for r in events.eventize(df, CLINICAL).orderBy("t").collect()] == [(T, False), (T + timedelta(hours=13), True)]
+
+
 def test_index_percentile(spark):
     values = [random.Random(4).random() for _ in range(101)]
     df = spark.createDataFrame([(v,) for v in values], "v double")

@@ -12,20 +12,20 @@ from tideline.sources.stored import stored
 #: One step of the fold.  It never looks at more than the state and one assessment, so it needs no Python.
 _STEP = """(s, a) -> case
   when a.band >= {floor} then named_struct(
-    'band', greatest(s.band, a.band),
+    'band', greatest(s.band, a.band), 'n', s.n + 1,
     'last', if({emit}, a.t, s.last), 'risk', if({emit}, a.risk, s.risk),
-    'out', if({emit}, array_append(s.out, named_struct('t', a.t, 'demoted', false)), s.out))
+    'out', if({emit}, array_append(s.out, named_struct('at', s.n, 'demoted', false)), s.out))
   else named_struct(
-    'band', a.band,
+    'band', a.band, 'n', s.n + 1,
     'last', if({demoted}, a.t, s.last), 'risk', if({demoted}, a.risk, s.risk),
-    'out', if({demoted}, array_append(s.out, named_struct('t', a.t, 'demoted', true)), s.out)) end"""
+    'out', if({demoted}, array_append(s.out, named_struct('at', s.n, 'demoted', true)), s.out)) end"""
 
 
 def _fold(p: Profile) -> str:
     rested = f"timestampdiff(MICROSECOND, s.last, a.t) >= {p.refractory_h * 3_600_000_000}"
     emit = f"(a.band > s.band or (a.band = s.band and s.last is not null and {rested} and a.risk - s.risk >= {p.re_emit}D))"
-    demoted = f"(a.noted and a.raw > 0 and a.raw_band > s.band and a.raw_band >= {p.floor_band} and (s.last is null or {rested}))"
-    start = "named_struct('band', 0, 'last', cast(null as timestamp_ntz), 'risk', 0.0D, 'out', cast(array() as array<struct<t:timestamp_ntz,demoted:boolean>>))"
+    demoted = f"(a.noted and a.raw > 0 and a.raw_band > a.band and a.raw_band >= {p.floor_band} and (s.last is null or {rested}))"
+    start = "named_struct('band', 0, 'n', 0, 'last', cast(null as timestamp_ntz), 'risk', 0.0D, 'out', cast(array() as array<struct<at:int,demoted:boolean>>))"
     return f"aggregate(steps, {start}, {_STEP.format(floor=p.floor_band, emit=emit, demoted=demoted)}).out"
 
 
@@ -33,13 +33,15 @@ def eventize(assessments: DataFrame, p: Profile) -> DataFrame:
     """The assessments that are emitted, with ``demoted``.
 
     An entity's assessments are folded in time order: a rise of band is emitted at once, an unchanged band only after
-    the refractory time and a rise of risk; a low one whose score without rules would have been a rise is emitted as demoted.
+    the refractory time and a rise of risk; a low one whose score without rules would have had a higher band than its own is emitted as
+    demoted, after the refractory time.  Rows are carried through the fold, so pass only the columns that are wanted.
     """
     raw_risk = F.when(F.col("raw") > 0, 1 - F.exp(-F.col("raw") / p.k0)).otherwise(0.0)
-    step = F.struct("t", "band", "risk", "raw", (F.size("rules") > 0).alias("noted"), band_by_risk(raw_risk, p).alias("raw_band"))
+    rest = [c for c in assessments.columns if c not in ("patient_id", "t", "band", "risk", "raw")]
+    step = F.struct("t", "band", "risk", "raw", (F.size("rules") > 0).alias("noted"), band_by_risk(raw_risk, p).alias("raw_band"), F.struct(*rest).alias("rest"))
     folded = assessments.groupBy("patient_id").agg(F.array_sort(F.collect_list(step)).alias("steps"))
-    emitted = folded.select("patient_id", F.explode(F.expr(_fold(p))).alias("e")).select("patient_id", "e.*")
-    return assessments.join(emitted, ["patient_id", "t"])
+    emitted = folded.select("patient_id", F.explode(F.expr(f"transform({_fold(p)}, e -> named_struct('a', steps[e.at], 'demoted', e.demoted))")).alias("e"))
+    return emitted.select("patient_id", "e.a.t", "e.a.band", "e.a.risk", "e.a.raw", "e.a.rest.*", "e.demoted")
 
 
 def signal_id(prefix: str = "HS"):

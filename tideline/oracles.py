@@ -80,7 +80,7 @@ _STEPS: dict[str, str] = {
       SELECT patient_id, rn, t, emit, demoted, CASE WHEN demoted THEN band ELSE greatest(old, band) END, CASE WHEN emit THEN t ELSE last_t END, CASE WHEN emit THEN risk ELSE last_risk END
       FROM (SELECT a.patient_id, a.rn, a.t, a.band, a.risk, f.state AS old, f.last_t, f.last_risk, a.band < 1 AS demoted,
           CASE WHEN a.band >= 1 THEN a.band > f.state OR (a.band = f.state AND f.last_t IS NOT NULL AND a.t - f.last_t >= INTERVAL 72 HOUR AND a.risk - f.last_risk >= 0.10)
-            ELSE a.names IS NOT NULL AND a.raw > 0 AND a.raw_band > f.state AND a.raw_band >= 1 AND (f.last_t IS NULL OR a.t - f.last_t >= INTERVAL 72 HOUR) END AS emit
+            ELSE a.names IS NOT NULL AND a.raw > 0 AND a.raw_band > a.band AND a.raw_band >= 1 AND (f.last_t IS NULL OR a.t - f.last_t >= INTERVAL 72 HOUR) END AS emit
         FROM fold f JOIN ass a ON a.patient_id = f.patient_id AND a.rn = f.rn + 1)""",
     "sig": """SELECT 'HS-' || a.patient_id || '-' || strftime(a.t, '%Y%m%dT%H%M') AS signal_id, a.*, f.demoted, coalesce(a.names, '') AS suppressions, a.t - INTERVAL 192 HOUR AS es FROM ass a JOIN fold f USING (patient_id, rn) WHERE f.emit""",
     "rk": "SELECT *, row_number() OVER (PARTITION BY patient_id, t ORDER BY score DESC, place) AS rank FROM mm WHERE score > 0",

@@ -2,21 +2,49 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+_made: list[tuple[SparkSession, str]] = []
 _own: list[str] = []
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet under spark.checkpoint.dir and read it back; a temporary folder only where that is unset, as in tests."""
-    root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+def _folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where that is unset, a temporary folder for a local session (tests) and an error on a cluster."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="tideline-"))
         root = _own[0]
-    path = f"{root.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet under spark.checkpoint.dir and read it back; deleted by ``clean`` or when the driver ends."""
+    if not _made:
+        atexit.unregister(_at_exit)
+        atexit.register(_at_exit)
+    path = f"{_folder(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
+    _made.append((df.sparkSession, path))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clean(spark: SparkSession | None = None) -> None:
+    """Delete the stored tables of this driver (of ``spark`` alone, if given); results that still read them become unusable."""
+    for of, path in [m for m in _made if spark is None or m[0] is spark]:
+        there = of._jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(of._jsc.hadoopConfiguration()).delete(there, True)
+        _made.remove((of, path))
+
+
+def _at_exit() -> None:
+    try:
+        clean()
+    except Exception:  # noqa: BLE001  the session is gone and nobody can be told any more
+        pass

@@ -32,7 +32,7 @@ def emit_stream(assessments: DataFrame, p: Profile) -> DataFrame:
                 emit = a.band > band or (a.band == band and rested and a.risk - risk >= p.re_emit)
                 band = max(band, a.band)
             else:
-                emit = a.noted and a.raw > 0 and a.raw_band > band and a.raw_band >= p.floor_band and (last != last or rested)
+                emit = a.noted and a.raw > 0 and a.raw_band > a.band and a.raw_band >= p.floor_band and (last != last or rested)
                 band = a.band
             if emit:
                 out.append((key[0], a.t, a.band < p.floor_band))
