@@ -42,7 +42,7 @@ class Profile:
     concordant_from: float = 1.0
     k0: float = 12.0
     # corroboration
-    labs: tuple[tuple[str, float, float], ...] = ()
+    labs: tuple[tuple[str, float | None, float | None], ...] = ()  # code, and the bounds of rows that have none of their own
     lab_h: int = 24
     lab_most: int = 2
     lab_weight: float = 1.0
@@ -65,6 +65,7 @@ class Profile:
     re_emit: float = 0.10
     floor_band: int = 1
     citations: int = 32
+    version: str = "tideline-2"
 
     def expected(self, c: Channel, hours: int) -> float:
         return hours * 60 / c.nominal_min
@@ -93,13 +94,26 @@ def profile_of(settings: dict) -> Profile:
     return Profile(**given)
 
 
+#: The clinical profile.  Fixed values of the method: channels in order with direction, weight, least dispersion and nominal minutes.
+CLINICAL = Profile(
+    channels=(
+        Channel("HR", 1, 1.0, 2.82, 20),
+        Channel("RR", 1, 1.0, 0.70, 20),
+        Channel("TEMP", 1, 1.0, 0.12, 60),
+        Channel("SpO2", -1, 1.0, 0.34, 20),
+        Channel("SBP", -1, 0.5, 2.36, 120),
+        Channel("DBP", -1, 0.5, 1.63, 120),
+    ),
+    labs=(("LAB_A", None, None), ("LAB_B", None, None), ("LAB_C", None, None), ("LAB_D", None, None)),
+)
+
 #: The profile for the sparse ``events`` table: windows of days, a decision a day.
 EVENTS = Profile(
     channels=tuple(Channel(code, direction, weight, 12.0, 2880) for code, direction, weight in (("click", 1, 1.0), ("error", 1, 1.0), ("purchase", 1, 1.0), ("signup", -1, 0.5), ("view", -1, 0.5))),
     evidence_h=192,
     baseline_h=384,
     streak_min=5760,
-    labs=(("signup", 5.0, 80.0), ("view", 5.0, 80.0)),
+    labs=(("signup", None, None), ("view", None, None)),
     lab_h=192,
     lead_channel="click",
     fresh_min=2880.0,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _TIME = r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?$"
@@ -34,6 +34,11 @@ def iso(c: Column) -> Column:
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
 
 
+def seconds(c: Column) -> Column:
+    """Whole seconds of a time without zone since 1970, whatever the session's zone."""
+    return F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), c.cast("timestamp_ntz"))
+
+
 def hours_between(a: Column, b: Column) -> Column:
     """Hours from ``a`` to ``b``."""
     return F.timestamp_diff("MICROSECOND", a, b) / 3.6e9
@@ -45,6 +50,22 @@ def median_sql(sorted_array: str) -> str:
     return f"case when size({a}) > 0 then (get({a}, cast((size({a}) - 1) div 2 as int)) + get({a}, cast(size({a}) div 2 as int))) / 2 end"
 
 
+def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table of literals with a schema such as ``"code string, factor double"``; it needs no Python worker, as rows handed over from Python would."""
+    fields = [f.split() for f in schema.split(", ")]
+    one = lambda row: F.struct(*[F.lit(v).cast(kind).alias(name) for v, (name, kind) in zip(row, fields, strict=True)])
+    return spark.range(1).select(F.inline(F.array(*map(one, rows))))
+
+
+#: Rows of a catalogue that may be broadcast.
+SMALL = 100_000
+
+
+def small(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """``df``, to be broadcast if it has at most ``most`` rows, which are counted; else it is joined by a shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``df`` as it is, but later filters stay above it.
 

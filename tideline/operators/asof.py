@@ -2,16 +2,17 @@
 
 A row is visible at T if it was available by T and happened within the lookback.  On a regular grid, the instants
 that see a row follow from its own time by arithmetic, so rows are dealt to stretches of ``STRETCH`` instants of their
-entity and meet no others: no join of all rows of an entity with all its instants, and an entity with most rows is
-still shared out by stretch and variable.
+entity and meet no others.  Rows meet given instants by cells of time (``meeting``).  Either way there is no join of all rows of an entity
+with all its instants, and an entity with most rows is still shared out.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.config import Profile
+from tideline.functions.scalars import seconds
 
 STRETCH = 24
 
@@ -54,10 +55,25 @@ def on_grid(rows: DataFrame, encounter: DataFrame, p: Profile, lookback_h: int)
     return dealt.withColumn("k", ticks).withColumn("t", F.expr(_from("first", f"k * {p.cadence_h}"))).select("patient_id", "variable_code", "stretch", "t", *[c for c in rows.columns if c not in ("patient_id", "variable_code")])
 
 
+def meeting(rows: DataFrame, lo: Column, hi: Column, instants: DataFrame, cell_h: int, at: str = "t", since: str | None = None) -> DataFrame:
+    """``rows(patient_id, ...)`` beside each of ``instants(patient_id, at, ...)`` of its patient whose stretch meets the row's.
+
+    A row lasts from ``lo`` to ``hi``, an instant from ``since`` (by default itself) to ``at``, all ends included.  Both are dealt to cells of
+    ``cell_h`` hours and joined by patient and cell; of the cells that a pair shares, only the first gives it.
+    """
+    cell = lambda c: F.floor(seconds(c) / (cell_h * 3600))
+    first = F.col(since or at)
+    own = rows.withColumn("_lo", lo).withColumn("_hi", hi).where("_lo <= _hi")
+    own = own.withColumn("_cell", F.explode(F.sequence(cell(F.col("_lo")), cell(F.col("_hi")))))
+    met = instants.withColumn("_cell", F.explode(F.sequence(cell(first), cell(F.col(at)))))
+    pairs = own.join(met, ["patient_id", "_cell"]).where((F.col("_lo") <= F.col(at)) & (F.col("_hi") >= first))
+    return pairs.where(F.col("_cell") == F.greatest(cell(F.col("_lo")), cell(first))).drop("_lo", "_hi", "_cell")
+
+
 def at_instants(rows: DataFrame, instants: DataFrame, lookback_h: int) -> DataFrame:
-    """The same for any few instants (patient_id, t)."""
-    seen = (F.col("available_time") <= F.col("t")) & (F.col("event_time") <= F.col("t")) & (F.col("event_time") >= F.expr(_from("t", str(-lookback_h))))
-    return rows.join(instants.select("patient_id", "t"), "patient_id").where(seen).withColumn("stretch", F.lit(0).cast("long"))
+    """The same for any given instants (patient_id, t)."""
+    seen = meeting(rows, F.greatest("available_time", "event_time"), F.expr(_from("event_time", str(lookback_h))), instants.select("patient_id", "t"), lookback_h)
+    return seen.withColumn("stretch", F.lit(0).cast("long"))
 
 
 def usable_series(observations: DataFrame) -> DataFrame:
@@ -70,9 +86,31 @@ def excluded(observations: DataFrame) -> DataFrame:
     return observations.where("is_duplicate or not is_availability_known").withColumn("reason", F.when(~F.col("is_availability_known"), "AVAILABILITY_UNKNOWN").otherwise("DUPLICATE"))
 
 
-def hidden(observations: DataFrame, instants: DataFrame) -> DataFrame:
-    """Rows that had happened by t but were not known then."""
-    return observations.join(instants, "patient_id").where("event_time <= t and available_time > t and not is_duplicate")
+def hidden(observations: DataFrame, encounter: DataFrame, p: Profile) -> DataFrame:
+    """Each row at every grid instant t at which it had happened but was not known, by arithmetic as in ``on_grid``; duplicates left out."""
+    span = encounter.withColumn("first", F.expr(_from("start_time", str(p.warmup_h)))).where("first <= end_time").select("patient_id", "first", "end_time")
+    step = p.cadence_h * 3.6e9
+    place = lambda c: F.timestamp_diff("MICROSECOND", F.col("first"), F.col(c)) / step
+    rows = observations.where("not is_duplicate").join(span, "patient_id")
+    rows = rows.withColumn("lo", F.greatest(F.lit(0).cast("long"), F.ceil(place("event_time")))).withColumn("hi", F.least(F.ceil(place("available_time")) - 1, F.floor(place("end_time"))))
+    ticks = rows.where("lo <= hi").withColumn("k", F.explode(F.sequence("lo", "hi")))
+    return ticks.withColumn("t", F.expr(_from("first", f"k * {p.cadence_h}"))).select("patient_id", "t", *[c for c in observations.columns if c != "patient_id"])
+
+
+class CausalityError(AssertionError):
+    """A snapshot holds what was not known at its instant."""
+
+
+def assert_causal(*parts: DataFrame) -> None:
+    """Raise if any of the snapshot's ``parts(patient_id, t, record_id, available_time, ...)`` has a row that became known after t."""
+    for rows in parts:
+        if late := rows.where("available_time > t").select("patient_id", "t", "record_id", "available_time").limit(3).collect():
+            raise CausalityError(f"known only after the decision: {late}")
+
+
+def facts_at(facts: DataFrame, instants: DataFrame) -> DataFrame:
+    """Facts that were recorded by t; they are few and have no end, so they meet the instants by patient."""
+    return facts.join(instants.select("patient_id", "t"), "patient_id").where("available_time <= t")
 
 
 def nearest(left: DataFrame, right: DataFrame, within_min: int) -> DataFrame:
@@ -81,7 +119,7 @@ def nearest(left: DataFrame, right: DataFrame, within_min: int) -> DataFrame:
     Rows are dealt to cells as wide as the tolerance, so a row meets only its own and the two cells beside it.
     """
     width = within_min * 60
-    cell = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / width)
+    cell = lambda c: F.floor(seconds(F.col(c)) / width)
     near = right.select("patient_id", F.col("event_time").alias("other_time"), F.col("record_id").alias("other_id"), F.col("value_num").alias("other_value"))
     near = near.withColumn("cell", F.explode(F.array(cell("other_time") - 1, cell("other_time"), cell("other_time") + 1)))
     met = left.withColumn("cell", cell("event_time")).join(near, ["patient_id", "cell"])

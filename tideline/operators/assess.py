@@ -7,22 +7,22 @@ from pyspark.sql import functions as F
 
 from tideline.config import BANDS, Profile
 from tideline.functions.scalars import settled
+from tideline.operators.asof import meeting
 
 KEY = ["patient_id", "t"]
 
 
-def combined(channels: DataFrame, p: Profile) -> DataFrame:
-    """Per instant: the channels in order, concordant count, weighted sum, and what rules and confidence need."""
+def combined(channels: DataFrame, p: Profile, samples: bool = False) -> DataFrame:
+    """Per instant: the channels in order (with their ``samples``, if wanted), concordant count, weighted sum, and what rules and confidence need."""
     live = F.col("score") > 0
-    one = F.struct("place", "variable_code", "score", "weight", "persistence", "coverage", "level", "slope", "n_evidence", "n_baseline", "centre", "scale", "evidence")
-    newest = F.array_max(F.transform("evidence", lambda e: e["available_time"]))
+    one = F.struct("place", "variable_code", "score", "weight", "persistence", "coverage", "level", "slope", "n_evidence", "n_baseline", "centre", "scale", "latest", *["evidence"] * samples)
     rows = channels.groupBy(*KEY).agg(
         F.array_sort(F.collect_list(one)).alias("channels"),
         F.count_if(F.col("score") >= p.concordant_from).alias("k"),
         F.max(F.when(live, F.col("persistence"))).alias("persistence_max"),
         F.sum("bad").alias("bad"),
         F.sum("n_evidence").alias("good"),
-        F.max(newest).alias("newest"),
+        F.max("newest").alias("newest"),
     )
     total = lambda expr: F.aggregate("channels", F.lit(0.0), lambda s, c: s + expr(c))
     rows = rows.withColumn("weighted", total(lambda c: c["weight"] * c["score"])).withColumn("score_sum", total(lambda c: c["score"]))
@@ -33,21 +33,33 @@ def combined(channels: DataFrame, p: Profile) -> DataFrame:
     return rows.withColumn("live_coverage", F.aggregate(of, F.lit(0.0), lambda s, c: s + c["coverage"]) / F.size(of))
 
 
+def out_of_range(value: Column, low: Column, high: Column) -> Column:
+    """Whether a value lies outside its reference range; false where either bound is missing."""
+    return F.coalesce(low.isNotNull() & high.isNotNull() & ((value < low) | (value > high)), F.lit(False))
+
+
 def labs(visible: DataFrame, p: Profile) -> DataFrame:
-    """The latest usable value of each laboratory variable within its window, and whether it is out of range."""
-    spark = visible.sparkSession
-    bounds = spark.createDataFrame(list(p.labs), "variable_code string, ref_low double, ref_high double")
-    recent = visible.where("is_plausible and value_num is not null").where(F.expr(f"event_time >= t - make_dt_interval(0, {p.lab_h})"))
-    latest = F.max_by(F.struct("record_id", "source_file", "value_num", "event_time", "available_time"), F.col("event_time")).alias("lab")
-    rows = recent.join(F.broadcast(bounds), "variable_code").groupBy(*KEY, "variable_code", "ref_low", "ref_high").agg(latest)
-    out = (F.col("lab.value_num") < F.col("ref_low")) | (F.col("lab.value_num") > F.col("ref_high"))
-    return rows.select(*KEY, "variable_code", "lab.*", F.coalesce(out, F.lit(False)).alias("abnormal"))
+    """The latest usable value of each laboratory variable within its window (of equal times the least record_id), and whether it is out of range.
+
+    Each row's own ``ref_low`` and ``ref_high`` hold; the profile's bounds, if any, stand in for those that a row lacks.
+    """
+    bounds = F.create_map(*[x for code, low, high in p.labs for x in (F.lit(code), F.struct(F.lit(low).cast("double").alias("low"), F.lit(high).cast("double").alias("high")))])
+    own = lambda c: F.col(c) if c in visible.columns else F.lit(None).cast("double")
+    recent = visible.where(F.col("variable_code").isin([code for code, *_ in p.labs])).where("is_plausible and value_num is not null")
+    recent = recent.where(F.expr(f"event_time >= t - make_dt_interval(0, {p.lab_h})")).withColumn("low", own("ref_low")).withColumn("high", own("ref_high"))
+    early = -F.unix_micros(F.col("event_time").cast("timestamp"))
+    latest = F.min(F.struct(early.alias("early"), "record_id", "source_file", "value_num", "event_time", "available_time", "low", "high")).alias("lab")
+    rows = recent.groupBy(*KEY, "variable_code", "stretch").agg(latest)  # as the rows are dealt, so without another exchange
+    bound = F.element_at(bounds, F.col("variable_code")) if p.labs else F.lit(None).cast("struct<low:double,high:double>")
+    abnormal = out_of_range(F.col("lab.value_num"), F.coalesce("lab.low", bound["low"]), F.coalesce("lab.high", bound["high"]))
+    return rows.select(*KEY, "variable_code", *[f"lab.{c}" for c in ("record_id", "source_file", "value_num", "event_time", "available_time")], abnormal.alias("abnormal"))
 
 
 def overlapping(intervals: DataFrame, instants: DataFrame, p: Profile, kind: str, hours: int | None = None) -> DataFrame:
     """Intervals of a kind that were known at t and reach into the last ``hours`` (the evidence window); their end is not known beyond t."""
-    own = intervals.where(F.col("kind") == kind).join(instants.select(*KEY), "patient_id")
-    return own.where("available_time <= t and start_time <= t").where(F.expr(f"least(end_time, t) >= t - make_dt_interval(0, {p.evidence_h if hours is None else hours})"))
+    span = p.evidence_h if hours is None else hours
+    own = intervals.where(F.col("kind") == kind)
+    return meeting(own, F.greatest("available_time", "start_time"), F.expr(f"end_time + make_dt_interval(0, {span})"), instants.select(*KEY), max(span, 24))
 
 
 def activity_context(intervals: DataFrame, instants: DataFrame, p: Profile) -> DataFrame:
@@ -92,11 +104,11 @@ def band_by_risk(risk: Column, p: Profile) -> Column:
     return F.when(risk >= p.critical[0], 3).when(risk >= p.high[0], 2).when(risk >= p.medium, 1).otherwise(0)
 
 
-def assess(channels: DataFrame, labs_: DataFrame, active: DataFrame, p: Profile) -> DataFrame:
-    """One row per instant with a participating channel."""
+def assess(channels: DataFrame, labs_: DataFrame, active: DataFrame, p: Profile, samples: bool = False) -> DataFrame:
+    """One row per instant with a participating channel; with ``samples``, each channel keeps those of its evidence."""
     counted = labs_.groupBy(*KEY).agg(F.least(F.count_if("abnormal"), F.lit(p.lab_most)).alias("lab_n"))
     moving = active.select(*KEY).distinct().withColumn("active", F.lit(True))
-    rows = combined(channels, p).join(counted, KEY, "left").join(moving, KEY, "left").na.fill({"lab_n": 0, "active": False})
+    rows = combined(channels, p, samples).join(counted, KEY, "left").join(moving, KEY, "left").na.fill({"lab_n": 0, "active": False})
     if p.use_concordance:
         steps = F.array(F.lit(0.0), *[F.lit(c) for c in p.concordance])
         factor = F.coalesce(F.get(steps, F.col("k").cast("int")), F.lit(p.concordance[-1]))
@@ -113,9 +125,33 @@ def assess(channels: DataFrame, labs_: DataFrame, active: DataFrame, p: Profile)
     return settled(rows.withColumn("priority", priority(p)).withColumn("band", band_of(F.col("priority"))))
 
 
-def explanation() -> Column:
-    """One line on the top channels, laboratories and rules of an assessment."""
+def explanation(p: Profile) -> Column:
+    """What was found and why, from the numbers of the assessment alone: top channels, laboratories, each rule with its grounds, and totals."""
+    number = lambda c, n: F.format_number(c, n)
+    percent = lambda c: F.concat(F.round(c * 100).cast("int").cast("string"), F.lit("%"))
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
     ranked = F.expr("array_sort(filter(channels, c -> c.score > 0), (a, b) -> case when a.score > b.score then -1 when a.score < b.score then 1 else a.place - b.place end)")
-    tops = F.concat_ws(", ", F.transform(F.slice(ranked, 1, 4), lambda c: F.concat(c["variable_code"], F.lit(" "), F.format_number(c["score"], 2))))
-    names = F.concat_ws(",", F.transform("rules", lambda r: r["rule"]))
-    return F.concat_ws("; ", F.concat(F.lit("channels: "), tops), F.concat(F.lit("concordant: "), F.col("k").cast("string")), F.concat(F.lit("laboratories: "), F.col("lab_n").cast("string")), F.concat(F.lit("rules: "), names), F.concat(F.lit("risk: "), F.format_number("risk", 3)))
+    tops = F.array_join(F.transform(F.slice(ranked, 1, 4), lambda c: text(c["variable_code"], " level ", number(c["level"], 1), " drift ", number(c["slope"], 1), " persistence ", percent(c["persistence"]))), ", ")
+    share = F.when(F.col("score_sum") > 0, F.col("lead_score") / F.col("score_sum")).otherwise(0.0)
+    seen = text((F.col("bad")).cast("string"), " of ", (F.col("bad") + F.col("good")).cast("string"), " samples implausible")
+    grounds = {
+        "activity": text(f"{p.lead_channel} carries ", percent(share), " of the score beside known activity"),
+        "activity_considered": text(f"{p.lead_channel} carries only ", percent(share), " of the score beside known activity"),
+        "quality": seen, "quality_noted": seen,
+        "transient": text("longest run reaches ", percent(F.col("persistence_max")), " of its goal"),
+        "coverage": text("window covered to ", percent(F.col("live_coverage"))),
+    }
+
+    def said(r: Column) -> Column:
+        why = F.lit("")
+        for name, ground in grounds.items():
+            why = F.when(r["rule"] == name, ground).otherwise(why)
+        effect = F.when(r["strength"] > 0, text("score reduced by ", percent(r["strength"]))).when(r["rule"] == "coverage", F.lit("priority limited")).otherwise(F.lit("score kept"))
+        return text("rule ", r["rule"], ", ", effect, ": ", why)
+
+    nothing = text(f"no deviation in {p.evidence_h} hours over ", F.size("channels").cast("string"), " channels")
+    found = text(F.col("k").cast("string"), " of ", F.size("channels").cast("string"), f" channels concordant in {p.evidence_h} hours: ", tops)
+    parts = F.array(F.when(F.col("lab_n") > 0, text(F.col("lab_n").cast("string"), " laboratories out of range")))
+    totals = text("risk ", number(F.col("risk"), 2), ", confidence ", number(F.col("confidence"), 2), ", priority ", F.col("priority"))
+    whole = F.concat_ws(". ", F.array(found), F.array_compact(parts), F.transform("rules", said), F.array(totals))
+    return F.when(F.size(ranked) == 0, nothing).otherwise(whole)

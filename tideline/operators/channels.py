@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.config import Profile
-from tideline.functions.scalars import median_sql, settled
+from tideline.functions.scalars import literal_table, median_sql, seconds, settled
+from tideline.operators.ranges import quantiles
 
 MAD_TO_SIGMA = 1.4826
 
 
 def channel_table(spark, p: Profile) -> DataFrame:
     rows = [(c.code, i, c.direction, c.weight, c.floor, float(p.baseline_least(c)), float(p.evidence_least(c)), float(p.expected(c, p.evidence_h)), p.streak_goal(c)) for i, c in enumerate(p.channels)]
-    return spark.createDataFrame(rows, "variable_code string, place int, direction int, weight double, floor double, baseline_least double, evidence_least double, evidence_expected double, streak_goal int")
+    return literal_table(spark, rows, "variable_code string, place int, direction int, weight double, floor double, baseline_least double, evidence_least double, evidence_expected double, streak_goal int")
 
 
 def windows(visible: DataFrame, p: Profile) -> DataFrame:
@@ -43,8 +44,8 @@ _SLOPES = """array_sort(flatten(transform(sequence(1, n_evidence), i -> transfor
 _STREAK = "aggregate(z, named_struct('now', 0, 'best', 0), (s, x) -> named_struct('now', if(x > {above}, s.now + 1, 0), 'best', greatest(s.best, if(x > {above}, s.now + 1, 0)))).best"
 
 
-def measured(window: DataFrame, p: Profile) -> DataFrame:
-    """Participating channels with centre, scale, level, slope, streak, persistence, coverage and score."""
+def statistics(window: DataFrame, p: Profile) -> DataFrame:
+    """Participating channels with centre, scale, z, level, slope and longest streak: what no switch of the profile changes."""
     rows = window.join(F.broadcast(channel_table(window.sparkSession, p)), "variable_code")
     rows = rows.withColumn("n_evidence", F.size("evidence")).withColumn("n_baseline", F.size("baseline"))
     rows = rows.where("n_baseline >= baseline_least and n_evidence >= evidence_least")
@@ -57,11 +58,37 @@ def measured(window: DataFrame, p: Profile) -> DataFrame:
     rows = rows.withColumn("level", F.expr(median_sql("tail")))
     rows = rows.withColumn("slopes", F.expr(f"if(n_evidence >= {p.slope_samples}, {_SLOPES}, cast(array() as array<double>))"))
     rows = rows.withColumn("slope", F.coalesce(F.expr(median_sql("slopes")), F.lit(0.0)) * float(p.evidence_h))
-    streak = F.expr(_STREAK.format(above=f"{p.streak_above}D")) if p.use_streak else F.col("n_evidence")
-    rows = rows.withColumn("streak", streak.cast("int")).withColumn("persistence", F.least(F.lit(1.0), F.col("streak") / F.col("streak_goal")))
+    rows = rows.withColumn("run", F.expr(_STREAK.format(above=f"{p.streak_above}D")).cast("int"))
     rows = rows.withColumn("coverage", F.least(F.lit(1.0), F.col("n_evidence") / F.col("evidence_expected")))
+    rows = rows.withColumn("newest", F.array_max(F.transform("evidence", lambda e: e["available_time"]))).withColumn("latest", F.expr("evidence[n_evidence - 1].value"))
+    return settled(rows.drop("away", "tail", "slopes", "hours"))
+
+
+def scored(rows: DataFrame, p: Profile) -> DataFrame:
+    """``statistics`` with streak, persistence and score, under the profile's switches."""
+    rows = rows.withColumn("streak", F.col("run") if p.use_streak else F.col("n_evidence")).withColumn("persistence", F.least(F.lit(1.0), F.col("streak") / F.col("streak_goal")))
     ceiling = p.ceiling if p.use_ceiling else 1e9
     sloped = F.col("n_evidence") >= p.slope_samples
     raw = F.when(sloped, F.col("level") * p.level_weight + F.col("slope") * p.slope_weight).otherwise(F.col("level"))
     top = F.when(sloped, ceiling).otherwise(ceiling * p.no_slope_factor)
-    return settled(rows.withColumn("score", F.greatest(F.lit(0.0), F.least(raw * F.col("persistence"), top))).drop("away", "tail", "slopes", "hours"))
+    return rows.withColumn("score", F.greatest(F.lit(0.0), F.least(raw * F.col("persistence"), top)))
+
+
+def measured(window: DataFrame, p: Profile) -> DataFrame:
+    """Participating channels with centre, scale, level, slope, streak, persistence, coverage and score."""
+    return scored(statistics(window, p), p)
+
+
+def dispersion_floors(observations: DataFrame, window_h: int = 24, least: int = 3, share: float = 0.05) -> DataFrame:
+    """(variable_code, windows, floor): a low quantile, over all patients' windows of ``window_h`` hours, of the scale within a window.
+
+    Windows with fewer than ``least`` values say nothing.  Medians come from counts of values dealt out by range, so no patient's or
+    variable's values are gathered in one task.
+    """
+    window = F.floor(seconds(F.col("event_time")) / (window_h * 3600)).alias("window")
+    rows = observations.where("is_plausible and value_num is not null").select("patient_id", "variable_code", window, "value_num")
+    key = ("patient_id", "variable_code", "window")
+    centres = quantiles(rows, key, "value_num", (0.5,), "centres").where(F.col("count") >= least).select(*key, F.col("q0").alias("centre"))
+    away = rows.join(centres, list(key)).select(*key, F.abs(F.col("value_num") - F.col("centre")).alias("away"))
+    scales = quantiles(away, key, "away", (0.5,), "scales").select("variable_code", (F.col("q0") * MAD_TO_SIGMA).alias("scale"))
+    return quantiles(scales, ("variable_code",), "scale", (share,), "floors").select("variable_code", F.col("count").alias("windows"), F.col("q0").alias("floor"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.functions.scalars import blank_to_null, parse_number, parse_time
+from tideline.functions.scalars import blank_to_null, parse_date, parse_number, parse_time, small
+from tideline.operators.asof import meeting
 
 RETRANSMIT = "RETRANSMIT"
 
@@ -13,10 +14,11 @@ RETRANSMIT = "RETRANSMIT"
 def typed(staged: DataFrame, units: DataFrame, variables: DataFrame) -> DataFrame:
     """Parsed columns beside the text, with ``reject_reason``: the first that holds, null for rows that load.
 
-    Catalogues are small and keyed by code; Spark broadcasts them by their size.
+    Catalogues are keyed by code and broadcast after a count of their rows, so that no observation moves for them; one that is too large is
+    joined by a shuffle.
     """
     value = blank_to_null(F.col("value"))
-    rows = staged.join(units, staged["unit"] == F.col("unit_code"), "left").join(variables, "variable_code", "left")
+    rows = staged.join(small(units), staged["unit"] == F.col("unit_code"), "left").join(small(variables), "variable_code", "left")
     rows = rows.withColumn("et", parse_time(F.col("event_time"))).withColumn("av", parse_time(F.col("available_time"))).withColumn("number", parse_number(value)).withColumn("value_given", value)
     reason = (
         F.when(blank_to_null(F.col("record_id")).isNull(), "NO_RECORD_ID")
@@ -49,7 +51,8 @@ def accepted(rows: DataFrame) -> DataFrame:
         F.col("et").alias("event_time"), F.col("av").alias("available_time"), value.alias("value_num"),
         F.when(F.col("number").isNull(), F.col("value_given")).alias("value_text"), F.col("number").alias("value_raw"), F.col("unit").alias("unit_raw"),
         blank_to_null(F.col("quality_flag")).alias("quality_flag"), F.col("source_system"), plausible(value).alias("is_plausible"),
-        (F.col("source_system") == RETRANSMIT).alias("is_retransmit"),
+        F.coalesce(F.col("source_system") == RETRANSMIT, F.lit(False)).alias("is_retransmit"),
+        parse_number(blank_to_null(F.col("ref_low"))).alias("ref_low"), parse_number(blank_to_null(F.col("ref_high"))).alias("ref_high"),
     )
 
 
@@ -60,23 +63,50 @@ def quarantined(rows: DataFrame) -> DataFrame:
     return rows.where("reject_reason is not null").select("source_file", "record_id", "patient_id", "reject_reason", detail.alias("detail"))
 
 
-def valid_intervals(raw: DataFrame) -> DataFrame:
-    """Typed intervals with ``reject_reason`` and the extra fields as JSON, nulls kept."""
+def valid_intervals(raw: DataFrame, extras: tuple[str, ...] = ("delayed_records",)) -> DataFrame:
+    """Typed intervals with ``reject_reason`` and the ``extras`` as JSON, nulls kept.  Without an available_time they are known from their start."""
+    given = set(raw.columns)
     start, end = parse_time(F.col("start_time")), parse_time(F.col("end_time"))
-    reason = F.when(blank_to_null(F.col("record_id")).isNull(), "NO_RECORD_ID").when(start.isNull(), "BAD_EVENT_TIME").when(end.isNull() | (end < start), "TIME_ORDER")
-    extra = F.to_json(F.struct("delayed_records"), {"ignoreNullFields": "false"})
-    return raw.select("record_id", "patient_id", "kind", "subtype", "value_text", start.alias("start_time"), end.alias("end_time"), start.alias("available_time"), extra.alias("extra_json"), reason.alias("reject_reason"))
+    known = parse_time(F.col("available_time")) if "available_time" in given else start
+    reason = (
+        F.when(blank_to_null(F.col("record_id")).isNull(), "NO_RECORD_ID")
+        .when(blank_to_null(F.col("patient_id")).isNull(), "NO_PATIENT")
+        .when(start.isNull(), "BAD_EVENT_TIME")
+        .when(known.isNull(), "BAD_AVAILABLE_TIME")
+        .when(end.isNull() | (end < start), "TIME_ORDER")
+    )
+    extra = F.to_json(F.struct(*extras), {"ignoreNullFields": "false"}) if extras else F.lit(None).cast("string")
+    source = [c for c in ("source_file", "device_id") if c in given]
+    return raw.select(
+        *source, "record_id", "patient_id", "kind", "subtype", "value_text", start.alias("start_time"), end.alias("end_time"), known.alias("available_time"),
+        *[parse_number(F.col("confidence")).alias("confidence")] * ("confidence" in given), extra.alias("extra_json"), reason.alias("reject_reason"),
+    )
+
+
+def quarantined_as(rows: DataFrame, detail: str) -> DataFrame:
+    """Rejected intervals or facts in the layout of the quarantine."""
+    source = F.col("source_file") if "source_file" in rows.columns else F.lit(None).cast("string")
+    return rows.where("reject_reason is not null").select(source.alias("source_file"), "record_id", "patient_id", "reject_reason", F.lit(detail).alias("detail"))
+
+
+def valid_facts(raw: DataFrame) -> DataFrame:
+    """Typed facts ``(source_file, record_id, patient_id, category, onset, available_time, status, severity, source_system)`` with ``reject_reason``.
+
+    A fact counts from its recording, whatever its onset; one whose recording cannot be read is rejected.
+    """
+    known = parse_time(F.col("available_time"))
+    reason = F.when(blank_to_null(F.col("record_id")).isNull(), "NO_RECORD_ID").when(blank_to_null(F.col("patient_id")).isNull(), "NO_PATIENT").when(known.isNull(), "BAD_AVAILABLE_TIME")
+    return raw.select("source_file", "record_id", "patient_id", "category", parse_date(F.col("onset")).alias("onset_date"), known.alias("available_time"), "status", "severity", "source_system", reason.alias("reject_reason"))
 
 
 def resolve_availability(observations: DataFrame, intervals: DataFrame) -> DataFrame:
     """Retransmitted rows are known when the latest connectivity interval around them ends; without one, nobody knows when.
 
-    Only retransmitted rows meet the intervals; the rest never leaves its place.
+    Only retransmitted rows meet the intervals, by cells of time; the rest never leaves its place.
     """
     sent = observations.where("is_retransmit")
-    links = intervals.where("kind = 'CONNECTIVITY'").select(F.col("patient_id").alias("of_patient"), F.col("start_time").alias("from_time"), F.col("end_time").alias("to_time"))
-    around = (F.col("patient_id") == F.col("of_patient")) & F.col("event_time").between(F.col("from_time"), F.col("to_time"))
-    ends = sent.join(links, around).groupBy("source_file", "record_id").agg(F.max("to_time").alias("link_end"))
+    links = intervals.where("kind = 'CONNECTIVITY'").select("patient_id", F.col("start_time").alias("from_time"), F.col("end_time").alias("to_time"))
+    ends = meeting(links, F.col("from_time"), F.col("to_time"), sent.select("patient_id", "source_file", "record_id", "event_time"), 24, at="event_time").groupBy("source_file", "record_id").agg(F.max("to_time").alias("link_end"))
     fixed = sent.join(ends, ["source_file", "record_id"], "left").withColumn("is_availability_known", F.col("link_end").isNotNull())
     fixed = fixed.withColumn("available_time", F.greatest("available_time", "link_end")).drop("link_end")
     return observations.where("not is_retransmit").withColumn("is_availability_known", F.lit(True)).unionByName(fixed)

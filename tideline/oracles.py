@@ -15,7 +15,8 @@ _STEPS: dict[str, str] = {
       CASE WHEN e % 233 = 0 THEN '' WHEN e % 31 = 0 THEN 'LOW' WHEN e % 5 = 0 THEN CAST(CAST(value * 10 AS DECIMAL(18,4)) AS VARCHAR)
         WHEN e % 5 = 1 THEN CAST(CAST(value - 5 AS DECIMAL(18,4)) AS VARCHAR) ELSE CAST(CAST(value AS DECIMAL(18,4)) AS VARCHAR) END AS value,
       CASE WHEN e % 239 = 0 THEN 'zz' WHEN e % 5 = 0 THEN 'x10' WHEN e % 5 = 1 THEN 'shift' ELSE 'raw' END AS unit,
-      CASE WHEN e % 37 = 0 THEN 'LOW_SIGNAL' ELSE 'OK' END AS quality_flag, CASE WHEN e % 41 = 0 THEN 'RETRANSMIT' ELSE 'DIRECT' END AS source_system
+      CASE WHEN e % 37 = 0 THEN 'LOW_SIGNAL' ELSE 'OK' END AS quality_flag, CASE WHEN e % 41 = 0 THEN 'RETRANSMIT' ELSE 'DIRECT' END AS source_system,
+      CASE WHEN event_type IN ('signup', 'view') AND e % 7 <> 0 THEN e % 4 + 3 END AS ref_low, CASE WHEN event_type IN ('signup', 'view') AND e % 13 <> 0 THEN e % 11 + 75 END AS ref_high
       FROM f0""",
     "units(unit_code, factor, unit_offset)": "VALUES ('raw', 1.0::DOUBLE, 0.0::DOUBLE), ('x10', 0.1, 0.0), ('shift', 1.0, 5.0)",
     "vars(variable_code, lo, hi)": "VALUES ('click', 0.0::DOUBLE, 224.0::DOUBLE), ('error', 0.0, 224.0), ('purchase', 0.0, 224.0), ('signup', 0.0, 224.0), ('view', 0.0, NULL)",
@@ -25,7 +26,7 @@ _STEPS: dict[str, str] = {
     "typed": """SELECT *, CASE WHEN record_id = '' THEN 'NO_RECORD_ID' WHEN patient_id = '' THEN 'NO_PATIENT' WHEN et IS NULL THEN 'BAD_EVENT_TIME' WHEN av IS NULL THEN 'BAD_AVAILABLE_TIME'
       WHEN av < et THEN 'TIME_ORDER' WHEN unit_code IS NULL THEN 'UNIT_UNKNOWN' WHEN value = '' THEN 'NO_VALUE' END AS reason FROM typed0""",
     "acc": """SELECT source_file, record_id, domain, patient_id, device_id, variable_code, et, av, number * factor + unit_offset AS v, CASE WHEN number IS NULL THEN value END AS value_text, number AS value_raw, unit,
-      quality_flag, CASE WHEN number * factor + unit_offset IS NULL OR lo IS NULL OR hi IS NULL THEN TRUE ELSE number * factor + unit_offset BETWEEN lo AND hi END AS ok, source_system = 'RETRANSMIT' AS re
+      quality_flag, ref_low, ref_high, CASE WHEN number * factor + unit_offset IS NULL OR lo IS NULL OR hi IS NULL THEN TRUE ELSE number * factor + unit_offset BETWEEN lo AND hi END AS ok, source_system = 'RETRANSMIT' AS re
       FROM typed WHERE reason IS NULL""",
     "iv0": f"""SELECT CAST(e AS VARCHAR) AS record_id, 'U' || u AS patient_id, CASE event_type WHEN 'purchase' THEN 'CONTEXT' ELSE 'CONNECTIVITY' END AS kind,
       CASE WHEN event_type = 'error' THEN 'LINK_LOSS' WHEN e % 4 = 0 THEN 'RECOVERY_PHASE' ELSE 'PHYSICAL_ACTIVITY' END AS subtype, ['LOW', 'MODERATE', 'HIGH'][e % 3 + 1] AS value_text,
@@ -39,6 +40,8 @@ _STEPS: dict[str, str] = {
     "enc": "SELECT patient_id, min(et) AS st, max(et) AS en, min(et) + INTERVAL 576 HOUR AS first FROM obs GROUP BY patient_id",
     "grid": "SELECT patient_id, k, first + to_hours(24 * k) AS t FROM (SELECT *, unnest(range(0, CAST(floor(epoch(en - first) / 86400) AS BIGINT) + 1)) AS k FROM enc WHERE first <= en)",
     "vis": "SELECT g.t, o.* FROM obs o JOIN grid g ON o.patient_id = g.patient_id AND o.et <= g.t AND o.av <= g.t AND o.et >= g.t - INTERVAL 576 HOUR WHERE NOT dup AND known",
+    "fc": "SELECT 'F' || c_custkey AS record_id, 'U' || c_custkey AS patient_id, c_mktsegment AS category, CASE WHEN c_custkey % 17 <> 0 THEN TIMESTAMP '2024-01-01' + to_days(CAST(c_custkey % 28 AS INT)) END AS av FROM customer",
+    "last": "SELECT patient_id, max(t) AS t FROM grid GROUP BY patient_id",
     "ch(variable_code, place, direction, weight)": "VALUES ('click', 0, 1, 1.0::DOUBLE), ('error', 1, 1, 1.0), ('purchase', 2, 1, 1.0), ('signup', 3, -1, 0.5), ('view', 4, -1, 0.5)",
     "bl": "SELECT patient_id, t, variable_code, median(v) AS centre, count(*) AS n_baseline FROM vis WHERE ok AND v IS NOT NULL AND et <= t - INTERVAL 192 HOUR GROUP BY ALL HAVING count(*) >= 3",
     "sc": """SELECT b.patient_id, b.t, b.variable_code, any_value(centre) AS centre, any_value(n_baseline) AS n_baseline, greatest(median(abs(v - centre)) * 1.4826, 12.0) AS scale
@@ -54,7 +57,8 @@ _STEPS: dict[str, str] = {
     "m1": """SELECT m0.*, level, coalesce(slope, 0.0) AS slope, coalesce(streak, 0) AS streak, least(1.0, coalesce(streak, 0) / 2.0) AS persistence, least(1.0, n_evidence / 4.0) AS coverage, coalesce(bad, 0) AS bad, weight, place
       FROM m0 JOIN ch USING (variable_code) LEFT JOIN lv USING (patient_id, t, variable_code) LEFT JOIN sl USING (patient_id, t, variable_code) LEFT JOIN run USING (patient_id, t, variable_code) LEFT JOIN bad USING (patient_id, t, variable_code)""",
     "mm": "SELECT *, CASE WHEN n_evidence >= 5 THEN greatest(0.0, least((0.5 * level + 0.5 * slope) * persistence, 6.0)) ELSE greatest(0.0, least(level * persistence, 3.0)) END AS score FROM m1",
-    "lab": """SELECT patient_id, t, variable_code, arg_max(record_id, et) AS record_id, arg_max(v, et) < 5 OR arg_max(v, et) > 80 AS abnormal FROM vis WHERE ok AND v IS NOT NULL AND et >= t - INTERVAL 192 HOUR AND variable_code IN ('signup', 'view') GROUP BY ALL""",
+    "lab0": "SELECT *, row_number() OVER (PARTITION BY patient_id, t, variable_code ORDER BY et DESC, record_id) AS newest FROM vis WHERE ok AND v IS NOT NULL AND et >= t - INTERVAL 192 HOUR AND variable_code IN ('signup', 'view')",
+    "lab": "SELECT patient_id, t, variable_code, record_id, coalesce(ref_low IS NOT NULL AND ref_high IS NOT NULL AND (v < ref_low OR v > ref_high), FALSE) AS abnormal FROM lab0 WHERE newest = 1",
     "ctx": """SELECT DISTINCT g.patient_id, g.t FROM grid g JOIN iv i ON i.patient_id = g.patient_id AND i.kind = 'CONTEXT' AND i.st <= g.t AND least(i.en, g.t) >= g.t - INTERVAL 192 HOUR
       WHERE subtype = 'RECOVERY_PHASE' OR value_text IN ('HIGH', 'MODERATE')""",
     "ln": "SELECT patient_id, t, least(2, count(*) FILTER (abnormal)) AS lab_n FROM lab GROUP BY ALL",
@@ -90,8 +94,9 @@ _STEPS: dict[str, str] = {
 }
 
 
-def _sql(select: str) -> str:
-    return "WITH RECURSIVE " + ",\n".join(f"{name} AS ({body})" for name, body in _STEPS.items()) + "\n" + select
+def _sql(select: str, changed: dict[str, str] | None = None) -> str:
+    """``select`` over the steps, some of them ``changed``."""
+    return "WITH RECURSIVE " + ",\n".join(f"{name} AS ({body})" for name, body in (_STEPS | (changed or {})).items()) + "\n" + select
 
 
 def _t(column: str) -> str:
@@ -129,6 +134,36 @@ _MARKERS = {
     "retransmission": "EXISTS (SELECT 1 FROM obs o WHERE o.patient_id = s.patient_id AND o.dup AND o.et BETWEEN s.es AND s.t)",
 }
 
+_ANY = " OR ".join(_MARKERS.values())
+_URGENT = f"""SELECT '{{name}}' AS variant, count(*) AS urgent, count(*) FILTER (k <= 1) AS single, count(*) FILTER (marked AND suppressions = '') AS silent, count(DISTINCT patient_id) AS patients
+  FROM (SELECT s.*, {_ANY} AS marked FROM sig s WHERE band >= 2)"""
+
+
+def _changed(factor: str = _FACTORS, top: str = "6.0", persistence: bool = True, rules: bool = True) -> dict[str, str]:
+    """The steps of a variant, as those of the full profile with the switched parts replaced."""
+    out = {"a1": _STEPS["a1"].replace(_FACTORS, factor), "mm": _STEPS["mm"].replace("6.0", top).replace("3.0", f"{top} / 2")}
+    if not persistence:
+        out["m1"] = _STEPS["m1"].replace("least(1.0, coalesce(streak, 0) / 2.0)", _ALL)
+    if not rules:
+        out["ru"] = f"SELECT * FROM ({_STEPS['ru']}) WHERE FALSE"
+    return out
+
+
+_LADDER = {
+    "0_magnitude": _changed(_FLAT, "1e9", False, False), "1_ceiling": _changed(_FLAT, "6.0", False, False), "2_persistence": _changed(_FLAT, "6.0", True, False), "3_concordance": _changed(rules=False), "4_suppression": {},
+}
+
+#: Faults of the planted submission: a rule and which signals (u, once and the repeated ones) or citations (n, with the signal's u) break it.
+_FAULTS = {"signal_id": "u % 13 = 0", "risk": "u % 7 = 0", "priority": "u % 10 = 0", "confidence": "u % 3 <> 0 AND u % 11 = 0", "times": "u % 5 = 0", "time_order": "u % 4 = 0", "explanation": "u % 6 = 0", "model_version": "u % 8 = 0"}
+_CITED = {"role": "n % 10 = 0", "source_file": "n % 6 = 0", "late_evidence": "n % 8 = 0 AND n % 17 <> 0 AND u % 13 <> 0 AND u % 5 <> 0", "contribution": "n % 9 = 0", "no_signal": "n % 17 = 0 OR u % 13 = 0"}
+_SUBMISSION = (
+    "SELECT rule, count(*) AS n FROM (WITH s0 AS (SELECT signal_id, CAST(substr(patient_id, 2) AS INT) AS u FROM sig), s AS (SELECT * FROM s0 UNION ALL SELECT * FROM s0 WHERE u % 9 = 0 AND u % 29 <> 0),"
+    " c AS (SELECT signal_id, CAST(substr(patient_id, 2) AS INT) AS u, CAST(ci.record_id AS INT) AS n FROM sig JOIN ci USING (patient_id, t) WHERE CAST(substr(patient_id, 2) AS INT) % 14 <> 0) "
+    + " UNION ALL ".join([f"SELECT '{rule}' AS rule FROM s WHERE {test}" for rule, test in _FAULTS.items()] + [f"SELECT '{rule}' FROM c WHERE {test}" for rule, test in _CITED.items()])
+    + " UNION ALL SELECT 'unknown_patient' FROM s WHERE u % 29 = 0 UNION ALL SELECT 'repeated_id' FROM s0 WHERE u % 9 = 0 AND u % 29 <> 0 AND u % 13 <> 0"
+    " UNION ALL SELECT 'no_evidence' FROM s0 WHERE u % 13 <> 0 AND NOT EXISTS (SELECT 1 FROM c WHERE c.signal_id = s0.signal_id AND n % 17 <> 0)) GROUP BY rule"
+)
+
 _SELECTS: dict[str, str] = {
     "early_warning": f"SELECT patient_id, {_t('t')} AS t, k, {_r('raw')} AS raw, {_r('final')} AS final, {_r('risk')} AS risk, {_r('confidence')} AS confidence, priority FROM ass",
     "csv_adapter_union": "SELECT source_file, domain, record_id, patient_id, device_id, event_time, available_time, variable_code, value, unit FROM raw",
@@ -167,7 +202,8 @@ _SELECTS: dict[str, str] = {
         FROM (SELECT *, lag(priority) OVER (PARTITION BY patient_id ORDER BY t) AS before FROM ass) GROUP BY ALL) USING (patient_id)""",
     "signals_ranking": f"SELECT signal_id, priority, {_r('round(risk, 6)')} AS risk FROM sig WHERE band > 0 ORDER BY round(sig.risk, 6) DESC, signal_id LIMIT 50",
     "patients_rollup": f"SELECT c_custkey, c_name, (SELECT count(*) FROM sig s WHERE s.patient_id = 'U' || c_custkey) AS signals, (SELECT {_r('max(round(risk, 6))')} FROM sig s WHERE s.patient_id = 'U' || c_custkey) AS risk FROM customer",
-    "timeline_asof": f"SELECT variable_code, record_id, {_t('et')} AS event_time, {_r('v')} AS value_num, ok AS is_plausible, dup AS is_duplicate FROM obs WHERE patient_id = 'U8' AND av <= TIMESTAMP '2024-01-15' AND et >= TIMESTAMP '2024-01-03' AND variable_code IN ('click', 'view')",
+    "timeline_asof": f"""SELECT patient_id, variable_code, record_id, {_t('et')} AS at, {_r('v')} AS value FROM obs WHERE NOT dup AND av <= TIMESTAMP '2024-01-15' AND et >= TIMESTAMP '2024-01-03'
+      UNION ALL SELECT patient_id, kind, record_id, {_t('st')}, NULL FROM iv""",
     "nearest_sample": f"""SELECT patient_id, record_id, other_id, CAST(away / 60 AS BIGINT) AS minutes, {_r('other_value')} AS other_value FROM (
       SELECT a.patient_id, a.record_id, b.record_id AS other_id, b.v AS other_value, abs(epoch(a.et - b.et)) AS away, row_number() OVER (PARTITION BY a.record_id ORDER BY abs(epoch(a.et - b.et)), b.et, b.record_id) AS n
       FROM obs a JOIN obs b ON a.patient_id = b.patient_id AND abs(epoch(a.et - b.et)) <= 10800
@@ -190,19 +226,39 @@ _SELECTS: dict[str, str] = {
         UNION ALL SELECT signal_id, 'intervals', i.record_id, 'QUALITY' FROM sig JOIN ru USING (patient_id, t) JOIN iv i ON i.patient_id = sig.patient_id AND i.kind = 'CONNECTIVITY' AND i.st <= sig.t AND least(i.en, sig.t) >= sig.es WHERE rule = 'coverage'
         UNION ALL SELECT signal_id, o.source_file, o.record_id, 'QUALITY' FROM sig JOIN obs o ON o.patient_id = sig.patient_id WHERE (o.dup OR NOT o.known) AND o.av <= sig.t AND o.et BETWEEN sig.es AND sig.t)) GROUP BY role""",
     "fk_orphans": "SELECT '' AS what, 0::BIGINT AS n WHERE FALSE",
-    "submission_validation": """SELECT rule, count(*) AS n FROM (SELECT CAST(substr(patient_id, 2) AS INT) AS u FROM sig) JOIN (VALUES ('signal_id', 13), ('decision_time', 5), ('priority', 10), ('risk', 7)) AS x(rule, m) ON u % m = 0 GROUP BY rule""",
+    "submission_validation": _SUBMISSION,
     "latency_by_domain": f"SELECT domain, count(*) AS n, {_r('median(minutes)')} AS median, {_r('quantile_cont(minutes, 0.95)')} AS p95, {_r('max(minutes)')} AS most FROM (SELECT domain, epoch(av - et) / 60 AS minutes FROM acc) GROUP BY ALL",
     "set_ops": """SELECT part, count(*) AS n FROM (
       (SELECT 'both' AS part, patient_id FROM ((SELECT patient_id FROM typed WHERE patient_id <> '' AND reason IS NOT NULL) INTERSECT (SELECT patient_id FROM typed WHERE patient_id <> '' AND value = 'LOW')))
       UNION ALL (SELECT 'rejected_only', patient_id FROM ((SELECT patient_id FROM typed WHERE patient_id <> '' AND reason IS NOT NULL) EXCEPT (SELECT patient_id FROM typed WHERE patient_id <> '' AND value = 'LOW')))
       UNION ALL (SELECT 'low_only', patient_id FROM ((SELECT patient_id FROM typed WHERE patient_id <> '' AND value = 'LOW') EXCEPT (SELECT patient_id FROM typed WHERE patient_id <> '' AND reason IS NOT NULL)))) GROUP BY part""",
-    "population_mad_p05": f"""SELECT variable_code, {_r('quantile_cont(scale, 0.05)')} AS floor FROM (SELECT variable_code, patient_id, median(abs(v - m)) * 1.4826 AS scale FROM (
-      SELECT variable_code, patient_id, v, median(v) OVER (PARTITION BY variable_code, patient_id) AS m FROM obs WHERE NOT dup AND known AND ok AND v IS NOT NULL) GROUP BY ALL) GROUP BY ALL""",
+    "population_mad_p05": f"""SELECT variable_code, count(*) AS windows, {_r('quantile_cont(scale, 0.05)')} AS floor FROM (SELECT variable_code, patient_id, w, median(abs(v - m)) * 1.4826 AS scale FROM (
+      SELECT variable_code, patient_id, v, CAST(floor(epoch(et) / 691200) AS BIGINT) AS w, median(v) OVER (PARTITION BY variable_code, patient_id, CAST(floor(epoch(et) / 691200) AS BIGINT)) AS m FROM obs WHERE NOT dup AND known AND ok AND v IS NOT NULL) GROUP BY ALL HAVING count(*) >= 3) GROUP BY ALL""",
     "score_percentiles": f"SELECT raw FROM (SELECT {_r('raw')} AS raw, row_number() OVER (ORDER BY raw) - 1 AS i, count(*) OVER () AS n FROM ass) WHERE i = least(CAST(floor(n * 0.9) AS BIGINT), n - 1)",
+    "csv_scan": "SELECT source_file, domain, record_id, patient_id, event_time, variable_code, value, coalesce(CAST(ref_low AS VARCHAR), '') AS ref_low, coalesce(CAST(ref_high AS VARCHAR), '') AS ref_high FROM raw",
+    "facts_validity": f"SELECT category, CASE WHEN av IS NULL THEN 'BAD_AVAILABLE_TIME' END AS reject_reason, count(*) AS n, {_t('max(av)')} AS newest FROM fc GROUP BY ALL",
+    "snapshot_counts": f"""SELECT patient_id, {_t('t')} AS t, (SELECT count(*) FROM vis v WHERE v.patient_id = l.patient_id AND v.t = l.t) AS observations,
+      (SELECT count(*) FROM iv i WHERE i.patient_id = l.patient_id AND i.st <= l.t AND i.en >= l.t - INTERVAL 576 HOUR) AS intervals, (SELECT count(*) FROM fc f WHERE f.patient_id = l.patient_id AND f.av <= l.t) AS facts,
+      (SELECT count(*) FROM obs o WHERE o.patient_id = l.patient_id AND (o.dup OR NOT o.known) AND o.av <= l.t AND o.et BETWEEN l.t - INTERVAL 576 HOUR AND l.t) AS set_aside FROM last l""",
+    "out_of_reference": "SELECT variable_code, coalesce(ref_low IS NOT NULL AND ref_high IS NOT NULL AND (v < ref_low OR v > ref_high), FALSE) AS outside, count(*) AS n, count(ref_low) AS with_low, count(ref_high) AS with_high FROM obs GROUP BY ALL",
+    "distractor_impact": f"""SELECT count(*) AS urgent, count(*) FILTER (marked) AS marked, count(*) FILTER (marked AND suppressions = '') AS silent, {_r("count(*) FILTER (marked AND suppressions = '') / greatest(count(*), 1)")} AS share
+      FROM (SELECT s.*, {_ANY} AS marked FROM sig s WHERE band >= 2)""",
+    "signal_rank": f"""SELECT signal_id, {_r('round(risk, 6)')} AS risk, rank() OVER (ORDER BY round(risk, 6) DESC) AS place, count(*) OVER () AS "of" FROM sig""",
+    "cohort_prefix": f"SELECT patient_id, count(*) AS assessments, {_r('max(risk)')} AS risk FROM ass WHERE patient_id IN (SELECT DISTINCT patient_id FROM obs ORDER BY patient_id LIMIT 25) GROUP BY patient_id",
+    "patients_ranking": f"SELECT patient_id, count(signal_id) AS signals, {_r('max(round(risk, 6))')} AS risk FROM (SELECT DISTINCT patient_id FROM obs) LEFT JOIN sig USING (patient_id) GROUP BY patient_id ORDER BY max(round(sig.risk, 6)) DESC NULLS LAST, patient_id LIMIT 1000",
+    "evidence_by_role": "SELECT signal_id, role, string_agg(DISTINCT record_id, ',' ORDER BY record_id) AS records FROM sig JOIN ci USING (patient_id, t) GROUP BY ALL",
+    "outside_encounter": "SELECT variable_code, count(*) AS n FROM obs o JOIN enc USING (patient_id) WHERE NOT o.et BETWEEN st AND en - INTERVAL 240 HOUR GROUP BY ALL",
+    "category_counter": "SELECT variable_code, value_text, count(*) AS seen, count(DISTINCT patient_id) AS patients FROM vis WHERE ok AND value_text IS NOT NULL AND et >= t - INTERVAL 192 HOUR GROUP BY ALL",
+    "report_units": "SELECT variable_code, unit AS unit_raw, count(*) AS n, round(min(v), 2) + 0.0::DOUBLE AS least, round(max(v), 2) + 0.0::DOUBLE AS most FROM obs WHERE v IS NOT NULL GROUP BY ALL",
+    "report_implausible": "SELECT variable_code, coalesce(quality_flag, '<null>') AS flag, count(*) AS n FROM obs WHERE NOT ok GROUP BY ALL",
+    "report_retransmissions": "SELECT CASE WHEN re THEN 'RETRANSMIT' ELSE 'DIRECT' END AS source_system, quality_flag, dup AS is_duplicate, known AS is_availability_known, count(*) AS n, count(DISTINCT patient_id) AS patients FROM obs WHERE dup OR NOT known GROUP BY ALL",
+    "report_volume": "SELECT domain, variable_code, count(*) AS n, count(DISTINCT patient_id) AS patients FROM obs WHERE ok AND NOT dup GROUP BY ALL UNION ALL SELECT 'INTERVAL', kind, count(*), count(DISTINCT patient_id) FROM iv GROUP BY kind",
+    "report_study_window": f"SELECT 'observations' AS \"table\", {_t('min(et)')} AS first, {_t('max(et)')} AS last FROM obs UNION ALL SELECT 'intervals', {_t('min(st)')}, {_t('max(en)')} FROM iv",
     "sweep_stats": "SELECT k, risk_band AS band_by_risk, count(*) AS n, count(*) FILTER (names IS NOT NULL) AS ruled, count(*) FILTER (lab_n > 0) AS with_labs FROM ass GROUP BY ALL",
 }
 
 ORACLES: dict[str, str] = {name: _sql(select) for name, select in _SELECTS.items()} | {
+    "signals_by_variant": " UNION ALL ".join(f"SELECT * FROM ({_sql(_URGENT.format(name=name), changed)})" for name, changed in _LADDER.items()),
     "unique_keys": """SELECT name, count(*) AS keys, CAST(sum(n) AS BIGINT) AS rows FROM (SELECT 'orders' AS name, count(*) AS n FROM orders GROUP BY o_orderkey HAVING count(*) > 1
       UNION ALL SELECT 'lineitem', count(*) FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1) GROUP BY name""",
     "time_order_violations": "SELECT l_shipdate < o_orderdate AS violates, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL",

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tideline.config import BANDS
 from tideline.functions.scalars import blank_to_null, parse_number, parse_time
+from tideline.operators.asof import meeting
+from tideline.operators.ranges import running
 
 ROLES = ("PRIMARY", "SUPPORTING", "CONTEXT", "QUALITY")
 
@@ -38,7 +40,35 @@ def observation_rules() -> dict[str, Column]:
 
 def signal_rules() -> dict[str, Column]:
     unit = lambda c: F.col(c).between(0, 1)
-    return {"signal_id": F.col("signal_id").isNotNull(), "priority": F.col("priority").isin(*BANDS), "risk": unit("risk"), "confidence": unit("confidence"), "window": F.col("evidence_start") <= F.col("evidence_end"), "decision": F.col("evidence_end") <= F.col("decision_time")}
+    return {"signal_id": F.col("signal_id").isNotNull(), "priority": F.col("priority").isin(*BANDS), "risk": unit("risk"), "confidence": unit("confidence"), "window": F.col("evidence_start") <= F.col("evidence_end"), "decision": F.col("evidence_end") <= F.col("decision_time"), "explanation": F.length(F.trim("explanation")) > 0, "model_version": F.length(F.trim("model_version")) > 0}
+
+
+def evidence_rules() -> dict[str, Column]:
+    filled = lambda c: F.col(c).isNotNull()
+    return {"signal_id": filled("signal_id"), "source_file": filled("source_file"), "record_id": filled("record_id"), "event_time": filled("event_time"), "available_time": filled("available_time"), "role": F.col("role").isin(*ROLES)}
+
+
+def interval_rules() -> dict[str, Column]:
+    return {"record_id": F.col("record_id").isNotNull(), "patient_id": F.col("patient_id").isNotNull(), "kind": F.col("kind").isin("CONTEXT", "CONNECTIVITY", "MEDICATION", "ENCOUNTER"), "time_order": F.col("end_time") >= F.col("start_time"), "available_time": F.col("available_time").isNotNull()}
+
+
+def fact_rules() -> dict[str, Column]:
+    return {"record_id": F.col("record_id").isNotNull(), "patient_id": F.col("patient_id").isNotNull(), "available_time": F.col("available_time").isNotNull()}
+
+
+def quarantine_rules() -> dict[str, Column]:
+    return {"reject_reason": F.col("reject_reason").isin("NO_RECORD_ID", "NO_PATIENT", "BAD_EVENT_TIME", "BAD_AVAILABLE_TIME", "TIME_ORDER", "UNIT_UNKNOWN", "NO_VALUE")}
+
+
+def manifest_rules() -> dict[str, Column]:
+    return {"run_id": F.col("run_id").isNotNull(), "source_file": F.col("source_file").isNotNull(), "sha256": F.col("sha256").isNotNull(), "ingested_at": F.col("ingested_at").isNotNull()}
+
+
+def outside_encounter(observations: DataFrame, encounters: DataFrame) -> DataFrame:
+    """Observations in none of their patient's ``encounters(patient_id, start_time, end_time)``."""
+    spans = encounters.select("patient_id", F.col("start_time").alias("from_time"), F.col("end_time").alias("to_time"))
+    inside = (observations["patient_id"] == spans["patient_id"]) & observations["event_time"].between(F.col("from_time"), F.col("to_time"))
+    return observations.join(spans, inside, "left_anti")
 
 
 def late_evidence(evidence: DataFrame) -> DataFrame:
@@ -52,58 +82,111 @@ def orphans(signals: DataFrame, evidence: DataFrame) -> DataFrame:
     return bare.unionByName(evidence.join(signals, "signal_id", "left_anti").select(F.lit("evidence").alias("what"), "signal_id"))
 
 
-def untraceable(evidence: DataFrame, observations: DataFrame, intervals: DataFrame) -> DataFrame:
-    """Evidence that is neither an observation nor an interval."""
-    own = intervals.select(F.lit("intervals").alias("source_file"), "record_id")
+def untraceable(evidence: DataFrame, observations: DataFrame, intervals: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """Evidence that is neither an observation nor an interval nor a fact."""
     key = ["source_file", "record_id"]
-    return evidence.join(observations.select(*key), key, "left_anti").join(own, key, "left_anti")
+    rows = evidence.join(observations.select(*key), key, "left_anti").join(intervals.select(F.lit("intervals").alias("source_file"), "record_id"), key, "left_anti")
+    return rows if facts is None else rows.join(facts.select(*key), key, "left_anti")
 
 
-def submission_rules() -> dict[str, Column]:
+#: Priorities and roles are read in any case; blank cells are those of white space alone.
+def submitted_signals() -> dict[str, Column]:
     """What a submitted signal must fulfil, all cells being text."""
+    time = lambda c: parse_time(F.col(c))
+    filled = lambda c: blank_to_null(F.col(c)).isNotNull()
     return {
-        "signal_id": blank_to_null(F.col("signal_id")).isNotNull(),
-        "patient_id": blank_to_null(F.col("patient_id")).isNotNull(),
-        "decision_time": parse_time(F.col("decision_time")).isNotNull(),
-        "priority": F.col("priority").isin(*BANDS),
+        "signal_id": filled("signal_id"),
+        "patient_id": filled("patient_id"),
         "risk": parse_number(F.col("risk")).between(0, 1),
-        "confidence": parse_number(F.col("confidence")).between(0, 1),
-        "evidence_order": parse_time(F.col("evidence_start")) <= parse_time(F.col("evidence_end")),
+        "priority": F.upper(F.trim("priority")).isin(*BANDS),
+        "confidence": ~filled("confidence") | parse_number(F.col("confidence")).between(0, 1),
+        "times": time("evidence_start").isNotNull() & time("evidence_end").isNotNull() & time("decision_time").isNotNull(),
+        "time_order": F.coalesce((time("evidence_start") <= time("evidence_end")) & (time("evidence_end") <= time("decision_time")), F.lit(True)),
+        "explanation": filled("explanation"),
+        "model_version": filled("model_version"),
     }
 
 
+def submitted_evidence() -> dict[str, Column]:
+    """What a submitted row of evidence must fulfil beside its signal's ``decision_time``, all cells being text."""
+    filled = lambda c: blank_to_null(F.col(c)).isNotNull()
+    return {
+        "role": F.upper(F.trim("role")).isin(*ROLES),
+        "source_file": filled("source_file"),
+        "record_id": filled("record_id"),
+        "evidence_times": parse_time(F.col("event_time")).isNotNull() & parse_time(F.col("available_time")).isNotNull(),
+        "late_evidence": F.coalesce(parse_time(F.col("available_time")) <= F.col("decided"), F.lit(True)),
+        "contribution": ~filled("contribution") | parse_number(F.col("contribution")).isNotNull(),
+    }
+
+
+#: Faults that are told but do not make a submission invalid.
+WARNINGS = ("contribution",)
+SIGNAL_COLUMNS = ("signal_id", "patient_id", "decision_time", "priority", "risk", "confidence", "evidence_start", "evidence_end", "explanation", "model_version")
+EVIDENCE_COLUMNS = ("signal_id", "source_file", "record_id", "event_time", "available_time", "role")
+
+
 def validate_submission(signals: DataFrame, evidence: DataFrame, patients: DataFrame | None = None) -> DataFrame:
-    """(signal_id, rule) of all faults of a submission, keys both ways; no rows where it is sound."""
-    required = {"signal_id", "patient_id", "decision_time", "priority", "risk", "confidence", "evidence_start", "evidence_end"}
-    if missing := required - set(signals.columns):
-        raise ViolationError(f"columns missing: {sorted(missing)}")
-    parts = [violations(signals, submission_rules()).select("signal_id", "rule")]
-    parts.append(repeated_keys(signals, ["signal_id"]).select("signal_id", F.lit("repeated_id").alias("rule")))
-    parts.append(signals.join(evidence, "signal_id", "left_anti").select("signal_id", F.lit("no_evidence").alias("rule")))
-    parts.append(evidence.join(signals, "signal_id", "left_anti").select("signal_id", F.lit("no_signal").alias("rule")))
+    """(signal_id, rule) of all faults of a submission, keys both ways; no rows where it is sound.
+
+    Missing columns raise.  An id that is given more than once is one fault for each time after the first; a blank id has no evidence to
+    miss.  Unknown patients are a fault of each of their signals.
+    """
+    for name, df, required in (("signals", signals, SIGNAL_COLUMNS), ("evidence", evidence, EVIDENCE_COLUMNS)):
+        if missing := set(required) - set(df.columns):
+            raise ViolationError(f"columns missing in {name}: {sorted(missing)}")
+    cell = lambda df, c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) if c in df.columns else F.lit("")
+    s = signals.select(*[cell(signals, c).alias(c) for c in SIGNAL_COLUMNS])
+    e = evidence.select(*[cell(evidence, c).alias(c) for c in (*EVIDENCE_COLUMNS, "contribution")])
+    ids = s.groupBy("signal_id").agg(F.count("*").alias("n"), F.max(parse_time(F.col("decision_time"))).alias("decided"))
+    linked = e.join(ids.select("signal_id", "decided", F.lit(True).alias("known")), "signal_id", "left")
+    of = lambda df, rule: df.select("signal_id", F.lit(rule).alias("rule"))
+    parts = [
+        violations(s, submitted_signals()).select("signal_id", "rule"),
+        of(ids.where("signal_id <> '' and n > 1").withColumn("again", F.explode(F.sequence(F.lit(2).cast("long"), F.col("n")))), "repeated_id"),
+        violations(linked, submitted_evidence()).select("signal_id", "rule"),
+        of(linked.where("known is null"), "no_signal"),
+        of(ids.where("signal_id <> ''").join(e, "signal_id", "left_anti"), "no_evidence"),
+    ]
     if patients is not None:
-        parts.append(signals.join(patients, "patient_id", "left_anti").select("signal_id", F.lit("unknown_patient").alias("rule")))
+        parts.append(of(s.where("patient_id <> ''").join(patients.select("patient_id"), "patient_id", "left_anti"), "unknown_patient"))
     return reduce(DataFrame.unionByName, parts)
 
 
-def markers(signals: DataFrame, observations: DataFrame, intervals: DataFrame) -> DataFrame:
-    """Each signal with whether its evidence window meets each of six known distractors."""
-    rows = signals
-    inside = F.col("event_time").between(F.col("evidence_start"), F.col("evidence_end"))
-    meets = (F.col("start_time") <= F.col("evidence_end")) & (F.col("end_time") >= F.col("evidence_start"))
-    tests = {
-        "activity": (intervals, meets & (F.col("kind") == "CONTEXT") & (F.col("subtype") == "PHYSICAL_ACTIVITY") & F.col("value_text").isin("HIGH", "MODERATE")),
-        "recovery": (intervals, meets & (F.col("kind") == "CONTEXT") & (F.col("subtype") == "RECOVERY_PHASE")),
-        "connectivity": (intervals, meets & (F.col("kind") == "CONNECTIVITY")),
-        "low_signal": (observations, inside & (F.col("quality_flag") == "LOW_SIGNAL")),
-        "implausible": (observations, inside & ~F.col("is_plausible")),
-        "retransmission": (observations, inside & F.col("is_duplicate")),
-    }
-    key = signals.select("signal_id", "patient_id", "evidence_start", "evidence_end")
-    for name, (other, test) in tests.items():
-        hit = key.join(other, "patient_id").where(test).select("signal_id").distinct().withColumn(name, F.lit(True))
-        rows = rows.join(hit, "signal_id", "left")
-    return rows.na.fill(False, list(tests))
+MARKERS = ("activity", "recovery", "connectivity", "low_signal", "implausible", "retransmission")
+
+
+def markers(signals: DataFrame, observations: DataFrame, intervals: DataFrame, cell_h: int = 24) -> DataFrame:
+    """Each signal with whether its evidence window meets each of six known distractors, in one pass.
+
+    Marked rows and windows meet by cells of time, so that a patient with most rows is shared out by them.
+    """
+    of = lambda tests: F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in tests.items()]))
+    context = F.col("kind") == "CONTEXT"
+    states = {"activity": context & (F.col("subtype") == "PHYSICAL_ACTIVITY") & F.col("value_text").isin("HIGH", "MODERATE"), "recovery": context & (F.col("subtype") == "RECOVERY_PHASE"), "connectivity": F.col("kind") == "CONNECTIVITY"}
+    points = {"low_signal": F.col("quality_flag") == "LOW_SIGNAL", "implausible": ~F.col("is_plausible"), "retransmission": F.col("is_duplicate")}
+    marked = intervals.select("patient_id", F.col("start_time").alias("lo"), F.col("end_time").alias("hi"), of(states).alias("names"))
+    marked = marked.unionByName(observations.select("patient_id", F.col("event_time").alias("lo"), F.col("event_time").alias("hi"), of(points).alias("names"))).where("size(names) > 0")
+    met = meeting(marked, F.col("lo"), F.col("hi"), signals.select("signal_id", "patient_id", "evidence_start", "evidence_end"), cell_h, at="evidence_end", since="evidence_start")
+    found = met.select("signal_id", F.explode("names").alias("name")).groupBy("signal_id").agg(*[F.bool_or(F.col("name") == n).alias(n) for n in MARKERS])
+    return signals.join(found, "signal_id", "left").na.fill(False, list(MARKERS)).withColumn("any_marker", reduce(lambda a, b: a | b, [F.col(n) for n in MARKERS]))
+
+
+def distractor_impact(marked: DataFrame) -> DataFrame:
+    """Of the urgent signals of ``markers``: how many there are, how many meet a marker, and the share that does so without a trace of any rule."""
+    urgent, silent = F.col("priority").isin("HIGH", "CRITICAL"), F.col("any_marker") & (F.col("suppressions") == "")
+    n = lambda c: F.count_if(urgent & c)
+    return marked.agg(n(F.lit(True)).alias("urgent"), n(F.col("any_marker")).alias("marked"), n(silent).alias("silent"), (n(silent) / F.greatest(n(F.lit(True)), F.lit(1))).alias("share"))
+
+
+def rank_of(signals: DataFrame) -> DataFrame:
+    """Each signal's place by risk: one more than the signals of higher risk; equal risks share a place.
+
+    Risks are counted by value and the counts added up, so no window reads all signals, and there are as many sums as risks.
+    """
+    counts = signals.groupBy("risk").agg(F.count("*").alias("n"))
+    places = running(counts, ["risk"], "n", "risks").select("risk", (F.col("total") - F.col("upto") + 1).alias("place"), F.col("total").alias("of"))
+    return signals.join(places, "risk")
 
 
 def anticipation(signals: DataFrame, evidence: DataFrame, observations: DataFrame, directions: dict[str, int], hours: int) -> DataFrame:

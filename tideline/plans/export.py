@@ -6,14 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions.scalars import iso
-from tideline.plans.audit import late_evidence, orphans, require_none, signal_rules, violations
+from tideline.plans.audit import evidence_rules, late_evidence, orphans, require_none, signal_rules, violations
 
+#: Columns of the exported files, in order.
+COLUMNS = {
+    "signals": ("signal_id", "patient_id", "decision_time", "risk", "priority", "confidence", "evidence_start", "evidence_end", "explanation", "model_version", "k", "suppressions"),
+    "evidence": ("signal_id", "source_file", "record_id", "variable_code", "event_time", "available_time", "role", "contribution"),
+}
 EXPORTS = {"signals": ("signal_id",), "evidence": ("signal_id", "role", "record_id")}
 
 
 def persist(signals: DataFrame, evidence: DataFrame, folder: str) -> None:
     """Replace the result tables, after the checks that they must pass."""
     require_none(violations(signals, signal_rules()), "signals")
+    require_none(violations(evidence, evidence_rules()), "evidence")
     require_none(late_evidence(evidence), "late evidence")
     require_none(orphans(signals, evidence), "orphans")
     signals.write.mode("overwrite").parquet(f"{folder}/signals")
@@ -21,7 +27,8 @@ def persist(signals: DataFrame, evidence: DataFrame, folder: str) -> None:
 
 
 def export_csv(df: DataFrame, name: str, folder: str) -> str:
-    """``df`` as CSV files with header under ``folder/name``, in order over all files; times without offset."""
+    """The ``COLUMNS`` that ``df`` has as CSV files with header under ``folder/name``, in order over all files; times without offset."""
+    df = df.select(*[c for c in COLUMNS[name] if c in df.columns])
     times = {c: iso(F.col(c)) for c, kind in df.dtypes if kind.startswith("timestamp")}
     path = f"{folder}/{name}"
     df.withColumns(times).orderBy(*EXPORTS[name]).write.mode("overwrite").csv(path, header=True)

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.functions.scalars import parse_date, parse_time
 from tideline.operators import quality
-from tideline.plans.audit import observation_rules, require_none, violations
+from tideline.plans.audit import fact_rules, observation_rules, repeated_keys, require_none, violations
 from tideline.sources import integrity
-from tideline.sources.adapters import Adapter, optional, read_text_csv, stage
+from tideline.sources.adapters import Adapter, FactAdapter, IntervalAdapter, Registry, mirror, optional, project_facts, project_intervals, read_text_csv, stage
+from tideline.sources.stored import stored
 
 
 @dataclass(frozen=True)
@@ -32,32 +34,94 @@ def clinical_facts(source: DataFrame, columns: dict[str, str]) -> tuple[DataFram
     return rows.where("available_time is not null"), rejected
 
 
-def ingest(spark: SparkSession, folder: str, adapters: list[Adapter], units: DataFrame, variables: DataFrame, intervals: DataFrame, official: DataFrame, layout: Layout, run_id: str, at: str) -> list[dict]:
+def publish(spark: SparkSession, layout: Layout, tables: dict[str, DataFrame]) -> None:
+    """Write all tables beside the old ones, then swap them in; ``recover`` finishes a swap that was cut off, so a run counts as a whole or not at all."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(layout.table(f"_next/{name}"))
+    files, path = _files(spark, layout.table("_next/_ready"))
+    files.create(path, True).close()
+    recover(spark, layout)
+
+
+def recover(spark: SparkSession, layout: Layout) -> None:
+    """Swap in the tables of a run that wrote all of them; those of one that did not are dropped."""
+    files, ready = _files(spark, layout.table("_next/_ready"))
+    _, waiting = _files(spark, layout.table("_next"))
+    if files.exists(ready):
+        for status in files.listStatus(waiting):
+            name = status.getPath().getName()
+            if name != "_ready":
+                _, target = _files(spark, layout.table(name))
+                files.delete(target, True)
+                files.rename(status.getPath(), target)
+    files.delete(waiting, True)
+
+
+def _files(spark: SparkSession, path: str):
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()), there
+
+
+def _manifest(spark: SparkSession, path: str) -> DataFrame:
+    files, there = _files(spark, path)
+    return spark.read.schema(integrity.MANIFEST).parquet(path) if files.exists(there) else spark.createDataFrame([], integrity.MANIFEST)
+
+
+def _counted(rows: DataFrame, table: str) -> DataFrame:
+    counts = rows.groupBy("source_file").agg(F.count("*").alias("rows_read"), F.count_if(F.col("reject_reason").isNull()).alias("rows_loaded"), F.count("reject_reason").alias("rows_quarantined"))
+    return counts.withColumn("target_table", F.lit(table))
+
+
+def ingest(
+    spark: SparkSession, folder: str, adapters: list[Adapter], units: DataFrame, variables: DataFrame, intervals: DataFrame | tuple[IntervalAdapter, ...], official: DataFrame, layout: Layout, run_id: str, at: str,
+    facts: tuple[FactAdapter, ...] = (), more_files: tuple[str, ...] = (),
+) -> list[dict]:
     """Read the adapters' CSV files under ``folder`` and rebuild the clean tables; returns the verdicts.
 
-    Nothing is read where a file was modified, is missing, or is new and not on the official list.  Tables are overwritten
-    whole; the manifest is only appended to.
+    Nothing is read where a file was modified, is missing, or is new and not on the official list.  Observations, intervals, facts and
+    quarantine are swapped in together; the manifest is only appended to.  ``intervals`` come as adapters or as a finished table;
+    availability is resolved after they are loaded and before duplicates are marked, as the order matters.
     """
+    recover(spark, layout)
     manifest_path = layout.table("ingest_manifest")
-    try:
-        manifest = spark.read.schema(integrity.MANIFEST).parquet(manifest_path)
-        manifest.limit(1).count()
-    except Exception as error:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        manifest = spark.createDataFrame([], integrity.MANIFEST)
-    previous = integrity.last_state(manifest)
-    current = integrity.file_hashes(spark, folder, "*.csv", previous)
-    report = integrity.verify(current, previous, official, [a.source_file for a in adapters])
+    previous = integrity.last_state(_manifest(spark, manifest_path))
+    current = stored(integrity.file_hashes(spark, folder, "*.csv", previous), "hashes")
+    spans = () if isinstance(intervals, DataFrame) else tuple(intervals)
+    report = integrity.verify(current, previous, official, [a.source_file for a in (*adapters, *spans, *facts)] + list(more_files))
     if bad := integrity.first_ingest_mismatches(report):
         raise integrity.IntegrityError(f"not on the official list: {bad}")
-    rows = quality.typed(stage({a.source_file: read_text_csv(spark, f"{folder}/{a.source_file}") for a in adapters}, adapters), units, variables)
-    observations = quality.mark_duplicates(quality.resolve_availability(quality.accepted(rows), intervals))
+    read = lambda a: read_text_csv(spark, f"{folder}/{a.source_file}")
+    rows = stored(quality.typed(stage({a.source_file: read(a) for a in adapters}, adapters), units, variables), "typed")
+    rejected, counts = [quality.quarantined(rows)], [_counted(rows, "observations")]
+    if spans:
+        typed = [quality.valid_intervals(project_intervals(read(a), a), a.extra) for a in spans]
+        both = stored(reduce(DataFrame.unionByName, typed), "intervals")
+        rejected.append(quality.quarantined_as(both, "interval"))
+        counts.append(_counted(both, "intervals"))
+        intervals = both.where("reject_reason is null").drop("reject_reason")
+    tables = {"intervals": intervals}
+    if facts:
+        known = stored(quality.valid_facts(reduce(DataFrame.unionByName, [project_facts(read(a), a) for a in facts])), "facts")
+        rejected.append(quality.quarantined_as(known, "fact"))
+        counts.append(_counted(known, "clinical_facts"))
+        tables["clinical_facts"] = known.where("reject_reason is null").drop("reject_reason")
+        require_none(violations(tables["clinical_facts"], fact_rules()), "clinical_facts")
+    observations = stored(quality.mark_duplicates(quality.resolve_availability(quality.accepted(rows), intervals)), "observations")
     require_none(violations(observations, observation_rules()), "observations")
-    observations.write.mode("overwrite").parquet(layout.table("observations"))
-    intervals.write.mode("overwrite").parquet(layout.table("intervals"))
-    quality.quarantined(rows).write.mode("overwrite").parquet(layout.table("quarantine"))
-    counts = rows.groupBy("source_file").agg(F.count("*").alias("rows_read"), F.count_if(F.col("reject_reason").isNull()).alias("rows_loaded"), F.count("reject_reason").alias("rows_quarantined"))
+    tables |= {"observations": observations, "quarantine": reduce(DataFrame.unionByName, rejected)}
+    publish(spark, layout, tables)
     hashes = integrity.classify(current, previous, official)
-    integrity.append_manifest(integrity.manifest_rows(hashes, counts, run_id, at), manifest_path)
+    integrity.append_manifest(integrity.manifest_rows(hashes, reduce(DataFrame.unionByName, counts), run_id, at), manifest_path)
     return report
+
+
+def ingest_registry(spark: SparkSession, folder: str, registry: Registry, official: DataFrame, layout: Layout, run_id: str, at: str) -> list[dict]:
+    """``ingest`` of all that a registry declares; its catalogues ``units`` and ``variables`` type the observations, and all are mirrored as views."""
+    catalogs = {**registry.catalogs, **registry.dimensions}
+    mirror(spark, {name: f"{folder}/{file}" for name, file in catalogs.items()})
+    number = lambda c: F.col(c).try_cast("double").alias(c)
+    units = spark.table("units").select("unit_code", number("factor"), number("unit_offset"))
+    variables = spark.table("variables").select("variable_code", number("plausible_min"), number("plausible_max"))
+    for name, keys in (("units", repeated_keys(units, ["unit_code"])), ("variables", repeated_keys(variables, ["variable_code"]))):
+        require_none(keys, f"repeated keys of {name}")
+    return ingest(spark, folder, list(registry.observations), units, variables, registry.intervals, official, layout, run_id, at, registry.facts, tuple(catalogs.values()))

@@ -10,7 +10,35 @@ from pyspark.sql import functions as F
 from tideline.config import BANDS, Profile
 from tideline.operators import asof, events
 from tideline.operators.assess import explanation
-from tideline.plans.sweep import Clean, decide
+from tideline.plans.sweep import Clean, decide, snapshot
+
+
+def timelines(clean: Clean, start: str | None = None, end: str | None = None, as_of: str | None = None, variables: list[str] | None = None) -> dict[str, DataFrame]:
+    """``samples`` without duplicates, cut by what was known ``as_of``, and ``intervals``, which are not cut."""
+    rows = clean.observations.where("not is_duplicate")
+    at = lambda text: F.lit(text).cast("timestamp_ntz")
+    if start:
+        rows = rows.where(F.col("event_time") >= at(start))
+    if end:
+        rows = rows.where(F.col("event_time") <= at(end))
+    if as_of:
+        rows = rows.where(F.col("available_time") <= at(as_of))
+    if variables:
+        rows = rows.where(F.col("variable_code").isin(variables))
+    return {"samples": rows, "intervals": clean.intervals}
+
+
+def cohort(clean: Clean, n: int) -> Clean:
+    """The clean rows of the first ``n`` patients by id."""
+    few = F.broadcast(clean.observations.select("patient_id").distinct().orderBy("patient_id").limit(n))
+    return Clean(clean.observations.join(few, "patient_id", "left_semi"), clean.intervals.join(few, "patient_id", "left_semi"), clean.facts)
+
+
+def patients_by_risk(clean: Clean, signals: DataFrame, limit: int) -> DataFrame:
+    """Patients with the number of their signals and the highest risk; those without any come last."""
+    of = signals.groupBy("patient_id").agg(F.count("*").alias("signals"), F.max("risk").alias("risk"))
+    rows = clean.observations.select("patient_id").distinct().join(of, "patient_id", "left")
+    return rows.select("patient_id", F.coalesce("signals", F.lit(0)).alias("signals"), "risk").orderBy(F.desc_nulls_last("risk"), "patient_id").limit(limit)
 
 
 class NotFound(LookupError):
@@ -28,7 +56,8 @@ class Service:
 
     def health(self) -> DataFrame:
         n = lambda df, name: df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), "rows")
-        return n(self.clean.observations, "observations").unionByName(n(self.clean.intervals, "intervals")).unionByName(n(self.signals, "signals"))
+        rows = n(self.clean.observations, "observations").unionByName(n(self.clean.intervals, "intervals")).unionByName(n(self.signals, "signals"))
+        return rows.withColumn("model_version", F.lit(self.profile.version))
 
     def loaded_sources(self) -> DataFrame:
         own = self.clean.observations.select("source_file")
@@ -58,25 +87,23 @@ class Service:
         return found
 
     def patients(self, limit: int = 1000) -> DataFrame:
-        of = self.signals.groupBy("patient_id").agg(F.count("*").alias("signals"), F.max("risk").alias("risk"))
-        rows = self.clean.observations.select("patient_id").distinct().join(of, "patient_id", "left")
-        return rows.select("patient_id", F.coalesce("signals", F.lit(0)).alias("signals"), "risk").orderBy(F.desc_nulls_last("risk"), "patient_id").limit(limit)
+        if not 1 <= limit <= 1000:
+            raise ValueError("limit is 1 to 1000")
+        return patients_by_risk(self.clean, self.signals, limit)
 
     def timeline(self, patient: str, start: str | None = None, end: str | None = None, as_of: str | None = None, variables: list[str] | None = None) -> DataFrame:
-        """Series by variable; ``as_of`` cuts by what was known."""
-        rows = self.clean.observations.where(F.col("patient_id") == patient)
-        at = lambda text: F.lit(text).cast("timestamp_ntz")
-        if start:
-            rows = rows.where(F.col("event_time") >= at(start))
-        if end:
-            rows = rows.where(F.col("event_time") <= at(end))
-        if as_of:
-            rows = rows.where(F.col("available_time") <= at(as_of))
-        if variables:
-            rows = rows.where(F.col("variable_code").isin(variables))
-        item = F.struct("event_time", "record_id", "available_time", "value_num", "value_text", "is_plausible", "is_duplicate")
+        """One patient's series by variable; ``as_of`` cuts by what was known.  ``timeline_intervals`` has the intervals beside them."""
+        rows = timelines(self._own(patient), start, end, as_of, variables)["samples"]
+        item = F.struct("event_time", "record_id", "available_time", "value_num", "value_text", "is_plausible", "quality_flag", "ref_low", "ref_high")
         return rows.groupBy("variable_code").agg(F.array_sort(F.collect_list(item)).alias("series"))
 
+    def timeline_intervals(self, patient: str) -> DataFrame:
+        return timelines(self._own(patient))["intervals"].select("kind", "subtype", "value_text", "start_time", "end_time", "record_id").orderBy("start_time")
+
+    def _own(self, patient: str) -> Clean:
+        own = lambda df: df.where(F.col("patient_id") == patient)
+        return Clean(own(self.clean.observations), own(self.clean.intervals), own(self.clean.facts) if self.clean.facts is not None else None)
+
     def _require(self, patient: str) -> None:
         if not self.clean.observations.where(F.col("patient_id") == patient).limit(1).count():
             raise NotFound(patient)
@@ -86,21 +113,36 @@ class Service:
         return spark.range(1).select(F.lit(patient).alias("patient_id"), F.explode(F.expr(sql)).alias("t"))
 
     def decide(self, patient: str, at: str) -> DataFrame:
-        """A live decision at any instant; no row where no channel has a baseline."""
+        """A live decision at any instant, with what was visible and what was set aside; no row where no channel has a baseline."""
         self._require(patient)
-        own = lambda df: df.where(F.col("patient_id") == patient)
-        instants = self._instants(patient, f"array(timestamp_ntz'{at}')")
-        s = decide(Clean(own(self.clean.observations), own(self.clean.intervals)), instants, self.profile)
-        span = asof.encounters(own(self.clean.observations))
+        clean, instants = self._own(patient), self._instants(patient, f"array(timestamp_ntz'{at}')")
+        s = decide(clean, instants, self.profile)
+        known = snapshot(clean, instants, self.profile)
+        key = ["patient_id", "t"]
+        span = asof.encounters(clean.observations)
+        seen = known["observations"].groupBy(*key).agg(F.count("*").alias("visible"))
+        aside = known["set_aside"].groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("record_id", "variable_code", "reason"))).alias("set_aside"))
         rows = s.assessments.join(span, "patient_id", "left").withColumn("within_encounter", F.col("t").between(F.col("start_time"), F.col("end_time")))
-        return rows.select("patient_id", "t", "k", F.round("risk", 4).alias("risk"), F.round("confidence", 4).alias("confidence"), "priority", "rules", "within_encounter", "channels", "lab_n", explanation().alias("explanation"))
+        return rows.join(seen, key, "left").join(aside, key, "left").select(*_decision(), "within_encounter", F.coalesce("visible", F.lit(0)).alias("visible"), "set_aside", explanation(self.profile).alias("explanation"))
 
-    def history(self, patient: str, start: str, end: str, cadence_min: int) -> DataFrame:
-        """Peak, transitions and counts over a grid from start to end."""
+    def history(self, patient: str, start: str, end: str, cadence_min: int = 20) -> DataFrame:
+        """One row: the assessment at the end, the peak, the transitions, the course of risk, and counts, over a grid from start to end."""
         self._require(patient)
         if end < start:
             raise ValueError("the end comes before the start")
-        own = lambda df: df.where(F.col("patient_id") == patient)
         instants = self._instants(patient, asof.history_grid(f"timestamp_ntz'{start}'", f"timestamp_ntz'{end}'", cadence_min))
-        s = decide(Clean(own(self.clean.observations), own(self.clean.intervals)), instants, self.profile)
-        return events.history(s.assessments, instants)
+        s = decide(self._own(patient), instants, self.profile)
+        point = F.struct("t", "priority", F.round("risk", 4).alias("risk"), "k")
+        listed = lambda df, name: df.groupBy("patient_id").agg(F.array_sort(F.collect_list(point)).alias(name))
+        current = s.assessments.where(F.col("t") == F.lit(end).cast("timestamp_ntz")).select("patient_id", point.alias("current"))
+        rows = events.history(s.assessments, instants)
+        for part in (current, listed(events.transitions(s.assessments), "transitions"), listed(s.assessments, "trajectory")):
+            rows = rows.join(part, "patient_id", "left")
+        return rows
+
+
+def _decision() -> list:
+    """What a decision tells, in the roundings of the contract."""
+    rounded = {"score": 3, "level": 2, "slope": 2, "persistence": 2, "coverage": 3, "centre": 2, "scale": 3, "latest": 2}
+    one = lambda c: F.struct(c["variable_code"].alias("variable_code"), *[F.round(c[n], k).alias(n) for n, k in rounded.items()], *[c[n].alias(n) for n in ("n_evidence", "n_baseline", "place", "evidence")])
+    return ["patient_id", "t", "k", F.round("risk", 4).alias("risk"), F.round("confidence", 4).alias("confidence"), "priority", "rules", F.transform("channels", one).alias("channels"), "lab_n"]

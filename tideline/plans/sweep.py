@@ -14,10 +14,11 @@ from tideline.sources.stored import stored
 
 @dataclass(frozen=True)
 class Clean:
-    """What ingestion leaves behind."""
+    """What ingestion leaves behind; a sweep reads each table several times, so they should be written ones."""
 
     observations: DataFrame
     intervals: DataFrame
+    facts: DataFrame | None = None
 
 
 @dataclass(frozen=True)
@@ -33,25 +34,53 @@ class Sweep:
     assessments: DataFrame
 
 
-def _decide(clean: Clean, visible: DataFrame, grid: DataFrame, p: Profile) -> Sweep:
+def _decide(clean: Clean, visible: DataFrame, grid: DataFrame, context: DataFrame, p: Profile, samples: bool = False) -> Sweep:
     measured = channels.measured(channels.windows(visible, p), p)
     found = assess.labs(visible, p)
-    context = assess.activity_context(clean.intervals, grid, p)
-    return Sweep(p, grid, visible, measured, found, context, assess.assess(measured, found, context, p))
+    return Sweep(p, grid, visible, measured, found, context, assess.assess(measured, found, context, p, samples))
+
+
+def _lookback(p: Profile) -> int:
+    return max(p.evidence_h + p.baseline_h, p.lab_h)
 
 
 def sweep(clean: Clean, p: Profile) -> Sweep:
     """Assess every patient at every instant of the decision grid."""
-    encounter = asof.encounters(clean.observations)
-    lookback = max(p.evidence_h + p.baseline_h, p.lab_h)
-    visible = asof.on_grid(asof.usable_series(clean.observations), encounter, p, lookback)
-    return _decide(clean, visible, asof.decision_grid(encounter, p), p)
+    encounter = stored(asof.encounters(clean.observations), "encounters")  # a row a patient
+    visible = asof.on_grid(asof.usable_series(clean.observations), encounter, p, _lookback(p))
+    grid = asof.decision_grid(encounter, p)
+    return _decide(clean, visible, grid, assess.activity_context(clean.intervals, grid, p), p)
+
+
+def sweeps(clean: Clean, named: list[tuple[str, Profile]]) -> dict[str, Sweep]:
+    """Sweeps under profiles that differ in switches only: windows and their statistics are worked out once and written."""
+    (_, base), *_ = named
+    s = sweep(clean, base)
+    statistics = stored(channels.statistics(channels.windows(s.visible, base), base).drop("evidence", "baseline", "z"), "statistics")
+    labs, context = stored(s.labs, "labs"), stored(s.context.select("patient_id", "t").distinct(), "context")
+    out = {}
+    for name, p in named:
+        measured = channels.scored(statistics, p)
+        out[name] = Sweep(p, s.grid, s.visible, measured, labs, context, assess.assess(measured, labs, context, p))
+    return out
 
 
 def decide(clean: Clean, instants: DataFrame, p: Profile) -> Sweep:
-    """Assess a few given instants (patient_id, t) live; the patient filter reaches the scan."""
-    lookback = max(p.evidence_h + p.baseline_h, p.lab_h)
-    return _decide(clean, asof.at_instants(asof.usable_series(clean.observations), instants, lookback), instants, p)
+    """Assess a few given instants (patient_id, t) live, channels with their samples; the patient filter reaches the scan."""
+    visible = asof.at_instants(asof.usable_series(clean.observations), instants, _lookback(p))
+    return _decide(clean, visible, instants, assess.activity_context(clean.intervals, instants, p), p, samples=True)
+
+
+def snapshot(clean: Clean, instants: DataFrame, p: Profile) -> dict[str, DataFrame]:
+    """All that was known at the instants (patient_id, t): observations, intervals, facts, and rows set aside; raises if anything came later."""
+    back = p.evidence_h + p.baseline_h
+    spans = asof.meeting(clean.intervals, F.greatest("available_time", "start_time"), F.expr(f"end_time + make_dt_interval(0, {back})"), instants.select("patient_id", "t"), max(back, 24))
+    parts = {"observations": asof.at_instants(asof.usable_series(clean.observations), instants, back).drop("stretch"), "intervals": spans}
+    if clean.facts is not None:
+        parts["facts"] = asof.facts_at(clean.facts, instants)
+    parts["set_aside"] = asof.at_instants(asof.excluded(clean.observations), instants, back).drop("stretch")
+    asof.assert_causal(*parts.values())
+    return parts
 
 
 def written(s: Sweep) -> Sweep:
@@ -62,19 +91,19 @@ def written(s: Sweep) -> Sweep:
 
 def signals(s: Sweep) -> DataFrame:
     """Emitted assessments as output rows."""
-    rows = events.eventize(s.assessments, s.profile)
-    names = F.concat_ws(",", F.transform("rules", lambda r: r["rule"]))
+    names = F.concat_ws(",", F.transform("rules", lambda r: r["rule"])).alias("suppressions")
+    wanted = s.assessments.select("patient_id", "t", "band", "risk", "raw", "rules", "priority", "confidence", "k", names, assess.explanation(s.profile).alias("explanation"))
     start = F.expr(f"t - make_dt_interval(0, {s.profile.evidence_h})")
-    return rows.select(
+    return events.eventize(wanted, s.profile).select(
         events.signal_id().alias("signal_id"), "patient_id", F.col("t").alias("decision_time"), start.alias("evidence_start"), F.col("t").alias("evidence_end"),
-        "priority", F.round("risk", 6).alias("risk"), F.round("confidence", 6).alias("confidence"), "k", names.alias("suppressions"), "demoted",
+        "priority", F.round("risk", 6).alias("risk"), F.round("confidence", 6).alias("confidence"), "k", "suppressions", "demoted", "explanation", F.lit(s.profile.version).alias("model_version"),
     )
 
 
 def evidence(s: Sweep, clean: Clean) -> DataFrame:
     """Citations of the emitted assessments."""
     p, key = s.profile, ["patient_id", "t"]
-    emitted = stored(events.eventize(s.assessments, p).select(*key, events.signal_id().alias("signal_id"), F.transform("rules", lambda r: r["rule"]).alias("rules")), "emitted")
+    emitted = stored(events.eventize(s.assessments.select(*key, "band", "risk", "raw", "rules"), p).select(*key, events.signal_id().alias("signal_id"), F.transform("rules", lambda r: r["rule"]).alias("rules")), "emitted")
     ruled = lambda *names: emitted.where(F.arrays_overlap("rules", F.array(*[F.lit(n) for n in names]))).select(*key)
     of = lambda df, instants: df.join(instants.select(*key), key, "left_semi")
     border = F.expr(f"event_time >= t - make_dt_interval(0, {p.evidence_h})")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,10 +12,11 @@ from pyspark.sql import functions as F
 from tideline.config import EVENTS, variants
 from tideline.functions.scalars import iso
 from tideline.operators import asof, assess, channels, citations, events, quality
-from tideline.plans import audit
+from tideline.plans import audit, report, serve
 from tideline.plans import sweep as plans
 from tideline.sources import event_feed
-from tideline.sources.stored import stored
+from tideline.sources.adapters import read_text_csv, stage
+from tideline.sources.stored import new_folder, stored
 
 P = EVENTS
 _REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,8 +40,10 @@ def _intervals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _clean(spark: SparkSession, d: str) -> plans.Clean:
-    intervals = _intervals(spark, d)
-    return plans.Clean(quality.clean(event_feed.staged(spark, d), event_feed.units(spark), event_feed.variables(spark), intervals), intervals)
+    """The clean tables, written once for all that a query reads of them."""
+    intervals = stored(_intervals(spark, d), "intervals")
+    observations = quality.clean(event_feed.staged(spark, d), event_feed.units(spark), event_feed.variables(spark), intervals)
+    return plans.Clean(stored(observations, "observations"), intervals)
 
 
 def _sweep(spark: SparkSession, d: str) -> plans.Sweep:
@@ -120,7 +125,7 @@ def asof_snapshot(spark, d):
 @_query
 def hidden_at_t(spark, d):
     clean = _clean(spark, d)
-    return asof.hidden(clean.observations, _grid(clean)).select("patient_id", iso(F.col("t")).alias("t"), "record_id")
+    return asof.hidden(clean.observations, asof.encounters(clean.observations), P).select("patient_id", iso(F.col("t")).alias("t"), "record_id")
 
 
 def _channel(*columns: str):
@@ -214,8 +219,11 @@ def patients_rollup(spark, d):
 
 @_query
 def timeline_asof(spark, d):
-    o = _clean(spark, d).observations.where("patient_id = 'U8' and available_time <= timestamp_ntz'2024-01-15 00:00:00' and event_time >= timestamp_ntz'2024-01-03 00:00:00'")
-    return o.where(F.col("variable_code").isin("click", "view")).select("variable_code", "record_id", iso(F.col("event_time")).alias("event_time"), r6("value_num").alias("value_num"), "is_plausible", "is_duplicate")
+    """What every patient's timeline shows as of one instant: samples by variable, without duplicates, and all intervals."""
+    rows = serve.timelines(_clean(spark, d), as_of="2024-01-15 00:00:00", start="2024-01-03 00:00:00")
+    samples = rows["samples"].select("patient_id", "variable_code", "record_id", iso(F.col("event_time")).alias("at"), r6("value_num").alias("value"))
+    spans = rows["intervals"].select("patient_id", F.col("kind").alias("variable_code"), "record_id", iso(F.col("start_time")).alias("at"), F.lit(None).cast("double").alias("value"))
+    return samples.unionByName(spans)
 
 
 @_query
@@ -260,15 +268,10 @@ def rule_explode_counts(spark, d):
 
 @_query
 def ablation_variants(spark, d):
-    clean = _clean(spark, d)
     parts = []
-    for name, p in variants(P):
-        a = plans.sweep(clean, p).assessments
-        parts.append(a.groupBy("priority").agg(F.count("*").alias("n"), r6(F.max("risk")).alias("risk_max")).select(F.lit(name).alias("variant"), "priority", "n", "risk_max"))
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.unionByName(more)
-    return out
+    for name, s in plans.sweeps(_clean(spark, d), variants(P)).items():
+        parts.append(s.assessments.groupBy("priority").agg(F.count("*").alias("n"), r6(F.max("risk")).alias("risk_max")).select(F.lit(name).alias("variant"), "priority", "n", "risk_max"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 @_query
@@ -289,13 +292,27 @@ def causality_audit(spark, d):
 
 @_query
 def submission_validation(spark, d):
-    s = plans.signals(_sweep(spark, d)).withColumn("u", F.substring("patient_id", 2, 9).cast("int"))
-    text = s.select(
-        F.when(F.col("u") % 13 == 0, "").otherwise(F.col("signal_id")).alias("signal_id"), "patient_id", F.when(F.col("u") % 5 == 0, "today").otherwise(iso(F.col("decision_time"))).alias("decision_time"),
-        F.when(F.col("u") % 10 == 0, "URGENT").otherwise(F.col("priority")).alias("priority"), F.when(F.col("u") % 7 == 0, "1.5").otherwise("0.5").alias("risk"), F.lit("0.5").alias("confidence"),
-        iso(F.col("evidence_start")).alias("evidence_start"), iso(F.col("evidence_end")).alias("evidence_end"),
+    """All faults of a submission of the emitted signals, with faults planted by patient and record number."""
+    clean = _clean(spark, d)
+    s = plans.written(plans.sweep(clean, P))
+    rows = stored(plans.signals(s).withColumn("u", F.substring("patient_id", 2, 9).cast("int")), "signals")
+    fault = lambda n, bad, good: F.when(F.col("u") % n == 0, F.lit(bad)).otherwise(good)
+    time = lambda c: iso(F.col(c))
+    sent = rows.select(
+        fault(13, " ", F.col("signal_id")).alias("signal_id"), fault(29, "nobody", F.col("patient_id")).alias("patient_id"), fault(5, "today", time("decision_time")).alias("decision_time"),
+        F.when(F.col("u") % 10 == 0, "URGENT").otherwise(F.lower("priority")).alias("priority"), fault(7, "1.5", F.lit("0.5")).alias("risk"), F.when(F.col("u") % 3 == 0, "").when(F.col("u") % 11 == 0, "-1").otherwise("0.5").alias("confidence"),
+        F.when(F.col("u") % 4 == 0, iso(F.expr("decision_time + interval 1 hour"))).otherwise(time("evidence_start")).alias("evidence_start"), time("evidence_end").alias("evidence_end"),
+        fault(6, " ", F.col("explanation")).alias("explanation"), fault(8, "", F.col("model_version")).alias("model_version"),
+    )
+    twice = sent.unionByName(sent.where(F.substring("patient_id", 2, 9).try_cast("int") % 9 == 0))
+    cited = citations.channel_citations(s.channels).join(rows.select("patient_id", F.col("decision_time").alias("t"), "signal_id", "u"), ["patient_id", "t"])
+    n = F.col("record_id").cast("int")
+    proof = cited.where("u % 14 <> 0").select(
+        F.when(n % 17 == 0, "ghost").otherwise(F.col("signal_id")).alias("signal_id"), F.when(n % 6 == 0, " ").otherwise(F.col("source_file")).alias("source_file"), "record_id", time("event_time").alias("event_time"),
+        F.when(n % 8 == 0, iso(F.expr("t + interval 1 hour"))).otherwise(time("available_time")).alias("available_time"), F.when(n % 10 == 0, "MAIN").otherwise(F.lower("role")).alias("role"), F.when(n % 9 == 0, "much").otherwise("1").alias("contribution"),
     )
-    return audit.violations(text, audit.submission_rules()).groupBy("rule").agg(F.count("*").alias("n"))
+    patients = clean.observations.select("patient_id").distinct()
+    return audit.validate_submission(twice, proof, patients).groupBy("rule").agg(F.count("*").alias("n"))
 
 
 @_query
@@ -314,13 +331,9 @@ def set_ops(spark, d):
 
 @_query
 def population_mad_p05(spark, d):
-    """The dispersion floors: the 5th percentile over patients of the scale of each variable."""
-    o = asof.usable_series(_clean(spark, d).observations).where("is_plausible and value_num is not null")
-    from tideline.functions.scalars import median_sql
-
-    g = o.groupBy("patient_id", "variable_code").agg(F.sort_array(F.collect_list("value_num")).alias("v")).withColumn("m", F.expr(median_sql("v")))
-    g = g.withColumn("a", F.expr("array_sort(transform(v, x -> abs(x - m)))")).withColumn("scale", F.expr(median_sql("a")) * channels.MAD_TO_SIGMA)
-    return g.groupBy("variable_code").agg(r6(F.percentile("scale", 0.05)).alias("floor"))
+    """The dispersion floors: the 5th percentile, over windows of eight days of all patients, of the scale of each variable."""
+    o = stored(asof.usable_series(_clean(spark, d).observations), "usable")
+    return channels.dispersion_floors(o, P.evidence_h).select("variable_code", "windows", r6("floor").alias("floor"))
 
 
 @_query
@@ -351,4 +364,115 @@ def time_order_violations(spark, d):
     return rows.groupBy((F.col("l_shipdate") < F.col("o_orderdate")).alias("violates")).agg(F.count("*").alias("n"))
 
 
+@_query
+def csv_scan(spark, d):
+    """The feeds written as CSV files and read back through their adapters."""
+    folder = new_folder(spark, "csv")
+    rows = event_feed.feeds(spark, d)
+    for name, df in rows.items():
+        df.write.csv(f"{folder}/{name}.csv", header=True, quoteAll=True)
+    read = {name: read_text_csv(spark, f"{folder}/{name}.csv") for name in rows}
+    rows = stage(read, [event_feed.MONITOR, event_feed.WEARABLE])
+    return rows.select("source_file", "domain", *[F.coalesce(c, F.lit("")).alias(c) for c in ("record_id", "patient_id", "event_time", "variable_code", "value", "ref_low", "ref_high")])
+
+
+def _facts(spark: SparkSession, d: str) -> DataFrame:
+    return quality.valid_facts(event_feed.facts(spark, d))
+
+
+@_query
+def facts_validity(spark, d):
+    return _facts(spark, d).groupBy("category", "reject_reason").agg(F.count("*").alias("n"), iso(F.max("available_time")).alias("newest"))
+
+
+@_query
+def snapshot_counts(spark, d):
+    """What is known of every patient at the last instant of its grid: observations, intervals, facts, and rows set aside."""
+    clean = replace(_clean(spark, d), facts=_facts(spark, d).where("reject_reason is null"))
+    last = stored(_grid(clean).groupBy("patient_id").agg(F.max("t").alias("t")), "instants")
+    parts = plans.snapshot(clean, last, P)
+    counts = [rows.groupBy("patient_id", "t").agg(F.count("*").alias(name)) for name, rows in parts.items()]
+    all_ = reduce(lambda a, b: a.join(b, ["patient_id", "t"], "left"), counts, last)
+    return all_.select("patient_id", iso(F.col("t")).alias("t"), *[F.coalesce(n, F.lit(0)).alias(n) for n in parts])
+
+
+@_query
+def out_of_reference(spark, d):
+    o = _clean(spark, d).observations.withColumn("outside", assess.out_of_range(F.col("value_num"), F.col("ref_low"), F.col("ref_high")))
+    return o.groupBy("variable_code", "outside").agg(F.count("*").alias("n"), F.count("ref_low").alias("with_low"), F.count("ref_high").alias("with_high"))
+
+
+@_query
+def distractor_impact(spark, d):
+    return audit.distractor_impact(_marked(spark, d)).withColumn("share", r6("share"))
+
+
+@_query
+def signal_rank(spark, d):
+    return audit.rank_of(stored(plans.signals(_sweep(spark, d)), "signals")).select("signal_id", r6("risk").alias("risk"), "place", "of")
+
+
+@_query
+def signals_by_variant(spark, d):
+    """The ablation's table: for each variant its urgent signals, those of one channel, those that meet a marker in silence, and their patients."""
+    clean, parts = _clean(spark, d), []
+    for name, s in plans.sweeps(clean, variants(P)).items():
+        rows = audit.markers(stored(plans.signals(s), "signals"), clean.observations, clean.intervals).where(F.col("priority").isin("HIGH", "CRITICAL"))
+        silent = F.count_if(F.col("any_marker") & (F.col("suppressions") == ""))
+        parts.append(rows.agg(F.count("*").alias("urgent"), F.count_if(F.col("k") <= 1).alias("single"), silent.alias("silent"), F.countDistinct("patient_id").alias("patients")).select(F.lit(name).alias("variant"), "*"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@_query
+def cohort_prefix(spark, d):
+    """The sweep of the first 25 patients by id, which is the feature."""
+    clean = _clean(spark, d)
+    few = serve.cohort(clean, 25)
+    a = plans.sweep(few, P).assessments
+    return a.groupBy("patient_id").agg(F.count("*").alias("assessments"), r6(F.max("risk")).alias("risk"))
+
+
+@_query
+def patients_ranking(spark, d):
+    clean = _clean(spark, d)
+    return serve.patients_by_risk(clean, stored(plans.signals(plans.sweep(clean, P)), "signals"), 1000).select("patient_id", "signals", r6("risk").alias("risk"))
+
+
+@_query
+def evidence_by_role(spark, d):
+    """Each signal's channel evidence as lists by role."""
+    s = plans.written(plans.sweep(_clean(spark, d), P))
+    cited = citations.channel_citations(s.channels).join(plans.signals(s).select("patient_id", F.col("decision_time").alias("t"), "signal_id"), ["patient_id", "t"])
+    return cited.groupBy("signal_id", "role").agg(F.array_join(F.array_sort(F.collect_set("record_id")), ",").alias("records"))
+
+
+@_query
+def outside_encounter(spark, d):
+    """Observations after an encounter that is cut ten days before its last event."""
+    o = _clean(spark, d).observations
+    spans = asof.encounters(o).withColumn("end_time", F.expr("end_time - interval 240 hours"))
+    return audit.outside_encounter(o, spans).groupBy("variable_code").agg(F.count("*").alias("n"))
+
+
+@_query
+def category_counter(spark, d):
+    """Texts of the evidence window at each instant, counted."""
+    v = _sweep(spark, d).visible.where("is_plausible and value_text is not null").where(F.expr(f"event_time >= t - make_dt_interval(0, {P.evidence_h})"))
+    return v.groupBy("variable_code", "value_text").agg(F.count("*").alias("seen"), F.countDistinct("patient_id").alias("patients"))
+
+
+def _report(part: str):
+    def run(spark, d):
+        clean = _clean(spark, d)
+        return report.ingest_report(clean.observations, clean.intervals)[part]
+
+    return run
+
+
+_REGISTRY["report_units"] = _report("units")
+_REGISTRY["report_implausible"] = _report("implausible")
+_REGISTRY["report_retransmissions"] = _report("retransmissions")
+_REGISTRY["report_volume"] = _report("volume")
+_REGISTRY["report_study_window"] = _report("study_window")
+
 QUERIES = dict(_REGISTRY)

@@ -24,13 +24,19 @@ def _folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet under spark.checkpoint.dir and read it back; deleted by ``clean`` or when the driver ends."""
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own, deleted by ``clean`` or when the driver ends."""
     if not _made:
         atexit.unregister(_at_exit)
         atexit.register(_at_exit)
-    path = f"{_folder(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
-    _made.append((df.sparkSession, path))
+    path = f"{_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet under spark.checkpoint.dir and read it back."""
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
