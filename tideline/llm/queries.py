@@ -61,8 +61,19 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=4, percent=80)
 
 
+def chat_turn_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What ``op4_chat_format`` reads back, without the length of its windows, which hangs on token counts and has no SQL."""
+    return op4_chat_format(spark, sf_dir).drop("formatted_chars")
+
+
+def quality_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics and the base filter of ``op8_quality_rules``; what the learned list says has no SQL."""
+    wanted = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return materialize(quality.text_statistics(_table(spark, sf_dir, "documents")).select(*wanted, quality.base_failed().alias("base_failed")), "statistics")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_mixing, op3_token_counts, op4_chat_format, op5_warc, op6_sharding, op7_url_filter, op8_quality_rules, op9_toxicity, op10_near_duplicates)
+    f.__name__: f for f in (op1_decontamination, op2_mixing, op3_token_counts, op4_chat_format, op5_warc, op6_sharding, op7_url_filter, op8_quality_rules, op9_toxicity, op10_near_duplicates, chat_turn_digests, quality_statistics)
 }
 
 _MIXING = r"""
@@ -119,4 +130,92 @@ WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
 SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN page_id = owner THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> owner THEN owner END AS refers_to FROM b
 """
 
-ORACLES: dict[str, str] = {"op2_mixing": _MIXING, "op5_warc": _WARC, "op7_url_filter": _URLS}
+_NEAR = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] ELSE list_sort(list_distinct(list_transform(range(1, greatest(len(words) - 3, 1) + 1), lambda i: array_to_string(words[i : i + 3], ' ')))) END AS grams FROM w
+), c AS MATERIALIZED (SELECT min(doc_id) AS rep, grams, len(grams) AS n FROM s GROUP BY grams
+), u AS (SELECT rep, n, unnest(grams) AS gram FROM c
+), i AS MATERIALIZED (SELECT rep, n, dense_rank() OVER (ORDER BY gram) AS gram FROM u
+), p AS (
+  SELECT a.rep AS a, b.rep AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS shared FROM i a JOIN i b ON a.gram = b.gram AND a.rep < b.rep AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n GROUP BY a.rep, b.rep
+), l AS (SELECT a, b FROM p WHERE 100 * shared >= 80 * (na + nb - shared)
+), e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), r(node, root) AS (SELECT rep, rep FROM c UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node
+), m AS (SELECT node, min(root) AS least FROM r GROUP BY node
+)
+SELECT s.doc_id, CAST(len(s.grams) AS BIGINT) AS n_shingles, CASE WHEN len(s.grams) = 0 THEN s.doc_id ELSE least END AS component_id, CASE WHEN len(s.grams) = 0 THEN TRUE ELSE s.doc_id = least END AS kept
+FROM s JOIN c ON c.grams = s.grams JOIN m ON m.node = c.rep
+"""
+
+_SHARDING = r"""
+WITH RECURSIVE pt AS (
+  SELECT s AS shard, md5('point ' || s || ' ' || r) AS digest FROM range(24) a(s), range(64) b(r)
+), crc_table AS (
+  SELECT list(v ORDER BY i) AS of FROM (SELECT i, list_reduce(list_prepend(CAST(i AS BIGINT), range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) a(i))
+), bytes AS (SELECT doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS h FROM documents
+), crcs AS (
+  SELECT doc_id, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(h, lambda x: CAST('0x' || x AS BIGINT))), lambda c, b: xor(c >> 8, of[(xor(c, b) & 255) + 1])), 4294967295) AS crc FROM bytes, crc_table
+), ring AS (
+  SELECT shard, CAST('0x' || digest[1:4] AS INT) AS cell, row_number() OVER (ORDER BY CAST('0x' || digest[1:4] AS INT), digest) - 1 AS arc FROM pt
+), k AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 8 AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS digest, row_number() OVER (ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), ''))) - 1 AS rank FROM documents
+), h AS (
+  SELECT k.*, coalesce((SELECT min(arc) FROM ring WHERE ring.cell >= CAST('0x' || k.digest[1:4] AS INT)), 1536) AS arc FROM k
+), arcs AS (SELECT arc, shard FROM ring UNION ALL SELECT 1536, shard FROM ring WHERE arc = 0
+), c AS (
+  SELECT a.arc, a.shard, count(doc_id) AS n FROM arcs a LEFT JOIN h ON h.arc = a.arc GROUP BY ALL
+), b AS (
+  SELECT *, CAST(sum(n) OVER () AS BIGINT) // 24 + CASE WHEN shard < CAST(sum(n) OVER () AS BIGINT) % 24 THEN 1 ELSE 0 END AS bound FROM c
+), m AS (
+  SELECT *, greatest(0, least(n, bound - sum(n) OVER (PARTITION BY shard ORDER BY arc) + n)) AS home FROM b
+), start AS (SELECT list(space ORDER BY shard) AS room FROM (SELECT shard, CAST(max(bound) - sum(home) AS BIGINT) AS space FROM m GROUP BY shard)
+), o AS (SELECT arc, CAST(n - home AS BIGINT) AS need, row_number() OVER (ORDER BY arc) AS j FROM m WHERE n > home
+), far AS (
+  SELECT o.j, o.arc, o.need, r.shard, min((r.arc - o.arc % 1536 + 1535) % 1536 + 1) AS step FROM o, ring r GROUP BY ALL
+), q AS (
+  SELECT j, arc, need, list(CAST(shard AS INT) ORDER BY step) AS way, list(step ORDER BY step) AS steps FROM far GROUP BY ALL
+), walk AS (
+  SELECT CAST(0 AS BIGINT) AS j, CAST(NULL AS BIGINT) AS arc, room, CAST([] AS BIGINT[]) AS taken, CAST([] AS INT[]) AS way, CAST([] AS BIGINT[]) AS steps FROM start
+  UNION ALL
+  SELECT j, arc, list_transform(range(0, 24), lambda s: room[s + 1] - now[list_position(way, s)]), now, way, steps FROM (
+    SELECT q.j, q.arc, w.room, q.way, q.steps,
+      list_transform(range(1, 25), lambda x: greatest(0, least(w.room[q.way[x] + 1], q.need - coalesce(list_sum(list_transform(q.way[1 : x - 1], lambda y: w.room[y + 1])), 0)))) AS now
+    FROM walk w JOIN q ON q.j = w.j + 1)
+), pieces AS (
+  SELECT arc, 0 AS step, shard, home AS n FROM m WHERE home > 0
+  UNION ALL SELECT arc, step, shard, n FROM (SELECT arc, unnest(steps) AS step, unnest(way) AS shard, unnest(taken) AS n FROM walk WHERE j > 0) WHERE n > 0
+), ends AS (
+  SELECT *, CAST(sum(n) OVER (ORDER BY arc, step) AS BIGINT) AS upto, CAST(sum(n) OVER (PARTITION BY shard ORDER BY arc, step) AS BIGINT) AS within FROM pieces
+)
+SELECT h.doc_id, CAST(size AS BIGINT) AS size, crc AS text_crc32, 'rows' AS law, CAST(shard AS INT) AS shard, CAST(rank + within - upto AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard
+FROM h JOIN ends ON h.rank < upto AND h.rank >= upto - n JOIN crcs USING (doc_id)
+"""
+
+_CHAT = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, unnest([0, 1]), unnest(['user', 'assistant']), '<|im_end|><|im_start|>assistant ok'
+), c AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS said,
+    coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss FROM t GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256 FROM c
+"""
+
+_STATISTICS = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents
+), w AS (SELECT r, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM d
+), n AS (
+  SELECT *, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM w
+), g AS (
+  SELECT r, i, count(*) OVER (PARTITION BY r, gram) AS times FROM (SELECT r, unnest(range(1, len(words) - 3)) AS i, unnest(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i : i + 4], ' '))) AS gram FROM n WHERE len(words) >= 5)
+), c AS (SELECT r, count(DISTINCT i + k) AS n_repeat_words FROM g, range(5) x(k) WHERE times > 1 GROUP BY r
+)
+SELECT doc_id, n_words, word_chars, n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+  n_words < 10 OR 100 * coalesce(n_repeat_words, 0) > 20 * n_words AS base_failed FROM n LEFT JOIN c USING (r)
+"""
+
+ORACLES: dict[str, str] = {"op2_mixing": _MIXING, "op5_warc": _WARC, "op6_sharding": _SHARDING, "op7_url_filter": _URLS, "op10_near_duplicates": _NEAR, "chat_turn_digests": _CHAT, "quality_statistics": _STATISTICS}
