@@ -285,12 +285,13 @@ def test_the_filter_passes_all_it_holds(spark):
 # ------------------------------------------------------------------ toxicity
 
 
-def test_a_pair_that_counts_only_together_is_learned_from_texts(spark):
+@pytest.mark.parametrize("neutral", [False, True])
+def test_a_pair_that_counts_only_together_is_learned_from_texts(spark, neutral):
     rng, docs, labels = random.Random(10), [], []
     for d in range(6000):
         kind = rng.randrange(4)
-        planted = [["zork"], ["blim"], ["zork", "blim"], []][kind]  # each alone is as common in clean rows as in toxic ones
-        toxic = int(kind in (2, 3) and (kind == 2 or rng.random() < 0.0))
+        planted = [["zork"], ["blim"], ["zork", "blim"], []][kind]
+        toxic = int(kind == 2 or neutral and kind == 3)  # if neutral, each word alone is as common in clean rows as in toxic ones
         words = rand_text(rng, 30, 3000).split() + planted
         rng.shuffle(words)
         docs.append((d, " ".join(words)))
@@ -332,18 +333,13 @@ def test_scratch_leaves_the_session_alone_and_goes_away(spark):
     scratch.clean(spark)
     with pytest.raises(Exception, match="(?i)not.exist|no such file"):
         spark.read.schema("id long").parquet(table.written_to).count()
-    own = spark.conf.get("spark.checkpoint.dir")
-    try:
-        spark.conf.unset("spark.checkpoint.dir")
 
-        class Cluster:
-            conf = type("Conf", (), {"get": staticmethod(lambda *_: None)})
-            sparkContext = type("Context", (), {"master": "spark://somewhere"})
+    class Cluster:
+        conf = type("Conf", (), {"get": staticmethod(lambda *_: None)})
+        sparkContext = type("Context", (), {"master": "spark://somewhere"})
 
-        with pytest.raises(ValueError):
-            scratch.shared_folder(Cluster)
-    finally:
-        spark.conf.set("spark.checkpoint.dir", own)
+    with pytest.raises(ValueError):
+        scratch.shared_folder(Cluster)
 
 
 @pytest.mark.parametrize("name, stage", pipeline.STAGES)

@@ -111,7 +111,7 @@ def _keeper(machine: Machine):
     return keep
 
 
-def fit_machine(x: list[np.ndarray], y: np.ndarray, places: np.ndarray, epochs: int = 30, rate: float = 0.1, decay: float = 1e-4, batch: int = 256, seed: int = 9) -> Machine:
+def fit_machine(x: list[np.ndarray], y: np.ndarray, places: np.ndarray, epochs: int = 30, rate: float = 0.1, decay: float = 1e-3, batch: int = 256, seed: int = 9) -> Machine:
     """Logistic loss, AdaGrad, in batches; ``x`` holds each row's feature numbers."""
     rng = np.random.Generator(np.random.PCG64(seed))
     k = len(places)
