@@ -21,7 +21,7 @@ from tideline.llm import text_kernel as kernel
 from tideline.llm.scratch import materialize
 
 #: Distinct pieces that a worker keeps, and their code points together; beyond, it starts anew.
-KEEP, KEEP_POINTS = 1_000_000, 1 << 23
+KEEP, KEEP_POINTS = 200_000, 1 << 22
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 #: What the pre-tokenizer splits off after an apostrophe.
 _ONE, _TWO = "stmd", ("re", "ve", "ll")
@@ -338,12 +338,12 @@ def _answers(budget: int):
 
 
 def prefix_answers(stored: DataFrame, budget: int) -> DataFrame:
-    """What stored prefix counts tell of a budget, without encoding: doc_id, n_bytes, n_chars, n_tokens, fitting_chars and over_limit.
+    """What stored prefix counts tell of a budget, without encoding: doc_id, n_bytes, n_chars, n_tokens, fitting_chars and over_limit; written.
 
     fitting_chars is the length of the longest prefix of at most ``budget`` tokens (0 if there is none), over_limit whether the
     whole text has more.
     """
-    found = stored.mapInArrow(_answers(budget), "doc_id long, n_bytes long, n_tokens long, fitting_chars long, n_chars long")
+    found = materialize(stored.mapInArrow(_answers(budget), "doc_id long, n_bytes long, n_tokens long, fitting_chars long, n_chars long"), "answers")
     return found.withColumn("over_limit", F.col("n_tokens") > budget)
 
 
