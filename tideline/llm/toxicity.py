@@ -23,7 +23,9 @@ BUCKETS = 1 << 20
 TERMS = 2048
 FACTORS = 8
 #: Of them, so many are chosen for what they tell beside one of the ``ANCHORS`` that stand best on their own.
-BESIDE, ANCHORS = 256, 32
+BESIDE, ANCHORS = 256, 16
+#: Rows of the sample that tell what stands beside the anchors.
+BESIDE_ROWS = 8_000
 #: Terms are words and, of longer ones, the first so many letters, which inflected forms have in common.
 PREFIXES = (4, 5)
 #: What a toxic row weighs in the loss; toxic rows are few, and a miss costs more than a false alarm.
@@ -162,7 +164,8 @@ def choose_terms(lists: DataFrame, terms: int = TERMS, beside: int = BESIDE, anc
     # half of the anchors stand best on their own, half are the most frequent in toxic rows
     often = [r[0] for r in counts.orderBy(F.desc("n1"), "place").limit(anchors).select("place").collect()]
     wanted = list(dict.fromkeys([*alone[: anchors // 2], *often]))[:anchors]
-    held = lists.select("toxic", "terms", F.explode(F.array_intersect("terms", F.array(*[F.lit(int(a)) for a in wanted]).cast("array<int>"))).alias("anchor")) if wanted else None
+    some = lists.where(F.pmod(F.xxhash64("terms"), F.lit(1_000_000)) < int(min(1.0, BESIDE_ROWS / max(1, rows)) * 1_000_000))
+    held = some.select("toxic", "terms", F.explode(F.array_intersect("terms", F.array(*[F.lit(int(a)) for a in wanted]).cast("array<int>"))).alias("anchor")) if wanted else None
     if held is None:
         return np.zeros(0, np.int64)
     of_anchor = held.groupBy("anchor").agg(F.count("*").alias("rows"), F.sum("toxic").alias("of_toxic"))
@@ -185,12 +188,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     part = min(1.0, sample / max(1, known.count()))
     drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000_000)) < int(part * 1_000_000_000))
     texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    lists = materialize(texts.join(F.broadcast(drawn), "doc_id").select("doc_id", "toxic", "text").mapInArrow(_term_lists, "doc_id long, toxic int, terms array<int>").distinct(), "terms")
+    made = lists = materialize(texts.join(F.broadcast(drawn), "doc_id").select("doc_id", "toxic", "text").mapInArrow(_term_lists, "doc_id long, toxic int, terms array<int>").distinct(), "terms")
     if (rows := lists.count()) > sample:
         lists = lists.where(F.pmod(F.xxhash64("doc_id", "terms"), F.lit(1_000_000_000)) < int(sample / rows * 1_000_000_000))
     places = choose_terms(lists)
     wanted = F.array(*[F.lit(int(p)) for p in places]).cast("array<int>")
     got = lists.select("doc_id", "toxic", F.array_sort(F.array_intersect("terms", wanted)).alias("terms")).toPandas()
+    drop(made)
     got = got.assign(key=[tuple(t) for t in got["terms"]]).sort_values(["doc_id", "toxic", "key"], kind="stable")
     return fit_machine([np.searchsorted(places, np.asarray(t, np.int64)) for t in got["terms"]], got["toxic"].to_numpy(np.float32), places)
 
