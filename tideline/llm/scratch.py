@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -61,7 +62,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: a cut in the lineage."""
     path = new_folder(df.sparkSession, name)
     with batches_by_bytes(df.sparkSession):
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table.written_to = path
     return table
@@ -93,12 +94,19 @@ def drop(*tables: DataFrame) -> None:
         _made[:] = [m for m in _made if m[1] != df.written_to]
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of what nothing refers to any more: Spark deletes the shuffle files of such tables when the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def drop_others(*kept: DataFrame) -> None:
     """Delete what was made since the first of the ``kept`` tables, which stay."""
     stay, paths = [df.written_to for df in kept], [p for _, p in _made]
     gone = [p for p in paths[paths.index(stay[0]) :] if p not in stay]
     for path in gone:
         delete(kept[0].sparkSession, path)
+    release(kept[0].sparkSession)
     _made[:] = [m for m in _made if m[1] not in gone]
 
 
