@@ -129,13 +129,15 @@ def test_service_answers(spark, service):
     assert 0 < cut < full
     h = service.history("U1", "2024-01-25 00:00:00", "2024-01-27 05:00:00", 1440).first()
     assert h.asked == 4 and h.last_t == datetime(2024, 1, 27, 5)
+    assert h.current.t == h.last_t and [x.t for x in h.trajectory] == sorted(x.t for x in h.trajectory) and len(h.transitions) == 1 + sum(a.priority != b.priority for a, b in zip(h.trajectory, h.trajectory[1:]))
+    assert service.timeline_intervals("U1").count() > 0 and live.visible > 0 and {c.variable_code for c in live.channels} <= {"click", "error", "purchase", "signup", "view"}
 
 
 def test_audits_find_nothing_here_and_what_is_planted(spark, service):
     assert audit.late_evidence(service.evidence).count() == 0
     assert audit.orphans(service.signals, service.evidence).count() == 0
     assert audit.violations(service.signals, audit.signal_rules()).count() == 0
-    text = service.signals.select("signal_id", "patient_id", *[F.col(c).cast("string").alias(c) for c in ("decision_time", "evidence_start", "evidence_end", "risk", "confidence")], "priority")
+    text = service.signals.select("signal_id", "patient_id", "explanation", "model_version", *[F.col(c).cast("string").alias(c) for c in ("decision_time", "evidence_start", "evidence_end", "risk", "confidence")], "priority")
     assert audit.validate_submission(text, service.evidence, service.clean.observations.select("patient_id").distinct()).count() == 0
     broken = text.withColumn("risk", F.lit("2")).withColumn("priority", F.lit("URGENT")).union(text.withColumn("signal_id", F.lit("ghost")).limit(1))
     rules = {r.rule for r in audit.validate_submission(broken, service.evidence, service.clean.observations.limit(0).select("patient_id")).collect()}
@@ -165,6 +167,8 @@ def test_narrative():
     assert plain["source"] == "plain" and plain["refs"] == ["1"] and len(plain["review"]) == 3
     good = {"summary": "The heart rate rises.", "review": [], "refs": ["1"]}
     assert narrative.narrate(1, channels, 0, [], lambda _: good)["source"] == "generated"
+    code = {"summary": "SpO2 falls.", "review": [], "refs": []}
+    assert narrative.narrate(1, channels, 0, [], lambda _: code)["refs"] == ["1"] and narrative.findings(channels, units={"HR": "/min"})[0]["direction"] == "rise"
     for bad in ({"summary": "Risk 9.", "review": [], "refs": []}, {"summary": "A diagnosis.", "review": [], "refs": []}, {"summary": "x", "review": [], "refs": ["9"]}, {}):
         assert narrative.narrate(1, channels, 0, [], lambda _, b=bad: b)["source"] == "plain"
     assert "peaked" in narrative.history_fallback("LOW", "HIGH", 2)["summary"]
