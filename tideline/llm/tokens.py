@@ -9,6 +9,7 @@ stored counts, questions of truncation and budget are answered without encoding
 from __future__ import annotations
 
 import json
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 from tideline.llm import text_kernel as kernel
 from tideline.llm.scratch import materialize
 
-#: Distinct pieces that a worker keeps, and their code points together; beyond, it starts anew.
-KEEP, KEEP_POINTS = 200_000, 1 << 22
+#: Distinct pieces (and pairs of tokens) that a worker keeps, and the pieces' code points together; beyond, it starts anew.
+KEEP, KEEP_POINTS = 600_000, 1 << 23
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 #: What the pre-tokenizer splits off after an apostrophe.
 _ONE, _TWO = "stmd", ("re", "ve", "ll")
@@ -257,7 +258,7 @@ def _strings(texts: pa.Array) -> Iterator[list[str]]:
 
 
 def _counted(path: str, column: str, of_prefixes):
-    """Batches with doc_id, n_bytes, n_tokens and ``of_prefixes`` (each text's counts laid end to end, where each begins) as ``column``, if any."""
+    """Batches with doc_id, n_bytes, n_tokens and what ``of_prefixes`` makes of each text's counts as ``column``, if any."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = counter(path)
@@ -270,8 +271,7 @@ def _counted(path: str, column: str, of_prefixes):
                 totals = pa.array([int(p[-1]) if len(p) else 0 for p in prefixes], pa.int64())
                 columns = {"doc_id": part.column("doc_id"), "n_bytes": pc.fill_null(pc.cast(pc.binary_length(part.column("text")), pa.int64()), 0), "n_tokens": totals}
                 if column:
-                    ends = np.cumsum([0, *map(len, prefixes)], dtype=np.int32)
-                    columns[column] = pa.ListArray.from_arrays(pa.array(ends), pa.array(of_prefixes(np.concatenate(prefixes), ends)))
+                    columns[column] = of_prefixes(prefixes)
                 yield pa.record_batch(columns)
 
     return count
@@ -281,6 +281,11 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def _lists(prefixes: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, prefixes)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes).astype(np.int32)))
+
+
 def prefix_token_counts(docs: DataFrame, path: str, keep_prefixes: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_tokens and ``prefix_tokens`` of every row of ``docs(doc_id, text)``.
 
@@ -288,51 +293,46 @@ def prefix_token_counts(docs: DataFrame, path: str, keep_prefixes: bool = True)
     n_tokens is the last of them, 0 for an empty or null text.  Special strings count as the one token that they are.  Without
     ``keep_prefixes`` the array stays in the worker.  Repeated rows are counted one by one; other columns are not read; no rows give no rows.
     """
-    count = _counted(path, "prefix_tokens" * keep_prefixes, lambda counts, _: counts.astype(np.int32))
+    count = _counted(path, "prefix_tokens" * keep_prefixes, _lists)
     return _texts(docs).mapInArrow(count, "doc_id long, n_bytes long, n_tokens long" + ", prefix_tokens array<int>" * keep_prefixes)
 
 
-def _steps(counts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    begins = ends[:-1][ends[:-1] < ends[1:]]
-    before = np.concatenate([[0], counts[:-1]])
-    before[begins] = 0
-    steps = counts - before
-    if len(steps) and max(-steps.min(), steps.max()) >= 1 << 15:
-        raise ValueError("a step of prefix counts is out of range")
-    return steps.astype(np.int16)
+def _packed(prefixes: list[np.ndarray]) -> pa.Array:
+    """Each text's steps from count to count as 16-bit numbers, deflated; nothing for an empty text."""
+    out = []
+    for counts in prefixes:
+        steps = np.diff(counts, prepend=0)
+        if len(steps) and max(-steps.min(), steps.max()) >= 1 << 15:
+            raise ValueError("a step of prefix counts is out of range")
+        out.append(zlib.compress(steps.astype("<i2").tobytes(), 1) if len(steps) else b"")
+    return pa.array(out, pa.binary())
+
+
+def unpacked(steps: bytes) -> np.ndarray:
+    """The token count of every prefix of a text, from its stored steps."""
+    return np.cumsum(np.frombuffer(zlib.decompress(steps), "<i2"), dtype=np.int64) if steps else np.zeros(0, np.int64)
 
 
 def store_prefix_counts(docs: DataFrame, path: str) -> DataFrame:
     """The prefix counts of every row of ``docs(doc_id, text)``, written to the shared folder once: doc_id, n_bytes and ``steps``.
 
-    steps[i] is what the code point i adds to the count of its prefix (less than nothing where it completes a longer token), some
-    two bits in the file.  An empty or null text has no steps.  ``prefix_answers`` reads them; texts are not encoded again.
+    ``steps`` holds, packed, what each code point adds to the count of its prefix (less than nothing where it completes a longer token): a
+    few bits a code point, where the counts would take as much room as the texts.  ``unpacked`` gives the counts back, ``prefix_answers``
+    answers from them; texts are not encoded again.  An empty or null text has no steps.
     """
-    counted = _texts(docs).mapInArrow(_counted(path, "steps", _steps), "doc_id long, n_bytes long, n_tokens long, steps array<smallint>")
+    counted = _texts(docs).mapInArrow(_counted(path, "steps", _packed), "doc_id long, n_bytes long, n_tokens long, steps binary")
     return materialize(counted.drop("n_tokens"), "prefixes")
 
 
 def _answers(budget: int):
     def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("steps")
-            ends = np.asarray(lists.offsets).astype(np.int64)
-            steps = np.asarray(lists.values)
-            n, total, fits = len(lists), np.zeros(len(lists), np.int64), np.zeros(len(lists), np.int64)
-            lo = 0
-            while lo < n:  # whole rows of about a chunk together
-                hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + kernel.CHUNK_BYTES, "right")) - 1)
-                counts = np.concatenate([[0], np.cumsum(steps[ends[lo] : ends[hi]], dtype=np.int64)])
-                at, until = ends[lo:hi] - ends[lo], ends[lo + 1 : hi + 1] - ends[lo]
-                total[lo:hi] = counts[until] - counts[at]
-                own = counts[1:] - np.repeat(counts[at], until - at)
-                fit = np.where(own <= budget, np.arange(1, len(own) + 1), 0)
-                some = until > at
-                if some.any():
-                    last = np.maximum.reduceat(fit, at[some])
-                    fits[lo:hi][some] = np.maximum(0, last - at[some])
-                lo = hi
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "n_bytes": batch.column("n_bytes"), "n_tokens": total, "fitting_chars": fits, "n_chars": np.diff(ends)})
+            rows = np.zeros((3, batch.num_rows), np.int64)
+            for i, steps in enumerate(batch.column("steps").to_pylist()):
+                counts = unpacked(steps)
+                fits = np.flatnonzero(counts <= budget)
+                rows[:, i] = (counts[-1], fits[-1] + 1 if len(fits) else 0, len(counts)) if len(counts) else 0
+            yield pa.record_batch({"doc_id": batch.column("doc_id"), "n_bytes": batch.column("n_bytes"), "n_tokens": rows[0], "fitting_chars": rows[1], "n_chars": rows[2]})
 
     return answers
 
