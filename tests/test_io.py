@@ -116,6 +116,8 @@ def test_service_answers(spark, service):
         assert service.signal(r.signal_id).first().evidence["PRIMARY"]
         live = service.decide(r.patient_id, str(r.decision_time)).first()
         assert abs(live.risk - r.risk) < 1e-4 and live.priority == r.priority and "concordant" in live.explanation
+    told = service.narrative(r.patient_id, str(r.decision_time))
+    assert told["source"] == "plain" and told["refs"] and live.priority not in told["summary"]
     with pytest.raises(serve.NotFound):
         service.signal("none")
     with pytest.raises(serve.NotFound):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from tideline.config import BANDS, Profile
 from tideline.operators import asof, events
 from tideline.operators.assess import explanation
+from tideline.plans.narrative import narrate
 from tideline.plans.sweep import Clean, decide, snapshot
 
 
@@ -125,6 +127,13 @@ class Service:
         rows = s.assessments.join(span, "patient_id", "left").withColumn("within_encounter", F.col("t").between(F.col("start_time"), F.col("end_time")))
         return rows.join(seen, key, "left").join(aside, key, "left").select(*_decision(), "within_encounter", F.coalesce("visible", F.lit(0)).alias("visible"), "set_aside", explanation(self.profile).alias("explanation"))
 
+    def narrative(self, patient: str, at: str, write: Callable[[dict], dict] | None = None) -> dict:
+        """A text for the live decision, which is one row; the decision is made before and does not change."""
+        found = self.decide(patient, at).first()
+        if found is None:
+            return narrate(0, [], 0, [], write)
+        return narrate(found.k, [c.asDict(True) for c in found.channels], found.lab_n, [r.rule for r in found.rules], write)
+
     def history(self, patient: str, start: str, end: str, cadence_min: int = 20) -> DataFrame:
         """One row: the assessment at the end, the peak, the transitions, the course of risk, and counts, over a grid from start to end."""
         self._require(patient)
