@@ -290,8 +290,8 @@ def test_a_pair_that_counts_only_together_is_learned_from_texts(spark, neutral):
     rng, docs, labels = random.Random(10), [], []
     for d in range(6000):
         kind = rng.randrange(4)
-        planted = [["zork"], ["blim"], ["zork", "blim"], []][kind]
-        toxic = int(kind == 2 or neutral and kind == 3)  # if neutral, each word alone is as common in clean rows as in toxic ones
+        planted = [["zork"], ["blim"], ["zork", "blim"], ["vile"] if neutral else []][kind]
+        toxic = int(kind == 2 or neutral and kind == 3)  # if neutral, zork and blim are as common in clean rows as in toxic ones
         words = rand_text(rng, 30, 3000).split() + planted
         rng.shuffle(words)
         docs.append((d, " ".join(words)))

@@ -26,6 +26,8 @@ FACTORS = 8
 BESIDE, ANCHORS = 256, 16
 #: Rows of the sample that tell what stands beside the anchors.
 BESIDE_ROWS = 8_000
+#: Standard errors that a term must tell apart, alone and beside an anchor; of thousands of terms that tell nothing few reach them.
+LEAST_Z, LEAST_Z_BESIDE = 2.5, 4.0
 #: Terms are words and, of longer ones, the first so many letters, which inflected forms have in common.
 PREFIXES = (4, 5)
 #: What a toxic row weighs in the loss; toxic rows are few, and a miss costs more than a false alarm.
@@ -160,7 +162,7 @@ def choose_terms(lists: DataFrame, terms: int = TERMS, beside: int = BESIDE, anc
     rows, toxic = lists.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     counts = lists.select("toxic", F.explode("terms").alias("place")).groupBy("place").agg(F.count("*").alias("n"), F.sum("toxic").alias("n1")).where("n >= 4")
     counts = materialize(counts.withColumn("z", _tells(F.col("n"), F.col("n1"), F.lit(rows), F.lit(toxic))), "counts")
-    alone = [r[0] for r in counts.orderBy(F.desc("z"), "place").limit(terms).select("place").collect()]
+    alone = [r[0] for r in counts.where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "place").limit(terms).select("place").collect()]
     # half of the anchors stand best on their own, half are the most frequent in toxic rows
     often = [r[0] for r in counts.orderBy(F.desc("n1"), "place").limit(anchors).select("place").collect()]
     wanted = list(dict.fromkeys([*alone[: anchors // 2], *often]))[:anchors]
@@ -171,7 +173,7 @@ def choose_terms(lists: DataFrame, terms: int = TERMS, beside: int = BESIDE, anc
     of_anchor = held.groupBy("anchor").agg(F.count("*").alias("rows"), F.sum("toxic").alias("of_toxic"))
     pairs = held.select("anchor", "toxic", F.explode("terms").alias("place")).where("place <> anchor").groupBy("anchor", "place").agg(F.count("*").alias("n"), F.sum("toxic").alias("n1")).where("n >= 4")
     told = pairs.join(F.broadcast(of_anchor), "anchor").withColumn("z", _tells(F.col("n"), F.col("n1"), F.col("rows"), F.col("of_toxic")))
-    best = told.groupBy("place").agg(F.max("z").alias("z")).orderBy(F.desc("z"), "place").limit(terms).select("place").collect()
+    best = told.groupBy("place").agg(F.max("z").alias("z")).where(F.col("z") >= LEAST_Z_BESIDE).orderBy(F.desc("z"), "place").limit(terms).select("place").collect()
     own = list(dict.fromkeys([*alone[: terms - beside], *wanted, *(r[0] for r in best), *alone]))[:terms]
     drop(counts)
     return np.sort(np.array(own, np.int64))
