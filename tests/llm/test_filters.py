@@ -328,7 +328,7 @@ def test_toxicity_on_odd_inputs(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_queries_match_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = queries.QUERIES[name](spark, SF)
     rows = con.execute(queries.ORACLES[name])
