@@ -22,7 +22,7 @@ from tideline.llm import text_kernel as kernel
 from tideline.llm.scratch import materialize
 
 #: Distinct pieces (and pairs of tokens) that a worker keeps, and the pieces' code points together; beyond, it starts anew.
-KEEP, KEEP_POINTS = 600_000, 1 << 23
+KEEP, KEEP_POINTS = 1_000_000, 1 << 24
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 #: What the pre-tokenizer splits off after an apostrophe.
 _ONE, _TWO = "stmd", ("re", "ve", "ll")
