@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideline.llm import chat, contamination, minhash, mixing, quality, sharding, tokens, toxicity, urls, warc
+from tideline.llm import chat, codes, contamination, language, minhash, mixing, quality, repair, sharding, tokens, toxicity, urls, warc
 from tideline.llm.scratch import materialize
 
 
@@ -61,6 +61,18 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=4, percent=80)
 
 
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predict_language(_table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.encode(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_digests(_table(spark, sf_dir, "conversations"))
+
+
 def chat_turn_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What ``op4_chat_format`` reads back, without the length of its windows, which hangs on token counts and has no SQL."""
     return op4_chat_format(spark, sf_dir).drop("formatted_chars")
@@ -73,7 +85,7 @@ def quality_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_mixing, op3_token_counts, op4_chat_format, op5_warc, op6_sharding, op7_url_filter, op8_quality_rules, op9_toxicity, op10_near_duplicates, chat_turn_digests, quality_statistics)
+    f.__name__: f for f in (op1_decontamination, op2_mixing, op3_token_counts, op4_chat_format, op5_warc, op6_sharding, op7_url_filter, op8_quality_rules, op9_toxicity, op10_near_duplicates, op11_language, op12_vector_codes, op13_conversation_repair, chat_turn_digests, quality_statistics)
 }
 
 _MIXING = r"""
@@ -218,4 +230,64 @@ SELECT doc_id, n_words, word_chars, n_symbols, CAST(len(lines) - len(list_distin
   n_words < 10 OR 100 * coalesce(n_repeat_words, 0) > 20 * n_words AS base_failed FROM n LEFT JOIN c USING (r)
 """
 
-ORACLES: dict[str, str] = {"op2_mixing": _MIXING, "op5_warc": _WARC, "op6_sharding": _SHARDING, "op7_url_filter": _URLS, "op10_near_duplicates": _NEAR, "chat_turn_digests": _CHAT, "quality_statistics": _STATISTICS}
+
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """The codebooks round by round: nearest entries by a full comparison of every part with every entry."""
+    steps = [
+        "k AS (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 4096) AS BIGINT)) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"p AS MATERIALIZED (SELECT r, part, v[part * len(v) // {parts} + 1 : (part + 1) * len(v) // {parts}] AS x FROM k, range({parts}) a(part))",
+        f"b0 AS (SELECT part, CAST(n - 1 AS BIGINT) AS entry, x AS e FROM (SELECT r, row_number() OVER (ORDER BY vec_id NULLS LAST, v) AS n FROM k) JOIN p USING (r) WHERE n <= {entries})",
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"n{i} AS MATERIALIZED (SELECT r, part, min((d, entry)) AS best FROM (SELECT r, part, entry, CAST(coalesce(list_sum(list_transform(list_zip(x, e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 0) AS BIGINT) AS d FROM p JOIN b{i} USING (part)) GROUP BY r, part)")
+        moved = f"SELECT part, best[2] AS entry, j, CAST(sum(x[j]) AS HUGEINT) AS s, count(*) AS c FROM n{i} JOIN p USING (r, part), range(1, len(x) + 1) a(j) GROUP BY ALL"
+        if i < rounds:
+            steps.append(f"b{i + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(m.e, b.e) AS e FROM b{i} b LEFT JOIN (SELECT part, entry, list(CAST((s - ((s % c) + c) % c) // c AS BIGINT) ORDER BY j) AS e FROM ({moved}) GROUP BY ALL) m USING (part, entry))")
+    steps.append(f"c AS (SELECT r, string_agg(printf('%02x', best[2]), '' ORDER BY part) AS code, CAST(sum(best[1]) AS BIGINT) AS error FROM n{rounds} GROUP BY r)")
+    steps.append(f"h AS (SELECT sha256(coalesce(string_agg(array_to_string(e, ','), ',' ORDER BY part, entry), '')) AS codebooks_sha256 FROM b{rounds})")
+    return "WITH " + ",\n".join(steps) + "\nSELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM k JOIN c USING (r), h"
+
+
+#: A walk over each conversation's turns; for each of four ends (nothing, system, user, assistant) the cheapest edits with what they leave.
+_REPAIR = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(v ORDER BY i) AS of FROM (SELECT i, list_reduce(list_prepend(CAST(i AS BIGINT), range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) a(i))
+), t AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, regexp_extract_all(hex(encode(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))), '..') AS h FROM conversations
+), x AS (
+  SELECT conv_id, turn, role, text, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(h, lambda y: CAST('0x' || y AS BIGINT))), lambda c, b: xor(c >> 8, of[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS roll FROM t, crc_table
+), d AS (
+  SELECT conv_id, turn, CASE WHEN roll = 4 THEN 'user' ELSE role END AS role, CASE roll WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM x, range(2) a(copy) WHERE roll <> 0 AND (copy = 0 OR roll = 3)
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS core FROM d
+), f AS (
+  SELECT *, coalesce(lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) NOT IN ('su', 'ua', 'au'), FALSE) AS illegal,
+    CASE WHEN core = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN right(core, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault FROM o
+), g AS MATERIALIZED (
+  SELECT conv_id, i, role, text, left(role, 1) AS c, coalesce(fault IN ('blank', 'duplicate'), FALSE) AS gone, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS more FROM f
+), s AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (illegal) AS illegal
+  FROM f GROUP BY conv_id
+), w(conv_id, i, state, cost, audit, said) AS (
+  SELECT conv_id, 0::BIGINT, state, cost, audit, said FROM s, (VALUES ('', 0, '', ''), ('u', 5, 'I', chr(10) || 'user:'), ('a', 10, 'II', chr(10) || 'user:' || chr(10) || 'assistant:')) v(state, cost, audit, said)
+  UNION ALL
+  (WITH e AS (
+    SELECT w.conv_id, g.i, w.state, w.cost, w.audit, w.said, g.c, g.role, g.text, g.gone, g.more FROM w JOIN g ON g.conv_id IS NOT DISTINCT FROM w.conv_id AND g.i = w.i + 1
+  ), one AS (
+    SELECT conv_id, i, state, cost + 2 AS cost, audit || 'D' AS audit, said FROM e
+    UNION ALL SELECT conv_id, i, c, cost + more, audit || 'K', said || chr(10) || role || ':' || text FROM e WHERE NOT gone AND (c = 's' AND state = '' OR c = 'u' AND state <> 'u' OR c = 'a' AND state = 'u')
+    UNION ALL SELECT conv_id, i, CASE state WHEN 'u' THEN 'a' ELSE 'u' END, cost + more + 1, audit || 'R', said || chr(10) || CASE state WHEN 'u' THEN 'assistant:' ELSE 'user:' END || text FROM e WHERE NOT gone
+  ), two AS (
+    SELECT * FROM one UNION ALL SELECT conv_id, i, CASE state WHEN 'u' THEN 'a' ELSE 'u' END, cost + 5, audit || 'I', said || chr(10) || CASE state WHEN 'u' THEN 'assistant:' ELSE 'user:' END FROM one
+    UNION ALL SELECT conv_id, i, 'a', cost + 10, audit || 'II', said || chr(10) || 'user:' || chr(10) || 'assistant:' FROM one WHERE state <> 'u'
+  )
+  SELECT conv_id, i, state, b.cost, b.audit, b.said FROM (SELECT conv_id, i, state, min({'cost': cost, 'audit': audit, 'said': said}) AS b FROM two GROUP BY conv_id, i, state))
+), r AS (
+  SELECT s.conv_id, min({'cost': w.cost, 'audit': w.audit, 'said': w.said}) AS b FROM s JOIN w ON w.conv_id IS NOT DISTINCT FROM s.conv_id AND w.i = s.n WHERE w.state IN ('', 'a') GROUP BY s.conv_id
+), a AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(r.b.cost, 0) AS BIGINT) AS cost, coalesce(r.b.audit, '') AS audit, sha256(coalesce(substr(r.b.said, 2), '')) AS repaired_sha256
+FROM a LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM a.conv_id
+"""
+
+ORACLES: dict[str, str] = {"op2_mixing": _MIXING, "op5_warc": _WARC, "op6_sharding": _SHARDING, "op7_url_filter": _URLS, "op10_near_duplicates": _NEAR, "op12_vector_codes": _codes_sql(), "op13_conversation_repair": _REPAIR, "chat_turn_digests": _CHAT, "quality_statistics": _STATISTICS}
