@@ -181,7 +181,7 @@ def document_probabilities(reader: Reader, data: np.ndarray, offsets: np.ndarray
     """(documents, languages): the mean over all positions of each document; zeros for an empty one."""
     doc, start, length = _cut(offsets)
     sums = np.zeros((len(offsets) - 1, len(reader.langs)))
-    order = np.argsort(length, kind="stable")  # the short ones together
+    order = np.argsort(length, kind="stable") if reader.langs else []  # the short ones together
     for at in range(0, len(order), _BLOCK):
         own = order[at : at + _BLOCK]
         steps = np.arange(int(length[own].max()))[:, None]
