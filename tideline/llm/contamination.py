@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.llm import text_kernel as kernel
-from tideline.llm.scratch import drop_others, materialize, numbered, without
+from tideline.llm.scratch import materialize, numbered, scope, without
 
 #: 1 reads a word, 0 ignores it.  Replacing every third, fourth or fifth word leaves a window of some mask whole, and so
 #: does any choice of a fifth of the words of a passage of eight or more; the last two masks are for those.
@@ -203,15 +203,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     together.  Empty tables give no rows; other columns are not read.
     """
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    checked = _search(texts.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text"), benchmark)
+    with scope() as own:
+        checked = _search(texts.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text"), benchmark)
+        own.keep(checked)
     best = F.max_by(F.struct("doc_word", "n_words", "n_same", "item_words"), F.struct("n_same", -F.col("n_words"), -F.col("doc_word"))).alias("best")
     return checked.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, null_ids: bool = False) -> DataFrame:
     """``docs`` without the rows that hold a passage of the benchmark; rows with a null doc_id are looked at with ``null_ids``, else they stay."""
-    rows = numbered(docs)
-    texts = rows.select("row_id", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").cast("string").alias("text")).where("text is not null")
-    held = materialize(_search(texts if null_ids else texts.where("doc_id is not null"), benchmark).select("row_id").distinct(), "held")
-    drop_others(rows, held)
+    with scope() as own:
+        rows = numbered(docs)
+        held = _held(rows, benchmark, null_ids)
+        own.keep(rows, held)
     return without(rows, held).select("row.*")
+
+
+def _held(rows: DataFrame, benchmark: DataFrame, null_ids: bool) -> DataFrame:
+    """(row_id) of the ``rows(row_id, row)`` that hold a passage; written."""
+    texts = rows.select("row_id", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").cast("string").alias("text")).where("text is not null")
+    return materialize(_search(texts if null_ids else texts.where("doc_id is not null"), benchmark).select("row_id").distinct(), "held")

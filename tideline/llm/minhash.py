@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tideline.llm import text_kernel as kernel
 from tideline.llm.components import connected_components
-from tideline.llm.scratch import BROADCAST_ROWS, drop, drop_others, materialize, numbered, without
+from tideline.llm.scratch import BROADCAST_ROWS, drop, materialize, numbered, scope, without
 
 #: A pair at similarity 0.8 shares no band with a chance of (1 - 0.8^5)^30 = 7e-6.
 BANDS, ROWS = 30, 5
@@ -217,18 +217,8 @@ def _towards_hubs(pairs: DataFrame) -> DataFrame:
     return pairs.join(of("a"), "a").join(of("b"), "b").select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("member"))
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, unique_ids: bool = False) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs(doc_id, text, ...)``.
-
-    Two documents are linked if ``100 * |A & B| >= percent * |A | B|`` for their sets of distinct shingles
-    of ``shingle_words`` words (A-Z lower-cased, words apart by ASCII white space).  component_id is the least
-    doc_id reachable over links; kept marks the one row of a component that stays.
-
-    Nulls and ties: a null or wordless text has an empty set and no link; a text of fewer words has
-    its whole sequence as one shingle.  A doc_id with several texts is linked by each of them (``unique_ids`` says that there is none).
-    A null doc_id takes the component of documents with its words, else null, and is kept only then.  Empty tables give no rows;
-    other columns are not read.
-    """
+def _grouped(docs: DataFrame, shingle_words: int, percent: int, unique_ids: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Written tables: the scanned documents, the classes of equal texts, and the component of each class that has a link."""
     scanned = materialize(scan_documents(docs, shingle_words), "scan")
     classes = materialize(
         scanned.where("n_shingles > 0 and doc_id is not null")
@@ -267,7 +257,24 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     across = materialize(_across_components(unsettled, texts, shingle_words, percent).join(tried, ["a", "b"], "left_anti"), "across")
     more = materialize(_confirm(_towards_hubs(across), texts, shingle_words, percent), "links")
     component = materialize(connected_components(links.unionByName(more)).withColumnRenamed("node", "rep"), "components")
-    drop_others(scanned, classes, component)
+    return scanned, classes, component
+
+
+def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, unique_ids: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of ``docs(doc_id, text, ...)``.
+
+    Two documents are linked if ``100 * |A & B| >= percent * |A | B|`` for their sets of distinct shingles
+    of ``shingle_words`` words (A-Z lower-cased, words apart by ASCII white space).  component_id is the least
+    doc_id reachable over links; kept marks the one row of a component that stays.
+
+    Nulls and ties: a null or wordless text has an empty set and no link; a text of fewer words has
+    its whole sequence as one shingle.  A doc_id with several texts is linked by each of them (``unique_ids`` says that there is none).
+    A null doc_id takes the component of documents with its words, else null, and is kept only then.  Empty tables give no rows;
+    other columns are not read.
+    """
+    with scope() as own:
+        scanned, classes, component = _grouped(docs, shingle_words, percent, unique_ids)
+        own.keep(scanned, classes, component)
     of_class = classes.select("k1", "k2", "rep").join(component, "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
     found = scanned.select("doc_id", "n_shingles", "k1", "k2").join(of_class, ["k1", "k2"], "left")
     component_id = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
@@ -280,14 +287,15 @@ def drop_near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int =
     Groups are of rows, so a row of a doc_id can go while another with a text of its own stays.  With ``one_row`` exactly
     one row of each group stays: that of the least doc_id, null last, and among its rows the first.
     """
-    own = numbered(docs)
-    ids = own.select("row_id", F.col("row.doc_id").cast("long").alias("doc_id"))
-    found = near_duplicates(own.select(F.col("row_id").alias("doc_id"), F.col("row.text").alias("text")), shingle_words, percent, unique_ids=True)
-    placed = materialize(found.select(F.col("doc_id").alias("row_id"), "component_id").join(ids, "row_id"), "placed")
-    least = placed.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_id")).alias("least"))
-    gone = placed.join(least.select("least.row_id"), "row_id", "left_anti")
-    if not one_row:
-        gone = gone.join(least, "component_id").where(F.col("doc_id") != F.col("least.doc_id"))
-    gone = materialize(gone.select("row_id"), "gone")
-    drop_others(own, gone)
+    with scope() as made:
+        own = numbered(docs)
+        ids = own.select("row_id", F.col("row.doc_id").cast("long").alias("doc_id"))
+        found = near_duplicates(own.select(F.col("row_id").alias("doc_id"), F.col("row.text").alias("text")), shingle_words, percent, unique_ids=True)
+        placed = materialize(found.select(F.col("doc_id").alias("row_id"), "component_id").join(ids, "row_id"), "placed")
+        least = placed.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_id")).alias("least"))
+        gone = placed.join(least.select("least.row_id"), "row_id", "left_anti")
+        if not one_row:
+            gone = gone.join(least, "component_id").where(F.col("doc_id") != F.col("least.doc_id"))
+        gone = materialize(gone.select("row_id"), "gone")
+        made.keep(own, gone)
     return without(own, gone).select("row.*")

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tideline.llm import chat, codes, contamination, language, minhash, mixing, quality, repair, sharding, tokens, toxicity, urls, warc
-from tideline.llm.scratch import materialize
+from tideline.llm.scratch import materialize, scope
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,8 +85,22 @@ def quality_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialize(quality.text_statistics(_table(spark, sf_dir, "documents")).select(*wanted, quality.base_failed().alias("base_failed")), "statistics")
 
 
+def _written(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query with its result written, so that its scratch tables can go: one folder is left for as long as somebody may read the result."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with scope() as own:
+            result = query(spark, sf_dir)
+            result = result if hasattr(result, "written_to") else materialize(result, query.__name__)
+            own.keep(result)
+        return result
+
+    return run
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_mixing, op3_token_counts, op4_chat_format, op5_warc, op6_sharding, op7_url_filter, op8_quality_rules, op9_toxicity, op10_near_duplicates, op11_language, op12_vector_codes, op13_conversation_repair, chat_turn_digests, quality_statistics)
+    f.__name__: _written(f) for f in (op1_decontamination, op2_mixing, op3_token_counts, op4_chat_format, op5_warc, op6_sharding, op7_url_filter, op8_quality_rules, op9_toxicity, op10_near_duplicates, op11_language, op12_vector_codes, op13_conversation_repair, chat_turn_digests, quality_statistics)
 }
 
 _MIXING = r"""

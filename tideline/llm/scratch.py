@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Tables that no scope owns: they stay until ``drop``, ``clean`` or the driver's end.
 _made: list[tuple[SparkSession, str]] = []
 _own: list[str] = []
+#: The innermost scope of this thread of control.
+_scope: ContextVar[Scope | None] = ContextVar("scope", default=None)
+#: Spark deletes a query's shuffle files once it has run; nothing but the written table is needed of it.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 #: Bytes of an Arrow batch.  Whole texts differ by orders of magnitude in size, so batches go by bytes rather than rows.
 BATCH_BYTES = 8 << 20
@@ -33,35 +39,88 @@ def shared_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+class Scope:
+    """The scratch tables that one call has made and not yet dropped, its calls' kept ones among them."""
+
+    def __init__(self) -> None:
+        self.tables: list[tuple[SparkSession, str]] = []
+        self._kept: set[str] = set()
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Hand these tables to the scope around this one when it ends."""
+        self._kept |= {df.written_to for df in tables}
+
+    def end(self, to: list[tuple[SparkSession, str]]) -> None:
+        for spark, path in self.tables:
+            if path in self._kept:
+                to.append((spark, path))
+            else:
+                delete(spark, path)
+
+
+@contextmanager
+def scope() -> Iterator[Scope]:
+    """Within, tables that this thread makes belong to the scope; at its end, also by an error, those that were not kept are deleted.
+
+    No other call's tables are touched: a scope knows its own alone, and threads have scopes of their own.
+    """
+    around, own = _scope.get(), Scope()
+    token = _scope.set(own)
+    try:
+        yield own
+    finally:
+        _scope.reset(token)
+        own.end(_made if around is None else around.tables)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A folder of its own for a scratch table, deleted by ``drop``, ``clean`` or when the driver ends."""
-    if not _made:
-        atexit.unregister(_at_exit)
-        atexit.register(_at_exit)
+    """A folder of its own for a scratch table, deleted with its scope; outside of any, by ``drop``, ``clean`` or when the driver ends."""
+    atexit.unregister(_at_exit)
+    atexit.register(_at_exit)
     path = f"{shared_folder(spark)}/tideline/{name}-{uuid.uuid4().hex}"
-    _made.append((spark, path))
+    owner = _scope.get()
+    (_made if owner is None else owner.tables).append((spark, path))
     return path
 
 
+_held: dict[tuple[int, str], tuple[str, int]] = {}
+_lock = threading.Lock()
+
+
+@contextmanager
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """Within, a setting of the session has a value; the last of several threads that are within puts back what was there."""
+    at = (id(spark), key)
+    with _lock:
+        given, n = _held.get(at, (spark.conf.get(key), 0))
+        _held[at] = (given, n + 1)
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        with _lock:
+            given, n = _held.pop(at)
+            if n > 1:
+                _held[at] = (given, n - 1)
+            else:
+                spark.conf.set(key, given)
+
+
 @contextmanager
 def batches_by_bytes(spark: SparkSession) -> Iterator[None]:
     """Within, Arrow batches are bounded by BATCH_BYTES, unless a lower bound is set; the session is left as it was."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    given = spark.conf.get(key)
-    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(given) <= BATCH_BYTES:
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) <= BATCH_BYTES and (id(spark), key) not in _held:
         yield
         return
-    spark.conf.set(key, str(BATCH_BYTES))
-    try:
+    with _setting(spark, key, str(BATCH_BYTES)):
         yield
-    finally:
-        spark.conf.set(key, given)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: a cut in the lineage."""
     path = new_folder(df.sparkSession, name)
-    with batches_by_bytes(df.sparkSession):
+    with batches_by_bytes(df.sparkSession), _setting(df.sparkSession, _CLEANUP, "true"):
         df.write.option("compression", "zstd").parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table.written_to = path
@@ -88,30 +147,16 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def drop(*tables: DataFrame) -> None:
-    """Delete the files of tables that ``materialize`` returned and nothing needs any more."""
+    """Delete the files of tables that ``materialize`` returned in this scope and nothing needs any more."""
+    owner = _scope.get()
     for df in tables:
         delete(df.sparkSession, df.written_to)
-        _made[:] = [m for m in _made if m[1] != df.written_to]
-
-
-def release(spark: SparkSession) -> None:
-    """Let go of what nothing refers to any more: Spark deletes the shuffle files of such tables when the driver collects its garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
-def drop_others(*kept: DataFrame) -> None:
-    """Delete what was made since the first of the ``kept`` tables, which stay."""
-    stay, paths = [df.written_to for df in kept], [p for _, p in _made]
-    gone = [p for p in paths[paths.index(stay[0]) :] if p not in stay]
-    for path in gone:
-        delete(kept[0].sparkSession, path)
-    release(kept[0].sparkSession)
-    _made[:] = [m for m in _made if m[1] not in gone]
+        for made in (_made, [] if owner is None else owner.tables):
+            made[:] = [m for m in made if m[1] != df.written_to]
 
 
 def clean(spark: SparkSession | None = None) -> None:
-    """Delete every scratch table of this driver (of ``spark`` alone, if given); results that still read them become unusable."""
+    """Delete every scratch table of this driver that no running scope owns (of ``spark`` alone, if given); results that still read them become unusable."""
     for of, path in [m for m in _made if spark is None or m[0] is spark]:
         delete(of, path)
         _made.remove((of, path))
