@@ -5,7 +5,7 @@ mixed to their targets, and the mix is dealt out to shards.
 
 For all stages: every row is looked at by itself, so a null or repeated doc_id is no special case but where a stage says so; null texts
 count as empty; all but the last return the columns of ``documents`` alone and no others that a table may have; an empty table gives an
-empty one.  Every stage asks Spark first to delete the shuffle files of stages before it.
+empty one.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm import contamination, minhash, mixing, sharding, toxicity
-from tideline.llm.scratch import materialize, release
+from tideline.llm.scratch import drop, materialize, scope
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -29,7 +29,6 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows with a null doc_id or text are scored like all others (an empty text by the model's bias); equal texts go or stay alike; without labels
     all stay.
     """
-    release(spark)
     return toxicity.drop_toxic(docs, _table(spark, sf_dir, "labels")).select(COLUMNS)
 
 
@@ -38,7 +37,6 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Of repeated rows of that doc_id, and of rows that are all without one, the first stays; texts without words are in no group and stay.
     """
-    release(spark)
     return minhash.drop_near_duplicates(docs, one_row=True).select(COLUMNS)
 
 
@@ -48,7 +46,6 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Of a repeated doc_id only the rows that hold one go; null items and items of fewer than five words are not looked for; without a benchmark all
     stay.
     """
-    release(spark)
     return contamination.decontaminate(docs, _table(spark, sf_dir, "benchmark"), null_ids=True).select(COLUMNS)
 
 
@@ -57,13 +54,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null sources are one source; texts without words take no budget and are in no mix; ties of the virtual finish time go by a hash of doc_id.
     """
-    release(spark)
     return mixing.mix(docs).select(COLUMNS)
 
 
 def deal_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix with its shard and slot; rows with equal or null doc_ids are dealt out one by one, a column ``shard`` or ``slot`` of old is replaced."""
-    release(spark)
     return sharding.shard(docs).select(*COLUMNS, F.col("shard"), F.col("slot"))
 
 
@@ -77,11 +72,16 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what each returns is written and read again."""
-    docs = _table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """All stages over ``documents``; what each returns is written and read again, and what it needed for that is deleted then."""
+    docs, before = _table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES:
+        with scope() as own:
+            docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+            own.keep(docs)
+        if before is not None:
+            drop(before)
+        before = docs
+    return docs
 
 
 #: Learned scores have no SQL form; tests hold the stages against brute force.
