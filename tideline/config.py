@@ -48,6 +48,7 @@ class Profile:
     lab_weight: float = 1.0
     # rules
     rules_on: bool = True
+    rules: tuple[str, ...] = ("activity", "quality", "transient", "coverage")  # names in operators.rules, in their order
     lead_channel: str = "HR"
     activity: tuple[float, float] = (0.70, 0.55)
     quality: tuple[float, float] = (0.90, 0.30)
@@ -122,6 +123,9 @@ EVENTS = Profile(
     refractory_h=72,
 )
 
+#: The same with windows of one sample and a long goal for runs: thin and short-lived deviations take part, and rules on them have something to say.
+THIN = replace(EVENTS, streak_min=14400, evidence_samples=1, evidence_cover=0.25)
+
 
 def variants(base: Profile) -> list[tuple[str, Profile]]:
     """The ablation ladder: magnitude alone, then ceiling, persistence, concordance and suppression are added."""

@@ -44,6 +44,15 @@ def hours_between(a: Column, b: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", a, b) / 3.6e9
 
 
+def text(*parts: Column | str) -> Column:
+    """The parts in a row, null if one is."""
+    return F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+
+
+def percent(c: Column) -> Column:
+    return F.concat(F.round(c * 100).cast("int").cast("string"), F.lit("%"))
+
+
 def median_sql(sorted_array: str) -> str:
     """SQL for the median of a sorted array; null where it is empty."""
     a = sorted_array

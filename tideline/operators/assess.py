@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.config import BANDS, Profile
-from tideline.functions.scalars import settled
-from tideline.operators.asof import meeting
+from tideline.functions.scalars import percent, settled, text
+from tideline.operators import rules
 
 KEY = ["patient_id", "t"]
 
@@ -55,43 +55,9 @@ def labs(visible: DataFrame, p: Profile) -> DataFrame:
     return rows.select(*KEY, "variable_code", *[f"lab.{c}" for c in ("record_id", "source_file", "value_num", "event_time", "available_time")], abnormal.alias("abnormal"))
 
 
-def overlapping(intervals: DataFrame, instants: DataFrame, p: Profile, kind: str, hours: int | None = None) -> DataFrame:
-    """Intervals of a kind that were known at t and reach into the last ``hours`` (the evidence window); their end is not known beyond t."""
-    span = p.evidence_h if hours is None else hours
-    own = intervals.where(F.col("kind") == kind)
-    return meeting(own, F.greatest("available_time", "start_time"), F.expr(f"end_time + make_dt_interval(0, {span})"), instants.select(*KEY), max(span, 24))
-
-
-def activity_context(intervals: DataFrame, instants: DataFrame, p: Profile) -> DataFrame:
-    rows = overlapping(intervals, instants, p, "CONTEXT")
-    return rows.where("subtype = 'RECOVERY_PHASE' or (subtype = 'PHYSICAL_ACTIVITY' and value_text in ('HIGH', 'MODERATE'))")
-
-
-def _rule(when: Column, name: str, strength: float) -> Column:
-    return F.when(when, F.struct(F.lit(name).alias("rule"), F.lit(strength).alias("strength")))
-
-
-def rules(p: Profile) -> Column:
-    """The rules that hold, in their order, as structs of rule and strength."""
-    if not p.rules_on:
-        return F.expr("cast(array() as array<struct<rule:string,strength:double>>)")
-    share = F.when(F.col("score_sum") > 0, F.col("lead_score") / F.col("score_sum")).otherwise(0.0)
-    bad_share = F.col("bad") / (F.col("bad") + F.col("good"))
-    found = F.array(
-        _rule(F.col("active") & (share >= p.activity[1]), "activity", p.activity[0]),
-        _rule(F.col("active") & (share < p.activity[1]), "activity_considered", 0.0),
-        _rule((F.col("bad") > 0) & (bad_share >= p.quality[1]), "quality", p.quality[0]),
-        _rule((F.col("bad") > 0) & (bad_share < p.quality[1]), "quality_noted", 0.0),
-        _rule(F.col("persistence_max") < p.transient[1], "transient", p.transient[0]),
-        _rule(F.col("live_coverage") < p.coverage_below, "coverage", 0.0),
-    )
-    return F.filter(found, lambda r: r.isNotNull())
-
-
 def priority(p: Profile) -> Column:
     risk, k, persistence, coverage = p.critical
-    held = F.exists("rules", lambda r: (r["strength"] > 0) | (r["rule"] == "coverage"))
-    critical = (F.col("risk") >= risk) & (F.col("k") >= k) & (F.coalesce("persistence_max", F.lit(0.0)) >= persistence) & (F.col("coverage") >= coverage) & ~held
+    critical = (F.col("risk") >= risk) & (F.col("k") >= k) & (F.coalesce("persistence_max", F.lit(0.0)) >= persistence) & (F.col("coverage") >= coverage) & ~rules.holding(p)
     return F.when(critical, "CRITICAL").when((F.col("risk") >= p.high[0]) & (F.col("k") >= p.high[1]), "HIGH").when(F.col("risk") >= p.medium, "MEDIUM").otherwise("LOW")
 
 
@@ -104,11 +70,10 @@ def band_by_risk(risk: Column, p: Profile) -> Column:
     return F.when(risk >= p.critical[0], 3).when(risk >= p.high[0], 2).when(risk >= p.medium, 1).otherwise(0)
 
 
-def assess(channels: DataFrame, labs_: DataFrame, active: DataFrame, p: Profile, samples: bool = False) -> DataFrame:
-    """One row per instant with a participating channel; with ``samples``, each channel keeps those of its evidence."""
+def assess(channels: DataFrame, labs_: DataFrame, measures: dict[str, DataFrame], p: Profile, samples: bool = False) -> DataFrame:
+    """One row per instant with a participating channel, weighed by the profile's rules from their ``measures``; with ``samples``, each channel keeps those of its evidence."""
     counted = labs_.groupBy(*KEY).agg(F.least(F.count_if("abnormal"), F.lit(p.lab_most)).alias("lab_n"))
-    moving = active.select(*KEY).distinct().withColumn("active", F.lit(True))
-    rows = combined(channels, p, samples).join(counted, KEY, "left").join(moving, KEY, "left").na.fill({"lab_n": 0, "active": False})
+    rows = combined(channels, p, samples).join(counted, KEY, "left").na.fill({"lab_n": 0})
     if p.use_concordance:
         steps = F.array(F.lit(0.0), *[F.lit(c) for c in p.concordance])
         factor = F.coalesce(F.get(steps, F.col("k").cast("int")), F.lit(p.concordance[-1]))
@@ -116,7 +81,7 @@ def assess(channels: DataFrame, labs_: DataFrame, active: DataFrame, p: Profile,
         factor = F.when(F.col("k") > 0, 1.0).otherwise(0.0)
     lab = F.col("lab_n") * p.lab_weight
     rows = rows.withColumn("multisource", lab).withColumn("raw", F.col("weighted") * factor + F.when(F.col("k") >= 1, lab).otherwise(0.0))
-    rows = rows.withColumn("rules", rules(p)).withColumn("final", F.aggregate("rules", F.col("raw"), lambda s, r: s * (1 - r["strength"])))
+    rows = rules.applied(rows, measures, p).withColumn("final", F.aggregate("rules", F.col("raw"), lambda s, r: s * (1 - r["strength"])))
     rows = rows.withColumn("risk", F.when(F.col("final") > 0, 1 - F.exp(-F.col("final") / p.k0)).otherwise(0.0))
     age = F.timestamp_diff("MICROSECOND", F.col("newest"), F.col("t")) / 6e7
     fresh = F.greatest(F.lit(0.3), F.least(F.lit(1.0), 1 - age / p.fresh_min))
@@ -128,30 +93,11 @@ def assess(channels: DataFrame, labs_: DataFrame, active: DataFrame, p: Profile,
 def explanation(p: Profile) -> Column:
     """What was found and why, from the numbers of the assessment alone: top channels, laboratories, each rule with its grounds, and totals."""
     number = lambda c, n: F.format_number(c, n)
-    percent = lambda c: F.concat(F.round(c * 100).cast("int").cast("string"), F.lit("%"))
-    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
     ranked = F.expr("array_sort(filter(channels, c -> c.score > 0), (a, b) -> case when a.score > b.score then -1 when a.score < b.score then 1 else a.place - b.place end)")
     tops = F.array_join(F.transform(F.slice(ranked, 1, 4), lambda c: text(c["variable_code"], " level ", number(c["level"], 1), " drift ", number(c["slope"], 1), " persistence ", percent(c["persistence"]))), ", ")
-    share = F.when(F.col("score_sum") > 0, F.col("lead_score") / F.col("score_sum")).otherwise(0.0)
-    seen = text((F.col("bad")).cast("string"), " of ", (F.col("bad") + F.col("good")).cast("string"), " samples implausible")
-    grounds = {
-        "activity": text(f"{p.lead_channel} carries ", percent(share), " of the score beside known activity"),
-        "activity_considered": text(f"{p.lead_channel} carries only ", percent(share), " of the score beside known activity"),
-        "quality": seen, "quality_noted": seen,
-        "transient": text("longest run reaches ", percent(F.col("persistence_max")), " of its goal"),
-        "coverage": text("window covered to ", percent(F.col("live_coverage"))),
-    }
-
-    def said(r: Column) -> Column:
-        why = F.lit("")
-        for name, ground in grounds.items():
-            why = F.when(r["rule"] == name, ground).otherwise(why)
-        effect = F.when(r["strength"] > 0, text("score reduced by ", percent(r["strength"]))).when(r["rule"] == "coverage", F.lit("priority limited")).otherwise(F.lit("score kept"))
-        return text("rule ", r["rule"], ", ", effect, ": ", why)
-
     nothing = text(f"no deviation in {p.evidence_h} hours over ", F.size("channels").cast("string"), " channels")
     found = text(F.col("k").cast("string"), " of ", F.size("channels").cast("string"), f" channels concordant in {p.evidence_h} hours: ", tops)
     parts = F.array(F.when(F.col("lab_n") > 0, text(F.col("lab_n").cast("string"), " laboratories out of range")))
     totals = text("risk ", number(F.col("risk"), 2), ", confidence ", number(F.col("confidence"), 2), ", priority ", F.col("priority"))
-    whole = F.concat_ws(". ", F.array(found), F.array_compact(parts), F.transform("rules", said), F.array(totals))
+    whole = F.concat_ws(". ", F.array(found), F.array_compact(parts), rules.said(p), F.array(totals))
     return F.when(F.size(ranked) == 0, nothing).otherwise(whole)

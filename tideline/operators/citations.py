@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -12,7 +11,6 @@ from tideline.config import Profile
 
 _KEY = ["patient_id", "t"]
 _FIELDS = ["source_file", "record_id", "variable_code", "event_time", "available_time", "role", "contribution"]
-_ENCOUNTER = 7
 
 
 def representative(z_size: str = "size(z)", argmax: str = "array_position(z, array_max(z)) - 1") -> str:
@@ -36,49 +34,23 @@ def lab_citations(labs: DataFrame) -> DataFrame:
     return labs.select(*_KEY, F.lit(1).alias("part"), F.row_number().over(w).alias("place"), "source_file", "record_id", "variable_code", "event_time", "available_time", role.alias("role"), F.col("abnormal").cast("double").alias("contribution"))
 
 
-def transient_citations(channels: DataFrame) -> DataFrame:
-    """The samples of the leading channel once more, as what the rule on transient deviations looked at."""
-    lead = channel_citations(channels).where("role = 'PRIMARY'")
-    return lead.withColumn("part", F.lit(4)).withColumn("role", F.lit("QUALITY")).withColumn("contribution", F.lit(0.0))
-
-
-def _plain(rows: DataFrame, part: int, role: str, source: str | None = None, time: str = "event_time", first: tuple[str, ...] = ()) -> DataFrame:
+def plain(rows: DataFrame, role: str, source: str | None = None, time: str = "event_time", first: tuple[str, ...] = ()) -> DataFrame:
+    """Rows with patient_id and t as evidence of one role, in order of ``first``, time and record."""
     w = Window.partitionBy(*_KEY).orderBy(*first, time, "record_id")
     code = F.col("variable_code") if "variable_code" in rows.columns else F.lit(None).cast("string")
     file = F.lit(source) if source else F.col("source_file")
-    return rows.select(*_KEY, F.lit(part).alias("part"), F.row_number().over(w).alias("place"), file.alias("source_file"), "record_id", code.alias("variable_code"), F.col(time).alias("event_time"), "available_time", F.lit(role).alias("role"), F.lit(0.0).alias("contribution"))
-
-
-@dataclass(frozen=True)
-class Grounds:
-    """What an assessment rests on, as rows with patient_id and t; the part of a rule is there only where the rule holds."""
-
-    channels: DataFrame
-    labs: DataFrame
-    activity: DataFrame
-    implausible: DataFrame
-    transient: DataFrame
-    connectivity: DataFrame
-    excluded: DataFrame
-    encounters: DataFrame
+    return rows.select(*_KEY, F.row_number().over(w).alias("place"), file.alias("source_file"), "record_id", code.alias("variable_code"), F.col(time).alias("event_time"), "available_time", F.lit(role).alias("role"), F.lit(0.0).alias("contribution"))
 
 
-def citations(g: Grounds, p: Profile) -> DataFrame:
-    """All evidence in order: channels, laboratories, the rules' grounds (of bad samples eight, in the order of channels), excluded rows, and
-    the encounter where nothing else tells of context; each (source, record, role) once, ``p.citations`` at most."""
-    parts = [
-        channel_citations(g.channels),
-        lab_citations(g.labs),
-        _plain(g.activity, 2, "CONTEXT", "intervals", "start_time"),
-        _plain(g.implausible, 3, "QUALITY", first=("place",)).where("place <= 8"),
-        transient_citations(g.transient),
-        _plain(g.connectivity, 5, "QUALITY", "intervals", "start_time"),
-        _plain(g.excluded, 6, "QUALITY"),
-        _plain(g.encounters, _ENCOUNTER, "CONTEXT", "intervals", "start_time").where("place = 1"),
-    ]
+def citations(channels: DataFrame, labs: DataFrame, cited: list[DataFrame], excluded: DataFrame, encounters: DataFrame, p: Profile) -> DataFrame:
+    """All evidence in order: channels, laboratories, what each rule cites where it holds, excluded rows, and the encounter where nothing else
+    tells of context; each (source, record, role) once, ``p.citations`` at most.  All parts are rows with patient_id and t of what an assessment rests on."""
+    later = [*cited, plain(excluded, "QUALITY"), plain(encounters, "CONTEXT", "intervals", "start_time").where("place = 1")]
+    parts = [channel_citations(channels), lab_citations(labs), *[rows.withColumn("part", F.lit(2 + i)) for i, rows in enumerate(later)]]
+    last = 1 + len(later)
     rows = reduce(DataFrame.unionByName, parts)
-    told = F.max((F.col("role") == "CONTEXT") & (F.col("part") < _ENCOUNTER)).over(Window.partitionBy(*_KEY))
-    rows = rows.withColumn("told", told).where((F.col("part") < _ENCOUNTER) | ~F.col("told"))
+    told = F.max((F.col("role") == "CONTEXT") & (F.col("part") < last)).over(Window.partitionBy(*_KEY))
+    rows = rows.withColumn("told", told).where((F.col("part") < last) | ~F.col("told"))
     once = Window.partitionBy(*_KEY, "source_file", "record_id", "role").orderBy("part", "place")
     rows = rows.withColumn("first", F.row_number().over(once)).where("first = 1")
     order = Window.partitionBy(*_KEY).orderBy("part", "place")

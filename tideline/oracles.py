@@ -91,6 +91,15 @@ _STEPS: dict[str, str] = {
     "zx": "SELECT *, first_value(i) OVER (PARTITION BY patient_id, t, variable_code ORDER BY z DESC, i) AS top FROM ev",
     "ci": """SELECT z.patient_id, z.t, z.record_id, z.source_file, z.variable_code, z.et, z.av, CASE WHEN rank = 1 THEN 'PRIMARY' ELSE 'SUPPORTING' END AS role, round(score, 4) AS contribution, rank
       FROM zx z JOIN rk r USING (patient_id, t, variable_code) WHERE i = 1 OR i = z.n_evidence OR i = top OR (z.n_evidence >= 6 AND i = z.n_evidence // 2 + 1)""",
+    "evd": """SELECT DISTINCT * FROM (
+        SELECT signal_id, patient_id, ci.source_file, ci.record_id, ci.role FROM sig JOIN ci USING (patient_id, t)
+        UNION ALL SELECT signal_id, sig.patient_id, o.source_file, o.record_id, CASE WHEN abnormal THEN 'SUPPORTING' ELSE 'CONTEXT' END FROM sig JOIN lab USING (patient_id, t) JOIN obs o ON o.record_id = lab.record_id
+        UNION ALL SELECT signal_id, sig.patient_id, 'intervals', i.record_id, 'CONTEXT' FROM sig JOIN iv i ON i.patient_id = sig.patient_id AND i.kind = 'CONTEXT' AND i.st <= sig.t AND least(i.en, sig.t) >= sig.es AND (i.subtype = 'RECOVERY_PHASE' OR i.value_text IN ('HIGH', 'MODERATE'))
+        UNION ALL SELECT signal_id, patient_id, v.source_file, v.record_id, 'QUALITY' FROM sig JOIN vis v USING (patient_id, t) JOIN mm USING (patient_id, t, variable_code) WHERE NOT v.ok AND v.et >= sig.es
+        UNION ALL SELECT signal_id, patient_id, ci.source_file, ci.record_id, 'QUALITY' FROM sig JOIN ru USING (patient_id, t) JOIN ci USING (patient_id, t) WHERE rule = 'transient' AND ci.role = 'PRIMARY'
+        UNION ALL SELECT signal_id, sig.patient_id, 'intervals', i.record_id, 'QUALITY' FROM sig JOIN ru USING (patient_id, t) JOIN iv i ON i.patient_id = sig.patient_id AND i.kind = 'CONNECTIVITY' AND i.st <= sig.t AND least(i.en, sig.t) >= sig.es WHERE rule = 'coverage'
+        UNION ALL SELECT signal_id, sig.patient_id, 'customers', f.record_id, 'CONTEXT' FROM sig JOIN ru USING (patient_id, t) JOIN fc f ON f.patient_id = sig.patient_id AND f.av <= sig.t AND f.category IN ('BUILDING', 'MACHINERY') WHERE rule = 'known_condition'
+        UNION ALL SELECT signal_id, sig.patient_id, o.source_file, o.record_id, 'QUALITY' FROM sig JOIN obs o ON o.patient_id = sig.patient_id WHERE (o.dup OR NOT o.known) AND o.av <= sig.t AND o.et BETWEEN sig.es AND sig.t)""",
 }
 
 
@@ -191,8 +200,6 @@ _SELECTS: dict[str, str] = {
     "lab_corroboration": f"SELECT patient_id, {_t('t')} AS t, variable_code, record_id, abnormal FROM lab",
     "rule_activity": _RULE + "('activity', 'activity_considered')",
     "rule_quality": _RULE + "('quality', 'quality_noted')",
-    "rule_transient": _RULE + "('transient')",
-    "rule_coverage": _RULE + "('coverage')",
     "citations_topk": f"SELECT patient_id, {_t('t')} AS t, record_id, variable_code, role, contribution + 0.0::DOUBLE AS contribution FROM ci",
     "eventize": f"SELECT signal_id, patient_id, priority, {_r('round(risk, 6)')} AS risk, suppressions, demoted FROM sig",
     "history_peak_transitions": f"""SELECT patient_id, asked, asked - coalesce(ev_n, 0) AS skipped, n_low, n_medium, n_high, n_critical, transitions, peak_priority, {_t('peak_t')} AS peak_t, {_t('first_t')} AS first_evaluable
@@ -217,15 +224,7 @@ _SELECTS: dict[str, str] = {
         SELECT signal_id, o.source_file FROM sig JOIN lab USING (patient_id, t) JOIN obs o ON o.record_id = lab.record_id WHERE lab.abnormal) GROUP BY signal_id) GROUP BY sources""",
     "rule_explode_counts": "SELECT rule, count(*) AS signals, count(*) FILTER (band >= 2) AS urgent FROM sig JOIN ru USING (patient_id, t) GROUP BY rule",
     "ablation_variants": _ABLATION,
-    "causality_audit": """SELECT role, count(*) AS cited, 0::BIGINT AS late, 0::BIGINT AS future FROM (SELECT DISTINCT * FROM (
-        SELECT signal_id, source_file, record_id, role FROM sig JOIN ci USING (patient_id, t)
-        UNION ALL SELECT signal_id, o.source_file, o.record_id, CASE WHEN abnormal THEN 'SUPPORTING' ELSE 'CONTEXT' END FROM sig JOIN lab USING (patient_id, t) JOIN obs o ON o.record_id = lab.record_id
-        UNION ALL SELECT signal_id, 'intervals', i.record_id, 'CONTEXT' FROM sig JOIN iv i ON i.patient_id = sig.patient_id AND i.kind = 'CONTEXT' AND i.st <= sig.t AND least(i.en, sig.t) >= sig.es AND (i.subtype = 'RECOVERY_PHASE' OR i.value_text IN ('HIGH', 'MODERATE'))
-        UNION ALL SELECT signal_id, v.source_file, v.record_id, 'QUALITY' FROM sig JOIN vis v USING (patient_id, t) JOIN mm USING (patient_id, t, variable_code) WHERE NOT v.ok AND v.et >= sig.es
-        UNION ALL SELECT signal_id, ci.source_file, ci.record_id, 'QUALITY' FROM sig JOIN ru USING (patient_id, t) JOIN ci USING (patient_id, t) WHERE rule = 'transient' AND ci.role = 'PRIMARY'
-        UNION ALL SELECT signal_id, 'intervals', i.record_id, 'QUALITY' FROM sig JOIN ru USING (patient_id, t) JOIN iv i ON i.patient_id = sig.patient_id AND i.kind = 'CONNECTIVITY' AND i.st <= sig.t AND least(i.en, sig.t) >= sig.es WHERE rule = 'coverage'
-        UNION ALL SELECT signal_id, o.source_file, o.record_id, 'QUALITY' FROM sig JOIN obs o ON o.patient_id = sig.patient_id WHERE (o.dup OR NOT o.known) AND o.av <= sig.t AND o.et BETWEEN sig.es AND sig.t)) GROUP BY role""",
-    "fk_orphans": "SELECT '' AS what, 0::BIGINT AS n WHERE FALSE",
+    "causality_audit": "SELECT role, count(*) AS cited, 0::BIGINT AS late, 0::BIGINT AS future FROM evd GROUP BY role",
     "submission_validation": _SUBMISSION,
     "latency_by_domain": f"SELECT domain, count(*) AS n, {_r('median(minutes)')} AS median, {_r('quantile_cont(minutes, 0.95)')} AS p95, {_r('max(minutes)')} AS most FROM (SELECT domain, epoch(av - et) / 60 AS minutes FROM acc) GROUP BY ALL",
     "set_ops": """SELECT part, count(*) AS n FROM (
@@ -257,8 +256,23 @@ _SELECTS: dict[str, str] = {
     "sweep_stats": "SELECT k, risk_band AS band_by_risk, count(*) AS n, count(*) FILTER (names IS NOT NULL) AS ruled, count(*) FILTER (lab_n > 0) AS with_labs FROM ass GROUP BY ALL",
 }
 
+#: The steps under a profile with thin windows and a long goal for runs, and under one with a fifth rule.
+_THIN = {"ev": _STEPS["ev"].replace("n_evidence >= 3", "n_evidence >= 1"), "m1": _STEPS["m1"].replace("coalesce(streak, 0) / 2.0)", "coalesce(streak, 0) / 5.0)")}
+_CONDITION = "SELECT 1 FROM fc f WHERE f.patient_id = a1.patient_id AND f.av <= a1.t AND f.category IN ('BUILDING', 'MACHINERY')"
+_FIFTH = {"ru": f"SELECT * FROM ({_STEPS['ru']}) UNION ALL SELECT patient_id, t, 'known_condition', 0.25, 5 FROM a1 WHERE EXISTS ({_CONDITION})"}
+_ORPHANS = """WITH s AS (SELECT signal_id FROM sig WHERE CAST(substr(patient_id, 2) AS INT) % 5 <> 0), e AS (SELECT * FROM evd WHERE CAST(substr(patient_id, 2) AS INT) % 7 <> 0), l AS (
+    SELECT CASE source_file WHEN 'customers' THEN CAST(substr(record_id, 2) AS INT) % 2 = 0 WHEN 'intervals' THEN FALSE ELSE CAST(record_id AS INT) % 3 = 0 END AS lost, source_file FROM evd)
+  SELECT 'signal' AS what, '' AS source_file, count(*) AS n FROM s WHERE signal_id NOT IN (SELECT signal_id FROM e) HAVING count(*) > 0
+  UNION ALL SELECT 'evidence', '', count(*) FROM e WHERE signal_id NOT IN (SELECT signal_id FROM s) HAVING count(*) > 0 UNION ALL SELECT 'untraceable', source_file, count(*) FROM l WHERE lost GROUP BY source_file"""
+
 ORACLES: dict[str, str] = {name: _sql(select) for name, select in _SELECTS.items()} | {
     "signals_by_variant": " UNION ALL ".join(f"SELECT * FROM ({_sql(_URGENT.format(name=name), changed)})" for name, changed in _LADDER.items()),
+    "rule_transient": _sql(_RULE + "('transient')", _THIN),
+    "rule_coverage": _sql(_RULE + "('coverage')", _THIN),
+    "rule_registered": _sql(f"SELECT patient_id, {_t('t')} AS t, names AS rules, {_r('final')} AS final, priority FROM ass WHERE contains(names, 'known_condition')", _FIFTH),
+    "rule_registered_evidence": _sql("""SELECT signal_id, record_id, role, explained FROM (SELECT signal_id, record_id, role FROM evd WHERE source_file = 'customers')
+      FULL JOIN (SELECT signal_id, TRUE AS explained FROM sig WHERE contains(suppressions, 'known_condition')) USING (signal_id)""", _FIFTH),
+    "fk_orphans": _sql(f"SELECT * FROM ({_ORPHANS})", _FIFTH),
     "unique_keys": """SELECT name, count(*) AS keys, CAST(sum(n) AS BIGINT) AS rows FROM (SELECT 'orders' AS name, count(*) AS n FROM orders GROUP BY o_orderkey HAVING count(*) > 1
       UNION ALL SELECT 'lineitem', count(*) FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1) GROUP BY name""",
     "time_order_violations": "SELECT l_shipdate < o_orderdate AS violates, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL",

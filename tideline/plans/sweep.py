@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.config import Profile
-from tideline.operators import asof, assess, channels, citations, events
+from tideline.operators import asof, assess, channels, citations, events, rules
 from tideline.sources.stored import stored
 
 
@@ -30,14 +30,14 @@ class Sweep:
     visible: DataFrame
     channels: DataFrame
     labs: DataFrame
-    context: DataFrame
+    measures: dict[str, DataFrame]
     assessments: DataFrame
 
 
-def _decide(clean: Clean, visible: DataFrame, grid: DataFrame, context: DataFrame, p: Profile, samples: bool = False) -> Sweep:
+def _decide(clean: Clean, visible: DataFrame, grid: DataFrame, p: Profile, samples: bool = False) -> Sweep:
     measured = channels.measured(channels.windows(visible, p), p)
-    found = assess.labs(visible, p)
-    return Sweep(p, grid, visible, measured, found, context, assess.assess(measured, found, context, p, samples))
+    found, measures = assess.labs(visible, p), rules.measured(rules.Seen(grid, visible, measured, clean.intervals, clean.facts, p))
+    return Sweep(p, grid, visible, measured, found, measures, assess.assess(measured, found, measures, p, samples))
 
 
 def _lookback(p: Profile) -> int:
@@ -49,7 +49,7 @@ def sweep(clean: Clean, p: Profile) -> Sweep:
     encounter = stored(asof.encounters(clean.observations), "encounters")  # a row a patient
     visible = asof.on_grid(asof.usable_series(clean.observations), encounter, p, _lookback(p))
     grid = asof.decision_grid(encounter, p)
-    return _decide(clean, visible, grid, assess.activity_context(clean.intervals, grid, p), p)
+    return _decide(clean, visible, grid, p)
 
 
 def sweeps(clean: Clean, named: list[tuple[str, Profile]]) -> dict[str, Sweep]:
@@ -57,18 +57,19 @@ def sweeps(clean: Clean, named: list[tuple[str, Profile]]) -> dict[str, Sweep]:
     (_, base), *_ = named
     s = sweep(clean, base)
     statistics = stored(channels.statistics(channels.windows(s.visible, base), base).drop("evidence", "baseline", "z"), "statistics")
-    labs, context = stored(s.labs, "labs"), stored(s.context.select("patient_id", "t").distinct(), "context")
-    out = {}
+    labs, measures, out = stored(s.labs, "labs"), {}, {}
     for name, p in named:
         measured = channels.scored(statistics, p)
-        out[name] = Sweep(p, s.grid, s.visible, measured, labs, context, assess.assess(measured, labs, context, p))
+        wanted = rules.measured(rules.Seen(s.grid, s.visible, measured, clean.intervals, clean.facts, p))
+        measures |= {rule: stored(rows, rule) for rule, rows in wanted.items() if rule not in measures}
+        out[name] = Sweep(p, s.grid, s.visible, measured, labs, measures, assess.assess(measured, labs, measures, p))
     return out
 
 
 def decide(clean: Clean, instants: DataFrame, p: Profile) -> Sweep:
     """Assess a few given instants (patient_id, t) live, channels with their samples; the patient filter reaches the scan."""
     visible = asof.at_instants(asof.usable_series(clean.observations), instants, _lookback(p))
-    return _decide(clean, visible, instants, assess.activity_context(clean.intervals, instants, p), p, samples=True)
+    return _decide(clean, visible, instants, p, samples=True)
 
 
 def snapshot(clean: Clean, instants: DataFrame, p: Profile) -> dict[str, DataFrame]:
@@ -86,7 +87,7 @@ def snapshot(clean: Clean, instants: DataFrame, p: Profile) -> dict[str, DataFra
 def written(s: Sweep) -> Sweep:
     """The same sweep with its channels and assessments written once, for plans that read them several times."""
     measured = stored(s.channels, "channels")
-    return replace(s, channels=measured, assessments=stored(assess.assess(measured, s.labs, s.context, s.profile), "assessments"))
+    return replace(s, channels=measured, assessments=stored(assess.assess(measured, s.labs, s.measures, s.profile), "assessments"))
 
 
 def signals(s: Sweep) -> DataFrame:
@@ -104,18 +105,10 @@ def evidence(s: Sweep, clean: Clean) -> DataFrame:
     """Citations of the emitted assessments."""
     p, key = s.profile, ["patient_id", "t"]
     emitted = stored(events.eventize(s.assessments.select(*key, "band", "risk", "raw", "rules"), p).select(*key, events.signal_id().alias("signal_id"), F.transform("rules", lambda r: r["rule"]).alias("rules")), "emitted")
-    ruled = lambda *names: emitted.where(F.arrays_overlap("rules", F.array(*[F.lit(n) for n in names]))).select(*key)
     of = lambda df, instants: df.join(instants.select(*key), key, "left_semi")
-    border = F.expr(f"event_time >= t - make_dt_interval(0, {p.evidence_h})")
-    bad = of(s.visible.where(~F.col("is_plausible")).where(border), ruled("quality", "quality_noted"))
-    grounds = citations.Grounds(
-        channels=of(s.channels, emitted),
-        labs=of(s.labs, emitted),
-        activity=of(s.context, ruled("activity", "activity_considered")),
-        implausible=bad.join(s.channels.select(*key, "variable_code", "place"), [*key, "variable_code"]),
-        transient=of(s.channels, ruled("transient")),
-        connectivity=assess.overlapping(clean.intervals, ruled("coverage"), p, "CONNECTIVITY"),
-        excluded=asof.at_instants(asof.excluded(clean.observations), emitted, p.evidence_h),
-        encounters=assess.overlapping(clean.intervals, emitted, p, "ENCOUNTER", p.evidence_h + p.baseline_h),
-    )
-    return citations.citations(grounds, p).join(emitted.drop("rules"), key)
+    held = lambda rule: emitted.where(F.arrays_overlap("rules", F.array(*[F.lit(o.name) for o in rule.outcomes]))).select(*key)
+    seen = rules.Seen(emitted.select(*key), of(s.visible, emitted), s.channels, clean.intervals, clean.facts, p)
+    cited = [rule.cite(seen, held(rule)) for rule in rules.of(p) if rule.cite]
+    excluded = asof.at_instants(asof.excluded(clean.observations), emitted, p.evidence_h)
+    around = rules.overlapping(clean.intervals, emitted, p, "ENCOUNTER", p.evidence_h + p.baseline_h)
+    return citations.citations(of(s.channels, emitted), of(s.labs, emitted), cited, excluded, around, p).join(emitted.drop("rules"), key)

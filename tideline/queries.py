@@ -9,9 +9,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.config import EVENTS, variants
-from tideline.functions.scalars import iso
-from tideline.operators import asof, assess, channels, citations, events, quality
+from tideline.config import EVENTS, THIN, variants
+from tideline.functions.scalars import iso, text
+from tideline.operators import asof, assess, channels, citations, events, quality, rules
 from tideline.plans import audit, report, serve
 from tideline.plans import sweep as plans
 from tideline.sources import event_feed
@@ -171,9 +171,9 @@ def lab_corroboration(spark, d):
     return _sweep(spark, d).labs.select("patient_id", iso(F.col("t")).alias("t"), "variable_code", "record_id", "abnormal")
 
 
-def _rule(*names: str):
+def _rule(*names: str, profile=P):
     def run(spark, d):
-        a = _sweep(spark, d).assessments.select("patient_id", iso(F.col("t")).alias("t"), F.explode("rules").alias("r"))
+        a = plans.sweep(_clean(spark, d), profile).assessments.select("patient_id", iso(F.col("t")).alias("t"), F.explode("rules").alias("r"))
         return a.where(F.col("r.rule").isin(*names)).select("patient_id", "t", F.col("r.rule").alias("rule"), F.col("r.strength").alias("strength"))
 
     return run
@@ -181,8 +181,43 @@ def _rule(*names: str):
 
 _REGISTRY["rule_activity"] = _rule("activity", "activity_considered")
 _REGISTRY["rule_quality"] = _rule("quality", "quality_noted")
-_REGISTRY["rule_transient"] = _rule("transient")
-_REGISTRY["rule_coverage"] = _rule("coverage")
+_REGISTRY["rule_transient"] = _rule("transient", profile=THIN)
+_REGISTRY["rule_coverage"] = _rule("coverage", profile=THIN)
+
+
+#: A rule of one's own: what is on record about a patient explains a part of its deviation.
+CONDITION = rules.register(
+    rules.Rule(
+        "known_condition",
+        (rules.Outcome("known_condition", lambda p: F.col("conditions") > 0, lambda p: text(F.col("conditions").cast("string"), " conditions on record"), lambda p: 0.25),),
+        lambda seen: asof.facts_at(seen.facts.where("category in ('BUILDING', 'MACHINERY')"), seen.instants),
+        {"conditions": (lambda: F.count("*"), 0)},
+        lambda seen, instants: citations.plain(asof.facts_at(seen.facts.where("category in ('BUILDING', 'MACHINERY')"), instants), "CONTEXT", time="available_time"),
+    )
+)
+CONDITIONS = replace(P, rules=(*P.rules, CONDITION.name))
+
+
+def _known(spark: SparkSession, d: str) -> plans.Clean:
+    """The clean tables with the facts."""
+    return replace(_clean(spark, d), facts=stored(_facts(spark, d).where("reject_reason is null"), "facts"))
+
+
+@_query
+def rule_registered(spark, d):
+    """Assessments under a profile with a fifth rule, where it holds."""
+    a = plans.sweep(_known(spark, d), CONDITIONS).assessments.where(F.exists("rules", lambda r: r["rule"] == CONDITION.name))
+    return a.select("patient_id", iso(F.col("t")).alias("t"), F.array_join(F.transform("rules", lambda r: r["rule"]), ",").alias("rules"), r6("final").alias("final"), "priority")
+
+
+@_query
+def rule_registered_evidence(spark, d):
+    """What the fifth rule cites, and the signals that name it."""
+    clean = _known(spark, d)
+    s = plans.written(plans.sweep(clean, CONDITIONS))
+    cited = plans.evidence(s, clean).where("source_file = 'customers'").select("signal_id", "record_id", "role")
+    named = plans.signals(s).where(F.array_contains(F.split("suppressions", ","), CONDITION.name)).select("signal_id", F.col("explanation").contains("conditions on record").alias("explained"))
+    return cited.join(named, "signal_id", "full").select("signal_id", "record_id", "role", "explained")
 
 
 @_query
@@ -276,11 +311,15 @@ def ablation_variants(spark, d):
 
 @_query
 def fk_orphans(spark, d):
-    clean = _clean(spark, d)
-    s = plans.written(plans.sweep(clean, P))
-    signals, cited = plans.signals(s), plans.evidence(s, clean)
-    lost = audit.untraceable(cited, clean.observations, clean.intervals).select(F.lit("untraceable").alias("what"), "signal_id")
-    return audit.orphans(signals, cited).unionByName(lost).groupBy("what").agg(F.count("*").alias("n"))
+    """Broken references after a planted loss: signals, evidence, observations and facts vanish by their numbers."""
+    clean = _known(spark, d)
+    s = plans.written(plans.sweep(clean, CONDITIONS))
+    signals, cited = stored(plans.signals(s), "signals"), stored(plans.evidence(s, clean), "evidence")
+    left = lambda df, column, n: df.where(F.regexp_replace(column, r"^\D+", "").cast("long") % n != 0)
+    kept, proof = left(signals, "patient_id", 5), left(cited, "patient_id", 7)
+    lost = audit.untraceable(cited, left(clean.observations, "record_id", 3), clean.intervals, left(clean.facts, "record_id", 2))
+    rows = audit.orphans(kept, proof).select("what", F.lit("").alias("source_file")).unionByName(lost.select(F.lit("untraceable").alias("what"), "source_file"))
+    return rows.groupBy("what", "source_file").agg(F.count("*").alias("n"))
 
 
 @_query
