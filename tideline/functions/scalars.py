@@ -59,6 +59,17 @@ def median_sql(sorted_array: str) -> str:
     return f"case when size({a}) > 0 then (get({a}, cast((size({a}) - 1) div 2 as int)) + get({a}, cast(size({a}) div 2 as int))) / 2 end"
 
 
+def deviation_sql(sorted_array: str, centre: str) -> str:
+    """SQL for the median of the distances from ``centre`` of a sorted array; null where it is empty.
+
+    The r-th least distance is the least radius around the centre that holds r values in a row, so nothing is sorted again.
+    """
+    a = sorted_array
+    least = lambda r: f"array_min(transform(sequence(0, size({a}) - 1 - ({r})), i -> greatest({centre} - {a}[i], {a}[i + ({r})] - {centre})))"
+    low, high = f"cast((size({a}) - 1) div 2 as int)", f"cast(size({a}) div 2 as int)"
+    return f"case when size({a}) % 2 = 1 then {least(low)} when size({a}) > 0 then ({least(low)} + {least(high)}) / 2 end"
+
+
 def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A small table of literals with a schema such as ``"code string, factor double"``; it needs no Python worker, as rows handed over from Python would."""
     fields = [f.split() for f in schema.split(", ")]

@@ -1,19 +1,22 @@
 """What was known about whom at which instant.
 
 A row is visible at T if it was available by T and happened within the lookback.  On a regular grid, the instants
-that see a row follow from its own time by arithmetic, so rows are dealt to stretches of ``STRETCH`` instants of their
-entity and meet no others.  Rows meet given instants by cells of time (``meeting``).  Either way there is no join of all rows of an entity
+that see a row follow from its own time by arithmetic, so rows are dealt to stretches of instants of their
+entity, two at most, and meet no others.  Rows meet given instants by cells of time (``meeting``).  Either way there is no join of all rows of an entity
 with all its instants, and an entity with most rows is still shared out.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.config import Profile
 from tideline.functions.scalars import seconds
 
+#: The least number of instants of a stretch.
 STRETCH = 24
 
 
@@ -42,17 +45,36 @@ def history_grid(start: str, end: str, cadence_min: int) -> str:
     return f"array_distinct(concat(sequence({start}, {end}, make_dt_interval(0, 0, {cadence_min})), array({end})))"
 
 
-def on_grid(rows: DataFrame, encounter: DataFrame, p: Profile, lookback_h: int) -> DataFrame:
-    """Each row of ``rows(patient_id, variable_code, event_time, available_time, ...)`` at every grid instant t that sees it."""
+def stretch_of(p: Profile, lookback_h: int) -> int:
+    """Instants of a stretch: no fewer than see a row one after the other, so that no row is in more than two."""
+    return max(STRETCH, math.ceil(lookback_h / p.cadence_h))
+
+
+def dealt(rows: DataFrame, encounter: DataFrame, p: Profile, lookback_h: int) -> DataFrame:
+    """Each row of ``rows(patient_id, variable_code, event_time, available_time, ...)`` in each stretch with a grid instant that sees it, two at most.
+
+    ``lo`` to ``hi`` are the numbers of the instants that see it, ``first`` is the grid's first; rows are dealt out by patient, variable and stretch.
+    """
     span = encounter.withColumn("first", F.expr(_from("start_time", str(p.warmup_h)))).where("first <= end_time").select("patient_id", "first", "end_time")
-    step = p.cadence_h * 3.6e9
+    step, length = p.cadence_h * 3.6e9, stretch_of(p, lookback_h)
     after = F.timestamp_diff("MICROSECOND", F.col("first"), F.greatest("event_time", "available_time"))
     upto = F.timestamp_diff("MICROSECOND", F.col("first"), F.col("event_time")) + lookback_h * 3_600_000_000
     last = F.floor(F.timestamp_diff("MICROSECOND", F.col("first"), F.col("end_time")) / step)
     seen = rows.join(span, "patient_id").withColumn("lo", F.greatest(F.lit(0).cast("long"), F.ceil(after / step))).withColumn("hi", F.least(F.floor(upto / step), last)).where("lo <= hi")
-    dealt = seen.withColumn("stretch", F.explode(F.expr(f"sequence(lo div {STRETCH}, hi div {STRETCH})"))).repartition("patient_id", "variable_code", "stretch")
-    ticks = F.explode(F.expr(f"sequence(greatest(lo, stretch * {STRETCH}), least(hi, stretch * {STRETCH} + {STRETCH - 1}))"))
-    return dealt.withColumn("k", ticks).withColumn("t", F.expr(_from("first", f"k * {p.cadence_h}"))).select("patient_id", "variable_code", "stretch", "t", *[c for c in rows.columns if c not in ("patient_id", "variable_code")])
+    return seen.withColumn("stretch", F.explode(F.expr(f"sequence(lo div {length}, hi div {length})"))).repartition("patient_id", "variable_code", "stretch")
+
+
+def ticked(rows: DataFrame, p: Profile, lookback_h: int) -> DataFrame:
+    """Rows of a stretch, with its ``lo``, ``hi`` and ``first``, at each of their instants: number ``k`` and time ``t``."""
+    length = stretch_of(p, lookback_h)
+    ticks = F.explode(F.expr(f"sequence(greatest(lo, stretch * {length}), least(hi, stretch * {length} + {length - 1}))"))
+    return rows.withColumn("k", ticks).withColumn("t", F.expr(_from("first", f"k * {p.cadence_h}")))
+
+
+def on_grid(rows: DataFrame, encounter: DataFrame, p: Profile, lookback_h: int) -> DataFrame:
+    """Each row of ``rows`` at every grid instant t that sees it."""
+    seen = ticked(dealt(rows, encounter, p, lookback_h), p, lookback_h)
+    return seen.select("patient_id", "variable_code", "stretch", "t", *[c for c in rows.columns if c not in ("patient_id", "variable_code")])
 
 
 def meeting(rows: DataFrame, lo: Column, hi: Column, instants: DataFrame, cell_h: int, at: str = "t", since: str | None = None) -> DataFrame:

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tideline.config import Profile
-from tideline.functions.scalars import literal_table, median_sql, seconds, settled
+from tideline.functions.scalars import deviation_sql, literal_table, median_sql, seconds, settled
+from tideline.operators.asof import ticked
 from tideline.operators.ranges import quantiles
+from tideline.operators.slopes import with_slopes
 
 MAD_TO_SIGMA = 1.4826
 
@@ -39,29 +42,68 @@ def windows(visible: DataFrame, p: Profile) -> DataFrame:
     )
 
 
+_SAMPLE = "named_struct('event_time', s.event_time, 'record_id', s.record_id, 'value', s.value, 'available_time', s.available_time, 'source_file', s.source_file)"
+
+
+def grid_windows(rows: DataFrame, p: Profile, lookback_h: int) -> DataFrame:
+    """``windows`` at every instant of a grid, from rows as ``asof.dealt`` gives them.
+
+    A stretch's samples are collected once, in order of time, and once more in order of value.  Each instant cuts its windows out of the two by what
+    was visible and when it happened: a part of a sorted array is sorted, so no window is collected or sorted anew.
+    """
+    sample = F.struct("event_time", "record_id", F.col("value_num").alias("value"), "available_time", "source_file", (F.col("is_plausible") & F.col("value_num").isNotNull()).alias("usable"), F.col("is_plausible").alias("plausible"), "lo", "hi")
+    found = rows.where(F.col("variable_code").isin([c.code for c in p.channels])).groupBy("patient_id", "variable_code", "stretch")
+    found = found.agg(F.array_sort(F.collect_list(sample)).alias("samples"), F.first("first").alias("first"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    by_value = "array_sort(transform(filter(samples, s -> s.usable), s -> named_struct('value', s.value, 'event_time', s.event_time, 'lo', s.lo, 'hi', s.hi)))"
+    ticks = ticked(settled(found.withColumn("by_value", F.expr(by_value))), p, lookback_h)
+    ticks = ticks.withColumn("border", F.expr(f"t - make_dt_interval(0, {p.evidence_h})")).withColumn("start", F.expr(f"t - make_dt_interval(0, {p.evidence_h + p.baseline_h})"))
+    seen = "s.lo <= k and k <= s.hi"
+    return ticks.select(
+        "patient_id", "variable_code", "stretch", "t",
+        F.expr(f"transform(filter(samples, s -> s.usable and {seen} and s.event_time >= border), s -> {_SAMPLE})").alias("evidence"),
+        F.expr(f"transform(filter(by_value, s -> {seen} and s.event_time <= border and s.event_time >= start), s -> s.value)").alias("baseline"),
+        F.expr(f"cast(size(filter(samples, s -> not s.plausible and {seen} and s.event_time >= border)) as bigint)").alias("bad"),
+    )
+
+
+#: Samples that a channel's window may hold by its nominal rate for its slopes to be listed pair by pair; beyond, their median is selected.
+LISTED_SAMPLES = 256
 _SLOPES = """array_sort(flatten(transform(sequence(1, n_evidence), i -> transform(filter(sequence(1, n_evidence), j -> j > i and hours[j - 1] <> hours[i - 1]),
   j -> (z[j - 1] - z[i - 1]) / (hours[j - 1] - hours[i - 1])))))"""
 _STREAK = "aggregate(z, named_struct('now', 0, 'best', 0), (s, x) -> named_struct('now', if(x > {above}, s.now + 1, 0), 'best', greatest(s.best, if(x > {above}, s.now + 1, 0)))).best"
 
 
+def with_slope(rows: DataFrame, p: Profile) -> DataFrame:
+    """``rows(hours, z, n_evidence)`` with ``slope`` over the evidence window: the median over all pairs of samples, 0 for too few of them.
+
+    The pairs of a channel with up to LISTED_SAMPLES samples a window are an array; those of denser channels are never listed (``slopes``).
+    """
+    dense = [c.code for c in p.channels if p.expected(c, p.evidence_h) > LISTED_SAMPLES]
+    listed = rows.where(~F.col("variable_code").isin(dense)) if dense else rows
+    listed = listed.withColumn("slopes", F.expr(f"if(n_evidence >= {p.slope_samples}, {_SLOPES}, cast(array() as array<double>))"))
+    out = listed.withColumn("slope", F.coalesce(F.expr(median_sql("slopes")), F.lit(0.0))).drop("slopes")
+    if dense:
+        some = rows.where(F.col("variable_code").isin(dense))
+        out = out.unionByName(some.mapInArrow(with_slopes(p.slope_samples), T.StructType([*some.schema.fields, T.StructField("slope", T.DoubleType())])))
+    return out.withColumn("slope", F.col("slope") * float(p.evidence_h))
+
+
 def statistics(window: DataFrame, p: Profile) -> DataFrame:
     """Participating channels with centre, scale, z, level, slope and longest streak: what no switch of the profile changes."""
     rows = window.join(F.broadcast(channel_table(window.sparkSession, p)), "variable_code")
     rows = rows.withColumn("n_evidence", F.size("evidence")).withColumn("n_baseline", F.size("baseline"))
     rows = rows.where("n_baseline >= baseline_least and n_evidence >= evidence_least")
     rows = rows.withColumn("centre", F.expr(median_sql("baseline")))
-    rows = rows.withColumn("away", F.expr("array_sort(transform(baseline, x -> abs(x - centre)))"))
-    rows = rows.withColumn("scale", F.greatest(F.expr(median_sql("away")) * MAD_TO_SIGMA, "floor"))
+    rows = rows.withColumn("scale", F.greatest(F.expr(deviation_sql("baseline", "centre")) * MAD_TO_SIGMA, "floor"))
     rows = rows.withColumn("z", F.expr("transform(evidence, e -> (e.value - centre) / scale * direction)"))
     rows = rows.withColumn("hours", F.expr("transform(evidence, e -> timestampdiff(MICROSECOND, evidence[0].event_time, e.event_time) / 3.6e9D)"))
     rows = rows.withColumn("tail", F.expr("array_sort(slice(z, -greatest(1, n_evidence div 3), greatest(1, n_evidence div 3)))"))
     rows = rows.withColumn("level", F.expr(median_sql("tail")))
-    rows = rows.withColumn("slopes", F.expr(f"if(n_evidence >= {p.slope_samples}, {_SLOPES}, cast(array() as array<double>))"))
-    rows = rows.withColumn("slope", F.coalesce(F.expr(median_sql("slopes")), F.lit(0.0)) * float(p.evidence_h))
+    rows = with_slope(rows, p)
     rows = rows.withColumn("run", F.expr(_STREAK.format(above=f"{p.streak_above}D")).cast("int"))
     rows = rows.withColumn("coverage", F.least(F.lit(1.0), F.col("n_evidence") / F.col("evidence_expected")))
     rows = rows.withColumn("newest", F.array_max(F.transform("evidence", lambda e: e["available_time"]))).withColumn("latest", F.expr("evidence[n_evidence - 1].value"))
-    return settled(rows.drop("away", "tail", "slopes", "hours"))
+    return settled(rows.drop("tail", "hours"))
 
 
 def scored(rows: DataFrame, p: Profile) -> DataFrame:

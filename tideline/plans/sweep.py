@@ -34,8 +34,8 @@ class Sweep:
     assessments: DataFrame
 
 
-def _decide(clean: Clean, visible: DataFrame, grid: DataFrame, p: Profile, samples: bool = False) -> Sweep:
-    measured = channels.measured(channels.windows(visible, p), p)
+def _decide(clean: Clean, visible: DataFrame, windows: DataFrame, grid: DataFrame, p: Profile, samples: bool = False) -> Sweep:
+    measured = channels.measured(windows, p)
     found, measures = assess.labs(visible, p), rules.measured(rules.Seen(grid, visible, measured, clean.intervals, clean.facts, p))
     return Sweep(p, grid, visible, measured, found, measures, assess.assess(measured, found, measures, p, samples))
 
@@ -47,16 +47,25 @@ def _lookback(p: Profile) -> int:
 def sweep(clean: Clean, p: Profile) -> Sweep:
     """Assess every patient at every instant of the decision grid."""
     encounter = stored(asof.encounters(clean.observations), "encounters")  # a row a patient
-    visible = asof.on_grid(asof.usable_series(clean.observations), encounter, p, _lookback(p))
-    grid = asof.decision_grid(encounter, p)
-    return _decide(clean, visible, grid, p)
+    visible, windows = _seen(clean, encounter, p)
+    return _decide(clean, visible, windows, asof.decision_grid(encounter, p), p)
+
+
+def _seen(clean: Clean, encounter: DataFrame, p: Profile) -> tuple[DataFrame, DataFrame]:
+    """What is visible at each instant of the grid, and the windows of the channels."""
+    back = _lookback(p)
+    rows = asof.dealt(asof.usable_series(clean.observations), encounter, p, back)
+    own = [c for c in clean.observations.columns if c not in ("patient_id", "variable_code")]
+    return asof.ticked(rows, p, back).select("patient_id", "variable_code", "stretch", "t", *own), channels.grid_windows(rows, p, back)
 
 
 def sweeps(clean: Clean, named: list[tuple[str, Profile]]) -> dict[str, Sweep]:
     """Sweeps under profiles that differ in switches only: windows and their statistics are worked out once and written."""
     (_, base), *_ = named
-    s = sweep(clean, base)
-    statistics = stored(channels.statistics(channels.windows(s.visible, base), base).drop("evidence", "baseline", "z"), "statistics")
+    encounter = stored(asof.encounters(clean.observations), "encounters")
+    visible, windows = _seen(clean, encounter, base)
+    s = _decide(clean, visible, windows, asof.decision_grid(encounter, base), base)
+    statistics = stored(channels.statistics(windows, base).drop("evidence", "baseline", "z"), "statistics")
     labs, measures, out = stored(s.labs, "labs"), {}, {}
     for name, p in named:
         measured = channels.scored(statistics, p)
@@ -69,7 +78,7 @@ def sweeps(clean: Clean, named: list[tuple[str, Profile]]) -> dict[str, Sweep]:
 def decide(clean: Clean, instants: DataFrame, p: Profile) -> Sweep:
     """Assess a few given instants (patient_id, t) live, channels with their samples; the patient filter reaches the scan."""
     visible = asof.at_instants(asof.usable_series(clean.observations), instants, _lookback(p))
-    return _decide(clean, visible, instants, p, samples=True)
+    return _decide(clean, visible, channels.windows(visible, p), instants, p, samples=True)
 
 
 def snapshot(clean: Clean, instants: DataFrame, p: Profile) -> dict[str, DataFrame]:
