@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.config import CLINICAL, Profile, profile_of, variants
+from tideline.operators.ranges import quantiles
 from tideline.plans import audit, export, report, serve
 from tideline.plans import sweep as plans
 from tideline.sources.stored import clean as drop_stored
@@ -42,7 +43,7 @@ def metrics(clean: plans.Clean, p: Profile) -> dict[str, DataFrame]:
     signals, evidence = stored(plans.signals(s), "signals"), stored(plans.evidence(s, clean), "evidence")
     marked = audit.markers(signals, clean.observations, clean.intervals)
     hours = audit.anticipation(signals.where(F.col("priority").isin("HIGH", "CRITICAL")), evidence, clean.observations, {c.code: c.direction for c in p.channels}, 24)
-    quartiles = hours.agg(*[F.round(F.percentile("hours", q), 1).alias(f"p{int(100 * q)}") for q in (0.25, 0.5, 0.75)])
+    quartiles = quantiles(hours.withColumn("all", F.lit(1)), ("all",), "hours", (0.25, 0.5, 0.75), "hours").select(*[F.round(f"q{i}", 1).alias(name) for i, name in enumerate(("p25", "p50", "p75"))])
     return {"distractors": audit.distractor_impact(marked), "anticipation": quartiles, "late": audit.late_evidence(evidence), "orphans": audit.orphans(signals, evidence)}
 
 

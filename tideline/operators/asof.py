@@ -18,6 +18,8 @@ from tideline.functions.scalars import seconds
 
 #: The least number of instants of a stretch.
 STRETCH = 24
+#: The level of what has no end: one cell for all time.
+TOP = 40
 
 
 def encounters(observations: DataFrame) -> DataFrame:
@@ -77,24 +79,47 @@ def on_grid(rows: DataFrame, encounter: DataFrame, p: Profile, lookback_h: int)
     return seen.select("patient_id", "variable_code", "stretch", "t", *[c for c in rows.columns if c not in ("patient_id", "variable_code")])
 
 
-def meeting(rows: DataFrame, lo: Column, hi: Column, instants: DataFrame, cell_h: int, at: str = "t", since: str | None = None) -> DataFrame:
+def _width(lo: Column, hi: Column, cell_h: int) -> Column:
+    """The level of a stretch of time: the least whose cells, 2^level times ``cell_h`` hours, are as long as it is; TOP where it has no end."""
+    cells = (seconds(hi) - seconds(lo)) / (cell_h * 3600)
+    return F.when(hi.isNull(), TOP).otherwise(F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(cells, F.lit(1.0)))))).cast("int")
+
+
+def _levels(rows: DataFrame) -> list[int]:
+    """The levels that occur in ``rows(_level)``, few numbers."""
+    return sorted(r[0] for r in rows.select("_level").distinct().collect())
+
+
+def meeting(rows: DataFrame, lo: Column, hi: Column, instants: DataFrame, cell_h: int, at: str = "t", since: str | None = None, bounded: bool = False) -> DataFrame:
     """``rows(patient_id, ...)`` beside each of ``instants(patient_id, at, ...)`` of its patient whose stretch meets the row's.
 
-    A row lasts from ``lo`` to ``hi``, an instant from ``since`` (by default itself) to ``at``, all ends included.  Both are dealt to cells of
-    ``cell_h`` hours and joined by patient and cell; of the cells that a pair shares, only the first gives it.
+    A row lasts from ``lo`` to ``hi`` (null: for ever), an instant from ``since`` (by default itself) to ``at``, all ends included.  Each stretch
+    of time has a level by its own length, and lies in two cells of it at most, however long it is.  A pair meets at the higher of its two levels:
+    each side is dealt to cells of its own level and of the higher ones that the other side has, and joined by patient, level and cell; of the cells that a
+    pair shares, the first gives it.  ``bounded`` says that no row is longer than a cell, which saves looking.
     """
-    cell = lambda c: F.floor(seconds(c) / (cell_h * 3600))
-    first = F.col(since or at)
-    own = rows.withColumn("_lo", lo).withColumn("_hi", hi).where("_lo <= _hi")
-    own = own.withColumn("_cell", F.explode(F.sequence(cell(F.col("_lo")), cell(F.col("_hi")))))
-    met = instants.withColumn("_cell", F.explode(F.sequence(cell(first), cell(F.col(at)))))
-    pairs = own.join(met, ["patient_id", "_cell"]).where((F.col("_lo") <= F.col(at)) & (F.col("_hi") >= first))
-    return pairs.where(F.col("_cell") == F.greatest(cell(F.col("_lo")), cell(first))).drop("_lo", "_hi", "_cell")
+    cell = lambda c, level: F.floor(seconds(c) / (cell_h * 3600 * F.pow(F.lit(2.0), level)))
+    own = rows.withColumn("_lo", lo).withColumn("_hi", hi).where("_lo <= _hi or _lo is not null and _hi is null")
+    own = own.withColumn("_level", F.lit(0) if bounded else _width(F.col("_lo"), F.col("_hi"), cell_h))
+    met = instants.withColumn("_since", F.col(since or at)).withColumn("_until", F.col(at)).withColumn("_other", _width(F.col("_since"), F.col("_until"), cell_h) if since else F.lit(0))
+    above = [0] if bounded else _levels(own)
+    beyond = _levels(met.select(F.col("_other").alias("_level"))) if since else [0]
+
+    def dealt_to(df: DataFrame, level: str, others: list[int], first: str, last: str) -> DataFrame:
+        all_ = F.array_distinct(F.array(F.col(level), *[F.lit(o) for o in others if o > 0]))
+        df = df.withColumn("_at", F.explode(F.filter(all_, lambda o: o >= F.col(level)))) if any(o > 0 for o in others) else df.withColumn("_at", F.col(level))
+        cells = F.when(F.col("_at") == TOP, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(cell(F.col(first), F.col("_at")), cell(F.coalesce(F.col(last), F.col(first)), F.col("_at"))))
+        return df.withColumn("_cell", F.explode(cells))
+
+    pairs = dealt_to(own, "_level", beyond, "_lo", "_hi").join(dealt_to(met, "_other", above, "_since", "_until"), ["patient_id", "_at", "_cell"])
+    pairs = pairs.where(F.col("_at") == F.greatest("_level", "_other")).where("_lo <= _until and (_hi is null or _hi >= _since)")
+    first = F.when(F.col("_at") == TOP, F.lit(0)).otherwise(F.greatest(cell(F.col("_lo"), F.col("_at")), cell(F.col("_since"), F.col("_at"))))
+    return pairs.where(F.col("_cell") == first).drop("_lo", "_hi", "_level", "_since", "_until", "_other", "_at", "_cell")
 
 
 def at_instants(rows: DataFrame, instants: DataFrame, lookback_h: int) -> DataFrame:
     """The same for any given instants (patient_id, t)."""
-    seen = meeting(rows, F.greatest("available_time", "event_time"), F.expr(_from("event_time", str(lookback_h))), instants.select("patient_id", "t"), lookback_h)
+    seen = meeting(rows, F.greatest("available_time", "event_time"), F.expr(_from("event_time", str(lookback_h))), instants.select("patient_id", "t"), lookback_h, bounded=True)
     return seen.withColumn("stretch", F.lit(0).cast("long"))
 
 
@@ -131,8 +156,8 @@ def assert_causal(*parts: DataFrame) -> None:
 
 
 def facts_at(facts: DataFrame, instants: DataFrame) -> DataFrame:
-    """Facts that were recorded by t; they are few and have no end, so they meet the instants by patient."""
-    return facts.join(instants.select("patient_id", "t"), "patient_id").where("available_time <= t")
+    """Facts that were recorded by t.  They have no end, so a fact meets all later instants of its patient, and no cell of time parts it from one."""
+    return meeting(facts, F.col("available_time"), F.lit(None).cast("timestamp_ntz"), instants.select("patient_id", "t"), 24)
 
 
 def nearest(left: DataFrame, right: DataFrame, within_min: int) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +20,9 @@ def running(counts: DataFrame, order: list[str], n: str, name: str, key: tuple[s
     parts = dealt.groupBy(*key, "part").agg(F.sum(n).alias("size"))
     parts = parts.withColumn("before", F.sum("size").over(w) - F.col("size")).withColumn("total", F.sum("size").over(Window.partitionBy(*key, F.lit(0))))
     within = Window.partitionBy(*key, "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return dealt.withColumn("seen", F.sum(n).over(within)).join(parts, [*key, "part"]).select(*counts.columns, (F.col("seen") + F.col("before")).alias("upto"), "total")
+    same = reduce(lambda a, b: a & b, [F.col(f"d.{k}").eqNullSafe(F.col(f"p.{k}")) for k in (*key, "part")])  # a null key is a key
+    placed = dealt.withColumn("seen", F.sum(n).over(within)).alias("d").join(parts.alias("p"), same)
+    return placed.select(*[f"d.{c}" for c in counts.columns], (F.col("d.seen") + F.col("p.before")).alias("upto"), "p.total")
 
 
 def quantiles(rows: DataFrame, key: tuple[str, ...], value: str, shares: tuple[float, ...], name: str) -> DataFrame:

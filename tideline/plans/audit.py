@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.config import BANDS
-from tideline.functions.scalars import blank_to_null, parse_number, parse_time
+from tideline.functions.scalars import blank_to_null, parse_number, parse_time, seconds
 from tideline.operators.asof import meeting
 from tideline.operators.ranges import running
 
@@ -65,10 +65,11 @@ def manifest_rules() -> dict[str, Column]:
 
 
 def outside_encounter(observations: DataFrame, encounters: DataFrame) -> DataFrame:
-    """Observations in none of their patient's ``encounters(patient_id, start_time, end_time)``."""
+    """Observations in none of their patient's ``encounters(patient_id, start_time, end_time)``; the two meet by cells of time."""
+    key = ["source_file", "record_id", "variable_code"]
     spans = encounters.select("patient_id", F.col("start_time").alias("from_time"), F.col("end_time").alias("to_time"))
-    inside = (observations["patient_id"] == spans["patient_id"]) & observations["event_time"].between(F.col("from_time"), F.col("to_time"))
-    return observations.join(spans, inside, "left_anti")
+    inside = meeting(spans, F.col("from_time"), F.col("to_time"), observations.select("patient_id", "event_time", *key), 24, at="event_time").select(*key).distinct()
+    return observations.join(inside, key, "left_anti")
 
 
 def late_evidence(evidence: DataFrame) -> DataFrame:
@@ -190,11 +191,31 @@ def rank_of(signals: DataFrame) -> DataFrame:
 
 
 def anticipation(signals: DataFrame, evidence: DataFrame, observations: DataFrame, directions: dict[str, int], hours: int) -> DataFrame:
-    """Hours from each signal's decision to the worst value of its main channel in the hours after, the earliest of equals."""
-    main = evidence.where("role = 'PRIMARY'").groupBy("signal_id").agg(F.min("variable_code").alias("variable_code"))
+    """Hours from each signal's decision to the worst value of its main channel in the hours after, the earliest of equals.
+
+    Time is cut into blocks of a quarter of the horizon, so that a horizon is three whole blocks and the parts of two.  The worst of a whole block is
+    worked out once for all signals; the parts are the worst so far in their block, from its start or from its end.  No signal meets the observations
+    one by one.
+    """
+    width = hours * 3600 / 4
+    block = lambda c: F.floor(seconds(F.col(c)) / width)
+    key = ["patient_id", "variable_code", "block"]
     sign = F.element_at(F.create_map(*[x for c, d in directions.items() for x in (F.lit(c), F.lit(d))]), F.col("variable_code"))
-    rows = signals.join(main, "signal_id").join(observations.where("is_plausible and not is_duplicate and value_num is not null").select("patient_id", "variable_code", "event_time", "value_num"), ["patient_id", "variable_code"])
-    rows = rows.where(F.expr(f"event_time > decision_time and event_time <= decision_time + make_dt_interval(0, {hours})"))
-    worst = F.max(F.struct((F.col("value_num") * sign).alias("worst"), (-F.unix_micros(F.col("event_time").cast("timestamp"))).alias("early"), "event_time")).alias("peak")
-    peaks = rows.groupBy("signal_id", "decision_time").agg(worst)
-    return peaks.select("signal_id", (F.timestamp_diff("MICROSECOND", F.col("decision_time"), F.col("peak.event_time")) / 3.6e9).alias("hours"))
+    value = F.struct((F.col("value_num") * sign).alias("worst"), (-F.unix_micros(F.col("event_time").cast("timestamp"))).alias("early"), "event_time").alias("value")
+    rows = observations.where("is_plausible and not is_duplicate and value_num is not null").where(F.col("variable_code").isin(list(directions)))
+    rows = rows.select("patient_id", "variable_code", block("event_time").alias("block"), F.col("event_time").alias("at"), value)
+    main = evidence.where("role = 'PRIMARY'").groupBy("signal_id").agg(F.min("variable_code").alias("variable_code"))
+    asked = signals.join(main, "signal_id").select("signal_id", "decision_time", "patient_id", "variable_code", F.expr(f"decision_time + make_dt_interval(0, {hours})").alias("until"))
+    name = F.struct("signal_id", "decision_time").alias("signal")
+    whole = asked.select(name, "patient_id", "variable_code", F.explode(F.sequence(block("decision_time") + 1, block("until") - 1)).alias("block"))
+    middle = whole.join(rows.groupBy(*key).agg(F.max("value").alias("value")), key).select("signal", "value")
+    edge = lambda c, after: asked.select("patient_id", "variable_code", block(c).alias("block"), F.col(c).alias("at"), F.lit(None).cast(rows.schema["value"].dataType).alias("value"), name, F.lit(after).alias("after"))
+    ends = rows.withColumn("signal", F.lit(None).cast(edge("until", False).schema["signal"].dataType)).withColumn("after", F.lit(None).cast("boolean"))
+    ends = ends.unionByName(edge("decision_time", True)).unionByName(edge("until", False))
+    here = F.col("signal").isNotNull()
+    late = Window.partitionBy(*key).orderBy(F.desc("at"), F.desc(here))  # what comes after, without what is at the same time
+    early = Window.partitionBy(*key).orderBy("at", here)  # what comes before, with it
+    upto = lambda w: F.max("value").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    parts = ends.withColumn("value", F.when(F.coalesce("after", F.lit(False)), upto(late)).otherwise(upto(early))).where(here).select("signal", "value")
+    peaks = middle.unionByName(parts).where("value is not null").groupBy("signal").agg(F.max("value").alias("peak"))
+    return peaks.select("signal.signal_id", (F.timestamp_diff("MICROSECOND", F.col("signal.decision_time"), F.col("peak.event_time")) / 3.6e9).alias("hours"))

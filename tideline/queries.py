@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tideline.config import EVENTS, THIN, variants
 from tideline.functions.scalars import iso, text
 from tideline.operators import asof, assess, channels, citations, events, quality, rules
+from tideline.operators.ranges import quantiles
 from tideline.plans import audit, report, serve
 from tideline.plans import sweep as plans
 from tideline.sources import event_feed
@@ -102,8 +103,7 @@ def availability_resolution(spark, d):
 @_query
 def availability_unknown_anti(spark, d):
     sent = quality.accepted(_typed(spark, d)).where("is_retransmit")
-    links = _intervals(spark, d).where("kind = 'CONNECTIVITY'").withColumnRenamed("patient_id", "of")
-    return sent.join(links.select("of", "start_time", "end_time"), (F.col("patient_id") == F.col("of")) & F.col("event_time").between(F.col("start_time"), F.col("end_time")), "left_anti").select("record_id")
+    return audit.outside_encounter(sent, _intervals(spark, d).where("kind = 'CONNECTIVITY'")).select("record_id")
 
 
 @_query
@@ -285,7 +285,8 @@ def anticipation_quantiles(spark, d):
     clean = _clean(spark, d)
     s = plans.written(plans.sweep(clean, P))
     h = audit.anticipation(plans.signals(s), plans.evidence(s, clean), clean.observations, {c.code: c.direction for c in P.channels}, 192)
-    return h.agg(r6(F.percentile("hours", 0.25)).alias("p25"), r6(F.median("hours")).alias("p50"), r6(F.percentile("hours", 0.75)).alias("p75"), F.count("*").alias("n"))
+    found = quantiles(h.withColumn("all", F.lit(1)), ("all",), "hours", (0.25, 0.5, 0.75), "hours")
+    return found.select(r6("q0").alias("p25"), r6("q1").alias("p50"), r6("q2").alias("p75"), F.col("count").alias("n"))
 
 
 @_query
@@ -357,7 +358,8 @@ def submission_validation(spark, d):
 @_query
 def latency_by_domain(spark, d):
     o = quality.accepted(_typed(spark, d)).withColumn("minutes", F.timestamp_diff("MICROSECOND", F.col("event_time"), F.col("available_time")) / 6e7)
-    return o.groupBy("domain").agg(F.count("*").alias("n"), r6(F.median("minutes")).alias("median"), r6(F.percentile("minutes", 0.95)).alias("p95"), r6(F.max("minutes")).alias("most"))
+    found = quantiles(o, ("domain",), "minutes", (0.5, 0.95, 1.0), "minutes")
+    return found.select("domain", F.col("count").alias("n"), r6("q0").alias("median"), r6("q1").alias("p95"), r6("q2").alias("most"))
 
 
 @_query
