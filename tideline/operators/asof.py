@@ -9,6 +9,7 @@ with all its instants, and an entity with most rows is still shared out.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -150,9 +151,9 @@ class CausalityError(AssertionError):
 
 def assert_causal(*parts: DataFrame) -> None:
     """Raise if any of the snapshot's ``parts(patient_id, t, record_id, available_time, ...)`` has a row that became known after t."""
-    for rows in parts:
-        if late := rows.where("available_time > t").select("patient_id", "t", "record_id", "available_time").limit(3).collect():
-            raise CausalityError(f"known only after the decision: {late}")
+    late = [rows.where("available_time > t").select("patient_id", "t", "record_id", "available_time") for rows in parts]
+    if found := reduce(DataFrame.unionByName, late).limit(3).collect():
+        raise CausalityError(f"known only after the decision: {found}")
 
 
 def facts_at(facts: DataFrame, instants: DataFrame) -> DataFrame:

@@ -70,10 +70,17 @@ def band_by_risk(risk: Column, p: Profile) -> Column:
     return F.when(risk >= p.critical[0], 3).when(risk >= p.high[0], 2).when(risk >= p.medium, 1).otherwise(0)
 
 
-def assess(channels: DataFrame, labs_: DataFrame, measures: dict[str, DataFrame], p: Profile, samples: bool = False) -> DataFrame:
-    """One row per instant with a participating channel, weighed by the profile's rules from their ``measures``; with ``samples``, each channel keeps those of its evidence."""
+def assess(channels: DataFrame, labs_: DataFrame, measures: dict[str, DataFrame], p: Profile, samples: bool = False, instants: DataFrame | None = None) -> DataFrame:
+    """One row per instant with a participating channel, weighed by the profile's rules from their ``measures``; with ``samples``, each channel keeps those of its evidence.
+
+    With ``instants(patient_id, t)`` there is a row for each of them; where no channel takes part, its channels are empty, and risk and confidence 0.
+    """
     counted = labs_.groupBy(*KEY).agg(F.least(F.count_if("abnormal"), F.lit(p.lab_most)).alias("lab_n"))
-    rows = combined(channels, p, samples).join(counted, KEY, "left").na.fill({"lab_n": 0})
+    rows = combined(channels, p, samples)
+    if instants is not None:
+        nothing = {c: 0 for c in ("k", "bad", "good")} | {c: 0.0 for c in ("weighted", "score_sum", "lead_score", "coverage")}
+        rows = instants.select(*KEY).join(rows, KEY, "left").na.fill(nothing).withColumn("channels", F.coalesce("channels", F.array().cast(rows.schema["channels"].dataType)))
+    rows = rows.join(counted, KEY, "left").na.fill({"lab_n": 0})
     if p.use_concordance:
         steps = F.array(F.lit(0.0), *[F.lit(c) for c in p.concordance])
         factor = F.coalesce(F.get(steps, F.col("k").cast("int")), F.lit(p.concordance[-1]))
@@ -85,8 +92,8 @@ def assess(channels: DataFrame, labs_: DataFrame, measures: dict[str, DataFrame]
     rows = rows.withColumn("risk", F.when(F.col("final") > 0, 1 - F.exp(-F.col("final") / p.k0)).otherwise(0.0))
     age = F.timestamp_diff("MICROSECOND", F.col("newest"), F.col("t")) / 6e7
     fresh = F.greatest(F.lit(0.3), F.least(F.lit(1.0), 1 - age / p.fresh_min))
-    sound = F.col("good") / (F.col("good") + F.col("bad"))
-    rows = rows.withColumn("confidence", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("coverage") * sound * fresh)))
+    sound = F.try_divide(F.col("good"), F.col("good") + F.col("bad"))
+    rows = rows.withColumn("confidence", F.when(F.size("channels") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("coverage") * sound * fresh))).otherwise(0.0))
     return settled(rows.withColumn("priority", priority(p)).withColumn("band", band_of(F.col("priority"))))
 
 

@@ -173,7 +173,7 @@ def _share() -> Column:
 
 
 def _bad_share() -> Column:
-    return F.col("bad") / (F.col("bad") + F.col("good"))
+    return F.try_divide(F.col("bad"), F.col("bad") + F.col("good"))
 
 
 def _samples(p: Profile) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from tideline.operators import asof, events
 from tideline.operators.assess import explanation
 from tideline.plans.narrative import narrate
 from tideline.plans.sweep import Clean, decide, snapshot
+from tideline.sources.stored import stored
 
 
 def timelines(clean: Clean, start: str | None = None, end: str | None = None, as_of: str | None = None, variables: list[str] | None = None) -> dict[str, DataFrame]:
@@ -62,8 +64,10 @@ class Service:
         return rows.withColumn("model_version", F.lit(self.profile.version))
 
     def loaded_sources(self) -> DataFrame:
-        own = self.clean.observations.select("source_file")
-        return own.union(self.clean.intervals.select(F.lit("intervals"))).distinct()
+        """The files that rows were loaded from; intervals that name none are told as such."""
+        parts = [self.clean.observations, self.clean.intervals, *([] if self.clean.facts is None else [self.clean.facts])]
+        named = [df.select(F.col("source_file") if "source_file" in df.columns else F.lit("intervals").alias("source_file")) for df in parts]
+        return reduce(DataFrame.union, named).distinct()
 
     def list_signals(self, priority: str | None = None, patient: str | None = None, limit: int = 50) -> DataFrame:
         if not 1 <= limit <= 500:
@@ -110,15 +114,16 @@ class Service:
         if not self.clean.observations.where(F.col("patient_id") == patient).limit(1).count():
             raise NotFound(patient)
 
-    def _instants(self, patient: str, sql: str) -> DataFrame:
-        spark = self.signals.sparkSession
-        return spark.range(1).select(F.lit(patient).alias("patient_id"), F.explode(F.expr(sql)).alias("t"))
+    def _instants(self, patient: str, times: str, **given: str) -> DataFrame:
+        """(patient_id, t) of the SQL array ``times`` over columns of the ``given`` texts, which are read as times and never as SQL."""
+        one = self.signals.sparkSession.range(1).select(F.lit(patient).alias("patient_id"), *[F.lit(text).cast("timestamp_ntz").alias(name) for name, text in given.items()])
+        return one.select("patient_id", F.explode(F.expr(times)).alias("t"))
 
     def decide(self, patient: str, at: str) -> DataFrame:
-        """A live decision at any instant, with what was visible and what was set aside; no row where no channel has a baseline."""
+        """A live decision at any instant, one row, with what was visible and what was set aside; without a baseline in any channel its risk is 0."""
         self._require(patient)
-        clean, instants = self._own(patient), self._instants(patient, f"array(timestamp_ntz'{at}')")
-        s = decide(clean, instants, self.profile)
+        clean, instants = self._own(patient), self._instants(patient, "array(moment)", moment=at)
+        s = decide(clean, instants, self.profile, every=True)
         known = snapshot(clean, instants, self.profile)
         key = ["patient_id", "t"]
         span = asof.encounters(clean.observations)
@@ -130,24 +135,35 @@ class Service:
     def narrative(self, patient: str, at: str, write: Callable[[dict], dict] | None = None) -> dict:
         """A text for the live decision, which is one row; the decision is made before and does not change."""
         found = self.decide(patient, at).first()
-        if found is None:
-            return narrate(0, [], 0, [], write)
         return narrate(found.k, [c.asDict(True) for c in found.channels], found.lab_n, [r.rule for r in found.rules], write)
 
-    def history(self, patient: str, start: str, end: str, cadence_min: int = 20) -> DataFrame:
-        """One row: the assessment at the end, the peak, the transitions, the course of risk, and counts, over a grid from start to end."""
+    def history(self, patient: str, start: str | None = None, end: str | None = None, cadence_min: int = 20) -> DataFrame:
+        """One row: the assessment at the end, the peak, the transitions, the course of risk, and counts, over a grid from start to end.
+
+        By default from the first to the last event of the patient (``history_mode`` complete, else until); an end before the start or beyond the
+        last event is refused.  The end counts as ``current`` even where no channel takes part, and as the peak where that is so everywhere.
+        """
         self._require(patient)
-        if end < start:
+        own = self._own(patient)
+        first, last = asof.encounters(own.observations).select(F.col("start_time").cast("string"), F.col("end_time").cast("string")).first()
+        mode, start, end = "complete" if end is None else "until", start or first, end or last
+        spark = self.signals.sparkSession
+        time = lambda text: F.lit(text).cast("timestamp_ntz")
+        early, late = spark.range(1).select(time(end) < time(start), time(end) > time(last)).first()
+        if early:
             raise ValueError("the end comes before the start")
-        instants = self._instants(patient, asof.history_grid(f"timestamp_ntz'{start}'", f"timestamp_ntz'{end}'", cadence_min))
-        s = decide(self._own(patient), instants, self.profile)
+        if late:
+            raise ValueError(f"the end must lie within the encounter: {first} to {last}")
+        instants = self._instants(patient, asof.history_grid("since", "until", cadence_min), since=start, until=end)
+        every = stored(decide(own, instants, self.profile, every=True).assessments, "assessments")
+        evaluable = every.where("size(channels) > 0")
         point = F.struct("t", "priority", F.round("risk", 4).alias("risk"), "k")
         listed = lambda df, name: df.groupBy("patient_id").agg(F.array_sort(F.collect_list(point)).alias(name))
-        current = s.assessments.where(F.col("t") == F.lit(end).cast("timestamp_ntz")).select("patient_id", point.alias("current"))
-        rows = events.history(s.assessments, instants)
-        for part in (current, listed(events.transitions(s.assessments), "transitions"), listed(s.assessments, "trajectory")):
+        current = every.where(F.col("t") == time(end)).select("patient_id", point.alias("current"), F.struct("band", "risk", "t", "priority").alias("at_end"))
+        rows = events.history(evaluable, instants)
+        for part in (current, listed(events.transitions(evaluable), "transitions"), listed(evaluable, "trajectory")):
             rows = rows.join(part, "patient_id", "left")
-        return rows
+        return rows.withColumn("peak", F.coalesce("peak", "at_end")).drop("at_end").withColumn("history_mode", F.lit(mode))
 
 
 def _decision() -> list:

@@ -34,10 +34,10 @@ class Sweep:
     assessments: DataFrame
 
 
-def _decide(clean: Clean, visible: DataFrame, windows: DataFrame, grid: DataFrame, p: Profile, samples: bool = False) -> Sweep:
+def _decide(clean: Clean, visible: DataFrame, windows: DataFrame, grid: DataFrame, p: Profile, samples: bool = False, every: bool = False) -> Sweep:
     measured = channels.measured(windows, p)
     found, measures = assess.labs(visible, p), rules.measured(rules.Seen(grid, visible, measured, clean.intervals, clean.facts, p))
-    return Sweep(p, grid, visible, measured, found, measures, assess.assess(measured, found, measures, p, samples))
+    return Sweep(p, grid, visible, measured, found, measures, assess.assess(measured, found, measures, p, samples, grid if every else None))
 
 
 def _lookback(p: Profile) -> int:
@@ -75,10 +75,13 @@ def sweeps(clean: Clean, named: list[tuple[str, Profile]]) -> dict[str, Sweep]:
     return out
 
 
-def decide(clean: Clean, instants: DataFrame, p: Profile) -> Sweep:
-    """Assess a few given instants (patient_id, t) live, channels with their samples; the patient filter reaches the scan."""
+def decide(clean: Clean, instants: DataFrame, p: Profile, every: bool = False) -> Sweep:
+    """Assess a few given instants (patient_id, t) live, channels with their samples; the patient filter reaches the scan.
+
+    Instants at which no channel takes part have an assessment only with ``every``.
+    """
     visible = asof.at_instants(asof.usable_series(clean.observations), instants, _lookback(p))
-    return _decide(clean, visible, channels.windows(visible, p), instants, p, samples=True)
+    return _decide(clean, visible, channels.windows(visible, p), instants, p, samples=True, every=every)
 
 
 def snapshot(clean: Clean, instants: DataFrame, p: Profile) -> dict[str, DataFrame]:
