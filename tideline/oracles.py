@@ -273,6 +273,10 @@ ORACLES: dict[str, str] = {name: _sql(select) for name, select in _SELECTS.items
     "rule_registered_evidence": _sql("""SELECT signal_id, record_id, role, explained FROM (SELECT signal_id, record_id, role FROM evd WHERE source_file = 'customers')
       FULL JOIN (SELECT signal_id, TRUE AS explained FROM sig WHERE contains(suppressions, 'known_condition')) USING (signal_id)""", _FIFTH),
     "fk_orphans": _sql(f"SELECT * FROM ({_ORPHANS})", _FIFTH),
+    "declared_constraints": _sql("""SELECT * FROM (SELECT 'observations' AS "table", 'key' AS rule, count(*) AS n FROM obs WHERE CAST(record_id AS INT) % 50 = 0
+      UNION ALL SELECT 'intervals', 'time_order', count(*) FROM iv WHERE CAST(record_id AS INT) % 40 = 0 UNION ALL SELECT 'clinical_facts', 'patient_id', count(*) FROM fc WHERE av IS NOT NULL AND CAST(substr(record_id, 2) AS INT) % 9 = 0
+      UNION ALL SELECT 'signals', 'risk', count(*) FROM sig WHERE CAST(substr(patient_id, 2) AS INT) % 5 <> 0 AND CAST(substr(patient_id, 2) AS INT) % 3 = 0
+      UNION ALL SELECT 'evidence', 'signal_id of signals', count(*) FROM evd WHERE CAST(substr(patient_id, 2) AS INT) % 5 = 0) WHERE n > 0""", _FIFTH),
     "unique_keys": """SELECT name, count(*) AS keys, CAST(sum(n) AS BIGINT) AS rows FROM (SELECT 'orders' AS name, count(*) AS n FROM orders GROUP BY o_orderkey HAVING count(*) > 1
       UNION ALL SELECT 'lineitem', count(*) FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1) GROUP BY name""",
     "time_order_violations": "SELECT l_shipdate < o_orderdate AS violates, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL",

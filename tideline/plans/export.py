@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions.scalars import iso
-from tideline.plans.audit import evidence_rules, late_evidence, orphans, require_none, signal_rules, violations
+from tideline.plans import constraints
+from tideline.plans.audit import late_evidence, orphans, require_none
+from tideline.plans.ingest import Layout, publish
 
 #: Columns of the exported files, in order.
 COLUMNS = {
@@ -17,13 +19,11 @@ EXPORTS = {"signals": ("signal_id",), "evidence": ("signal_id", "role", "record_
 
 
 def persist(signals: DataFrame, evidence: DataFrame, folder: str) -> None:
-    """Replace the result tables, after the checks that they must pass."""
-    require_none(violations(signals, signal_rules()), "signals")
-    require_none(violations(evidence, evidence_rules()), "evidence")
+    """Replace the result tables by one swap, after the checks that they must pass."""
+    constraints.require({"signals": signals, "evidence": evidence})
     require_none(late_evidence(evidence), "late evidence")
     require_none(orphans(signals, evidence), "orphans")
-    signals.write.mode("overwrite").parquet(f"{folder}/signals")
-    evidence.withColumn("contribution", F.round("contribution", 6)).write.mode("overwrite").parquet(f"{folder}/evidence")
+    publish(signals.sparkSession, Layout(folder), {"signals": signals, "evidence": evidence.withColumn("contribution", F.round("contribution", 6))})
 
 
 def export_csv(df: DataFrame, name: str, folder: str) -> str:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import uuid
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,20 +12,28 @@ from pyspark.sql import functions as F
 
 from tideline.functions.scalars import parse_date, parse_time
 from tideline.operators import quality
-from tideline.plans.audit import fact_rules, observation_rules, repeated_keys, require_none, violations
+from tideline.plans import constraints
+from tideline.plans.audit import repeated_keys, require_none
 from tideline.sources import integrity
-from tideline.sources.adapters import Adapter, FactAdapter, IntervalAdapter, Registry, mirror, optional, project_facts, project_intervals, read_text_csv, stage
+from tideline.sources.adapters import FACT_FIELDS, Adapter, FactAdapter, IntervalAdapter, Registry, mirror, optional, project_facts, project_intervals, read_text_csv, stage
 from tideline.sources.stored import stored
 
 
 @dataclass(frozen=True)
 class Layout:
-    """Where a warehouse keeps its tables."""
+    """Where a warehouse keeps its tables: in place, or with ``versions`` each run's in a folder of their own, of which a layout that is ``opened`` holds one."""
 
     root: str
+    versions: bool = False
+    version: int | None = None
 
     def table(self, name: str) -> str:
-        return f"{self.root.rstrip('/')}/{name}"
+        folder = f"_versions/{self.version:012d}/" if self.version is not None else ""
+        return f"{self.root.rstrip('/')}/{folder}{name}"
+
+
+class CommitError(RuntimeError):
+    """Another run was faster."""
 
 
 def clinical_facts(source: DataFrame, columns: dict[str, str]) -> tuple[DataFrame, DataFrame]:
@@ -34,13 +44,62 @@ def clinical_facts(source: DataFrame, columns: dict[str, str]) -> tuple[DataFram
     return rows.where("available_time is not null"), rejected
 
 
-def publish(spark: SparkSession, layout: Layout, tables: dict[str, DataFrame]) -> None:
-    """Write all tables beside the old ones, then swap them in; ``recover`` finishes a swap that was cut off, so a run counts as a whole or not at all."""
+def publish(spark: SparkSession, layout: Layout, tables: dict[str, DataFrame], step: Callable[[str], None] = lambda _: None) -> Layout:
+    """Write all tables so that a run counts as a whole or not at all; returns the layout that holds them.  ``step`` hears of each step that is done.
+
+    With versions they are written to a new folder, and a commit named by its number is renamed into place at the end, which one run alone
+    can do; who has opened an older version goes on reading that.  Without, they are written beside the old ones and swapped in; ``recover``
+    finishes a swap that was cut off.
+    """
+    if not layout.versions:
+        for name, df in tables.items():
+            df.write.mode("overwrite").parquet(layout.table(f"_next/{name}"))
+            step(name)
+        files, path = _files(spark, layout.table("_next/_ready"))
+        files.create(path, True).close()
+        step("ready")
+        recover(spark, layout)
+        return layout
+    number = max(_commits(spark, layout), default=0) + 1
+    new = replace(layout, version=number)
+    files, folder = _files(spark, new.table(""))
+    files.delete(folder, True)  # of a run that ended before its commit
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(layout.table(f"_next/{name}"))
-    files, path = _files(spark, layout.table("_next/_ready"))
-    files.create(path, True).close()
-    recover(spark, layout)
+        df.write.parquet(new.table(name))
+        step(name)
+    plain = replace(layout, version=None)
+    _, waiting = _files(spark, plain.table(f"_commits/_{uuid.uuid4().hex}"))
+    _, commit = _files(spark, plain.table(f"_commits/{number:012d}"))
+    files.create(waiting, True).close()
+    step("waiting")
+    if files.exists(commit) or not files.rename(waiting, commit):
+        raise CommitError(f"version {number} is there already")
+    step("committed")
+    return new
+
+
+def _commits(spark: SparkSession, layout: Layout) -> list[int]:
+    files, there = _files(spark, replace(layout, version=None).table("_commits"))
+    names = [s.getPath().getName() for s in files.listStatus(there)] if files.exists(there) else []
+    return [int(n) for n in names if n.isdigit()]
+
+
+def opened(spark: SparkSession, layout: Layout) -> Layout:
+    """The layout as a reader should take it: its last version, held for as long as it is used, or the tables in place with a swap finished."""
+    if not layout.versions:
+        recover(spark, layout)
+        return layout
+    if not (commits := _commits(spark, layout)):
+        raise FileNotFoundError(f"no version of {layout.root} has been committed")
+    return replace(layout, version=max(commits))
+
+
+def forget(spark: SparkSession, layout: Layout, keep: int = 2) -> None:
+    """Delete all but the last ``keep`` versions, commit first."""
+    for number in sorted(_commits(spark, layout))[:-keep]:
+        for path in (f"_commits/{number:012d}", f"_versions/{number:012d}"):
+            files, there = _files(spark, replace(layout, version=None).table(path))
+            files.delete(there, True)
 
 
 def recover(spark: SparkSession, layout: Layout) -> None:
@@ -78,13 +137,12 @@ def ingest(
 ) -> list[dict]:
     """Read the adapters' CSV files under ``folder`` and rebuild the clean tables; returns the verdicts.
 
-    Nothing is read where a file was modified, is missing, or is new and not on the official list.  Observations, intervals, facts and
-    quarantine are swapped in together; the manifest is only appended to.  ``intervals`` come as adapters or as a finished table;
+    Nothing is read where a file was modified, is missing, or is new and not on the official list.  Observations, intervals, facts (none
+    where the run has none), quarantine and the manifest, which only grows, are published together, after their keys and checks.  ``intervals`` come as adapters or as a finished table;
     availability is resolved after they are loaded and before duplicates are marked, as the order matters.
     """
-    recover(spark, layout)
-    manifest_path = layout.table("ingest_manifest")
-    previous = integrity.last_state(_manifest(spark, manifest_path))
+    known_runs = _manifest(spark, opened(spark, layout).table("ingest_manifest")) if not layout.versions or _commits(spark, layout) else spark.createDataFrame([], integrity.MANIFEST)
+    previous = integrity.last_state(known_runs)
     current = stored(integrity.file_hashes(spark, folder, "*.csv", previous), "hashes")
     spans = () if isinstance(intervals, DataFrame) else tuple(intervals)
     report = integrity.verify(current, previous, official, [a.source_file for a in (*adapters, *spans, *facts)] + list(more_files))
@@ -105,13 +163,15 @@ def ingest(
         rejected.append(quality.quarantined_as(known, "fact"))
         counts.append(_counted(known, "clinical_facts"))
         tables["clinical_facts"] = known.where("reject_reason is null").drop("reject_reason")
-        require_none(violations(tables["clinical_facts"], fact_rules()), "clinical_facts")
+    else:  # none are left of an earlier run
+        none = spark.createDataFrame([], ", ".join(f"{c} string" for c in ("source_file", *FACT_FIELDS)))
+        tables["clinical_facts"] = quality.valid_facts(none).drop("reject_reason")
     observations = stored(quality.mark_duplicates(quality.resolve_availability(quality.accepted(rows), intervals)), "observations")
-    require_none(violations(observations, observation_rules()), "observations")
-    tables |= {"observations": observations, "quarantine": reduce(DataFrame.unionByName, rejected)}
-    publish(spark, layout, tables)
     hashes = integrity.classify(current, previous, official)
-    integrity.append_manifest(integrity.manifest_rows(hashes, reduce(DataFrame.unionByName, counts), run_id, at), manifest_path)
+    run = integrity.manifest_rows(hashes, reduce(DataFrame.unionByName, counts), run_id, at)
+    tables |= {"observations": observations, "quarantine": reduce(DataFrame.unionByName, rejected), "ingest_manifest": known_runs.unionByName(run)}
+    constraints.require(tables)
+    publish(spark, layout, tables)
     return report
 
 

@@ -13,7 +13,7 @@ from tideline.config import EVENTS, THIN, variants
 from tideline.functions.scalars import iso, text
 from tideline.operators import asof, assess, channels, citations, events, quality, rules
 from tideline.operators.ranges import quantiles
-from tideline.plans import audit, report, serve
+from tideline.plans import audit, constraints, report, serve
 from tideline.plans import sweep as plans
 from tideline.sources import event_feed
 from tideline.sources.adapters import read_text_csv, stage
@@ -323,6 +323,24 @@ def fk_orphans(spark, d):
     return rows.groupBy("what", "source_file").agg(F.count("*").alias("n"))
 
 
+@_query
+def declared_constraints(spark, d):
+    """What five tables break after planted faults: repeated records, intervals that end before they start, risks beyond 1, evidence without its signal, facts without a patient."""
+    clean = _known(spark, d)
+    s = plans.written(plans.sweep(clean, CONDITIONS))
+    signals, cited = stored(plans.signals(s), "signals"), plans.evidence(s, clean)
+    n = lambda c: F.regexp_replace(c, r"^\D+", "").cast("long")
+    o = clean.observations
+    tables = {
+        "observations": o.unionByName(o.where(n("record_id") % 50 == 0)),
+        "intervals": clean.intervals.withColumn("end_time", F.when(n("record_id") % 40 == 0, F.expr("start_time - interval 1 hour")).otherwise(F.col("end_time"))),
+        "clinical_facts": clean.facts.withColumn("patient_id", F.when(n("record_id") % 9 != 0, F.col("patient_id"))),
+        "signals": signals.where(n("patient_id") % 5 != 0).withColumn("risk", F.when(n("patient_id") % 3 == 0, 1.5).otherwise(F.col("risk"))),
+        "evidence": cited,
+    }
+    return constraints.faults(tables)
+
+
 @_query
 def causality_audit(spark, d):
     clean = _clean(spark, d)
