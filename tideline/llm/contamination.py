@@ -25,7 +25,7 @@ MASKS = ("111111", "1111011", "1110111", "11011011", "110101011", "11100111")
 MISMATCH = 2
 #: Words that a shared stretch must hold, and the share of the passage that does in its stead for shorter ones.
 LEAST_WORDS, LEAST_SHARE = 12, 0.8
-#: Passages of fewer words say nothing of their own and are left out; those of fewer than MASKED have masks of their own.
+#: Passages of fewer words than SHORTEST say nothing inside a text and count only as the whole of one; those of fewer than MASKED have masks of their own.
 SHORTEST, MASKED = 5, 8
 #: Replacing any one word of a passage of five to seven leaves a window of one of these whole.
 SHORT_MASKS = ("1111", "10111", "11011", "11101")
@@ -40,12 +40,15 @@ _OFFSETS = [[i for i, c in enumerate(m) if c == "1"] for m in MASKS + SHORT_MASK
 
 
 def _seeds(w: kernel.Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(word number, hash) of the windows of a chunk, mask by mask."""
-    of = w.documents()
+    """(word number, hash) of the windows of a chunk, mask by mask; then texts of one to SHORTEST - 1 words as a whole."""
+    of, size = w.documents(), np.diff(w.bounds)
     for k, at in enumerate(_OFFSETS):
         h = kernel.mix(kernel.windows(w.hash, at), 20 + k)
         inside = of[: len(h)] == of[at[-1] : at[-1] + len(h)]
         yield np.flatnonzero(inside), h[inside]
+    for n in range(1, SHORTEST):
+        own = w.hash[size[of] == n]
+        yield w.bounds[:-1][size == n], kernel.mix(kernel.windows(own, list(range(n)))[::n], 60 + n) if len(own) else own
 
 
 def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,7 +59,7 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids = np.asarray(batch.column("item_id"))
             for k, (at, h) in enumerate(_seeds(w)):
                 n = size[of[at]]
-                own = (n >= SHORTEST) & (n < MASKED) if k >= len(MASKS) else n >= MASKED
+                own = n < SHORTEST if k >= len(_OFFSETS) else (n >= SHORTEST) & (n < MASKED) if k >= len(MASKS) else n >= MASKED
                 at, h = at[own], h[own]
                 yield pa.record_batch({"item_id": pa.array(ids[lo + of[at]], pa.int64()), "item_at": pa.array(at - w.bounds[of[at]], pa.int64()), "seed": h.view(np.int64)})
 
@@ -190,7 +193,7 @@ def _checked(suspects: DataFrame, seeds: DataFrame, items: DataFrame) -> DataFra
     return suspects.select("row_id", "doc_id", "text").join(of_row, "row_id").select("row_id", "doc_id", "text", "laid").mapInArrow(_verify, "row_id long, doc_id long, item_id long, doc_word long, n_words long, n_same long, item_words long")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, null_ids: bool = False) -> DataFrame:
     """(doc_id, item_id, doc_word, n_words, n_same, item_words): passages of ``benchmark(item_id, text)`` in ``docs(doc_id, text)``.
 
     A row a document and passage, its longest shared stretch: from word ``doc_word`` over ``n_words`` words, of which ``n_same``
@@ -198,11 +201,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     more words with LEAST_SHARE of them in place is always found; with fewer in place, where a window of some mask is whole.
     Words are runs of letters and digits (and all beyond ASCII), A-Z lower-cased.
 
-    Null and empty texts hold nothing; passages under SHORTEST words are left out; rows with a null doc_id or item_id are not
-    looked at.  Repeated rows of a doc_id are searched one by one and their best is given; those of an item_id are looked at
+    Null and empty texts hold nothing; a passage under SHORTEST words is held by texts that are it and nothing else; rows with a null item_id are
+    not looked at, those with a null doc_id only with ``null_ids``, and are one document then.  Repeated rows of a doc_id are searched one by one and their best is given; those of an item_id are looked at
     together.  Empty tables give no rows; other columns are not read.
     """
-    texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = docs.where("text is not null" if null_ids else "doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     with scope() as own:
         checked = _search(texts.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text"), benchmark)
         own.keep(checked)
@@ -211,7 +214,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, null_ids: bool = False) -> DataFrame:
-    """``docs`` without the rows that hold a passage of the benchmark; rows with a null doc_id are looked at with ``null_ids``, else they stay."""
+    """``docs`` without the rows that hold a passage of the benchmark; rows with a null doc_id are looked at with ``null_ids``, else they stay.
+
+    Null and empty texts stay; of repeated rows each is judged by its text; all columns are carried along in a struct, whatever their names; without documents
+    or passages nothing goes.
+    """
     with scope() as own:
         rows = numbered(docs)
         held = _held(rows, benchmark, null_ids)

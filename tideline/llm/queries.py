@@ -22,7 +22,7 @@ def tokenizer() -> str:
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return contamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), null_ids=True)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
