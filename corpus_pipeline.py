@@ -43,8 +43,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that hold no passage of ``benchmark``, those with a null doc_id too.
 
-    Of a repeated doc_id only the rows that hold one go; null items and items of fewer than five words are not looked for; without a benchmark all
-    stay.
+    Of a repeated doc_id only the rows that hold one go; null items are not looked for, items of fewer than five words only as the whole of a text;
+    without a benchmark all stay.
     """
     return contamination.decontaminate(docs, _table(spark, sf_dir, "benchmark"), null_ids=True).select(COLUMNS)
 
