@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions.scalars import iso
 from tideline.plans import constraints
 from tideline.plans.audit import late_evidence, orphans, require_none
-from tideline.plans.ingest import Layout, publish
+from tideline.plans.ingest import Layout, _files, publish
+from tideline.sources.stored import new_folder
 
 #: Columns of the exported files, in order.
 COLUMNS = {
@@ -26,12 +31,42 @@ def persist(signals: DataFrame, evidence: DataFrame, folder: str) -> None:
     publish(signals.sparkSession, Layout(folder), {"signals": signals, "evidence": evidence.withColumn("contribution", F.round("contribution", 6))})
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Copies the parts of a file, in order, behind its header, a piece at a time; the name is given at the end."""
+    for batch in batches:
+        for r in batch.to_pylist():
+            files, folder = fs.FileSystem.from_uri(r["parts"])
+            _, target = fs.FileSystem.from_uri(r["target"])
+            parts = sorted(f.path for f in files.get_file_info(fs.FileSelector(folder)) if f.base_name.startswith("part-"))
+            size = 0
+            with files.open_output_stream(f"{target}.part") as out:
+                out.write(r["header"].encode())
+                for part in parts:
+                    with files.open_input_stream(part) as stream:
+                        while data := stream.read(1 << 20):
+                            size += out.write(data)
+            files.move(f"{target}.part", target)
+            yield pa.record_batch({"file": [r["target"]], "bytes": pa.array([size], pa.int64())})
+
+
 def export_csv(df: DataFrame, name: str, folder: str) -> str:
-    """The ``COLUMNS`` that ``df`` has as CSV files with header under ``folder/name``, in order over all files; times without offset."""
+    """The ``COLUMNS`` that ``df`` has as one sorted CSV file ``folder/name/name.csv`` with header; times without offset.  Returns ``folder/name``.
+
+    Rows are dealt out by range and sorted in parts; one task then joins the parts as streams, so none sorts or holds all.
+    """
     df = df.select(*[c for c in COLUMNS[name] if c in df.columns])
     times = {c: iso(F.col(c)) for c, kind in df.dtypes if kind.startswith("timestamp")}
     path = f"{folder}/{name}"
-    df.withColumns(times).orderBy(*EXPORTS[name]).write.mode("overwrite").csv(path, header=True)
+    spark, parts = df.sparkSession, new_folder(df.sparkSession, "csv")
+    df.withColumns(times).repartitionByRange(*EXPORTS[name]).sortWithinPartitions(*EXPORTS[name]).write.csv(parts)
+    files, there = _files(spark, path)
+    files.delete(there, True)
+    files.mkdirs(there)
+    whole = lambda p: p if ":/" in p else f"file://{p}"
+    row = [F.lit(v).alias(c) for c, v in {"parts": whole(parts), "target": f"{whole(path)}/{name}.csv", "header": ",".join(df.columns) + "\n"}.items()]
+    spark.range(1).coalesce(1).select(*row).mapInArrow(_joined, "file string, bytes long").collect()
+    files, there = _files(spark, parts)
+    files.delete(there, True)
     return path
 
 

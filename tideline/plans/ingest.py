@@ -7,10 +7,10 @@ from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.functions.scalars import parse_date, parse_time
+from tideline.functions.scalars import literal_table, parse_date, parse_time
 from tideline.operators import quality
 from tideline.plans import constraints
 from tideline.plans.audit import repeated_keys, require_none
@@ -126,9 +126,15 @@ def _manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(integrity.MANIFEST).parquet(path) if files.exists(there) else spark.createDataFrame([], integrity.MANIFEST)
 
 
-def _counted(rows: DataFrame, table: str) -> DataFrame:
-    counts = rows.groupBy("source_file").agg(F.count("*").alias("rows_read"), F.count_if(F.col("reject_reason").isNull()).alias("rows_loaded"), F.count("reject_reason").alias("rows_quarantined"))
-    return counts.withColumn("target_table", F.lit(table))
+def _counted(rows: DataFrame, sources: list[str], table: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """``rows(source_file, reject_reason, ...)`` written, and (source_file, rows_read, rows_loaded, rows_quarantined, target_table), counted as they were written."""
+    seen, good = Observation(f"{name}-{uuid.uuid4().hex}"), F.col("reject_reason").isNull()
+    of = [F.col("source_file") == source for source in sources]
+    counts = [c.alias(f"{kind}{i}") for i, own in enumerate(of) for kind, c in (("n", F.count_if(own)), ("bad", F.count_if(own & ~good)))]
+    table_rows = stored(rows.observe(seen, *counts), name)
+    got = seen.get
+    found = [(source, n, n - bad, bad, table) for i, source in enumerate(sources) for n, bad in [(got[f"n{i}"], got[f"bad{i}"])]]
+    return table_rows, literal_table(rows.sparkSession, found, "source_file string, rows_read long, rows_loaded long, rows_quarantined long, target_table string")
 
 
 def ingest(
@@ -149,19 +155,19 @@ def ingest(
     if bad := integrity.first_ingest_mismatches(report):
         raise integrity.IntegrityError(f"not on the official list: {bad}")
     read = lambda a: read_text_csv(spark, f"{folder}/{a.source_file}")
-    rows = stored(quality.typed(stage({a.source_file: read(a) for a in adapters}, adapters), units, variables), "typed")
-    rejected, counts = [quality.quarantined(rows)], [_counted(rows, "observations")]
+    rows, n = _counted(quality.typed(stage({a.source_file: read(a) for a in adapters}, adapters), units, variables), [a.source_file for a in adapters], "observations", "typed")
+    rejected, counts = [quality.quarantined(rows)], [n]
     if spans:
         typed = [quality.valid_intervals(project_intervals(read(a), a), a.extra) for a in spans]
-        both = stored(reduce(DataFrame.unionByName, typed), "intervals")
+        both, n = _counted(reduce(DataFrame.unionByName, typed), [a.source_file for a in spans], "intervals", "intervals")
         rejected.append(quality.quarantined_as(both, "interval"))
-        counts.append(_counted(both, "intervals"))
+        counts.append(n)
         intervals = both.where("reject_reason is null").drop("reject_reason")
     tables = {"intervals": intervals}
     if facts:
-        known = stored(quality.valid_facts(reduce(DataFrame.unionByName, [project_facts(read(a), a) for a in facts])), "facts")
+        known, n = _counted(quality.valid_facts(reduce(DataFrame.unionByName, [project_facts(read(a), a) for a in facts])), [a.source_file for a in facts], "clinical_facts", "facts")
         rejected.append(quality.quarantined_as(known, "fact"))
-        counts.append(_counted(known, "clinical_facts"))
+        counts.append(n)
         tables["clinical_facts"] = known.where("reject_reason is null").drop("reject_reason")
     else:  # none are left of an earlier run
         none = spark.createDataFrame([], ", ".join(f"{c} string" for c in ("source_file", *FACT_FIELDS)))
