@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions.scalars import iso
+from tideline.operators.ranges import quantiles
 
 
 def ingest_report(observations: DataFrame, intervals: DataFrame) -> dict[str, DataFrame]:
@@ -16,7 +17,7 @@ def ingest_report(observations: DataFrame, intervals: DataFrame) -> dict[str, Da
     usable = observations.where("is_plausible and not is_duplicate")
     span = lambda df, name, lo, hi: df.agg(iso(F.min(lo)).alias("first"), iso(F.max(hi)).alias("last")).select(F.lit(name).alias("table"), "first", "last")
     return {
-        "latency": observations.groupBy("domain").agg(n, r2(F.min(minutes)).alias("least"), r2(F.max(minutes)).alias("most")),
+        "latency": quantiles(observations.withColumn("minutes", minutes), ("domain",), "minutes", (0.0, 0.5, 0.95, 1.0), "minutes").select("domain", F.col("count").alias("n"), r2("q0").alias("least"), r2("q1").alias("median"), r2("q2").alias("p95"), r2("q3").alias("most")),
         "units": observations.where("value_num is not null").groupBy("variable_code", "unit_raw").agg(n, r2(F.min("value_num")).alias("least"), r2(F.max("value_num")).alias("most")),
         "implausible": observations.where("not is_plausible").groupBy("variable_code", F.coalesce("quality_flag", F.lit("<null>")).alias("flag")).agg(n),
         "retransmissions": observations.where("is_duplicate or not is_availability_known").groupBy("source_system", "quality_flag", "is_duplicate", "is_availability_known").agg(n, F.countDistinct("patient_id").alias("patients")),
