@@ -68,3 +68,23 @@ def test_declared_constraints(spark):
     manifest = spark.createDataFrame([("r1", "f", None, None, "observations")], "run_id string, source_file string, sha256 string, ingested_at string, target_table string")
     quarantine = spark.createDataFrame([("WHY",)], "reject_reason string")
     assert {(r.table, r.rule) for r in constraints.faults({"ingest_manifest": manifest, "quarantine": quarantine}).collect()} == {("ingest_manifest", "sha256"), ("ingest_manifest", "ingested_at"), ("quarantine", "reject_reason")}
+
+
+def test_stored_tables_go_with_their_scope(spark):
+    import os
+    from concurrent.futures import ThreadPoolExecutor
+
+    from tideline import queries
+    from tideline.sources import stored
+
+    top = f"{stored._folder(spark).removeprefix('file://')}/tables"
+    there = lambda: set(os.listdir(top)) if os.path.isdir(top) else set()
+    before = there()
+    with ThreadPoolExecutor(2) as pool:
+        jobs = [pool.submit(lambda n=n: queries.QUERIES[n](spark, "/root/testdata/sf0.001").count()) for n in ("report_volume", "dedupe_row_number")]
+        counts = [j.result() for j in jobs]
+    assert len(there() - before) == 2 and counts == [queries.QUERIES[n](spark, "/root/testdata/sf0.001").count() for n in ("report_volume", "dedupe_row_number")]
+    with pytest.raises(ZeroDivisionError), stored.scope():
+        stored.stored(spark.range(1), "gone")
+        raise ZeroDivisionError
+    assert not [p for p in there() - before if p.startswith("gone")]

@@ -21,8 +21,7 @@ from tideline.plans.ingest import Layout, _files, ingest_registry
 from tideline.plans.sweep import Clean
 from tideline.sources import integrity
 from tideline.sources.adapters import migrated, read_registry
-from tideline.sources.stored import clean as drop_stored
-from tideline.sources.stored import stored
+from tideline.sources.stored import scope, stored
 
 
 #: Columns that tables of older versions lack, with what they were then.
@@ -136,11 +135,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         "metrics": lambda: metrics(clean, p),
         "ablation": lambda: ablation(clean, p),
         "report": lambda: report.ingest_report(clean.observations, clean.intervals),
-    }[args.command]()
-    for name, df in tables.items():
-        print(name)
-        df.show(50, truncate=False)
-    drop_stored(spark)
+    }[args.command]
+    with scope():
+        for name, df in tables().items():
+            print(name)
+            df.show(50, truncate=False)
     return 0
 
 

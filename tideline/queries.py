@@ -17,7 +17,7 @@ from tideline.plans import audit, constraints, report, serve
 from tideline.plans import sweep as plans
 from tideline.sources import event_feed
 from tideline.sources.adapters import read_text_csv, stage
-from tideline.sources.stored import new_folder, stored
+from tideline.sources.stored import new_folder, stored, written
 
 P = EVENTS
 _REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -534,4 +534,5 @@ _REGISTRY["report_retransmissions"] = _report("retransmissions")
 _REGISTRY["report_volume"] = _report("volume")
 _REGISTRY["report_study_window"] = _report("study_window")
 
-QUERIES = dict(_REGISTRY)
+#: Each query with its result written and its other tables gone; the functions of this module are lazy and leave theirs to the caller's scope.
+QUERIES = {name: written(f) for name, f in _REGISTRY.items()}
