@@ -91,6 +91,10 @@ _STEPS: dict[str, str] = {
     "zx": "SELECT *, first_value(i) OVER (PARTITION BY patient_id, t, variable_code ORDER BY z DESC, i) AS top FROM ev",
     "ci": """SELECT z.patient_id, z.t, z.record_id, z.source_file, z.variable_code, z.et, z.av, CASE WHEN rank = 1 THEN 'PRIMARY' ELSE 'SUPPORTING' END AS role, round(score, 4) AS contribution, rank
       FROM zx z JOIN rk r USING (patient_id, t, variable_code) WHERE i = 1 OR i = z.n_evidence OR i = top OR (z.n_evidence >= 6 AND i = z.n_evidence // 2 + 1)""",
+    "nr": """SELECT a.*, coalesce(c.names_, []) AS names_, coalesce(c.directions, []) AS directions, coalesce(r.refs, []) AS refs FROM ass a LEFT JOIN (
+        SELECT patient_id, t, list(variable_code ORDER BY rank) AS names_, list(CASE WHEN last_v >= centre THEN 'rise' ELSE 'fall' END ORDER BY rank) AS directions
+        FROM rk JOIN (SELECT patient_id, t, variable_code, arg_max(v, i) AS last_v FROM ev GROUP BY ALL) USING (patient_id, t, variable_code) WHERE rank <= 5 GROUP BY ALL) c USING (patient_id, t)
+      LEFT JOIN (SELECT patient_id, t, list(record_id ORDER BY rank, i) AS refs FROM ev JOIN rk USING (patient_id, t, variable_code) WHERE rank <= 5 GROUP BY ALL) r USING (patient_id, t)""",
     "evd": """SELECT DISTINCT * FROM (
         SELECT signal_id, patient_id, ci.source_file, ci.record_id, ci.role FROM sig JOIN ci USING (patient_id, t)
         UNION ALL SELECT signal_id, sig.patient_id, o.source_file, o.record_id, CASE WHEN abnormal THEN 'SUPPORTING' ELSE 'CONTEXT' END FROM sig JOIN lab USING (patient_id, t) JOIN obs o ON o.record_id = lab.record_id
@@ -253,6 +257,17 @@ _SELECTS: dict[str, str] = {
     "report_retransmissions": "SELECT CASE WHEN re THEN 'RETRANSMIT' ELSE 'DIRECT' END AS source_system, quality_flag, dup AS is_duplicate, known AS is_availability_known, count(*) AS n, count(DISTINCT patient_id) AS patients FROM obs WHERE dup OR NOT known GROUP BY ALL",
     "report_volume": "SELECT domain, variable_code, count(*) AS n, count(DISTINCT patient_id) AS patients FROM obs WHERE ok AND NOT dup GROUP BY ALL UNION ALL SELECT 'INTERVAL', kind, count(*), count(DISTINCT patient_id) FROM iv GROUP BY kind",
     "report_study_window": f"SELECT 'observations' AS \"table\", {_t('min(et)')} AS first, {_t('max(et)')} AS last FROM obs UNION ALL SELECT 'intervals', {_t('min(st)')}, {_t('max(en)')} FROM iv",
+    "narratives": f"""SELECT patient_id, {_t('t')} AS t, CASE WHEN k >= 2 THEN 'Several channels move together away from their own baseline: ' || array_to_string(names_, ', ') || '.'
+        WHEN len(names_) > 0 THEN 'One pattern stands out against its own baseline: ' || names_[1] || '.' ELSE 'No channel leaves its own baseline.' END AS summary,
+      array_to_string(list_concat(list_transform(names_, lambda n: 'Review the course of ' || n || '.'), CASE WHEN lab_n > 0 THEN ['Review the laboratory values out of range.'] ELSE [] END,
+        CASE WHEN names IS NOT NULL THEN ['Consider what was noted: ' || replace(names, ',', ', ') || '.'] ELSE [] END)[1:3], ' ') AS review,
+      array_to_string(refs[1:6], ',') AS refs, array_to_string(directions, ',') AS directions
+      FROM nr""",
+    "narrative_checks": """SELECT fault, source, refs, count(*) AS n, count(DISTINCT said) AS summaries FROM (
+      SELECT u, CASE u WHEN 0 THEN 'number' WHEN 1 THEN 'forbidden' WHEN 3 THEN 'reference' WHEN 5 THEN CASE WHEN len(refs) > 6 THEN 'references' END END AS fault,
+        CASE WHEN u IN (0, 1, 3) OR u = 5 AND len(refs) > 6 THEN 'plain' ELSE 'generated' END AS source, CASE WHEN u = 4 THEN least(1, len(refs)) ELSE least(6, len(refs)) END AS refs,
+        CASE WHEN u = 2 THEN 'SpO2' WHEN u = 4 OR u = 5 AND len(refs) <= 6 THEN 'course' WHEN k >= 2 THEN 'several' || array_to_string(names_, ',') WHEN len(names_) > 0 THEN 'one' || names_[1] ELSE 'none' END AS said
+      FROM (SELECT *, CAST(substr(patient_id, 2) AS INT) % 6 AS u FROM nr)) GROUP BY ALL""",
     "sweep_stats": "SELECT k, risk_band AS band_by_risk, count(*) AS n, count(*) FILTER (names IS NOT NULL) AS ruled, count(*) FILTER (lab_n > 0) AS with_labs FROM ass GROUP BY ALL",
 }
 

@@ -44,11 +44,11 @@ def _lookback(p: Profile) -> int:
     return max(p.evidence_h + p.baseline_h, p.lab_h)
 
 
-def sweep(clean: Clean, p: Profile) -> Sweep:
-    """Assess every patient at every instant of the decision grid."""
+def sweep(clean: Clean, p: Profile, samples: bool = False) -> Sweep:
+    """Assess every patient at every instant of the decision grid; with ``samples``, channels keep those of their evidence."""
     encounter = stored(asof.encounters(clean.observations), "encounters")  # a row a patient
     visible, windows = _seen(clean, encounter, p)
-    return _decide(clean, visible, windows, asof.decision_grid(encounter, p), p)
+    return _decide(clean, visible, windows, asof.decision_grid(encounter, p), p, samples)
 
 
 def _seen(clean: Clean, encounter: DataFrame, p: Profile) -> tuple[DataFrame, DataFrame]:

@@ -13,7 +13,7 @@ from tideline.config import EVENTS, THIN, variants
 from tideline.functions.scalars import iso, text
 from tideline.operators import asof, assess, channels, citations, events, quality, rules
 from tideline.operators.ranges import quantiles
-from tideline.plans import audit, constraints, report, serve
+from tideline.plans import audit, constraints, report, serve, wording
 from tideline.plans import sweep as plans
 from tideline.sources import event_feed
 from tideline.sources.adapters import read_text_csv, stage
@@ -520,6 +520,24 @@ def category_counter(spark, d):
     return v.groupBy("variable_code", "value_text").agg(F.count("*").alias("seen"), F.countDistinct("patient_id").alias("patients"))
 
 
+@_query
+def narratives(spark, d):
+    """The plain wording of every assessment, with its references."""
+    rows = wording.worded(plans.sweep(_clean(spark, d), P, samples=True).assessments)
+    return rows.select("patient_id", iso(F.col("t")).alias("t"), "summary", F.array_join("review", " ").alias("review"), F.array_join("refs", ",").alias("refs"), F.array_join(F.transform("findings", lambda f: f["direction"]), ",").alias("directions"))
+
+
+@_query
+def narrative_checks(spark, d):
+    """Texts for every assessment, with faults planted by patient, and which of them count."""
+    rows = stored(wording.worded(plans.sweep(_clean(spark, d), P, samples=True).assessments).select("patient_id", "t", "allowed", "summary", "review", "refs"), "worded")
+    u = F.regexp_replace("patient_id", r"^\D+", "").cast("int") % 6
+    said = F.when(u == 0, "A value of 9,5.").when(u == 1, "No DIAGNOSIS here.").when(u == 2, "SpO2 and T3 move.").otherwise("The course changes.")
+    refs = F.when(u == 3, F.array(F.lit("ghost"))).when(u == 4, F.slice("allowed", 1, 1)).when(u == 5, F.slice("allowed", 1, 7)).otherwise(F.array().cast("array<string>"))
+    found = wording.checked(rows, rows.select("patient_id", "t", said.alias("summary"), F.array(F.lit("Look again.")).alias("review"), refs.alias("refs")))
+    return found.groupBy("fault", "source", F.size("refs").alias("refs")).agg(F.count("*").alias("n"), F.countDistinct("summary").alias("summaries"))
+
+
 def _report(part: str):
     def run(spark, d):
         clean = _clean(spark, d)
