@@ -249,7 +249,10 @@ _SELECTS: dict[str, str] = {
     "signal_rank": f"""SELECT signal_id, {_r('round(risk, 6)')} AS risk, rank() OVER (ORDER BY round(risk, 6) DESC) AS place, count(*) OVER () AS "of" FROM sig""",
     "cohort_prefix": f"SELECT patient_id, count(*) AS assessments, {_r('max(risk)')} AS risk FROM ass WHERE patient_id IN (SELECT DISTINCT patient_id FROM obs ORDER BY patient_id LIMIT 25) GROUP BY patient_id",
     "patients_ranking": f"SELECT patient_id, count(signal_id) AS signals, {_r('max(round(risk, 6))')} AS risk FROM (SELECT DISTINCT patient_id FROM obs) LEFT JOIN sig USING (patient_id) GROUP BY patient_id ORDER BY max(round(sig.risk, 6)) DESC NULLS LAST, patient_id LIMIT 1000",
-    "evidence_by_role": "SELECT signal_id, role, string_agg(DISTINCT record_id, ',' ORDER BY record_id) AS records FROM sig JOIN ci USING (patient_id, t) GROUP BY ALL",
+    "evidence_by_role": "SELECT signal_id, role, string_agg(DISTINCT source_file || ':' || record_id, ',' ORDER BY source_file || ':' || record_id) AS records FROM evd GROUP BY ALL",
+    "service_health": "SELECT name, n AS rows, 'tideline-2' AS model_version FROM (SELECT 'observations' AS name, count(*) AS n FROM obs UNION ALL SELECT 'intervals', count(*) FROM iv UNION ALL SELECT 'signals', count(*) FROM sig)",
+    "service_sources": "SELECT DISTINCT source_file FROM obs UNION SELECT 'intervals' FROM iv UNION SELECT 'customers' FROM fc WHERE av IS NOT NULL",
+    "service_signals": f"SELECT signal_id, patient_id, priority, {_r('round(risk, 6)')} AS risk FROM sig WHERE band = 1 ORDER BY round(sig.risk, 6) DESC, signal_id LIMIT 50",
     "outside_encounter": "SELECT variable_code, count(*) AS n FROM obs o JOIN enc USING (patient_id) WHERE NOT o.et BETWEEN st AND en - INTERVAL 240 HOUR GROUP BY ALL",
     "category_counter": "SELECT variable_code, value_text, count(*) AS seen, count(DISTINCT patient_id) AS patients FROM vis WHERE ok AND value_text IS NOT NULL AND et >= t - INTERVAL 192 HOUR GROUP BY ALL",
     "report_units": "SELECT variable_code, unit AS unit_raw, count(*) AS n, round(min(v), 2) + 0.0::DOUBLE AS least, round(max(v), 2) + 0.0::DOUBLE AS most FROM obs WHERE v IS NOT NULL GROUP BY ALL",
@@ -292,6 +295,10 @@ ORACLES: dict[str, str] = {name: _sql(select) for name, select in _SELECTS.items
       UNION ALL SELECT 'intervals', 'time_order', count(*) FROM iv WHERE CAST(record_id AS INT) % 40 = 0 UNION ALL SELECT 'clinical_facts', 'patient_id', count(*) FROM fc WHERE av IS NOT NULL AND CAST(substr(record_id, 2) AS INT) % 9 = 0
       UNION ALL SELECT 'signals', 'risk', count(*) FROM sig WHERE CAST(substr(patient_id, 2) AS INT) % 5 <> 0 AND CAST(substr(patient_id, 2) AS INT) % 3 = 0
       UNION ALL SELECT 'evidence', 'signal_id of signals', count(*) FROM evd WHERE CAST(substr(patient_id, 2) AS INT) % 5 = 0) WHERE n > 0""", _FIFTH),
+    "integrity_verdicts": """WITH c AS (SELECT c_custkey AS u, 'f' || c_custkey AS source_file, 100 + c_custkey % 7 AS bytes, sha256('v' || c_custkey % 5 || '-' || c_custkey) AS sha, sha256('old-' || c_custkey) AS old FROM customer),
+      p AS (SELECT *, CASE WHEN u % 8 = 0 THEN sha WHEN u % 4 = 0 THEN sha256('other') WHEN u % 11 <> 0 THEN old END AS was, CASE WHEN u % 4 = 0 THEN 105 WHEN u % 11 <> 0 THEN 98 END AS had, CASE u % 6 WHEN 0 THEN sha WHEN 1 THEN sha256('listed') END AS official FROM c)
+      SELECT source_file, CASE WHEN was IS NULL THEN 'NEW' WHEN sha = was THEN 'IDENTICAL' WHEN bytes > had AND u % 3 = 0 AND old = was THEN 'APPENDED' WHEN sha = official THEN 'NEW_VERSION' ELSE 'MODIFIED' END AS verdict,
+        sha IS NOT DISTINCT FROM official AS listed, CAST(had AS BIGINT) AS previous_bytes FROM p""",
     "unique_keys": """SELECT name, count(*) AS keys, CAST(sum(n) AS BIGINT) AS rows FROM (SELECT 'orders' AS name, count(*) AS n FROM orders GROUP BY o_orderkey HAVING count(*) > 1
       UNION ALL SELECT 'lineitem', count(*) FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1) GROUP BY name""",
     "time_order_violations": "SELECT l_shipdate < o_orderdate AS violates, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL",

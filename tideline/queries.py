@@ -15,7 +15,7 @@ from tideline.operators import asof, assess, channels, citations, events, qualit
 from tideline.operators.ranges import quantiles
 from tideline.plans import audit, constraints, report, serve, wording
 from tideline.plans import sweep as plans
-from tideline.sources import event_feed
+from tideline.sources import event_feed, integrity
 from tideline.sources.adapters import read_text_csv, stage
 from tideline.sources.stored import new_folder, stored, written
 
@@ -499,10 +499,46 @@ def patients_ranking(spark, d):
 
 @_query
 def evidence_by_role(spark, d):
-    """Each signal's channel evidence as lists by role."""
-    s = plans.written(plans.sweep(_clean(spark, d), P))
-    cited = citations.channel_citations(s.channels).join(plans.signals(s).select("patient_id", F.col("decision_time").alias("t"), "signal_id"), ["patient_id", "t"])
-    return cited.groupBy("signal_id", "role").agg(F.array_join(F.array_sort(F.collect_set("record_id")), ",").alias("records"))
+    """Each signal's whole evidence as lists by role."""
+    clean = _clean(spark, d)
+    cited = plans.evidence(plans.written(plans.sweep(clean, P)), clean)
+    item = F.concat("source_file", F.lit(":"), "record_id")
+    return cited.groupBy("signal_id", "role").agg(F.array_join(F.array_sort(F.collect_set(item)), ",").alias("records"))
+
+
+def _service(spark: SparkSession, d: str) -> serve.Service:
+    clean = _known(spark, d)
+    s = plans.written(plans.sweep(clean, P))
+    return serve.Service(clean, stored(plans.signals(s), "signals"), stored(plans.evidence(s, clean), "evidence"), P)
+
+
+@_query
+def service_health(spark, d):
+    return _service(spark, d).health()
+
+
+@_query
+def service_sources(spark, d):
+    return _service(spark, d).loaded_sources()
+
+
+@_query
+def service_signals(spark, d):
+    """The fifty gravest signals of one priority, as a page lists them."""
+    return _service(spark, d).list_signals(priority="medium").select("signal_id", "patient_id", "priority", r6("risk").alias("risk"))
+
+
+@_query
+def integrity_verdicts(spark, d):
+    """A file for each customer, with two earlier runs and an official list by its number, and what becomes of each."""
+    c = spark.read.parquet(f"{d}/customer.parquet").selectExpr("c_custkey AS u", "concat('f', cast(c_custkey as string)) AS source_file")
+    sha = lambda text: F.sha2(F.expr(text).cast("binary"), 256)
+    now = "concat('v', cast(u % 5 as string), '-', cast(u as string))"
+    current = c.select("source_file", (100 + F.col("u") % 7).cast("long").alias("bytes"), sha(now).alias("sha256"), F.when(F.col("u") % 3 == 0, sha("concat('old-', cast(u as string))")).alias("prefix_sha256"))
+    one = lambda run, at, keep, text, size: c.where(keep).select(F.lit(run).alias("run_id"), F.lit(at).cast("timestamp_ntz").alias("ingested_at"), "source_file", F.expr(f"cast({size} as bigint)").alias("bytes"), sha(text).alias("sha256"))
+    manifest = one("r1", "2026-01-01 00:00:00", "u % 11 <> 0", "concat('old-', cast(u as string))", "98").unionByName(one("r2", "2026-01-02 00:00:00", "u % 4 = 0", f"if(u % 8 = 0, {now}, 'other')", "105"))
+    official = c.where("u % 6 < 2").select("source_file", F.lit(1).cast("long").alias("official_bytes"), sha(f"if(u % 6 = 0, {now}, 'listed')").alias("official_sha"))
+    return integrity.classify(current, integrity.last_state(manifest), official).select("source_file", "verdict", "listed", "previous_bytes")
 
 
 @_query
