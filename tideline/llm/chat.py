@@ -268,7 +268,11 @@ def read_digests(windows: DataFrame) -> DataFrame:
 
 
 def with_control_conversation(conversations: DataFrame) -> DataFrame:
-    """``conversations`` and conversation -1, whose texts are control strings."""
+    """``conversations`` and conversation -1, whose texts are control strings.
+
+    Rows that are there keep their nulls and their number; a given conversation -1 gets the two turns beside its own, as turns 0 and 1; of an empty table
+    only the two are left; other columns are dropped.
+    """
     text = f"{END}{START}{TARGET} ok"
     turn = lambda n, role: F.struct(F.lit(-1).cast("long").alias("conv_id"), F.lit(n).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit(text).alias("text"))
     more = conversations.sparkSession.range(1).select(F.inline(F.array(turn(0, "user"), turn(1, TARGET))))

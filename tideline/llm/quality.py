@@ -80,7 +80,11 @@ def _scan(repeat_words: int):
 
 
 def text_statistics(docs: DataFrame, repeat_words: int = 5) -> DataFrame:
-    """``STATS`` of every row of ``docs(doc_id, text)``, over the whole text; a null text has zeros."""
+    """``STATS`` of every row of ``docs(doc_id, text)``, over the whole text.
+
+    A null or empty text has zeros; repeated rows have rows of their own, a null doc_id stays null; equal lines and words are told by two hashes; other
+    columns are not read; no rows give no rows.
+    """
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_scan(repeat_words), SCHEMA)
 
 

@@ -22,55 +22,68 @@ def tokenizer() -> str:
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of the benchmark in all documents, those without a doc_id as one."""
     return contamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), null_ids=True)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that the mix takes of each document."""
     return mixing.mixed_words(_table(spark, sf_dir, "documents"))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents, read from stored prefix counts."""
     return tokens.prefix_answers(tokens.store_prefix_counts(_table(spark, sf_dir, "documents"), tokenizer()), 1024)
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all conversations, read back from their written windows."""
     turns = chat.with_control_conversation(_table(spark, sf_dir, "conversations"))
     return chat.read_digests(materialize(chat.format_windows(turns, tokenizer()), "windows"))
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of all pages, read back from the archives."""
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document, under the law ``rows``."""
     return sharding.sharded_rows(_table(spark, sf_dir, "documents"))
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule and verdict of every page's url."""
     return urls.filter_urls(_table(spark, sf_dir, "pages"))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of every document, the base filter, and the verdict of the learned list."""
     return quality.judge_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The machine's score of every document."""
     return toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document over links of four-word shingles."""
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=4, percent=80)
 
 
 def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
     return language.predict_language(_table(spark, sf_dir, "documents"))
 
 
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes and errors of all vectors."""
     return codes.encode(_table(spark, sf_dir, "embeddings"))
 
 
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, edits and repaired digest of every conversation, after the planted damage."""
     return repair.repair_digests(_table(spark, sf_dir, "conversations"))
 
 

@@ -318,7 +318,8 @@ def store_prefix_counts(docs: DataFrame, path: str) -> DataFrame:
 
     ``steps`` holds, packed, what each code point adds to the count of its prefix (less than nothing where it completes a longer token): a
     few bits a code point, where the counts would take as much room as the texts.  ``unpacked`` gives the counts back, ``prefix_answers``
-    answers from them; texts are not encoded again.  An empty or null text has no steps.
+    answers from them; texts are not encoded again.  An empty or null text has no steps.  Repeated rows have rows of their own, a null doc_id stays
+    null, an empty table gives an empty one, and other columns are not read.
     """
     counted = _texts(docs).mapInArrow(_counted(path, "steps", _packed), "doc_id long, n_bytes long, n_tokens long, steps binary")
     return materialize(counted.drop("n_tokens"), "prefixes")
@@ -341,7 +342,7 @@ def prefix_answers(stored: DataFrame, budget: int) -> DataFrame:
     """What stored prefix counts tell of a budget, without encoding: doc_id, n_bytes, n_chars, n_tokens, fitting_chars and over_limit; written.
 
     fitting_chars is the length of the longest prefix of at most ``budget`` tokens (0 if there is none), over_limit whether the
-    whole text has more.
+    whole text has more.  Of an empty text all are 0 and it is not over the limit; a row is given for each stored one, none for none.
     """
     found = materialize(stored.mapInArrow(_answers(budget), "doc_id long, n_bytes long, n_tokens long, fitting_chars long, n_chars long"), "answers")
     return found.withColumn("over_limit", F.col("n_tokens") > budget)
