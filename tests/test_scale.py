@@ -10,10 +10,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from test_scoring import CLINICAL, OBSERVATION, T, brute_fold, course
+from tideline import queries
 from tideline.config import Channel
 from tideline.functions.scalars import deviation_sql
-from tideline.operators import asof, channels, events, ranges, slopes
-from tideline.plans import audit
+from tideline.operators import asof, channels, events, quality, ranges, slopes
+from tideline.plans import audit, sweep
 
 
 def test_windows_of_a_stretch_are_those_of_its_instants(spark):
@@ -131,3 +132,19 @@ def test_peaks_after_signals(spark):
 def test_quantiles_keep_null_keys(spark):
     df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 5.0), ("a", None)], "k string, v double")
     assert {(r.k, r["count"], r.q0) for r in ranges.quantiles(df, ("k",), "v", (0.5,), "values").collect()} == {(None, 2, 2.0), ("a", 1, 5.0)}
+
+
+def test_texts_are_parsed_once_for_rows_that_load(spark):
+    iv = spark.createDataFrame([("i", "p", "CONTEXT", "x", "LOW", "2024-01-01 00:00:00", "2024-01-01 06:00:00", None), ("j", "p", "CONTEXT", "x", "LOW", "soon", "2024-01-01 06:00:00", None)], "record_id string, patient_id string, kind string, subtype string, value_text string, start_time string, end_time string, delayed_records string")
+    facts = spark.createDataFrame([("f", "r", "p", "c", None, "2024-01-01 00:00:00", "A", None, "E"), ("f", "s", "p", "c", None, "unknown", "A", None, "E")], "source_file string, record_id string, patient_id string, category string, onset string, available_time string, status string, severity string, source_system string")
+    for rows, times, one in ((quality.valid_intervals(iv), 2, "i"), (quality.valid_facts(facts), 1, "r")):
+        loaded = rows.where("reject_reason is null")
+        plan = loaded.select("record_id", *[c for c in loaded.columns if c.endswith("_time")], "reject_reason")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("RLIKE") == times and [r.record_id for r in loaded.collect()] == [one]
+
+
+def test_heavy_steps_keep_the_parts_they_are_dealt_to(spark):
+    df = spark.createDataFrame([(*r[:8], True, False, True) for r in course("p", lag=30)], OBSERVATION)
+    assert asof.dealt(df, asof.encounters(df), replace(CLINICAL, warmup_h=1), 54).rdd.getNumPartitions() == 4
+    bare = df.drop("is_duplicate").withColumn("is_retransmit", F.lit(False))
+    assert quality.mark_duplicates(bare).rdd.getNumPartitions() == 4
