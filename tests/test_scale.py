@@ -148,3 +148,12 @@ def test_heavy_steps_keep_the_parts_they_are_dealt_to(spark):
     assert asof.dealt(df, asof.encounters(df), replace(CLINICAL, warmup_h=1), 54).rdd.getNumPartitions() == 4
     bare = df.drop("is_duplicate").withColumn("is_retransmit", F.lit(False))
     assert quality.mark_duplicates(bare).rdd.getNumPartitions() == 4
+
+
+def test_answers_without_evidence_work_none_out(spark, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("no answer reads it")
+
+    monkeypatch.setattr(sweep, "evidence", refuse)
+    sf = "/root/testdata/sf0.001"
+    assert queries.QUERIES["service_health"](spark, sf).count() == 3 and queries.QUERIES["service_signals"](spark, sf).count() >= 0

@@ -55,7 +55,7 @@ class Service:
 
     clean: Clean
     signals: DataFrame
-    evidence: DataFrame
+    evidence: DataFrame | None
     profile: Profile
 
     def health(self) -> DataFrame:
