@@ -4,7 +4,7 @@ import random
 import statistics
 import time
 from dataclasses import replace
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from test_scoring import CLINICAL, OBSERVATION, T, brute_fold, course
 from tideline import queries
 from tideline.config import Channel
-from tideline.functions.scalars import deviation_sql
+from tideline.functions.scalars import deviation_sql, seconds
 from tideline.operators import asof, channels, events, quality, ranges, slopes
 from tideline.plans import audit, sweep
+from tideline.sources.stored import scope
 
 
 def test_windows_of_a_stretch_are_those_of_its_instants(spark):
@@ -157,3 +158,41 @@ def test_answers_without_evidence_work_none_out(spark, monkeypatch):
     monkeypatch.setattr(sweep, "evidence", refuse)
     sf = "/root/testdata/sf0.001"
     assert queries.QUERIES["service_health"](spark, sf).count() == 3 and queries.QUERIES["service_signals"](spark, sf).count() >= 0
+
+
+def test_instants_of_a_row_are_worked_out_once(spark):
+    df = spark.createDataFrame(course("p"), OBSERVATION)
+    plan = asof.dealt(df, asof.encounters(df), CLINICAL, 54)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("timestampdiff(") == 3  # to a row's event and availability, and to the end of its patient's grid
+
+
+def test_seconds_of_a_time_without_zone_are_the_same_in_every_zone(spark):
+    times = ["2024-03-10 02:30:00", "2024-03-10 03:30:00", "2024-11-03 01:30:00", "1950-06-01 00:00:01"]
+    want = [int((datetime.fromisoformat(t) - datetime(1970, 1, 1)).total_seconds()) for t in times]
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for name in ("UTC", "America/New_York", "Europe/Madrid"):  # where half past two is skipped, or comes twice
+            spark.conf.set("spark.sql.session.timeZone", name)
+            got = spark.createDataFrame([(t,) for t in times], "t string").select(seconds(F.col("t").cast("timestamp_ntz")).alias("s")).collect()
+            assert [r.s for r in got] == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_a_stretch_far_from_the_border_gives_whole_windows(spark):
+    """Samples at the very borders of both windows, with fractions of a second, and one that is known late."""
+    p = replace(CLINICAL, warmup_h=1)
+    start = T - timedelta(hours=100)
+    at = [start, start + timedelta(hours=1), start + timedelta(hours=7), start + timedelta(hours=7, microseconds=1), start + timedelta(hours=55), start + timedelta(hours=60, microseconds=-1), T]
+    rows = [(*r[:4], t, t + timedelta(hours=5 * (i == 3)), *r[6:]) for i, (r, t) in enumerate(zip(course("p"), at, strict=False))]
+    df = spark.createDataFrame([(*r[:8], i != 2, False, True) for i, r in enumerate(rows)], OBSERVATION)
+    span = asof.encounters(df)
+    columns = ["t", "variable_code", "evidence", "baseline", "bad"]
+    told = lambda w: sorted(map(repr, w.where("size(evidence) + size(baseline) + bad > 0").select(*columns).collect()))
+    assert told(channels.grid_windows(asof.dealt(df, span, p, 54), p, 54)) == told(channels.windows(asof.on_grid(df, span, p, 54), p))
+
+
+def test_columns_that_a_query_does_not_read_are_not_written(spark):
+    with scope():
+        whole, part = (queries._clean(spark, "/root/testdata/sf0.001", *w).observations for w in ((), (queries.UNREAD,)))
+        assert set(whole.columns) - set(part.columns) == set(queries.UNREAD) and sorted(part.collect()) == sorted(whole.select(*part.columns).collect())
